@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space characters that editors insert unseen, and the warehouse layers.
-WIDE_SPACES = "　    "
+WIDE_SPACES = "\u3000\u00a0\u2002\u2003\u2009"
 LAYERS = ("ods", "dim", "dwd", "dws", "ads", "ver")
 
 

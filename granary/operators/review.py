@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import first_true, last_segment, name_key
 from granary.operators.catalog import small
-from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, default_registry, unusable
+from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, unusable
 
-TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", F.lit(True), F.col("table_name"), action="block", source="system", blocking=True)
-LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", F.lit(True), F.col("table_name"), action="context_required", source="system", requires_metadata=True)
-COLUMN_NOT_FOUND = Rule("COLUMN_NOT_FOUND", "high", "metadata", F.lit(True), F.concat_ws(".", "qualifier", "name"), action="block", source="system", blocking=True)
-NO_PARTITION = Rule("INSERT_WITHOUT_PARTITION", "high", "metadata", F.lit(True), F.col("insert_target"))
-PARTITION_UNKNOWN = Rule("INSERT_WITHOUT_PARTITION_METADATA_UNKNOWN", "medium", "metadata", F.lit(True), F.col("insert_target"))
+TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True)
+LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", always, lambda: F.col("table_name"), action="context_required", source="system", requires_metadata=True)
+COLUMN_NOT_FOUND = Rule("COLUMN_NOT_FOUND", "high", "metadata", always, lambda: F.concat_ws(".", "qualifier", "name"), action="block", source="system", blocking=True)
+NO_PARTITION = Rule("INSERT_WITHOUT_PARTITION", "high", "metadata", always, lambda: F.col("insert_target"))
+PARTITION_UNKNOWN = Rule("INSERT_WITHOUT_PARTITION_METADATA_UNKNOWN", "medium", "metadata", always, lambda: F.col("insert_target"))
 
 
 def raised(rows: DataFrame, rule: Rule) -> DataFrame:

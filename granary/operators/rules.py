@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,15 +18,24 @@ OVERWRITE = r"\binsert\s++overwrite\s++(?!table\b)"
 DATE = r"\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(['\"])\d{8}\2"
 
 
+def made(x: Column | Callable[[], Column]) -> Column:
+    return x if isinstance(x, Column) else x()
+
+
+def always() -> Column:
+    return F.lit(True)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """predicate holds for the scripts with the issue; its columns are those of facts(), and norm, the normalised SQL."""
+    """predicate holds for the scripts with the issue; its columns are those of facts(), and norm, the normalised SQL.
+    A column may be given by a function, so that a rule can be declared before there is a session."""
 
     rule_id: str
     severity: str
     category: str
-    predicate: Column
-    evidence: str | Column
+    predicate: Column | Callable[[], Column]
+    evidence: str | Column | Callable[[], Column]
     modes: tuple[str, ...] = ALL_MODES
     action: str = "human_review"
     source: str = "rule"
@@ -39,7 +48,7 @@ class Rule:
 
     def issue(self) -> Column:
         """The issue as a struct."""
-        evidence = F.lit(self.evidence) if isinstance(self.evidence, str) else self.evidence
+        evidence = F.lit(self.evidence) if isinstance(self.evidence, str) else made(self.evidence)
         values = [("rule_id", self.rule_id), ("severity", self.severity), ("category", self.category), ("source", self.source), ("confidence", self.confidence), ("action", self.action), ("auto_fixable", self.auto_fixable), ("requires_metadata", self.requires_metadata), ("requires_knowledge", self.requires_knowledge), ("blocking", self.blocking)]
         return F.struct(*[F.lit(v).alias(k) for k, v in values], evidence.alias("evidence"))
 
@@ -67,7 +76,7 @@ class Registry:
         if not picked:
             return facts.select("script_id", F.explode(F.array(PARSE_ERROR.issue())).alias("x")).filter(F.lit(False)).select("script_id", "x.*")
         rows = facts.withColumn("norm", normalised_sql("sql"))
-        broken = [F.when(r.predicate & (F.lit(True) if mode else F.col("mode").isin(*r.modes)), r.issue()) for r in picked]
+        broken = [F.when(made(r.predicate) & (F.lit(True) if mode else F.col("mode").isin(*r.modes)), r.issue()) for r in picked]
         return rows.select("script_id", F.explode(F.array_compact(F.array(*broken))).alias("x")).select("script_id", "x.*")
 
 
@@ -78,7 +87,7 @@ def unusable(sql: Column) -> Column:
     return (clean(sql) == "") | bare.contains("'") | bare.contains('"') | (count("(") != count(")"))
 
 
-PARSE_ERROR = Rule("SQL_PARSE_ERROR", "high", "syntax", F.lit(True), F.substring("sql", 1, 500), action="block", source="system", blocking=True)
+PARSE_ERROR = Rule("SQL_PARSE_ERROR", "high", "syntax", always, lambda: F.substring("sql", 1, 500), action="block", source="system", blocking=True)
 
 
 def default_registry() -> Registry:
