@@ -20,21 +20,20 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def dictionary(rows: DataFrame) -> DataFrame:
-    """Cleaned rows with their fate: skipped (no table or no column), duplicate of an earlier row, or accepted."""
+CELLS = ["table_name", "column_name", "table_desc", "column_desc"]
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Cleaned cells, names in lower case. named: whether the row has both a table and a column."""
     if missing := [c for c in DICTIONARY if c not in rows.columns]:
         raise ValueError(f"the dictionary has no column {missing}")
-    cells = rows.select("row_no", name_key("table_name").alias("table_name"), name_key("column_name").alias("column_name"), clean("table_desc").alias("table_desc"), clean("column_desc").alias("column_desc"))
-    first = F.row_number().over(Window.partitionBy("table_name", "column_name", "table_desc", "column_desc").orderBy("row_no"))
-    fate = F.when((F.col("table_name") == "") | (F.col("column_name") == ""), "skipped").when(F.col("n") > 1, "duplicate").otherwise("accepted")
-    return cells.withColumn("n", first).withColumn("fate", fate).drop("n")
+    out = rows.select("row_no", name_key("table_name").alias("table_name"), name_key("column_name").alias("column_name"), clean("table_desc").alias("table_desc"), clean("column_desc").alias("column_desc"))
+    return out.withColumn("named", (F.col("table_name") != "") & (F.col("column_name") != ""))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
-    """The accepted rows: the first of each equal four. An aggregation, combined before the shuffle."""
-    cells = rows.select("row_no", name_key("table_name").alias("table_name"), name_key("column_name").alias("column_name"), clean("table_desc").alias("table_desc"), clean("column_desc").alias("column_desc"))
-    named = cells.filter((F.col("table_name") != "") & (F.col("column_name") != ""))
-    return named.groupBy("table_name", "column_name", "table_desc", "column_desc").agg(F.min("row_no").alias("row_no"))
+    """The first of each four equal cells, of the named rows. An aggregation, combined before the shuffle."""
+    return cells(rows).filter("named").groupBy(*CELLS).agg(F.min("row_no").alias("row_no"))
 
 
 def primary_description(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -63,13 +62,13 @@ def dictionary_columns(rows: DataFrame) -> DataFrame:
 
 def accounting(rows: DataFrame) -> DataFrame:
     """One row: raw, accepted, duplicate and skipped rows (raw is the sum of the others), tables and columns."""
-    flagged = dictionary(rows)
-    named = F.col("fate") != "skipped"
-    return flagged.agg(
-        F.count("*").alias("raw_rows"),
-        F.count_if(F.col("fate") == "accepted").alias("accepted_rows"),
-        F.count_if(F.col("fate") == "duplicate").alias("duplicate_rows"),
-        F.count_if(F.col("fate") == "skipped").alias("skipped_rows"),
+    n, named = F.col("n"), F.col("named")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return cells(rows).groupBy("named", *CELLS).agg(F.count("*").alias("n")).agg(
+        total("n").alias("raw_rows"),
+        F.count_if("named").alias("accepted_rows"),
+        total(F.when(named, n - 1)).alias("duplicate_rows"),
+        total(F.when(~named, n)).alias("skipped_rows"),
         F.countDistinct(F.when(named, F.col("table_name"))).alias("n_tables"),
         F.countDistinct(F.when(named, F.struct("table_name", "column_name"))).alias("n_columns"),
     )

@@ -75,7 +75,7 @@ def retrieve(questions: DataFrame, docs: DataFrame, k: int, kind: str | None = N
 def mandatory(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """(question_id, rule_id): rules (rule_id, triggers, text) any of whose triggers the question has, case-sensitive."""
     hit = F.exists("triggers", lambda t: F.col("question").contains(t))
-    return questions.select("question_id", F.trim("question").alias("question")).join(F.broadcast(rules), hit).select("question_id", "rule_id")
+    return questions.select("question_id", F.trim("question").alias("question")).join(small(rules), hit).select("question_id", "rule_id")
 
 
 def merged(questions: DataFrame, rules: DataFrame, retrieved: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def test_dictionary(spark, tmp_path):
     columns = {(r["column_name"]): r for r in catalog.dictionary_columns(rows).filter("table_name = 'dwd_loan'").collect()}
     assert columns["bal"]["description"] == "balance" and (columns["bal"]["ordinal"], columns["ent"]["ordinal"]) == (1, 2)
     with pytest.raises(ValueError):
-        catalog.dictionary(rows.drop("table_desc"))
+        catalog.cells(rows.drop("table_desc"))
     path = f"file://{tmp_path}/catalog"
     first = catalog.publish(rows, path, "sheet")
     with pytest.raises(ValueError, match="no_tables"):
