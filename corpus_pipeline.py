@@ -14,16 +14,18 @@ from granary.llm.queries import MIX, vocabulary
 
 #: SQL can't express suffix automata, SimHash or tokenizers.
 ORACLE_SQL = None
-#: A text is rejected if it has no letter, or if its two best languages fit it about equally well.
-LEAST_SCORE = 0.02
+#: A text is rejected if it has no letter, or if it is long enough to tell and its two best languages fit it about
+#: equally well (so that it is neither): so many characters, and a score below this.
+LONG, LEAST_SCORE = 200, 0.02
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that the labelled ones teach: `und`, or a score under LEAST_SCORE."""
+    """Drops documents in no single language that the labelled ones teach; see LEAST_SCORE. Short texts are kept."""
     columns = docs.columns
     named = langid.identify(docs, carry=columns)
     pred, score = named.columns[-2:]
-    return named.filter((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*columns)
+    unclear = (F.char_length("text") >= LONG) & (F.col(score) < LEAST_SCORE)
+    return named.filter((F.col(pred) != "und") & ~unclear).select(*columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

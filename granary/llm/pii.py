@@ -32,6 +32,12 @@ class Feistel:
         return int.from_bytes(digest, "big") & ((1 << bits) - 1)
 
     def permute(self, value: int, n: int, tweak: bytes, inverse: bool = False) -> int:
+        """A permutation that leaves no value in its place (if n is over 1): one step along a keyed cycle of them all."""
+        step = -1 if inverse else 1
+        return self.walk((self.walk(value, n, tweak) + step) % n, n, tweak, True)
+
+    def walk(self, value: int, n: int, tweak: bytes, inverse: bool = False) -> int:
+        """The Feistel network, applied until the value is in range."""
         if not 0 <= value < n:
             raise ValueError("value out of range")
         if n == 1:
@@ -39,7 +45,7 @@ class Feistel:
         bits = max(2, (n - 1).bit_length())
         low = bits // 2
         high = bits - low
-        while True:  # until the value is back in range: under 4 times on average (under 8 for tiny ranges)
+        while True:  # under 4 times on average
             a, b, wide, narrow = value >> low, value & ((1 << low) - 1), high, low
             if not inverse:
                 for i in range(ROUNDS):
