@@ -13,40 +13,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
 
 TOKENS = "file_no int, seq long, doc_id long, n_tokens long, tokens array<int>"
-#: Texts of these characters only take the quick way below; they are their own NFC form and have no case exceptions.
-UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]|<\|")
-#: The vocabulary's word rule for those characters.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Texts with none of these take the quick way below: their characters are their own NFC form and have no case exceptions.
+UNUSUAL = r"[^\t-\r\x20-\x7e\x{a1}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{ff}]|<\|"
+#: The vocabulary's word rule for those characters, in lower case.
+PIECES = re.compile("[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zªµºß-öø-ÿ0-9]+")
 
 
 class Encoder:
-    """Encodes with the tokenizers library; a word's ids are kept, as words recur. At most `most` words are held."""
+    """Encodes with the tokenizers library; what words and their parts give is kept, as they recur. At most `most`
+    of them are held. A process keeps its encoder from task to task."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return self.whole([text])[0]
-        words = PIECES.findall(text.lower())
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = list(dict.fromkeys(words))
-            self.known.update(zip(new, self.whole(new), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+        suffix = self.tokenizer.model.end_of_word_suffix
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        for word, i in words.items():
+            self.ends[i] = bool(suffix) and word.endswith(suffix)
+
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        import tokenizers
+
+        held = vars(tokenizers).setdefault("_held_encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, parts: list[str]) -> None:
+        """Keep the ids of parts, each one word to the library: encoded together, cut where a word ends."""
+        for at in range(0, len(parts), 500):
+            some = parts[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            else:
+                self.known.update((p, self.whole(p)) for p in some)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each one's, and how many each text has.
+
+        Words are split and numbered by Arrow, so that Python sees each distinct word once; their ids are then gathered."""
+        odd = pc.match_substring_regex(texts, UNUSUAL)
+        plain = pc.if_else(odd, "", texts)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.known]
+        if len(self.known) + 2 * len(new) > self.most:
+            self.known, new = {}, distinct
+        split = {w: PIECES.findall(w) for w in new}
+        self.learn(list(dict.fromkeys(p for ps in split.values() for p in ps if p not in self.known)))
+        self.known.update((w, b"".join([self.known[p] for p in ps])) for w, ps in split.items() if len(ps) != 1)
+        raw = [self.known[w] for w in distinct]
+        sizes = np.fromiter(map(len, raw), "i8", len(raw)) // 4
+        table, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        per_word = sizes[codes]
+        word_ends = np.concatenate([[0], np.cumsum(per_word)])
+        counts = np.diff(word_ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        others = {i: np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        full = counts + 1
+        for i, ids in others.items():
+            full[i] += len(ids)
+        ends = np.cumsum(full)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        n = int(word_ends[-1])
+        ids = table[np.repeat(starts[codes] - word_ends[:-1], per_word) + np.arange(n)] if n else np.zeros(0, "<u4")
+        out[np.repeat(ends - full - (np.cumsum(counts) - counts), counts) + np.arange(n)] = ids
+        for i, ids in others.items():
+            out[ends[i] - full[i] : ends[i] - 1] = ids
+        out[ends - 1] = end_id
+        return out, full
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 32, page_kb: int = 64) -> None:
@@ -58,20 +111,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
     tie = "tie"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(tie, F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, seq = Encoder(vocabulary), 0
+        encoder, seq = Encoder.of_process(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [encoder.encode(x) + end for x in part.column("text").to_pylist()]
-                counts = np.array([len(x) // 4 for x in ids], "i8")
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                ids, counts = encoder.encode(part.column("text"), end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("i4")
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
                 numbers = pa.array(np.arange(seq, seq + part.num_rows))
                 seq += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("file_no"), numbers, part.column("doc_id"), pa.array(counts), tokens], ["file_no", "seq", "doc_id", "n_tokens", "tokens"])
