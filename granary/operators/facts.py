@@ -101,3 +101,16 @@ def facts_text(found: DataFrame) -> DataFrame:
     flag = lambda label, x: F.concat(F.lit(label + ": "), F.when(F.col(x), "yes").otherwise("no"))
     parts = [F.concat(F.lit("statements: "), F.col("statement_count").cast("string")), line("types", "statement_types"), line("sources", "sources"), line("targets", "targets"), line("ctes", "cte_names"), line("aliases", "select_aliases"), flag("select star", "has_select_star"), flag("drop", "has_drop"), flag("truncate", "has_truncate"), flag("writes", "has_write"), flag("partition clause", "has_partition")]
     return found.select("script_id", F.concat_ws("\n", *parts).alias("text"))
+
+
+def metadata_text(found: DataFrame, columns: DataFrame, description: str = "data_type") -> DataFrame:
+    """(script_id, text): for each table that a script reads or writes, the catalog's columns in order, or that it has
+    none. Tables are in order of name; a script without tables has no row."""
+    names = found.select("script_id", F.explode("referenced").alias("table_name"))
+    line = F.concat(F.lit("- "), "name", F.lit(" "), F.coalesce(description, F.lit("")))
+    listed = columns.groupBy(F.lower("table_name").alias("known")).agg(F.sort_array(F.collect_list(F.struct("ordinal_position", line.alias("line")))).alias("ls"))
+    known = listed.select("known", F.transform("ls", lambda x: x["line"]).alias("ls"))
+    rows = names.withColumn("known", F.element_at(F.split("table_name", r"\."), -1)).join(known, "known", "left")
+    block = F.concat_ws("\n", F.array(F.concat(F.lit("table "), "table_name")), F.coalesce("ls", F.array(F.lit("- not in the catalog"))))
+    by = rows.groupBy("script_id").agg(F.sort_array(F.collect_set(F.struct("table_name", block.alias("text")))).alias("ts"))
+    return by.select("script_id", F.concat_ws("\n", F.transform("ts", lambda x: x["text"])).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -122,3 +124,12 @@ def knn_dense(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 256
     found = q.groupBy("b", "g").cogroup(r.groupBy("b", "g")).applyInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def retrieve_dense(questions: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """(question_id, document_id, score, position): as retrieve(), with the vectors of a site's own model. embed makes a
+    column of vectors from a column of texts, say by a pandas_udf."""
+    q = questions.select(F.col("question_id").alias("vec_id"), embed(F.col("question")).alias("embedding"))
+    keyed = docs.select("document_id", F.xxhash64("document_id").alias("vec_id"), embed(F.col("text")).alias("embedding"))
+    found = knn_dense(q, keyed.select("vec_id", "embedding"), k)
+    return found.join(docs.select("document_id", F.xxhash64("document_id").alias("vec_id")), "vec_id").select(F.col("query_id").alias("question_id"), "document_id", "score", "position")

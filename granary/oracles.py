@@ -76,7 +76,7 @@ NORM = rf"lower(trim(regexp_replace({PLAIN}, '\s+', ' ', 'g')))"
 TARGET = r"\binsert\s+(?:overwrite|into)\s+(?:table\s+)?([\w.]+)"
 SOURCE = r"\b(?:from|join)\s+([\w.]+)"
 NAMED = r"^(?:drop|create|truncate)\s+table\s+(?:if\s+(?:not\s+)?exists\s+)?([\w.]+)"
-CAT = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {lit(c.split()[0])}, {str(c.endswith('!')).lower()}, {i + 1})" for t, cs in CATALOG.items() for i, c in enumerate(cs.split(", "))) + ") v(t, c, is_part, ord))"
+CAT = "cat AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {lit(c.split()[0])}, {str(c.endswith('!')).lower()}, {i + 1}, {lit(c.rstrip('!').replace(';', ',').split(' ', 1)[1])})" for t, cs in CATALOG.items() for i, c in enumerate(cs.split(", "))) + ") v(t, c, is_part, ord, kind))"
 
 
 def facts(src: str = "scr", p: str = "") -> str:

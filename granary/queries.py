@@ -234,13 +234,13 @@ def table_stats(spark, sf):
 # SQL corpus
 
 
-def scripts(spark: SparkSession, sf: str) -> DataFrame:
+def script_rows(spark: SparkSession, sf: str) -> DataFrame:
     return B.sql_scripts(spark, sf).select("script_id", "mode", "sql")
 
 
 def script_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts are computed once and written, as several checks read them."""
-    return written(facts.facts(scripts(spark, sf)), "facts")
+    return written(facts.facts(script_rows(spark, sf)), "facts")
 
 
 def all_issues(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,6 +263,11 @@ for _category in ("style", "safety", "maxcompute", "dataworks", "semantic"):
     by_category(_category)
 
 
+@query(O.with_(O.SCR) + "SELECT script_id, path, mode, sql FROM scr")
+def scripts(spark, sf):
+    return B.sql_scripts(spark, sf)
+
+
 @query(O.with_(O.SCR) + f"SELECT script_id, path, mode, {O.NORM} AS norm FROM scr")
 def sql_normalized(spark, sf):
     return B.sql_scripts(spark, sf).select("script_id", "path", "mode", normalised_sql("sql").alias("norm"))
@@ -301,6 +306,14 @@ def facts_text(spark, sf):
     return facts.facts_text(script_facts(spark, sf))
 
 
+@query(
+    O.with_(O.SCR, O.CAT, O.facts(), "listed AS (SELECT t, string_agg('- ' || c || ' ' || kind, chr(10) ORDER BY ord) AS ls FROM cat GROUP BY t)", "named AS (SELECT DISTINCT script_id, table_name FROM tab)")
+    + "SELECT script_id, string_agg('table ' || table_name || chr(10) || coalesce(ls, '- not in the catalog'), chr(10) ORDER BY table_name) AS text FROM named LEFT JOIN listed ON t = split_part(table_name, '.', -1) GROUP BY script_id"
+)
+def metadata_text(spark, sf):
+    return facts.metadata_text(script_facts(spark, sf), B.catalog(spark)[1])
+
+
 @query(O.with_(O.SCR, O.CAT, O.facts(), O.issues(mode="backfill")) + f"SELECT {ISSUE} FROM rule_issues")
 def review_backfill(spark, sf):
     return rules.default_registry().issues(script_facts(spark, sf), mode="backfill")
@@ -328,7 +341,7 @@ def review_issues(spark, sf):
 
 @query(O.with_(*CORPUS, O.RISK) + "SELECT * FROM risk")
 def review_risk(spark, sf):
-    return review.risk(scripts(spark, sf), all_issues(spark, sf))
+    return review.risk(script_rows(spark, sf), all_issues(spark, sf))
 
 
 @query(O.with_(*CORPUS, O.TOP) + "SELECT * FROM top")
@@ -338,7 +351,7 @@ def review_top_risks(spark, sf):
 
 @query(O.with_(*CORPUS, O.ROUTE) + "SELECT * FROM route")
 def review_route(spark, sf):
-    return review.route(scripts(spark, sf), all_issues(spark, sf))
+    return review.route(script_rows(spark, sf), all_issues(spark, sf))
 
 
 @query(
@@ -348,7 +361,7 @@ def review_route(spark, sf):
 FROM risk LEFT JOIN (SELECT script_id, string_agg(position || '. [' || severity || '] ' || rule_id || ': ' || evidence, chr(10) ORDER BY position) AS lines FROM top GROUP BY script_id) USING (script_id)"""
 )
 def report_rows(spark, sf):
-    return review.report(scripts(spark, sf), all_issues(spark, sf))
+    return review.report(script_rows(spark, sf), all_issues(spark, sf))
 
 
 @query(O.with_(*CORPUS, O.FIX) + "SELECT script_id, fixed_sql, applied_fixes, manual_notes FROM fixed")
@@ -374,7 +387,7 @@ def critic(spark, sf):
     + "SELECT r.script_id, CASE WHEN route = 'auto_fix' THEN CASE WHEN v.status = 'passed' THEN 'fix_verified' ELSE v.status END ELSE final_status END AS status, 1 AS rounds, CASE WHEN final_status = 'no_issue' THEN scr.sql WHEN route = 'auto_fix' AND v.status = 'passed' THEN fixed_sql END AS trusted_sql FROM route r JOIN scr USING (script_id) LEFT JOIN verdict v USING (script_id) LEFT JOIN fixed USING (script_id)"
 )
 def trusted_sql(spark, sf):
-    return fix.trusted(scripts(spark, sf), B.catalog(spark)[1])
+    return fix.trusted(script_rows(spark, sf), B.catalog(spark)[1])
 
 
 @query(O.with_("a AS (SELECT user_id AS thread_id, event_id AS seq, event_type <> 'error' AND value > 5 AS passed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)", "b AS (SELECT *, coalesce(bool_or(passed) OVER (PARTITION BY thread_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM a)") + "SELECT thread_id, count(*) AS attempts, count_if(NOT before AND n <= 3)::BIGINT AS used, CASE WHEN bool_or(NOT before AND n <= 3 AND passed) THEN 'passed' WHEN count_if(NOT before AND n <= 3) > 2 THEN 'exhausted' ELSE 'open' END AS status FROM b GROUP BY thread_id")
@@ -531,6 +544,12 @@ def merged_context(spark, sf):
     return retrieval.merged(asked, mandatory_rule_rows(spark), retrieval.retrieve(asked, B.docs(spark, sf), 5))
 
 
+@query(O.with_(O.TOKENS, O.SIMS, f"best AS ({O.top('sims', 3)})") + "SELECT question_id, string_agg('## ' || document_id || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY position) AS context FROM best JOIN doc USING (document_id) GROUP BY question_id")
+def context_text(spark, sf):
+    asked, docs = B.questions(spark, sf), B.docs(spark, sf)
+    return retrieval.context_text(retrieval.merged(asked, mandatory_rule_rows(spark).limit(0), retrieval.retrieve(asked, docs, 3)), docs)
+
+
 @query(
     "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 9) AS score FROM q, embeddings)\nSELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS position FROM s QUALIFY position <= 10"
 )

@@ -244,3 +244,19 @@ def test_files(spark, tmp_path):
     assert semantic.text(models).first()["text"] == "Table t\n- a"
     readers.write_reports(review.report(found, got), f"file://{tmp_path}/reports")
     assert spark.read.json(f"file://{tmp_path}/reports").count() == 2
+
+
+def test_dense_retrieval_with_a_model(spark):
+    docs = spark.createDataFrame([("a", "x", "aaa"), ("b", "x", "bbb"), ("c", "x", "ab"), ("d", "x", None)], "document_id string, kind string, text string")
+    q = spark.createDataFrame([(7, "aab")], "question_id long, question string")
+    embed = lambda c: F.array(*[(F.char_length(c) - F.char_length(F.translate(c, x, ""))).cast("double") for x in "ab"])
+    got = retrieval.retrieve_dense(q, docs, embed, 2).collect()
+    assert [(r["question_id"], r["document_id"]) for r in sorted(got, key=lambda r: r["position"])] == [(7, "c"), (7, "a")]
+
+
+def test_scans_read_what_they_need(spark, small):
+    """Columns are pruned and filters pushed to the scan."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    high = plan(compile_plan(B.loan_snapshot(spark, small), MetricPlan(("loan_balance",), group_by=("dt",), filters=("is_high_tech_mfg_loan_code = '1'",))))
+    assert "l_tax" not in high and "o_totalprice" not in high and "p_name" not in high
+    assert "ReadSchema: struct<vec_id:bigint>" in plan(spark.read.parquet(f"{small}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id"))
