@@ -112,7 +112,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in texts], "i8")
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     codes = model.codes[points]
-    of = np.repeat(np.arange(len(texts)), lengths)
+    of = np.repeat(np.arange(len(texts), dtype="i4"), lengths)
     # Keep a blank only between letters of a text: the first one after a letter, unless none follows.
     first = np.ones(len(codes), bool)
     first[1:] = of[1:] != of[:-1]
@@ -155,12 +155,16 @@ def training_texts(docs: DataFrame, holds: Column, id_col: str, text_col: str, l
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     labelled = docs.filter(holds & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = Window.partitionBy("label").orderBy("hash", "text")
     rows = labelled.select(F.col(label_col).alias("label"), F.xxhash64(key).alias("hash"), F.substring(text_col, 1, per_document).alias("text"))
-    rows = rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= documents).orderBy("label", "rank")
-    kinds = labelled.select(label_col).distinct().limit(most_languages + 1).count()
-    if kinds > most_languages:
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
+    # Hashes below a language's cut are few, about four times the documents wanted, however large the corpus is.
+    cut = F.lit(2**63 - 1)
+    for r in counts:
+        cut = F.when(F.col("label") == r["label"], F.lit(min(2**63 - 1, int(-(2**63) + 4 * documents / r["n"] * 2**64)))).otherwise(cut)
+    rank = Window.partitionBy("label").orderBy("hash", "text")
+    rows = rows.filter(F.col("hash") <= cut).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= documents).orderBy("label", "rank")
     found: dict[str, str] = {}
     for r in rows.collect():
         had = found.get(r["label"], "")
@@ -193,7 +197,7 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_
                 for x in batch.column("x0").slice(at):
                     texts.append(x.as_py() or "")
                     size += len(texts[-1])
-                    if size > 4_000_000:
+                    if size > 1_500_000:
                         break
                 held_out = batch.column("x1").slice(at, len(texts))
                 at += len(texts)
