@@ -15,9 +15,18 @@ SCHEMA_VERSION = 2
 SMALL_ROWS = 100_000
 
 
+def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
+    """Whether the rows, counted, are few enough to broadcast."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def hinted(df: DataFrame, few: bool) -> DataFrame:
+    """df with a broadcast hint if it is known to be small; else Spark picks the join."""
+    return F.broadcast(df) if few else df
+
+
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if its rows, counted, are few; else Spark picks the join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return hinted(df, is_small(df, limit))
 
 
 CELLS = ["table_name", "column_name", "table_desc", "column_desc"]

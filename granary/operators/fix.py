@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import first_true, joined, last_segment, plain_spaces
-from granary.operators.catalog import small
+from granary.operators.catalog import hinted, is_small
 from granary.operators.facts import facts as facts_of
 from granary.operators.review import known_tables, resolved, review, route
 from granary.operators.rules import Registry
@@ -41,8 +41,9 @@ def fix(facts: DataFrame, issues: DataFrame, columns: DataFrame | None) -> DataF
     if columns is None:
         rows = rows.withColumn("found", F.lit(None).cast("string")).withColumn("status", F.lit("NO_CATALOG")).withColumn("field", F.lit(None).cast("string"))
     else:
+        few = is_small(columns)
         first = columns.filter("is_partition").groupBy(F.lower("table_name").alias("found")).agg(F.min_by("name", "ordinal_position").alias("field"))
-        rows = resolved(rows, "insert_target", known_tables(columns)).join(small(first), "found", "left")
+        rows = resolved(rows, "insert_target", known_tables(columns), few).join(hinted(first, few), "found", "left")
     one = lambda flag, before, after: F.when(F.col(flag), after(F.col(before))).otherwise(F.col(before))
     rows = rows.withColumn("s1", one("fix_spaces", "sql", plain_spaces)).withColumn("s2", one("fix_keyword", "s1", with_table_keyword)).withColumn("s3", one("fix_date", "s2", with_date_parameter))
     quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))

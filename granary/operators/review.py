@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import first_true, last_segment, name_key
-from granary.operators.catalog import small
+from granary.operators.catalog import hinted, is_small
 from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, unusable
 
 TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True)
@@ -22,12 +22,14 @@ def raised(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.select("script_id", rule.issue().alias("x")).select("script_id", "x.*")
 
 
-def resolved(refs: DataFrame, name: str, known: DataFrame) -> DataFrame:
+def resolved(refs: DataFrame, name: str, known: DataFrame, few: bool | None = None) -> DataFrame:
     """refs with `found`: the catalog's name of a table, by its full name or else its last segment. known: (table_name,
-    status), where status ERROR says that the lookup failed."""
-    keys = small(known.select(F.lower("table_name").alias("key"), F.col("table_name").alias("hit"), "status"))
-    whole = keys.select(F.col("key").alias("whole"), F.struct("hit", "status").alias("by_whole"))
-    short = keys.select(F.col("key").alias("short"), F.struct("hit", "status").alias("by_short"))
+    status), where status ERROR says that the lookup failed. few: whether the catalog is small enough to broadcast;
+    here and below it is counted if that isn't told."""
+    few = is_small(known) if few is None else few
+    keys = known.select(F.lower("table_name").alias("key"), F.col("table_name").alias("hit"), "status")
+    whole = hinted(keys.select(F.col("key").alias("whole"), F.struct("hit", "status").alias("by_whole")), few)
+    short = hinted(keys.select(F.col("key").alias("short"), F.struct("hit", "status").alias("by_short")), few)
     keyed = refs.withColumn("whole", name_key(name)).withColumn("short", last_segment(name_key(name)))
     hit = F.coalesce("by_whole", "by_short")
     out = keyed.join(whole, "whole", "left").join(short, "short", "left").withColumn("found", hit["hit"]).withColumn("status", F.coalesce(hit["status"], F.lit("NOT_FOUND")))
@@ -40,47 +42,50 @@ def known_tables(columns: DataFrame, failed: DataFrame | None = None) -> DataFra
     return known if failed is None else known.unionByName(failed.select(F.lower("table_name").alias("table_name"), F.lit("ERROR").alias("status")))
 
 
-def table_issues(facts: DataFrame, known: DataFrame) -> DataFrame:
+def table_issues(facts: DataFrame, known: DataFrame, few: bool | None = None) -> DataFrame:
     """Tables without a catalog entry, and those whose lookup failed (which says nothing about whether they exist)."""
-    refs = resolved(facts.select("script_id", F.explode("referenced").alias("table_name")), "table_name", known)
+    refs = resolved(facts.select("script_id", F.explode("referenced").alias("table_name")), "table_name", known, few)
     return raised(refs.filter("status = 'NOT_FOUND'"), TABLE_NOT_FOUND).unionByName(raised(refs.filter("status = 'ERROR'"), LOOKUP_FAILED))
 
 
-def column_issues(facts: DataFrame, columns: DataFrame) -> DataFrame:
+def column_issues(facts: DataFrame, columns: DataFrame, few: bool | None = None) -> DataFrame:
     """Qualified columns that their table lacks. A qualifier is a table's full or short name or alias; one that is a
     common table expression, or that no found table has, is skipped; so is a column named like a select alias."""
+    few = is_small(columns) if few is None else few
     known = known_tables(columns)
     refs = facts.select("script_id", F.explode("table_refs").alias("r")).select("script_id", "r.name", "r.alias")
-    named = resolved(refs, "name", known).filter("status = 'FOUND'")
+    named = resolved(refs, "name", known, few).filter("status = 'FOUND'")
     keys = F.array_distinct(F.array_compact(F.array("name", last_segment("name"), "alias")))
     owners = named.select("script_id", F.explode(keys).alias("qualifier"), F.col("found").alias("owner")).distinct()
     used = facts.select("script_id", "select_aliases", "cte_names", F.explode("column_refs").alias("c"))
     used = used.filter(~F.array_contains("select_aliases", F.col("c.name")) & ~F.array_contains("cte_names", F.col("c.qualifier"))).select("script_id", "c.qualifier", "c.name")
     placed = used.join(owners, ["script_id", "qualifier"])
     have = columns.select(F.lower("table_name").alias("owner"), F.lower("name").alias("name")).distinct()
-    return raised(placed.join(small(have), ["owner", "name"], "left_anti").select("script_id", "qualifier", "name").distinct(), COLUMN_NOT_FOUND)
+    return raised(placed.join(hinted(have, few), ["owner", "name"], "left_anti").select("script_id", "qualifier", "name").distinct(), COLUMN_NOT_FOUND)
 
 
-def partition_issues(facts: DataFrame, columns: DataFrame | None) -> DataFrame:
+def partition_issues(facts: DataFrame, columns: DataFrame | None, few: bool | None = None) -> DataFrame:
     """Scripts with a single INSERT and no PARTITION clause: an issue if the catalog says that the target is
     partitioned; without a catalog a weaker one; a target it doesn't have is silent here."""
     rows = facts.filter(F.col("insert_target").isNotNull() & ~F.col("has_partition"))
     if columns is None:
         return raised(rows, PARTITION_UNKNOWN)
+    few = is_small(columns) if few is None else few
     parts = columns.groupBy(F.lower("table_name").alias("found")).agg(F.bool_or("is_partition").alias("partitioned"))
-    placed = resolved(rows.select("script_id", "insert_target"), "insert_target", known_tables(columns))
-    return raised(placed.join(small(parts), "found").filter("partitioned"), NO_PARTITION)
+    placed = resolved(rows.select("script_id", "insert_target"), "insert_target", known_tables(columns), few)
+    return raised(placed.join(hinted(parts, few), "found").filter("partitioned"), NO_PARTITION)
 
 
 def review(facts: DataFrame, columns: DataFrame | None, registry: Registry | None = None, categories: Iterable[str] | None = None, mode: str | None = None) -> DataFrame:
     """All issues of all scripts: (script_id, issue columns). A script that can't be used has one issue, of that. The
     catalog's checks don't heed the category filter."""
     registry = registry or default_registry()
+    few = columns is not None and is_small(columns)
     broken = unusable(F.coalesce("sql", F.lit("")))
     good = facts.filter(~broken)
-    found = raised(facts.filter(broken), PARSE_ERROR).unionByName(registry.issues(good, categories, mode)).unionByName(partition_issues(good, columns))
+    found = raised(facts.filter(broken), PARSE_ERROR).unionByName(registry.issues(good, categories, mode)).unionByName(partition_issues(good, columns, few))
     if columns is not None:
-        found = found.unionByName(table_issues(good, known_tables(columns))).unionByName(column_issues(good, columns))
+        found = found.unionByName(table_issues(good, known_tables(columns), few)).unionByName(column_issues(good, columns, few))
     return found
 
 

@@ -60,8 +60,8 @@ CATALOG = {
 def catalog(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(tables, columns) of CATALOG."""
     columns = [(t, *c.strip().rstrip("!").replace(";", ",").split(" ", 1), i + 1, c.endswith("!")) for t, cs in CATALOG.items() for i, c in enumerate(cs.split(", "))]
-    tables = spark.createDataFrame([(t, f"table {t}") for t in CATALOG], "full_name string, description string")
-    return tables, spark.createDataFrame(columns, "table_name string, name string, data_type string, ordinal_position int, is_partition boolean")
+    rows = lambda values, names: spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in values])))
+    return rows([(t, f"table {t}") for t in CATALOG], ("full_name", "description")), rows(columns, ("table_name", "name", "data_type", "ordinal_position", "is_partition"))
 
 
 SCRIPTS = (
