@@ -143,10 +143,10 @@ def resolve_tables(spark, sf):
     return catalog.resolve(refs, catalog.dictionary_tables(B.dictionary_rows(spark, sf)))
 
 
-@query(DICT + "SELECT column_name, table_name, t.layer, c.ordinal FROM dict_c c JOIN dict_t t USING (table_name) WHERE column_name IN (SELECT replace(p_name, ' ', '_') FROM part WHERE p_size % 2 = 0)")
+@query(DICT + "SELECT column_name, table_name, t.layer, c.ordinal FROM dict_c c JOIN dict_t t USING (table_name) WHERE column_name IN (SELECT replace(p_name, ' ', '_') FROM part)")
 def column_usages(spark, sf):
     rows = B.dictionary_rows(spark, sf)
-    names = B.table(spark, sf, "part").filter("p_size % 2 = 0").select(F.upper(F.regexp_replace("p_name", " ", "_")).alias("name"))
+    names = B.table(spark, sf, "part").select(F.upper(F.regexp_replace("p_name", " ", "_")).alias("name"))
     return catalog.usages(catalog.dictionary_columns(rows), catalog.dictionary_tables(rows), names)
 
 
