@@ -94,3 +94,10 @@ def test_near_copies_link(spark):
     changed = [*words[:2000], "changed", *words[2001:]]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed).upper()), (3, " ".join(other))], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_stages_of_an_empty_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.common.written(stage(spark, docs, small), name)
+        assert docs.count() == 0, name

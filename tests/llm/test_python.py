@@ -48,6 +48,8 @@ def test_token_files(spark, docs, tmp_path):
     assert [r["start"] for r in order] == np.cumsum([0, *[r["n_tokens"] for r in order]])[:-1].tolist()
     ids = [r["doc_id"] for r in order]
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    plan = token_files.read_tokens(spark, path).filter("doc_id = 3").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,3)" in plan and "struct<doc_id:bigint,n_tokens:bigint>" in plan
     # Selective reads: ids are delta coded, tokens dictionary coded, and pages are indexed.
     meta = pq.ParquetFile(next(tmp_path.glob("tokens/*.parquet"))).metadata.row_group(0)
     by = {meta.column(i).path_in_schema.split(".")[0]: meta.column(i) for i in range(meta.num_columns)}
