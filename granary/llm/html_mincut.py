@@ -47,14 +47,18 @@ class Block:
     parent: int
 
 
-def hinted(attrs: str) -> bool:
-    """Whether an element's attributes name a part beside the article, or hide it."""
+#: These name a part beside the article only outside of it; within it they hold its title.
+HEADS = {"header", "masthead", "topbar"}
+
+
+def hinted(attrs: str, inside: bool) -> bool:
+    """Whether the attributes of an element (inside an article or not) name a part beside the article, or hide it."""
     for name, *values in NAMED.findall(attrs):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if name in ("class", "id", "role") and HINTS & set(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id", "role") and (HINTS - HEADS if inside else HINTS) & set(re.split(r"[^a-z0-9]+", value)):
             return True
     return False
 
@@ -108,7 +112,7 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()  # such an element ends where the next block starts
                 made += 1
                 _, _, inside, beside, _ = stack[-1]
-                off = tag in _OUTER or (tag == "header" and not inside) or (bool(m["attrs"]) and hinted(m["attrs"]) and tag not in ("body", "html", "article", "main"))
+                off = tag in _OUTER or (tag == "header" and not inside) or (bool(m["attrs"]) and hinted(m["attrs"], inside) and tag not in ("body", "html", "article", "main"))
                 stack.append((tag, made, (inside or tag in ("article", "main")), beside or off, tag[0] == "h" and tag[1:].isdigit()))
     flush()
     return out

@@ -286,6 +286,8 @@ def test_main_text():
     for broken in ("<", "<p", "<article><p>A full sentence, left open.", "</p></div>x", "<!-- a", "<script>x", "<a href='" * 50):
         html_mincut.main_text(broken)
     assert html_mincut.main_text("<article><p>A full sentence, left open.") == "A full sentence, left open."
+    head = '<article><div class="article-header"><h1>Title</h1></div><p>A sentence of the article.</p></article>'
+    assert html_mincut.main_text(f'<div class="site-header"><p>Site name and motto.</p></div>{head}') == "Title\nA sentence of the article."
     words = "word " * 30000
     assert html_mincut.main_text(f"<article><p>{words}.</p></article>") == " ".join(f"{words}.".split())
 
