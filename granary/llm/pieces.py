@@ -52,7 +52,7 @@ class Pieces:
     unknown_score: float = 0.0
     longest: int = 0
     known: dict[str, bytes] = field(default_factory=dict)
-    most: int = 400_000
+    most: int = 250_000
 
     def __post_init__(self) -> None:
         keys, confirm = np.zeros(len(self.texts), "u8"), np.zeros(len(self.texts), "u8")
