@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 ROUNDS = 8
 
 
@@ -258,5 +260,6 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                     kinds.append(",".join(f"{k}:{n}" for k, n in sorted(found.items())))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], ["doc_id", "text", "n_replaced", "kinds"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, n_replaced long, kinds string")

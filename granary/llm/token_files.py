@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bounded_batches, new_path
 
 TOKENS = "file_no int, seq long, doc_id long, n_tokens long, tokens array<int>"
 #: Texts with none of these take the quick way below: their characters are their own NFC form and have no case exceptions.
@@ -127,6 +127,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
                 seq += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("file_no"), numbers, part.column("doc_id"), pa.array(counts), tokens], ["file_no", "seq", "doc_id", "n_tokens", "tokens"])
 
+    bounded_batches(docs.sparkSession)
     writer = dealt.mapInArrow(encode, TOKENS).write
     for key, value in {
         "compression": "zstd",
