@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import carried
 
 SPACE = "▁"
+#: Texts that are encoded together.
+ROWS = 500
 #: Multipliers of the two polynomial hashes (modulo 2 ** 64): the first finds a piece, the second confirms it.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -52,7 +54,7 @@ class Pieces:
     unknown_score: float = 0.0
     longest: int = 0
     known: dict[str, bytes] = field(default_factory=dict)
-    most: int = 250_000
+    most: int = 150_000
 
     def __post_init__(self) -> None:
         keys, confirm = np.zeros(len(self.texts), "u8"), np.zeros(len(self.texts), "u8")
@@ -174,7 +176,7 @@ class Pieces:
         for w in words:
             by.setdefault(len(w), []).append(w)
         for length, group in by.items():
-            step = max(1, 2_000_000 // length)
+            step = max(1, 200_000 // length)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), length)
@@ -226,8 +228,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
         pieces = Pieces.load(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.column("x0").slice(at, 1000)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.column("x0").slice(at, ROWS)
                 ids = pieces.encode([x or "" for x in part.to_pylist()])
                 counts = np.array([len(x) // 4 for x in ids], "i8")
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("i4")
@@ -246,8 +248,8 @@ def decode_pieces(encoded: DataFrame, model_path: str, tokens_col: str = "tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 column = part.column(tokens_col)
                 values = column.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
                 lists = [values[a:b] for a, b in zip(column.offsets[:-1].to_pylist(), column.offsets[1:].to_pylist(), strict=True)]
@@ -269,8 +271,8 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
         pieces = Pieces.load(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                texts = [x or "" for x in batch.column("x0").slice(at, 1000).to_pylist()]
+            for at in range(0, batch.num_rows, ROWS):
+                texts = [x or "" for x in batch.column("x0").slice(at, ROWS).to_pylist()]
                 raw = pieces.encode(texts)
                 lists = [np.frombuffer(x, "<i4") for x in raw]
                 back = pieces.decode(lists)
