@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import common, exact_dedup, langid, mixing, pieces, simhash
+from granary.llm import common, exact_dedup, langid, mixing, near_sets, pieces
 from granary.llm.queries import MIX, vocabulary
 
-#: SQL can't express suffix automata, SimHash or tokenizers.
+#: SQL can't express suffix automata, MinHash or tokenizers.
 ORACLE_SQL = None
 #: A text is rejected if it has no letter, or if it is long enough to tell and its two best languages fit it about
 #: equally well (so that it is neither): so many characters, and a score below this.
@@ -37,14 +37,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but the first document of each component of near-duplicates."""
-    marked = common.written(simhash.fingerprints(docs, carry=docs.columns), "marked")
-    fp = marked.columns[-1]
-    fps = marked.select("doc_id", F.col(fp).alias("fp"))
-    found = simhash.classes(fps)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("component_fp"))
-    gone = common.written(fps.join(found, "fp").filter(~stays).select("doc_id", "fp").distinct(), "gone")
-    return common.without(marked, gone, {"doc_id": "doc_id", fp: "fp"}).drop(fp)
+    """Drops all but the first document of each component of near-duplicates: five-word shingles, similarity 0.8 at least."""
+    h = common.fresh(docs, "h")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    gone = near_sets.repeated(hashed.select("doc_id", F.col(h).alias("h"), "text"))
+    return common.without(hashed, gone, {"doc_id": "doc_id", h: "h"}).drop(h)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,11 +266,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def classes(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
-    """(fp, component_id, component_fp) of rows (doc_id, fp), a row per distinct fp: the least doc_id of the component
-    and the least fingerprint that it has there."""
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labelled = written(components(distinct.select(F.col("fp").alias("node")), links(distinct.select("fp"), distance, block, choices)), "components")
+def labelled_classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, component_id, component_fp) of distinct rows (fp, first_id) and links (a, b) among their fp; see classes()."""
+    labelled = written(components(distinct.select(F.col("fp").alias("node")), linked), "components")
     member = distinct.join(labelled.select(F.col("node").alias("fp"), "label"), "fp")
     # Of the members the one with the least id; null ids come last.
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
@@ -278,6 +276,13 @@ def classes(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tupl
     return member.join(least, "label").select("fp", "component_id", "component_fp")
 
 
+def classes(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """(fp, component_id, component_fp) of rows (doc_id, fp), a row per distinct fp: the least doc_id of the component
+    and the least fingerprint that it has there."""
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    return labelled_classes(distinct, links(distinct.select("fp"), distance, block, choices))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
     """One row per row of docs: (doc_id, fingerprint, component_id).
 

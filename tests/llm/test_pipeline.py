@@ -2,11 +2,12 @@
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import langid, mixing, simhash
+from granary.llm import langid, mixing, near_sets, simhash
 from granary.llm.queries import MIX, queries
 from tests.llm.test_native import norm, poisson
 from tests.llm.test_python import brute, slow_fingerprint
@@ -101,3 +102,55 @@ def test_stages_of_an_empty_table(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.common.written(stage(spark, docs, small), name)
         assert docs.count() == 0, name
+
+
+def near_pair(n, at):
+    """Two texts of n words that differ in the words at the given places."""
+    words = [f"w{i * 7919 % 5003}" for i in range(n)]
+    return " ".join(words), " ".join("changed" if i in at else w for i, w in enumerate(words))
+
+
+def test_near_copies_by_similarity(spark):
+    """Copies of similarity 0.8 or more go, however many bits of a fingerprint they differ in; others stay."""
+    rows, want = [], set()
+    for k, n in enumerate((120, 250, 400, 900)):
+        for m, share in enumerate((0.016, 0.03)):  # similarity about 0.85, and about 0.74
+            a, b = near_pair(n, {5 + round(i / share) for i in range(max(1, int(n * share)))})
+            a, b = f"t{k} {m} " + a.replace("w", f"x{k}{m}"), f"t{k} {m} " + b.replace("w", f"x{k}{m}")
+            x, y = near_sets.shingles(a), near_sets.shingles(b)
+            shared = len(np.intersect1d(x, y))
+            near = shared / (len(x) + len(y) - shared) >= 0.8
+            assert near == (m == 0)
+            rows += [(10 * k + 2 * m, a), (10 * k + 2 * m + 1, b)]
+            want |= {10 * k + 2 * m} | (set() if near else {10 * k + 2 * m + 1})
+    # Some near pair is out of reach for 4 of 64 bits.
+    assert any(bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") > 4 for (_, a), (_, b) in zip(rows[::4], rows[1::4], strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
+
+
+def test_near_stage_is_whole(spark):
+    """The stage against all pairs of the larger table, and pairs of blocks against one block."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets = [frozenset(near_sets.shingles(t).tolist()) for _, t in rows]
+    having, parent = collections.defaultdict(list), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, s in enumerate(sets):
+        for y, n in collections.Counter(y for item in s for y in having[item]).items():
+            if 9 * n >= 4 * (len(s) + len(sets[y])):
+                a, b = sorted((root(x), root(y)))
+                parent[b] = a
+        for item in s:
+            having[item].append(x)
+    empty = [x for x, s in enumerate(sets) if not s]
+    want = {rows[x][0] for x in range(len(rows)) if root(x) == x and x not in empty[1:]}
+    for size in (near_sets.BLOCK_SETS, 2):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near_sets, "BLOCK_SETS", size)
+            assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
