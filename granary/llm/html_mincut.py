@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Names of HTML elements and of usual roles and classes of page parts.
-SKIPPED = "script style noscript template textarea svg math iframe object head select option button canvas"
+SKIPPED = "noscript template iframe object select option button canvas"
+#: What holds no markup, and ends with the page at the latest; what may close itself.
+RAW, FOREIGN = "script style textarea", "svg math"
+#: The elements that a head may hold: another one ends it, with or without an end tag.
+IN_HEAD = "base basefont bgsound link meta noscript script style template title"
 BLOCKS = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 OUTER = "nav footer aside form menu dialog".split()
@@ -28,9 +32,13 @@ HINTS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs footer sidebar widget cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended comments comment commentlist reply replies disqus login signup search form copyright legal toolbar masthead pagination complementary contentinfo alert dialog header topbar hidden".split()
 )
 
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_names = lambda words: "|".join(words.split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<skip>{'|'.join(SKIPPED.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"|<(?P<raw>{_names(RAW)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?:{_names(FOREIGN)})(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<skip>{_names(SKIPPED)}|{_names(FOREIGN)})(?=[\s/>]){_ATTRS}>.*?</(?P=skip)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -73,6 +81,7 @@ def blocks(page: str) -> list[Block]:
     made, anchors = 0, 0
     parts: list[str] = []
     linked = 0
+    in_head, in_title = False, False
 
     def flush() -> None:
         nonlocal linked
@@ -90,6 +99,9 @@ def blocks(page: str) -> list[Block]:
 
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
+            if in_head and (in_title or not text.strip()):
+                continue
+            in_head = False
             parts.append(text)
             if anchors:
                 linked += len(text.strip())
@@ -97,6 +109,14 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
+        if tag == "head":
+            flush()
+            in_head = not m["close"]
+        elif in_head and tag not in _IN_HEAD:
+            in_head = False
+        in_title = in_head and tag == "title" and not m["close"]
+        if in_head or tag == "head":
+            continue
         if tag == "a":
             anchors = max(0, anchors - 1) if m["close"] else anchors + (not m["attrs"].endswith("/"))
         elif tag == "br":
@@ -120,7 +140,7 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-_BLOCK, _VOID, _OUTER = frozenset(BLOCKS), frozenset(VOID), frozenset(OUTER)
+_BLOCK, _VOID, _OUTER, _IN_HEAD = frozenset(BLOCKS), frozenset(VOID), frozenset(OUTER), frozenset(IN_HEAD.split())
 
 
 def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

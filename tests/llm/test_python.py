@@ -319,3 +319,33 @@ def test_empty_tables(docs):
     assert simhash.near_duplicates(none).count() == 0
     assert pieces.round_trips(none, PIECES).count() == 0
     assert pii.pseudonymised(none, b"k").count() == 0
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><body>",
+        "<html><head><title>t</title>",
+        '<html><head><title>t</title></head><body><svg viewBox="0 0 1 1" />',
+        "<body><math/>",
+        "<body><svg><path d='x'/></svg>",
+        "<body><button-row></button-row>",
+        "<body><select-menu>",
+        "<body><select>",
+        "<body><iframe src=x>",
+        "<head><script>var a = '</p><p>';</script><style>p{}</style><body>",
+    ],
+)
+def test_html_unclosed_parts(before):
+    """Nothing before an article takes it away."""
+    assert html_mincut.main_text(f"{before}<article><p>A full sentence of the article.</p></article>") == "A full sentence of the article."
+
+
+def test_html_text_ends_the_head():
+    """Bare text is not of the head."""
+    assert [b.text for b in html_mincut.blocks("<head><title>t</title>A bare sentence.")] == ["A bare sentence."]
+
+
+def test_html_raw_text_ends_with_the_page():
+    for tag in ("script", "style", "textarea"):
+        assert html_mincut.main_text(f"<article><p>A full sentence.</p><{tag}><p>Another full sentence.</p></article>") == "A full sentence."
