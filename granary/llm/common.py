@@ -7,7 +7,9 @@ import uuid
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """From now on, Arrow batches of the session hold about size bytes at most, as Python tasks hold several copies of
-    a batch's texts. A limit that a site has set itself stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "67108864b") == "67108864b":  # Spark's default
-        spark.conf.set(key, str(size))
+def sized(batch: pa.RecordBatch, column: str, size: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many rows at most and of about size bytes in a text column, one row at least: Python
+    holds several copies of a slice's texts."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    ends = np.cumsum(lengths, dtype="i8")
+    at = 0
+    while at < batch.num_rows:
+        had = ends[at - 1] if at else 0
+        end = min(max(int(np.searchsorted(ends, had + size, side="right")), at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +82,20 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, n_right: int, how:
     return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, [key, salt], how).drop(salt)
 
 
+def counted_join(left: DataFrame, right: DataFrame, key: str, n_rows: str, hot: int = 10_000) -> DataFrame:
+    """Left join to a written table with a row per key, whose column n_rows has how many rows of left hold the key.
+
+    The table is broadcast when it has few rows. Else its keys of more than `hot` rows, which are few, are broadcast, and
+    the others joined by a shuffle."""
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, "left")
+    many = right.filter(F.col(n_rows) > hot)
+    if many.count() > BROADCAST_ROWS:
+        return left.join(right, key, "left")  # so many keys share the rows that none is hot
+    rest = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.filter(F.col(n_rows) <= hot), key, "left")
+    return left.join(F.broadcast(many), key).unionByName(rest)
+
+
 def unit(*parts: Column | str, digits: int = 13) -> Column:
     """A hash of the parts as a double in (0, 1): md5's first hex digits, so that other engines compute it too."""
     text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -89,7 +110,6 @@ def carried(docs: DataFrame, inputs: Sequence[Column], carry: Sequence[str], add
     named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], *[x.alias(f"x{i}") for i, x in enumerate(inputs)])
     schema = StructType([*StructType([named.schema[f"c{i}"] for i in range(len(carry))]), *StructType.fromDDL(added)])
     width, names = len(carry), schema.names
-    bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

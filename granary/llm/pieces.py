@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried
+from .common import carried, sized
 
 SPACE = "▁"
 #: Texts that are encoded together.
@@ -228,8 +228,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
         pieces = Pieces.load(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.column("x0").slice(at, ROWS)
+            for part in (s.column("x0") for s in sized(batch, "x0", rows=ROWS)):
                 ids = pieces.encode([x or "" for x in part.to_pylist()])
                 counts = np.array([len(x) // 4 for x in ids], "i8")
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("i4")
@@ -271,8 +270,8 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
         pieces = Pieces.load(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                texts = [x or "" for x in batch.column("x0").slice(at, ROWS).to_pylist()]
+            for part in sized(batch, "x0", rows=ROWS):
+                texts = [x or "" for x in part.column("x0").to_pylist()]
                 raw = pieces.encode(texts)
                 lists = [np.frombuffer(x, "<i4") for x in raw]
                 back = pieces.decode(lists)

@@ -7,9 +7,10 @@ on. A reader that wants some documents' tokens, or only the counts, skips the ot
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,89 +18,118 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path
+from .common import new_path, sized
 
 TOKENS = "file_no int, seq long, doc_id long, n_tokens long, tokens array<int>"
 #: Texts with none of these take the quick way below: their characters are their own NFC form and have no case exceptions.
 UNUSUAL = r"[^\t-\r\x20-\x7e\x{a1}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{ff}]|<\|"
 #: The vocabulary's word rule for those characters, in lower case.
-PIECES = re.compile("[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zªµºß-öø-ÿ0-9]+")
+PIECES = r"[a-z\x{aa}\x{b5}\x{ba}\x{df}-\x{f6}\x{f8}-\x{ff}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z\x{aa}\x{b5}\x{ba}\x{df}-\x{f6}\x{f8}-\x{ff}0-9]+"
+#: The normaliser and the word rule of a vocabulary file that UNUSUAL and PIECES stand for.
+QUICK_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+QUICK_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands for the end of a text. White space cuts it off, and no text on the quick way has it.
+END = "\x01"
+#: Bytes of text in one batch of the encoder: more repeat fewer words, and take more memory.
+BATCH = 3 << 20
+
+_encoders: dict[tuple[str, int, float, int], Encoder] = {}
 
 
 class Encoder:
-    """Encodes with the tokenizers library; what words and their parts give is kept, as they recur. At most `most`
-    of them are held. A process keeps its encoder from task to task."""
+    """Encodes with the tokenizers library; what the parts of words give is kept, as they recur: `most` of them, those
+    used last. Other vocabularies than the quick way's are encoded text by text."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        suffix = self.tokenizer.model.end_of_word_suffix
+        self.tokenizer, self.most, self.batch = Tokenizer.from_file(path), most, 0
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        normalizers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["pattern"].get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.quick = bool(suffix) and normalizers == QUICK_NORMALIZER and splits == [QUICK_WORDS]
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         for word, i in words.items():
             self.ends[i] = bool(suffix) and word.endswith(suffix)
+        self.parts, self.table, self.used = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, "i4")
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
-        import tokenizers
-
-        held = vars(tokenizers).setdefault("_held_encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, parts: list[str]) -> None:
-        """Keep the ids of parts, each one word to the library: encoded together, cut where a word ends."""
+        """This process's encoder of the file as it is now."""
+        seen = os.stat(path)
+        key = (path, seen.st_size, seen.st_mtime)
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = cls(path)
+        return _encoders[key]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+
+    def learned(self, parts: list[str]) -> pa.ListArray:
+        """The ids of parts, each one word to the library: encoded together, cut where a word ends."""
+        found, counts = [], []
         for at in range(0, len(parts), 500):
             some = parts[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            ids = self.ids(" ".join(some))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                raw = ids.tobytes()
-                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+                found.append(ids)
+                counts.append(np.diff(cuts, prepend=0))
             else:
-                self.known.update((p, self.whole(p)) for p in some)
-
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end_id after each one's, and how many each text has.
-
-        Words are split and numbered by Arrow, so that Python sees each distinct word once; their ids are then gathered."""
-        odd = pc.match_substring_regex(texts, UNUSUAL)
-        plain = pc.if_else(odd, "", texts)
-        lists = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+                each = [self.ids(p) for p in some]
+                found += each
+                counts.append(np.array([len(x) for x in each]))
+        return pa.ListArray.from_arrays(pa.array(_offsets(np.concatenate(counts))), pa.array(np.concatenate(found)))
+
+    def of_parts(self, parts: pa.Array) -> pa.ListArray:
+        """The ids of distinct parts."""
+        self.batch += 1
+        at = pc.index_in(parts, self.parts)
+        new = parts.filter(at.is_null())
+        if len(self.parts) + len(new) > self.most:
+            held = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2] if len(new) < self.most // 2 else np.zeros(len(self.used), bool)
+            held[at.drop_null().to_numpy()] = True
+            held = pa.array(held)
+            self.parts, self.table, self.used = self.parts.filter(held), self.table.filter(held), self.used[held]
+            at = pc.index_in(parts, self.parts)
+        if len(new):
+            at = pc.if_else(at.is_null(), pa.array(np.cumsum(at.is_null().to_numpy(zero_copy_only=False), dtype="i4") + np.int32(len(self.parts) - 1)), at)
+            self.parts = pa.concat_arrays([self.parts, new])
+            self.table = pa.concat_arrays([self.table, self.learned(new.to_pylist())])
+            self.used = np.concatenate([self.used, np.zeros(len(new), "i4")])
+        self.used[at.to_numpy()] = self.batch
+        return self.table.take(at)
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and end_id, as 32-bit integers.
+
+        Arrow splits and numbers words, then the distinct words' parts, and gathers their ids, so that Python sees each
+        new part once. A text that can't be split this way is one word, named by its place."""
+        odd = pc.match_substring_regex(texts, UNUSUAL) if self.quick else pa.repeat(pa.scalar(True), len(texts))
+        apart = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        lists = pc.ascii_split_whitespace(pc.binary_join_element_wise(pc.utf8_lower(pc.if_else(odd, "", texts)), END, " "))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + 2 * len(new) > self.most:
-            self.known, new = {}, distinct
-        split = {w: PIECES.findall(w) for w in new}
-        self.learn(list(dict.fromkeys(p for ps in split.values() for p in ps if p not in self.known)))
-        self.known.update((w, b"".join([self.known[p] for p in ps])) for w, ps in split.items() if len(ps) != 1)
-        raw = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, raw), "i8", len(raw)) // 4
-        table, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        per_word = sizes[codes]
-        word_ends = np.concatenate([[0], np.cumsum(per_word)])
-        counts = np.diff(word_ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
-        others = {i: np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4") for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-        full = counts + 1
-        for i, ids in others.items():
-            full[i] += len(ids)
-        ends = np.cumsum(full)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
-        n = int(word_ends[-1])
-        ids = table[np.repeat(starts[codes] - word_ends[:-1], per_word) + np.arange(n)] if n else np.zeros(0, "<u4")
-        out[np.repeat(ends - full - (np.cumsum(counts) - counts), counts) + np.arange(n)] = ids
-        for i, ids in others.items():
-            out[ends[i] - full[i] : ends[i] - 1] = ids
-        out[ends - 1] = end_id
-        return out, full
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(pc.replace_substring_regex(coded.dictionary, f"({PIECES})", r"\1 ")))
+        parts = split.flatten().dictionary_encode()
+        each = self.of_parts(parts.dictionary).take(parts.indices)
+        words = pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[split.offsets.to_numpy()]), each.values)
+        # The ends of texts: end_id, after the ids of a text that stands apart.
+        ends = [np.array([end_id], "<i4"), *(np.append(self.ids(texts[i].as_py()), np.int32(end_id)) for i in apart.tolist())]
+        first = len(words)
+        table = pa.concat_arrays([words, pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in ends])), pa.array(np.concatenate(ends)))])
+        codes = coded.indices.to_numpy().copy()
+        codes[offsets[1:] - 1] = first
+        codes[offsets[apart + 1] - 1] = first + 1 + np.arange(len(apart))
+        found = table.take(pa.array(codes))
+        return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[offsets]), found.values)
+
+
+def _offsets(counts: Sequence[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype("i4")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 32, page_kb: int = 64) -> None:
@@ -113,21 +143,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
     dealt = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, seq = Encoder.of_process(vocabulary), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids, counts = encoder.encode(part.column("text"), end_id)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype("i4")
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
+            for part in sized(batch, "text", BATCH):
+                tokens = encoder.encode(part.column("text"), end_id)
                 numbers = pa.array(np.arange(seq, seq + part.num_rows))
                 seq += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("file_no"), numbers, part.column("doc_id"), pa.array(counts), tokens], ["file_no", "seq", "doc_id", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("file_no"), numbers, part.column("doc_id"), pc.list_value_length(tokens).cast("i8"), tokens], ["file_no", "seq", "doc_id", "n_tokens", "tokens"])
 
-    bounded_batches(docs.sparkSession)
     writer = dealt.mapInArrow(encode, TOKENS).write
     for key, value in {
         "compression": "zstd",
