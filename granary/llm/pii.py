@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import sized
 
 ROUNDS = 8
 
@@ -83,138 +84,185 @@ def luhn(digits: Sequence[int]) -> int:
 
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: How a card number may begin (from and to, in the digits given), by its number of digits.
+ISSUERS = {
+    13: [("4", "4")],
+    14: [("300", "305"), ("36", "36"), ("38", "39")],
+    15: [("34", "34"), ("37", "37")],
+    16: [("2221", "2720"), ("3528", "3589"), ("4", "4"), ("51", "55"), ("6011", "6011"), ("62", "62"), ("644", "659")],
+    17: [("62", "62")],
+    18: [("62", "62")],
+    19: [("4", "4"), ("62", "62"), ("6011", "6011"), ("644", "659")],
+}
+AREAS = [x for x in range(1, 900) if x != 666]
+#: What the pattern of card numbers takes though it may be a phone number.
+PHONE = re.compile(r"(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-][0-9]{2,4}){2,4}")
 
 
 class Pseudonyms:
-    """Replaces the values that it finds in a text. Types: email, phone, card, ssn, iban, ip, date, secret."""
+    """Replaces the values that it finds in a text. Types: email, phone, card, ssn, iban, ip, date, secret.
+
+    Each type has a method that names a valid value's format (None for a value that fails the type's test) and one that
+    permutes the values of some larger set; the permutation is applied until the format is the value's own again. Hence
+    each format is permuted by itself, and a pseudonym is found and inverted as what it stands for."""
 
     def __init__(self, key: bytes, inverse: bool = False) -> None:
         self.feistel, self.inverse = Feistel(key), inverse
-        self.rules: list[tuple[str, Callable[[re.Match[str]], str | None]]] = []
         patterns = {
             "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
             "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*)(?P<quote>[\"']?)[A-Za-z0-9_\-+/]{8,}(?P=quote)",
-            "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-            "date": r"(?<![\w.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w\-/]|\.\d)",
-            "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-            "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-            "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
-            "phone": r"(?<![\w.+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
+            "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+            "date": r"(?<![\w.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w\-/]|\.[0-9])",
+            "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+            "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+            "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+            "phone": r"(?<![\w.+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w|\.[0-9])|(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
         }
         self.kinds = list(patterns)
         self.find = re.compile("|".join(f"(?P<{k}>{p})" for k, p in patterns.items()))
         self.hint = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|api.?key)")
 
-    def _chars(self, kind: str, text: str, keep: int = 0, bases: dict[int, str] | None = None) -> str:
-        """Permute the ASCII letters and digits from position keep on, each within its class (or a smaller one that
-        bases has for it by its number among them); all else stays."""
+    def _permute(self, digits: Sequence[int], bases: Sequence[int], tweak: str) -> list[int]:
+        value, n = mixed(digits, bases)
+        return unmixed(self.feistel.permute(value, n, tweak.encode(), self.inverse), bases)
+
+    def _chars(self, kind: str, text: str, keep: int = 0) -> str:
+        """Permute the ASCII letters and digits from position keep on, each within its class; all else stays."""
         spots = [(i, next((c for c in CLASSES if text[i] in c), "")) for i in range(keep, len(text))]
         spots = [(i, c) for i, c in spots if c]
-        spots = [(i, (bases or {}).get(j, c)) for j, (i, c) in enumerate(spots)]
-        spots = [(i, c if text[i] in c else CLASSES[0]) for i, c in spots]
         if not spots:
             return text
         sizes = [len(c) for _, c in spots]
-        value, n = mixed([c.index(text[i]) for i, c in spots], sizes)
-        shape = f"{kind}:{text[:keep]}:{','.join(map(str, sizes))}".encode()
         out = list(text)
-        for (i, c), d in zip(spots, unmixed(self.feistel.permute(value, n, shape, self.inverse), sizes), strict=True):
+        for (i, c), d in zip(spots, self._permute([c.index(text[i]) for i, c in spots], sizes, f"{kind}:{text[:keep]}:{','.join(map(str, sizes))}"), strict=True):
             out[i] = c[d]
         return "".join(out)
 
-    def email(self, text: str) -> str:
+    def email_format(self, text: str) -> str:
+        return ""
+
+    def email(self, text: str, form: object = None) -> str:
         local, _, domain = text.partition("@")
         return f"{self._chars('email', local)}@{domain}"
 
-    def secret(self, text: str) -> str:
+    def secret_format(self, text: str) -> str:
+        return ""
+
+    def secret(self, text: str, form: object = None) -> str:
         if text.startswith("AKIA"):
             # Letters and digits may change places: one alphabet.
             alphabet = CLASSES[2] + CLASSES[0]
-            value, n = mixed([alphabet.index(c) for c in text[4:]], [36] * 16)
-            return "AKIA" + "".join(alphabet[d] for d in unmixed(self.feistel.permute(value, n, b"secret:AKIA", self.inverse), [36] * 16))
+            return "AKIA" + "".join(alphabet[d] for d in self._permute([alphabet.index(c) for c in text[4:]], [36] * 16, "secret:AKIA"))
         head = re.match(r"[^=:]*[=:]\s*[\"']?", text)
         start = head.end() if head else 0
         return text[:start] + self._chars("secret", text[start:])
 
-    def phone(self, text: str) -> str | None:
-        digits = [c for c in text if c.isdigit()]
+    def _country(self, text: str) -> int:
+        """How much of a phone number is its country's code, which stays."""
+        country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
+        return country.end() if country else 0
+
+    def phone_format(self, text: str) -> bool | None:
+        """Whether it is a valid North American number: area and exchange don't start with 0 or 1."""
+        digits, keep = [c for c in text if c.isdigit()], self._country(text)
         if not 9 <= len(digits) <= 15:
             return None
-        country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        keep = country.end() if country else 0
-        american = len(digits) - sum(c.isdigit() for c in text[:keep]) == 10 and text[:keep] in ("", "+1")
-        return self._chars("phone", text, keep, {0: "23456789", 3: "23456789"} if american else None)
+        local = [c for c in text[keep:] if c.isdigit()]
+        return len(local) == 10 and text[:keep] in ("", "+1") and local[0] > "1" and local[3] > "1"
+
+    def phone(self, text: str, form: object = None) -> str:
+        return self._chars("phone", text, self._country(text))
 
-    def ssn(self, text: str) -> str | None:
+    def ssn_format(self, text: str) -> str | None:
         a, b, c = map(int, text.split("-"))
-        if a in (0, 666) or a > 899 or not b or not c:
-            return None
-        areas = [x for x in range(1, 900) if x != 666]
-        sizes = [len(areas), 99, 9999]
-        value, n = mixed([areas.index(a), b - 1, c - 1], sizes)
-        x, y, z = unmixed(self.feistel.permute(value, n, b"ssn", self.inverse), sizes)
-        return f"{areas[x]:03}-{y + 1:02}-{z + 1:04}"
+        return None if a in (0, 666) or a > 899 or not b or not c else ""
+
+    def ssn(self, text: str, form: object = None) -> str:
+        a, b, c = map(int, text.split("-"))
+        x, y, z = self._permute([AREAS.index(a), b - 1, c - 1], [len(AREAS), 99, 9999], "ssn")
+        return f"{AREAS[x]:03}-{y + 1:02}-{z + 1:04}"
 
-    def card(self, text: str) -> str | None:
+    def card_format(self, text: str) -> str | None:
+        digits = "".join(c for c in text if c.isdigit())
+        begins = [(a, b) for a, b in ISSUERS.get(len(digits), []) if a <= digits[: len(a)] <= b]
+        right = begins and luhn([int(c) for c in digits[:-1]]) == int(digits[-1]) and len(set(digits)) > 1
+        return f"{begins[0][0]}:{len(os.path.commonprefix(begins[0]))}" if right else None
+
+    def card(self, text: str, form: str) -> str:
+        """Keeps the digits that all numbers of the issuer share and sets the check digit."""
         digits = [int(c) for c in text if c.isdigit()]
-        if luhn(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
-            return None
-        # The first digit stays, the last is the check digit of the result.
-        sizes = [10] * (len(digits) - 2)
-        value, n = mixed(digits[1:-1], sizes)
-        new = [digits[0], *unmixed(self.feistel.permute(value, n, b"card:%d" % digits[0], self.inverse), sizes)]
+        kept = int(form.split(":")[1])
+        new = [*digits[:kept], *self._permute(digits[kept:-1], [10] * (len(digits) - kept - 1), f"card:{digits[:kept]}")]
         new.append(luhn(new))
         left = iter(new)
         return "".join(str(next(left)) if c.isdigit() else c for c in text)
 
-    def iban(self, text: str) -> str | None:
+    def _iban_check(self, country: str, body: str) -> int:
+        return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+    def iban_format(self, text: str) -> str | None:
+        plain = text.replace(" ", "")
+        return "" if 15 <= len(plain) <= 34 and self._iban_check(plain[:2], plain[4:]) == int(plain[2:4]) else None
+
+    def iban(self, text: str, form: object = None) -> str:
         plain = text.replace(" ", "")
-        number = lambda s: int("".join(str(int(c, 36)) for c in s))
-        if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
-            return None
         body = self._chars("iban" + plain[:2], plain[4:])
-        check = 98 - number(body + plain[:2] + "00") % 97
-        left = iter(f"{plain[:2]}{check:02}{body}")
+        left = iter(f"{plain[:2]}{self._iban_check(plain[:2], body):02}{body}")
         return "".join(c if c == " " else next(left) for c in text)
 
-    def ip(self, text: str) -> str | None:
+    def ip_format(self, text: str) -> str | None:
+        return None if any(int(p) > 255 or p != str(int(p)) for p in text.split(".")) else ""
+
+    def ip(self, text: str, form: object = None) -> str:
+        """Each number keeps its count of digits."""
         parts = text.split(".")
-        if any(int(p) > 255 or p != str(int(p)) for p in parts):
+        first, sizes = [{1: 0, 2: 10, 3: 100}[len(p)] for p in parts], [{1: 10, 2: 90, 3: 156}[len(p)] for p in parts]
+        new = self._permute([int(p) - f for p, f in zip(parts, first, strict=True)], sizes, f"ip:{sizes}")
+        return ".".join(str(d + f) for d, f in zip(new, first, strict=True))
+
+    def _dated(self, text: str, order: str) -> dt.date | None:
+        named = dict(zip(order, map(int, re.split("[^0-9]", text)), strict=True))
+        try:
+            return dt.date(named["y"], named["m"], named["d"])
+        except ValueError:
             return None
-        value, n = mixed(list(map(int, parts)), [256] * 4)
-        return ".".join(map(str, unmixed(self.feistel.permute(value, n, b"ip", self.inverse), [256] * 4)))
-
-    def date(self, text: str) -> str | None:
-        """A real date becomes another one of its century (years 1901 to 2000, say); the order of day and month in
-        d/m/y is taken as day first, or month first where only that is a date. The result reads in the same order."""
-        sep = next(c for c in text if not c.isdigit())
-        parts = text.split(sep)
-        orders = ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"] if sep == "/" else ["dmy"]
-        for order in orders:
-            named = dict(zip(order, map(int, parts), strict=True))
-            try:
-                day = dt.date(named["y"], named["m"], named["d"])
-            except ValueError:
-                continue
-            first = dt.date((day.year - 1) // 100 * 100 + 1, 1, 1)
-            last = dt.date(min(first.year + 99, 9999), 12, 31)
-            days = [(last - first).days + 1]
-
-            def fits(d: dt.date, order: str = order) -> bool:
-                # What is written month first must not read as a date day first, or it could not be inverted.
-                return order != "mdy" or d.day > 12
-
-            tweak = f"date:{order}:{first.year}".encode()
-            offset = (day - first).days
-            while True:
-                offset = self.feistel.permute(offset, days[0], tweak, self.inverse)
-                new = first + dt.timedelta(offset)
-                if fits(new):
-                    break
-            values = {"y": f"{new.year:04}", "m": f"{new.month:02}", "d": f"{new.day:02}"}
-            return sep.join(values[k] for k in order)
+
+    def date_format(self, text: str) -> tuple[str, int, list[int], list[bool] | None] | None:
+        """Order, century, and the digits of day and month; where one stands without a leading zero, also which have
+        one. d/m/y is read day first, or month first where only that is a date."""
+        parts = re.split("[^0-9]", text)
+        for order in ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"] if "/" in text else ["dmy"]:
+            if day := self._dated(text, order):
+                widths = [len(p) for p in parts]
+                return order, (day.year - 1) // 100, widths, [p[0] == "0" for p in parts] if 1 in widths else None
         return None
 
+    def date(self, text: str, form: tuple[str, int, list[int], object]) -> str:
+        """A real date becomes another one of its century (the years 1901 to 2000, say), written in the same order."""
+        order, century, widths, _ = form
+        first = dt.date(century * 100 + 1, 1, 1)
+        last = dt.date(min(first.year + 99, 9999), 12, 31)
+        new = first + dt.timedelta(self._permute([(self._dated(text, order) - first).days], [(last - first).days + 1], f"date:{order}:{first.year}")[0])
+        values = {"y": new.year, "m": new.month, "d": new.day}
+        return next(c for c in text if not c.isdigit()).join(f"{values[k]:0{w}}" for k, w in zip(order, widths, strict=True))
+
+    def read(self, kind: str, text: str) -> tuple[str, object] | None:
+        """The type and the format of what the pattern of a type has found."""
+        found = getattr(self, f"{kind}_format")(text)
+        if found is None and kind == "card" and PHONE.fullmatch(text):
+            kind, found = "phone", self.phone_format(text)
+        return None if found is None else (kind, found)
+
+    def pseudonym(self, kind: str, text: str) -> tuple[str, str] | None:
+        """The type of a found value and what replaces it; None for one that fails the test."""
+        found = self.read(kind, text)
+        if found is None:
+            return None
+        while True:
+            text = getattr(self, found[0])(text, found[1])
+            if self.read(kind, text) == found:
+                return found[0], text
+
     def apply(self, text: str) -> tuple[str, Counter[str]]:
         """The text with pseudonyms, and how many values of each type were replaced."""
         found: Counter[str] = Counter()
@@ -222,36 +270,28 @@ class Pseudonyms:
             return text, found
 
         def swap(m: re.Match[str]) -> str:
-            kind = next(k for k in self.kinds if m[k] is not None)
-            new = getattr(self, kind)(m[kind])
-            if new is None and kind != "phone":  # such digits may still be a phone number
-                if (again := phone.fullmatch(m[0])) and (new := self.phone(again[0])) is not None:
-                    kind = "phone"
+            new = self.pseudonym(next(k for k in self.kinds if m[k] is not None), m[0])
             if new is None:
                 return m[0]
-            found[kind] += 1
-            return new
+            found[new[0]] += 1
+            return new[1]
 
-        phone = _PHONE
         return self.find.sub(swap, text), found
 
 
-_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,4}){2,4}")
-
-
 def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """One row per row of docs: (doc_id, text, n_replaced, kinds), text with pseudonyms.
 
     kinds lists the types with their counts, sorted, as `card:1,email:2`. A null text stays null, with none replaced;
-    null ids are kept; repeated rows give equal rows; an empty table gives an empty result. What fails its type's test
-    (a wrong check digit, no calendar day) is left as it is. With inverse, pseudonyms turn back into the values.
+    null ids are kept; repeated rows give equal rows; an empty table gives an empty result; whole texts are read, however
+    long; other columns aren't read, whatever their names. What fails its type's test (a wrong check digit, no issuer, no
+    calendar day) is left as it is. With inverse, pseudonyms turn back into the values.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Pseudonyms(key, inverse)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in sized(batch, "text", rows=1000):
                 texts, counts, kinds = [], [], []
                 for x in part.column("text").to_pylist():
                     new, found = worker.apply(x) if x is not None else (None, Counter())
@@ -260,6 +300,5 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                     kinds.append(",".join(f"{k}:{n}" for k, n in sorted(found.items())))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], ["doc_id", "text", "n_replaced", "kinds"])
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, n_replaced long, kinds string")
