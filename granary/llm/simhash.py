@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, written
+from .common import BROADCAST_ROWS, carried, counted_join, lookup_join, sized, written
 
 BITS = 64
 #: Rows of one block; two blocks meet in a task.
@@ -51,20 +51,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
         for batch in batches:
-            yield batch.num_rows, [pa.array(np.array([fingerprint(x.as_py(), width) for x in batch.column("x0")], "u8").view("i8"))]
+            for part in sized(batch, "x0"):
+                yield part.num_rows, [pa.array(np.array([fingerprint(x.as_py(), width) for x in part.column("x0")], "u8").view("i8"))]
 
     if carry is None:
         docs, carry, text_col = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text"
     return carried(docs, [F.col(text_col)], carry, "fp long", run)
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Over all fingerprints: their number, how often each bit is set, how often each two are. 64 rows come back."""
+def bit_statistics(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray, np.ndarray]:
+    """Over all fingerprints: their number, how often each bit is set, how often each two are. 64 * 64 rows come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS))
         for batch in batches:
-            values = batch.column("fp").to_numpy(zero_copy_only=False).astype(">i8")
+            values = batch.column(column).to_numpy(zero_copy_only=False).astype(">i8")
             for at in range(0, len(values), 50_000):
                 bits = np.unpackbits(values[at : at + 50_000].view("u1").reshape(-1, 8), axis=1).astype("f4")
                 both += bits.T @ bits
@@ -72,7 +73,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         columns = [pa.array(np.repeat(np.arange(BITS), BITS)), pa.array(np.tile(np.arange(BITS), BITS)), pa.array(both.ravel()), pa.array(np.where(np.arange(BITS * BITS) == 0, n, 0))]
         yield pa.RecordBatch.from_arrays(columns, ["a", "b", "both", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "a long, b long, both double, n long").groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).toPandas()
+    rows = fps.select(column).mapInArrow(run, "a long, b long, both double, n long").groupBy("a", "b").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).toPandas()
     both = np.zeros((BITS, BITS))
     both[rows["a"], rows["b"]] = rows["both"]
     return int(rows["n"].sum()), both.diagonal().copy(), both
@@ -103,9 +104,9 @@ def packed(column: str, bits: list[int], without: int | None = None) -> F.Column
     return F.col(column).bitwiseAND(F.lit(mask - (1 << BITS) if mask >> 63 else mask))
 
 
-def equal_pairs(fps: DataFrame, groupings: dict[int, list[list[int]]]) -> dict[tuple[int, int], float]:
+def equal_pairs(fps: DataFrame, groupings: dict[int, list[list[int]]], column: str = "fp") -> dict[tuple[int, int], float]:
     """For each group of each grouping: pairs of fingerprints that agree on it, counted over all of them."""
-    keys = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), packed("fp", bits).alias("key")) for m, groups in groupings.items() for i, bits in enumerate(groups)]
+    keys = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), packed(column, bits).alias("key")) for m, groups in groupings.items() for i, bits in enumerate(groups)]
     counts = fps.select(F.explode(F.array(*keys)).alias("x")).groupBy("x.m", "x.i", "x.key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = counts.groupBy("m", "i").agg(F.sum(F.col("n") * (F.col("n") - 1.0) / 2).alias("pairs")).collect()  # a row per group
     return {(r["m"], r["i"]): r["pairs"] for r in rows}
@@ -149,85 +150,99 @@ def plan(fps: DataFrame, distance: int, choices: tuple[int, ...] = (2, 3, 4, 5))
     return list(zip(groupings[m], picked, strict=True))
 
 
-def keys_of(fps: DataFrame, planned: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, fp): two fingerprints within the distance share a row's (part, key).
+def keys_of(fps: DataFrame, planned: list[tuple[str, list[int], int]], carry: Sequence[str]) -> DataFrame:
+    """(part, key) and the carried columns: two fingerprints that differ in at most t bits of a planned (word, bits, t)
+    share a row's (part, key).
 
     A group of threshold t gives a key for each choice of t of its bits that it leaves out; part names group and choice.
     """
     from itertools import combinations
 
     structs, part = [], 0
-    for bits, t in planned:
+    for word, bits, t in planned:
         for left_out in combinations(bits, t) if t >= 0 else ():
-            structs.append(F.struct(F.lit(part).alias("part"), packed("fp", [b for b in bits if b not in left_out]).alias("key")))
+            structs.append(F.struct(F.lit(part).alias("part"), packed(word, [b for b in bits if b not in left_out]).alias("key")))
             part += 1
-    return fps.select("fp", F.explode(F.array(*structs)).alias("x")).select("x.part", "x.key", "fp")
+    return fps.select(*carry, F.explode(F.array(*structs)).alias("x")).select("x.part", "x.key", *carry)
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (as indexes) of a block with itself (right is left) or between two blocks of distinct values."""
-    n = len(left) + (0 if right is left else len(right))
-    parent = list(range(n))
+def spanning(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of pairs of indexes those that connect names that weren't connected yet."""
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
         return x
 
-    found: list[tuple[int, int]] = []
-    shift = 0 if right is left else len(left)
-    for i in range(len(left)):
-        start = i + 1 if right is left else 0
-        near = np.flatnonzero(np.bitwise_count(right[start:] ^ left[i]) <= distance) + start
-        for j in near.tolist():
-            a, b = root(i), root(j + shift)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                found.append((i, j))
-    pairs = np.array(found, "i8").reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def links(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
-    """(a, b): links among distinct fingerprints that connect all those within the distance of each other."""
-    keyed = keys_of(fps, plan(fps, distance, choices))
-    sized = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keyed.join(sized, ["part", "key"])
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), n_blocks).cast("int")
+    found = []
+    for left, right in pairs:
+        for a, b in zip(names[left].tolist(), names[right].tolist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((a, b))
+    return found
+
+
+def near_pairs(words: list[np.ndarray], cuts: np.ndarray, within: np.ndarray, side: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows within the distance, group by group (from cuts[k] to cuts[k + 1]). A group that isn't `within`
+    is two blocks, and only pairs across the sides are taken."""
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    few = np.diff(cuts) <= 64
+
+    def far(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(w[a] ^ w[b]).astype("i4") for w in words)
+
+    at = np.flatnonzero(few[group] & within[group])
+    for lag in range(1, 64):  # rows of small groups against the row so many places on
+        at = at[at + lag < len(group)]
+        at = at[group[at + lag] == group[at]]
+        if not len(at):
+            break
+        near = at[far(at, at + lag) <= distance]
+        yield near, near + lag
+    for k in np.flatnonzero(~(few & within)).tolist():
+        rows = np.arange(cuts[k], cuts[k + 1])
+        if within[k]:
+            for i in range(len(rows) - 1):
+                near = rows[i + 1 :][far(rows[i], rows[i + 1 :]) <= distance]
+                yield np.full(len(near), rows[i]), near
+        else:
+            left, right = rows[~side[rows]], rows[side[rows]]
+            for i in left.tolist():
+                near = right[far(i, right) <= distance]
+                yield np.full(len(near), i), near
+
+
+def met(keyed: DataFrame, name: str, words: Sequence[str], distance: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect all names that share a (part, key) and whose words differ in at most distance bits.
+
+    A key that more than block rows share is dealt to tasks in pairs of blocks; such keys are counted first, combined
+    before the shuffle. Links of a task connect, they aren't all its pairs."""
+    hot = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot")
+    few = hot.count() <= BROADCAST_ROWS  # rows / block at most
+    cut = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
+    own = F.pmod(F.xxhash64(name), cut).cast("int")
     # Block i meets every block j: the pair's lower number first. Most keys have one block, hence the pair (0, 0).
-    met = shared.select("part", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-    met = met.select("part", "key", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sized_keys = keyed.join(F.broadcast(hot) if few else hot, ["part", "key"], "left")
+    named = list(dict.fromkeys([name, *words]))
+    dealt = sized_keys.select("part", "key", *named, own.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
+    dealt = dealt.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *named)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition's rows come sorted by group; a group may span batches, and is verified once it is whole.
         held: list[pd.DataFrame] = []
 
         def solve(frame: pd.DataFrame) -> pd.DataFrame:
-            fp = frame["fp"].to_numpy("i8").view("u8")
             group = frame[["part", "key", "i", "j"]].to_numpy("i8")
-            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(fp)]])
-            own, i, j = frame["own"].to_numpy(), group[:, 2], group[:, 3]
-            a, b = [], []
-            two = cuts[:-1][np.diff(cuts) == 2]  # groups of two rows at once
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-            a.append(fp[near])
-            b.append(fp[near + 1])
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if end - start < 3:
-                    continue
-                part = fp[start:end]
-                if i[start] == j[start]:
-                    x, y = near_pairs(part, part, distance)
-                    a.append(part[x])
-                    b.append(part[y])
-                else:
-                    low = own[start:end] == i[start]
-                    x, y = near_pairs(part[low], part[~low], distance)
-                    a.append(part[low][x])
-                    b.append(part[~low][y])
-            return pd.DataFrame({"a": np.concatenate(a).view("i8"), "b": np.concatenate(b).view("i8")})
+            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(frame)]])
+            first = cuts[:-1]
+            side = frame["own"].to_numpy() == group[:, 3]
+            values = [frame[w].to_numpy("i8").view("u8") for w in words]
+            found = spanning(frame[name].to_numpy("i8"), near_pairs(values, cuts, group[first, 2] == group[first, 3], side, distance))
+            return pd.DataFrame(np.array(found, "i8").reshape(-1, 2), columns=["a", "b"])
 
         for frame in batches:
             held.append(frame)
@@ -243,44 +258,54 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[
         if held and sum(map(len, held)):
             yield solve(pd.concat(held, ignore_index=True))
 
-    dealt = met.repartition(F.col("part"), F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("part", "key", "i", "j")
+    dealt = dealt.repartition(F.col("part"), F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("part", "key", "i", "j")
     return dealt.mapInPandas(verify, "a long, b long").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable. nodes: (node); edges: (a, b), in any direction, both ends in nodes.
+def links(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """(a, b): links among distinct fingerprints that connect all those within the distance of each other."""
+    planned = [("fp", bits, t) for bits, t in plan(fps, distance, choices)]
+    return met(keys_of(fps, planned, ["fp"]), "fp", ["fp"], distance, block)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node with an edge (a, b), in any direction: the least node reachable.
 
     Rounds of minimum over neighbours and of pointer jumping, each written to the shared folder, until none changes;
-    the number of rounds is about the logarithm of the longest chain. Only counts come to the driver.
+    the number of rounds is about the logarithm of the longest chain. Only counts come to the driver. A node of many
+    edges, or a label of many nodes, is no hot key: labels are broadcast while they are few, else joined by salted keys.
     """
     both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "labels")
+    n = labels.count()
     while True:
-        reach = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
+        reach = lookup_join(both, labels.select(F.col("node").alias("to"), "label"), "to", n, "inner", 16).groupBy("node").agg(F.min("label").alias("near"))
         hooked = labels.join(reach, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = written(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("was")).alias("changed")), "labels")
+        jumped = lookup_join(hooked, jump, "label", n, "inner", 16)
+        new = written(jumped.select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("was")).alias("changed")), "labels")
         labels = new.select("node", "label")
         if new.filter("changed").isEmpty():
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+            return labels
 
 
 def labelled_classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:
     """(fp, component_id, component_fp) of distinct rows (fp, first_id) and links (a, b) among their fp; see classes()."""
-    labelled = written(components(distinct.select(F.col("fp").alias("node")), linked), "components")
-    member = distinct.join(labelled.select(F.col("node").alias("fp"), "label"), "fp")
+    labelled = written(components(linked).select(F.col("node").alias("fp"), "label"), "components")
+    member = written(distinct.join(labelled, "fp", "left"), "member")
     # Of the members the one with the least id; null ids come last.
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
-    least = member.groupBy("label").agg(first.alias("x")).select("label", F.col("x.first_id").alias("component_id"), F.col("x.fp").alias("component_fp"))
-    return member.join(least, "label").select("fp", "component_id", "component_fp")
+    least = written(member.filter("label IS NOT NULL").groupBy("label").agg(first.alias("x"), F.count("*").alias("n_rows")).select("label", F.col("x.first_id").alias("component_id"), F.col("x.fp").alias("component_fp"), "n_rows"), "least")
+    named = counted_join(member.filter("label IS NOT NULL"), least, "label", "n_rows").select("fp", "component_id", "component_fp")
+    return member.filter("label IS NULL").select("fp", F.col("first_id").alias("component_id"), F.col("fp").alias("component_fp")).unionByName(named)
 
 
 def classes(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
-    """(fp, component_id, component_fp) of rows (doc_id, fp), a row per distinct fp: the least doc_id of the component
-    and the least fingerprint that it has there."""
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    return labelled_classes(distinct, links(distinct.select("fp"), distance, block, choices))
+    """(fp, n_rows, component_id, component_fp) of rows (doc_id, fp), a row per distinct fp: how many rows have it, the
+    least doc_id of the component and the least fingerprint that it has there."""
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "distinct")
+    found = labelled_classes(distinct, links(distinct.select("fp"), distance, block, choices))
+    return distinct.select("fp", "n_rows").join(found, "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
@@ -293,4 +318,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     found = classes(fps, distance, block, choices)
-    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A fingerprint of one row that nothing is linked to needs no join.
+    shared = written(found.filter("n_rows > 1 OR fp <> component_fp"), "shared")
+    named = counted_join(fps, shared, "fp", "n_rows")
+    alone = F.col("component_fp").isNull()
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
