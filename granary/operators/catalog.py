@@ -13,6 +13,8 @@ DICTIONARY = ("row_no", "table_name", "column_name", "table_desc", "column_desc"
 SCHEMA_VERSION = 2
 #: A side with at most this many rows is broadcast.
 SMALL_ROWS = 100_000
+#: At most so many keywords are tried on every row.
+FEW_KEYWORDS = 32
 
 
 def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
@@ -164,7 +166,7 @@ def search(rows: DataFrame, keywords: DataFrame, names: tuple[str, ...], limit:
     Blank keywords find nothing. An exact name comes first. Keywords under 3 characters match anywhere in name or
     description and are ordered by name. Longer ones are scored as a phrase of trigrams: hits (overlaps count) against
     the length of both columns, so that many hits in little text rank high; then by name. At most limit rows a keyword.
-    The keywords are counted, and broadcast if few; with many, rows and keywords meet on the trigrams they share.
+    A few dozen keywords are tried on every row; with more, rows and keywords meet on the keyword's first trigram.
     """
     *keys, name, description = names
     wanted = keywords.select(name_key("keyword").alias("keyword")).filter("keyword != ''").distinct()
@@ -172,14 +174,14 @@ def search(rows: DataFrame, keywords: DataFrame, names: tuple[str, ...], limit:
     grams = lambda c: F.greatest(F.char_length(c) - 2, F.lit(0))
     sized = lower.withColumn("len", (grams("low_name") + grams("low_desc")).cast("double"))
     average = sized.agg(F.avg("len").alias("a")).first()["a"] or 1.0  # one number
-    if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if is_small(wanted, FEW_KEYWORDS):
         pairs = sized.join(F.broadcast(wanted), F.col("low_name").contains(F.col("keyword")) | F.col("low_desc").contains(F.col("keyword")))
     else:
         row = sized.withColumn("row_key", F.struct(*keys, "hit_name"))
         spots = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))
         cells = row.withColumn("gram", F.explode(F.array_distinct(F.concat(spots(F.col("low_name")), spots(F.col("low_desc")), F.split("low_name", ""), F.split("low_desc", "")))))
         firsts = wanted.withColumn("gram", F.substring("keyword", 1, 3)).withColumn("gram", F.when(F.char_length("keyword") < 3, F.substring("keyword", 1, 1)).otherwise(F.col("gram")))
-        pairs = cells.join(firsts, "gram").filter(F.col("low_name").contains(F.col("keyword")) | F.col("low_desc").contains(F.col("keyword"))).drop("gram", "row_key")
+        pairs = cells.join(small(firsts), "gram").filter(F.col("low_name").contains(F.col("keyword")) | F.col("low_desc").contains(F.col("keyword"))).drop("gram", "row_key")
     tf = (overlapping(F.col("low_name"), F.col("keyword")) + overlapping(F.col("low_desc"), F.col("keyword"))).cast("double")
     score = F.when(F.char_length("keyword") >= 3, F.round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / average)), 9)).otherwise(0.0)
     exact = F.when(F.col("low_name") == F.col("keyword"), 1).otherwise(0)
@@ -188,7 +190,14 @@ def search(rows: DataFrame, keywords: DataFrame, names: tuple[str, ...], limit:
     return ranked.filter(F.col("position") <= limit).select("keyword", *keys, "hit_name", "exact", "score", "position")
 
 
-def table_stats(df: DataFrame) -> DataFrame:
-    """(column_name, n_rows, n_nulls, n_distinct): one pass, distinct counts estimated by HyperLogLog."""
-    counted = df.agg(*[F.struct(F.count("*").alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_nulls"), F.approx_count_distinct(c).alias("n_distinct")).alias(c) for c in df.columns])
-    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.n_rows"), F.col(f"{c}.n_nulls"), F.col(f"{c}.n_distinct")) for c in df.columns])).alias("x")).select("x.*")
+def table_stats(df: DataFrame, exact: bool = False) -> DataFrame:
+    """(column_name, n_rows, n_nulls, n_distinct). Distinct counts are estimated in one pass by HyperLogLog, or, if exact,
+    taken from each column's distinct values, combined before the shuffle."""
+    distinct = (lambda c: F.lit(None).cast("long")) if exact else F.approx_count_distinct
+    counted = df.agg(*[F.struct(F.count("*").alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_nulls"), distinct(c).alias("n_distinct")).alias(c) for c in df.columns])
+    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.n_rows"), F.col(f"{c}.n_nulls"), F.col(f"{c}.n_distinct")) for c in df.columns])).alias("x")).select("x.*")
+    if not exact:
+        return rows
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns])).alias("x")).select("x.*")
+    exact_counts = cells.filter("value IS NOT NULL").distinct().groupBy("column_name").agg(F.count("*").alias("n_values"))
+    return rows.join(F.broadcast(exact_counts), "column_name", "left").select("column_name", "n_rows", "n_nulls", F.coalesce("n_values", F.lit(0)).alias("n_distinct"))

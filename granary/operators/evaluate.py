@@ -60,7 +60,7 @@ def evaluate(golden: DataFrame, actual: DataFrame) -> DataFrame:
         same("expected_dimensions", "a.dimensions", name_set).alias("dimension_ok"),
         same("expected_group_by", "a.group_by", name_set).alias("group_by_ok"),
         F.when(F.col("behavior") == "answer", F.coalesce("a.success", F.lit(False))).alias("pipeline_ok"),
-        F.when(both, F.col("a.trusted_sql").isNotNull() == F.col("expected_trusted_sql")).alias("trusted_ok"),
+        F.when(both, (clean("a.trusted_sql") != "") == F.col("expected_trusted_sql")).alias("trusted_ok"),
     )
     needed = lambda c, on: F.coalesce(F.col(c), F.lit(False)) | ~F.col(on)
     answered = F.col("table_ok") & F.col("metric_ok") & F.col("filter_ok") & needed("dimension_ok", "require_dimension_match") & needed("group_by_ok", "require_group_by_match") & F.col("pipeline_ok") & F.col("trusted_ok")

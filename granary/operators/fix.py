@@ -9,21 +9,23 @@ from granary.functions.text import first_true, joined, last_segment, plain_space
 from granary.operators.catalog import hinted, is_small
 from granary.operators.facts import facts as facts_of
 from granary.operators.review import known_tables, resolved, review, route
-from granary.operators.rules import Registry
+from granary.operators.rules import DATE, OVERWRITE, Registry
 from granary.sources.shared import written
 
-#: The scheduler's date parameter, the head of the notes that stay in a script, and the notes' codes.
+#: The scheduler's date parameter, the head and the marker of the notes that stay in a script, and the
+#: notes' codes.
 DATE_PARAMETER = "${bizdate}"
-NOTES_HEAD = "-- ===== REVIEW TODO ====="
+NOTES_HEAD = "-- ================= AI REVIEW TODO ================="
+NOTE = "-- AI_REVIEW_TODO: "
 PARTITION_NOTES = ("target_unknown", "no_catalog", "lookup_failed", "target_not_found", "not_partitioned", "has_partition", "target_not_located")
 
 
 def with_table_keyword(sql: Column) -> Column:
-    return F.regexp_replace(sql, r"(?i)\binsert\s++overwrite\s++(?!table\b)", "insert overwrite table ")
+    return F.regexp_replace(sql, "(?i)" + OVERWRITE, "insert overwrite table ")
 
 
 def with_date_parameter(sql: Column) -> Column:
-    return F.regexp_replace(sql, r"(?i)\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(['\"])\d{8}\2", r"$1 = '\${bizdate}'")
+    return F.regexp_replace(sql, "(?i)" + DATE, r"$1 = '\${bizdate}'")
 
 
 def fix(facts: DataFrame, issues: DataFrame, columns: DataFrame | None) -> DataFrame:
@@ -33,7 +35,7 @@ def fix(facts: DataFrame, issues: DataFrame, columns: DataFrame | None) -> DataF
     partition clause after the INSERT target (once, named after the catalog's first partition column; else a coded
     note). Issues that need a person become notes, without repeats, in a comment block at the end.
     """
-    flags = {"spaces": "NON_ASCII_WHITESPACE", "keyword": "INSERT_OVERWRITE_TABLE_REQUIRED", "date": "HARDCODED_DATE", "partition": "INSERT_WITHOUT_PARTITION"}
+    flags = {"spaces": "NON_ASCII_WHITESPACE", "keyword": "MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED", "date": "DATAWORKS_HARDCODED_DATE", "partition": "INSERT_WITHOUT_PARTITION"}
     noted = F.col("rule_id").isin("COLUMN_NOT_FOUND", "TABLE_NOT_FOUND", "METADATA_LOOKUP_FAILED") | (F.col("rule_id").startswith("LLM_") & (F.col("rule_id") != "LLM_REVIEW_FAILED"))
     note = F.when(noted, F.concat_ws(": ", "rule_id", "evidence"))
     by = issues.groupBy("script_id").agg(*[F.bool_or(F.col("rule_id") == r).alias(f"fix_{k}") for k, r in flags.items()], F.array_sort(F.collect_set(note)).alias("notes"))
@@ -55,7 +57,7 @@ def fix(facts: DataFrame, issues: DataFrame, columns: DataFrame | None) -> DataF
     applied = F.array_compact(F.array(*[F.when(F.col(a) != F.col(b), F.lit(k)) for k, a, b in (("spaces", "sql", "s1"), ("keyword", "s1", "s2"), ("date", "s2", "s3"), ("partition", "s3", "s4"))]))
     notes = F.array_distinct(F.concat(F.array_compact(F.array(F.when(F.col("fix_partition"), F.concat(F.lit("partition: "), why)))), "notes"))
     rows = rows.withColumn("applied_fixes", applied).withColumn("manual_notes", notes)
-    block = F.concat_ws("\n", F.array(F.regexp_replace("s4", r"(?U)\s+$", ""), F.lit(""), F.lit(NOTES_HEAD)), F.transform("manual_notes", lambda x: F.concat(F.lit("-- TODO "), x)), F.array(F.lit("")))
+    block = F.concat_ws("\n", F.array(F.regexp_replace("s4", r"(?U)\s+$", ""), F.lit(""), F.lit(NOTES_HEAD)), F.transform("manual_notes", lambda x: F.concat(F.lit(NOTE), x)), F.array(F.lit("")))
     return rows.select("script_id", F.when(F.size("manual_notes") == 0, F.col("s4")).otherwise(block).alias("fixed_sql"), "applied_fixes", "manual_notes")
 
 
@@ -63,10 +65,10 @@ def critic(before: DataFrame, fixes: DataFrame, after: DataFrame) -> DataFrame:
     """(script_id, status, passed, need_retry, need_human): the first verdict that holds for a fix.
 
     before and after: (script_id, success, n_issues); fixes: (script_id, success, fixed_sql, applied_fixes,
-    manual_notes). A script without a row in after wasn't reviewed again."""
+    manual_notes). A script without a row in fixes wasn't fixed, one without a row in after wasn't reviewed again."""
     b = before.select("script_id", F.col("n_issues").alias("n_before"))
     a = after.select("script_id", F.col("success").alias("after_success"), F.col("n_issues").alias("n_after"))
-    rows = b.join(fixes, "script_id").join(a, "script_id", "left")
+    rows = b.join(fixes, "script_id", "left").join(a, "script_id", "left")
     none = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
     status = first_true(
         [
@@ -104,10 +106,11 @@ def trusted(scripts: DataFrame, columns: DataFrame | None, registry: Registry |
         ok = F.col("final_status").isin("no_issue", "ignored_issues")
         ended = routed.filter("route <> 'auto_fix'").select("script_id", F.when(ok & F.lit(n > 1), "fix_verified").otherwise(F.col("final_status")).alias("status"), F.lit(n).alias("rounds"), F.when(ok, F.col("was")).alias("trusted_sql"))
         fixable = routed.filter("route = 'auto_fix'").select("script_id")
-        fixed = fix(found.join(fixable, "script_id", "left_semi"), issues, columns).withColumn("success", F.lit(True))
+        to_fix = found.join(fixable, "script_id", "left_semi")
+        fixed = fix(to_fix, issues, columns).withColumn("success", F.lit(True))
         fixed = written(fixed, "fixed")
         again = written(facts_of(fixed.select("script_id", F.col("fixed_sql").alias("sql")).join(todo.select("script_id", "mode"), "script_id").select("script_id", "mode", "sql")), "again")
-        verdict = critic(counted(found, issues), fixed, counted(again, review(again, columns, registry)))
+        verdict = critic(counted(to_fix, issues), fixed, counted(again, review(again, columns, registry)))
         verdict = written(verdict.join(fixed.select("script_id", F.col("fixed_sql").alias("new_sql")), "script_id").join(todo.select("script_id", "mode"), "script_id"), "verdict")
         last = n == max_retries + 1
         closed = verdict if last else verdict.filter("NOT need_retry")

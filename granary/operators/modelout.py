@@ -20,6 +20,12 @@ def field(name: str) -> Column:
     return F.get_json_object("obj", f"$.{name}")
 
 
+def is_text(name: str) -> Column:
+    """Whether a field is a string."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("obj"), f"$.{name}", "variant"))
+    return F.coalesce(kind == "STRING", F.lit(False))
+
+
 def objects(outputs: DataFrame) -> DataFrame:
     """(output_id, is_object, keys)."""
     return parsed(outputs).select("output_id", F.col("obj").isNotNull().alias("is_object"), joined(F.array_sort("keys")).alias("keys"))
@@ -31,12 +37,25 @@ def differences(fields: tuple[str, ...]) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(wanted, "keys")), F.array_sort(F.array_except("keys", wanted))
 
 
+def issue_items(outputs: DataFrame) -> DataFrame:
+    """(output_id, item, raw): the entries of an answer's list of issues, from 0; of an answer without a list none."""
+    items = F.from_json(field("issues"), "array<string>")
+    return parsed(outputs).select("output_id", F.posexplode(items).alias("item", "raw"))
+
+
+def envelope_check(outputs: DataFrame) -> DataFrame:
+    """(output_id, n_issues, violation): an answer must be an object with a list `issues`."""
+    n = F.json_array_length(field("issues")).cast("bigint")
+    violation = first_true([(F.col("obj").isNull(), "not_an_object"), (~F.array_contains("keys", "issues"), "missing_issues"), (n.isNull(), "issues_not_a_list")])
+    return parsed(outputs).select("output_id", F.coalesce(n, F.lit(0)).alias("n_issues"), violation.alias("violation"))
+
+
 def issue_check(outputs: DataFrame) -> DataFrame:
     """(output_id, missing, extra, violation): the first rule that an issue object breaks, or null."""
     missing, extra = differences(ISSUE_FIELDS)
     rows = parsed(outputs).withColumn("missing", missing).withColumn("extra", extra)
     score = F.expr("try_cast(get_json_object(obj, '$.confidence') AS double)")
-    violation = first_true([(F.col("obj").isNull(), "not_an_object"), (F.size("missing") > 0, "missing_fields"), (F.size("extra") > 0, "extra_fields"), (~F.startswith(field("rule_id"), F.lit("LLM_")), "rule_id"), (~F.lower(field("severity")).isin("low", "medium", "high"), "severity"), (score.isNull() | ~score.between(0, 1), "confidence")])
+    violation = first_true([(F.col("obj").isNull(), "not_an_object"), (F.size("missing") > 0, "missing_fields"), (F.size("extra") > 0, "extra_fields"), (~F.startswith(F.coalesce(field("rule_id"), F.lit("")), F.lit("LLM_")), "rule_id"), (~F.lower(F.coalesce(field("severity"), F.lit(""))).isin("low", "medium", "high"), "severity"), (score.isNull() | ~score.between(0, 1), "confidence")])
     return rows.select("output_id", joined("missing").alias("missing"), joined("extra").alias("extra"), violation.alias("violation"))
 
 
@@ -45,7 +64,7 @@ def fix_check(outputs: DataFrame) -> DataFrame:
     missing, extra = differences(FIX_FIELDS)
     rows = parsed(outputs).withColumn("missing", missing).withColumn("extra", extra)
     size = lambda n: F.json_array_length(field(n)).cast("bigint")
-    violation = first_true([(F.col("obj").isNull(), "not_an_object"), (F.size("missing") > 0, "missing_fields"), (F.size("extra") > 0, "extra_fields"), (size("applied_fixes").isNull(), "applied_fixes"), (size("manual_notes").isNull(), "manual_notes")])
+    violation = first_true([(F.col("obj").isNull(), "not_an_object"), (F.size("missing") > 0, "missing_fields"), (F.size("extra") > 0, "extra_fields"), (~is_text("fixed_sql"), "fixed_sql"), (size("applied_fixes").isNull(), "applied_fixes"), (size("manual_notes").isNull(), "manual_notes")])
     return rows.select("output_id", size("applied_fixes").alias("n_fixes"), size("manual_notes").alias("n_notes"), violation.alias("violation"))
 
 

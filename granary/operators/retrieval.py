@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from granary.functions.text import bucket, tokens
+from granary.functions.text import bucket, clean, tokens
 from granary.operators.catalog import small
 
 #: Buckets of the token hash: few for parity with small models, many so that large corpora share few by chance.
 DIM = 1 << 18
+#: The parts of a context, in order.
+HEADINGS = ("Mandatory rules", "Business knowledge", "Verified SQL")
+
+
+def indexed(docs: DataFrame, version: str = "version") -> DataFrame:
+    """A row per document_id, that of the greatest version (then text): what is indexed again replaces what was there.
+    The operators below take documents so indexed."""
+    last = F.max(F.struct(version, "text", *[c for c in docs.columns if c not in ("document_id", "text", version)])).alias("x")
+    return docs.groupBy("document_id").agg(last).select(*["document_id" if c == "document_id" else f"x.{c}" for c in docs.columns if c != version])
 
 
 def buckets(text: Column | str, dim: int = DIM) -> Column:
@@ -52,32 +63,92 @@ def similarities(questions: DataFrame, docs: DataFrame, dim: int = DIM) -> DataF
     q = questions.select("question_id", F.explode(buckets("question", dim)).alias("bucket")).groupBy("question_id", "bucket").agg(F.count("*").alias("q_n"))
     norms = q.groupBy("question_id").agg(F.sum(F.col("q_n") * F.col("q_n")).alias("q_norm"))
     q = q.join(norms, "question_id")
-    d = docs.select("document_id", "kind", F.array_sort(buckets("text", dim)).alias("bs"))
+    d = docs.select("document_id", "kind", F.sort_array(buckets("text", dim)).alias("bs"))
     d = d.select("document_id", "kind", "bs", squared_norm(F.col("bs")).alias("d_norm"))
     hits = d.select("document_id", "kind", "d_norm", F.explode("bs").alias("bucket")).join(small(q, 1_000_000), "bucket")
     dots = hits.groupBy("document_id", "question_id", "kind", "d_norm", "q_norm").agg(F.sum("q_n").alias("dot"))
+    return scored(dots)
+
+
+def scored(dots: DataFrame) -> DataFrame:
     return dots.select("question_id", "document_id", "kind", F.round(F.col("dot") / (F.sqrt(F.col("q_norm").cast("double")) * F.sqrt(F.col("d_norm").cast("double"))), 6).alias("score"))
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
+def top(rows: DataFrame, k: int) -> DataFrame:
     """The k best documents of each question, ties by document; position from 1."""
     order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "document_id")
-    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def best_by_block(questions: DataFrame, docs: DataFrame, k: int, dim: int = DIM, most: int = 200_000) -> DataFrame | None:
+    """As top(similarities(), k), for questions of few tokens in all: None if there are more than `most`.
+
+    The counted questions are sent to the tasks, where a matrix product scores a batch of documents against all of them
+    and k documents a question are kept. Hence only those are shuffled, not pairs of documents and questions."""
+    q = questions.select("question_id", F.explode(buckets("question", dim)).alias("bucket")).groupBy("question_id", "bucket").agg(F.count("*").alias("n"))
+    held = q.limit(most + 1).toPandas()
+    if len(held) > most:
+        return None
+    ids, at = np.unique(held["question_id"].to_numpy(), return_inverse=True)
+    names, column = np.unique(held["bucket"].to_numpy("i8"), return_inverse=True)
+    sent = questions.sparkSession.sparkContext.broadcast((ids, at, names, column, held["n"].to_numpy("f8")))
+    kinds = docs.select("document_id", "kind", F.sort_array(buckets("text", dim)).alias("bs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at, names, column, n = sent.value
+        weights = np.zeros((len(names), len(ids)))
+        weights[column, at] = n
+        q_norm = (weights**2).sum(0)
+        kept = None
+
+        def first(frame: pd.DataFrame) -> pd.DataFrame:
+            return frame.sort_values(["q", "order", "document_id"]).groupby("q", sort=False).head(k)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(ids) else 0, 500):
+                part = batch.slice(start, 500)
+                lists = part.column("bs")
+                values, offsets = lists.values.to_numpy()[lists.offsets[0].as_py() :], lists.offsets.to_numpy()
+                counts = np.diff(offsets)
+                values = values[: int(counts.sum())]
+                row = np.repeat(np.arange(part.num_rows), counts)
+                # A document's squared norm: its runs of equal buckets, squared.
+                starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (row[1:] != row[:-1])])) if len(values) else np.zeros(0, "i8")
+                d_norm = np.bincount(row[starts], np.diff(np.append(starts, len(values))).astype("f8") ** 2, part.num_rows)
+                spot = np.minimum(np.searchsorted(names, values), len(names) - 1)
+                known = names[spot] == values
+                seen = np.zeros((part.num_rows, len(names)))
+                np.add.at(seen, (row[known], spot[known]), 1)
+                dot = seen @ weights
+                d, j = np.nonzero(dot)
+                score = dot[d, j] / (np.sqrt(q_norm[j]) * np.sqrt(d_norm[d]))
+                found = pd.DataFrame({"q": j, "order": -np.floor(score * 1e6 + 0.5), "document_id": np.array(part.column("document_id").to_pylist(), object)[d], "kind": np.array(part.column("kind").to_pylist(), object)[d], "dot": dot[d, j].astype("i8"), "q_norm": q_norm[j].astype("i8"), "d_norm": d_norm[d].astype("i8")})
+                kept = first(found if kept is None else pd.concat([kept, found]))
+        if kept is not None and len(kept):
+            yield pa.RecordBatch.from_pandas(kept.assign(question_id=ids[kept["q"]])[["question_id", "document_id", "kind", "dot", "q_norm", "d_norm"]], preserve_index=False)
+
+    schema = StructType([questions.schema["question_id"], docs.schema["document_id"], docs.schema["kind"], *StructType.fromDDL("dot long, q_norm long, d_norm long")])
+    return top(scored(kinds.mapInArrow(run, schema)), k)
+
+
+def best(questions: DataFrame, docs: DataFrame, k: int, dim: int = DIM) -> DataFrame:
+    """The k best documents of each question: by blocks where the questions are few, else by a join on tokens."""
+    found = best_by_block(questions, docs, k, dim)
+    return top(similarities(questions, docs, dim), k) if found is None else found
 
 
 def retrieve(questions: DataFrame, docs: DataFrame, k: int, kind: str | None = None, prefilter: bool = False, dim: int = DIM) -> DataFrame:
     """The first k documents of a kind among the 2k best of all kinds (with prefilter: among the kind's own)."""
-    scored = similarities(questions, docs if kind is None or not prefilter else docs.filter(F.col("kind") == kind), dim)
+    some = docs if kind is None or not prefilter else docs.filter(F.col("kind") == kind)
     if kind is None:
-        return top(scored, k)
-    best = top(scored, 2 * k).filter(F.col("kind") == kind).drop("position")
-    return top(best, k)
+        return best(questions, some, k, dim)
+    return top(best(questions, some, 2 * k, dim).filter(F.col("kind") == kind).drop("position"), k)
 
 
 def mandatory(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """(question_id, rule_id): rules (rule_id, triggers, text) any of whose triggers the question has, case-sensitive."""
     hit = F.exists("triggers", lambda t: F.col("question").contains(t))
-    return questions.select("question_id", F.trim("question").alias("question")).join(small(rules), hit).select("question_id", "rule_id")
+    return questions.select("question_id", clean("question").alias("question")).join(small(rules), hit).select("question_id", "rule_id")
 
 
 def merged(questions: DataFrame, rules: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -89,11 +160,26 @@ def merged(questions: DataFrame, rules: DataFrame, retrieved: DataFrame) -> Data
     return once.select("question_id", F.row_number().over(order).alias("position"), "document_id", F.when(F.col("at.priority") == 0, "mandatory").otherwise("retrieved").alias("origin"))
 
 
-def context_text(context: DataFrame, texts: DataFrame) -> DataFrame:
-    """(question_id, context): the documents' texts (document_id, text) in order, a section each."""
-    lines = F.sort_array(F.collect_list(F.struct("position", F.concat(F.lit("## "), "document_id", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("line"))))
-    by = context.join(texts.select("document_id", "text"), "document_id", "left").groupBy("question_id").agg(lines.alias("lines"))
-    return by.select("question_id", F.concat_ws("\n\n", F.transform("lines", lambda x: x["line"])).alias("context"))
+def context_text(context: DataFrame, texts: DataFrame, rules: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """(question_id, context): the documents' texts (document_id, kind, text) in order, a section each under its name.
+
+    Mandatory rules have the text of rules (rule_id, text) and come first, then other knowledge, then verified SQL, each
+    part under its heading; last the lines of extra (question_id, heading, text), such as a semantic model or the
+    session's earlier lines."""
+    named = texts.select("document_id", "kind", "text")
+    if rules is not None:
+        named = named.join(small(rules.select(F.col("rule_id").alias("document_id"))), "document_id", "left_anti").unionByName(rules.select(F.col("rule_id").alias("document_id"), F.lit("mandatory_rule").alias("kind"), "text"))
+    part = F.when(F.col("origin") == "mandatory", 0).when(F.coalesce("kind", F.lit("")) != "verified_sql", 1).otherwise(2)
+    line = F.concat(F.lit("## "), "document_id", F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = context.join(named, "document_id", "left").select("question_id", part.alias("part"), "position", line.alias("line"))
+    heads = F.element_at(F.array(*map(F.lit, HEADINGS)), F.col("part") + 1)
+    rows = rows.select("question_id", "part", "position", "line", heads.alias("heading"))
+    if extra is not None:
+        rows = rows.unionByName(extra.select("question_id", F.lit(len(HEADINGS)).alias("part"), F.lit(0).alias("position"), F.coalesce("text", F.lit("")).alias("line"), "heading"))
+    sections = rows.groupBy("question_id", "part", "heading").agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("lines"))
+    sections = sections.select("question_id", "part", F.concat(F.lit("# "), "heading", F.lit("\n\n"), F.concat_ws("\n\n", F.transform("lines", lambda x: x["line"]))).alias("text"))
+    by = sections.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
+    return by.select("question_id", F.concat_ws("\n\n", F.transform("parts", lambda x: x["text"])).alias("context"))
 
 
 def knn_dense(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 256) -> DataFrame:

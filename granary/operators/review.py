@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import first_true, last_segment, name_key
 from granary.operators.catalog import hinted, is_small
-from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, unusable
+from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, unusable, with_texts
 
 TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True)
 LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", always, lambda: F.col("table_name"), action="context_required", source="system", requires_metadata=True)
@@ -140,3 +140,23 @@ def report(scripts: DataFrame, issues: DataFrame, limit: int = 5) -> DataFrame:
     conclusion = first_true([(F.col("n_issues") == 0, "no issue found"), (F.col("risk_level") == "high", "not fit for release"), (F.col("risk_level") == "medium", "to be confirmed before release")], "minor issues only")
     head = F.format_string("risk %s, %d issues (%d high, %d medium, %d low)", "risk_level", "n_issues", "n_high", "n_medium", "n_low")
     return rows.select("script_id", conclusion.alias("conclusion"), F.concat_ws("\n", F.array(head), F.coalesce("lines", F.array().cast("array<string>"))).alias("report"))
+
+
+def report_markdown(scripts: DataFrame, issues: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """(script_id, markdown): a report with every issue's texts in order of severity, source, rule and evidence, then
+    the fixed SQL of scripts that have one in fixed (script_id, fixed_sql, applied_fixes, manual_notes)."""
+    told = with_texts(issues)
+    code = lambda c: F.concat(F.lit("`"), F.col(c).cast("string"), F.lit("`"))
+    body = F.concat_ws("\n", F.concat(F.lit("- Rule: "), code("rule_id")), F.concat(F.lit("- Severity: "), code("severity")), F.concat(F.lit("- Source: "), code("source")), F.lit(""), "message", F.lit(""), "suggestion", F.lit(""), F.lit("```text"), F.coalesce("evidence", F.lit("")), F.lit("```"))
+    by_rank = F.struct((-rank("severity", SEVERITY)).alias("a"), (-rank("source", SOURCE)).alias("b"), "rule_id", F.coalesce("evidence", F.lit("")).alias("evidence"), F.col("title"), body.alias("body"))
+    listed = told.groupBy("script_id").agg(F.sort_array(F.collect_list(by_rank)).alias("xs"))
+    parts = F.transform("xs", lambda x, i: F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), x["title"], F.lit("\n\n"), x["body"]))
+    rows = report(scripts, issues).join(listed.select("script_id", parts.alias("parts")), "script_id", "left")
+    head = F.concat(F.lit("# SQL Review Report\n\n"), F.col("conclusion"), F.lit("\n\n"), F.element_at(F.split("report", "\n"), 1), F.lit("\n\n## Issue Details"))
+    sections = F.concat(F.array(head), F.coalesce("parts", F.array(F.lit("No issue found."))))
+    if fixed is not None:
+        rows = rows.join(fixed.select("script_id", "fixed_sql", "applied_fixes", "manual_notes"), "script_id", "left")
+        items = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"### {label}\n\n"), F.concat_ws("\n", F.transform(c, lambda x: F.concat(F.lit("- "), x)))))
+        sql = F.concat(F.lit("### Fixed SQL\n\n```sql\n"), F.regexp_replace("fixed_sql", r"(?U)\s+$", ""), F.lit("\n```"))
+        sections = F.concat(sections, F.when(F.col("fixed_sql").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.lit("## Fixed SQL"), items("Applied Fixes", "applied_fixes"), items("Manual Review Notes", "manual_notes"), sql))))
+    return rows.select("script_id", F.concat_ws("\n\n", sections).alias("markdown"))

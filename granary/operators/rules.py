@@ -11,11 +11,44 @@ from pyspark.sql import functions as F
 from granary.functions.text import clean, has_wide_space, normalised_sql
 
 ALL_MODES = ("debug", "prod", "backfill")
-#: How severities and sources rank.
+#: How severities and sources rank, and the patterns of two rules (and of their fixes). The rules' ids
+#: below are fixed values, too.
 SEVERITY = {"high": 3, "medium": 2, "low": 1}
 SOURCE = {"rule": 3, "system": 2, "llm": 1}
 OVERWRITE = r"\binsert\s++overwrite\s++(?!table\b)"
 DATE = r"\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(['\"])\d{8}\2"
+#: Title, message and suggestion of a rule's issues.
+TEXTS = {
+    "SELECT_STAR": ("All columns selected", "The select list has a star.", "Name the columns that are needed."),
+    "DROP_OR_TRUNCATE": ("Data destroyed", "The script drops or truncates a table.", "Have it confirmed before it runs."),
+    "NON_ASCII_WHITESPACE": ("Wide white space", "The text holds white space that isn't ASCII.", "Replace it by plain spaces."),
+    "MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED": ("TABLE keyword missing", "INSERT OVERWRITE stands without TABLE.", "Write INSERT OVERWRITE TABLE."),
+    "DATAWORKS_HARDCODED_DATE": ("Fixed date", "A partition column is compared with a date.", "Use the scheduler's date parameter."),
+    "LLM_SUM_WITHOUT_NULL_GUARD": ("Sum over nulls", "A sum has no default for nulls.", "Wrap the column in COALESCE."),
+    "LLM_JOIN_BEFORE_GROUP": ("Join before grouping", "A join stands before GROUP BY and may multiply rows.", "Check the keys of the join."),
+    "TABLE_NOT_FOUND": ("Unknown table", "The catalog doesn't have the table.", "Check its name."),
+    "COLUMN_NOT_FOUND": ("Unknown column", "The table doesn't have the column.", "Check its name."),
+    "METADATA_LOOKUP_FAILED": ("Lookup failed", "The catalog could not be asked.", "Try again later."),
+    "INSERT_WITHOUT_PARTITION": ("Partition missing", "The target is partitioned, and the INSERT names no partition.", "Add a PARTITION clause."),
+    "INSERT_WITHOUT_PARTITION_METADATA_UNKNOWN": ("Partition may be missing", "Whether the target is partitioned isn't known.", "Check the target."),
+    "SQL_PARSE_ERROR": ("Unusable text", "The text can't be read as SQL.", "Correct its quotes and parentheses."),
+}
+
+
+def with_texts(issues: DataFrame, texts: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """Issues with title, message and suggestion, by their rule; a rule without texts has its id for all three."""
+    for i, name in enumerate(("title", "message", "suggestion")):
+        text = F.col("rule_id")
+        for rule_id, parts in (texts or TEXTS).items():
+            text = F.when(F.col("rule_id") == rule_id, F.lit(parts[i])).otherwise(text)
+        issues = issues.withColumn(name, text)
+    return issues
+
+
+def catalog_text(registry: Registry, texts: dict[str, tuple[str, str, str]] | None = None) -> str:
+    """The rules as a text, a line each, in the order of registration."""
+    said = lambda r: (texts or TEXTS).get(r.rule_id, (r.rule_id,) * 3)
+    return "\n".join(f"- {r.rule_id} [{r.severity}, {r.category}, {'/'.join(r.modes)}]: {said(r)[1]}" for r in registry.selected())
 
 
 def made(x: Column | Callable[[], Column]) -> Column:
@@ -97,8 +130,8 @@ def default_registry() -> Registry:
             Rule("SELECT_STAR", "medium", "style", c("has_select_star"), "select list with *"),
             Rule("DROP_OR_TRUNCATE", "high", "safety", c("has_drop") | c("has_truncate"), "drop or truncate", action="block", blocking=True),
             Rule("NON_ASCII_WHITESPACE", "low", "style", has_wide_space("sql"), "wide white space"),
-            Rule("INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", c("norm").rlike(OVERWRITE), "insert overwrite without table", action="auto_fix", auto_fixable=True),
-            Rule("HARDCODED_DATE", "medium", "dataworks", c("norm").rlike(DATE), "date literal on a partition column", modes=("debug", "prod")),
+            Rule("MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", c("norm").rlike(OVERWRITE), "insert overwrite without table", action="auto_fix", auto_fixable=True),
+            Rule("DATAWORKS_HARDCODED_DATE", "medium", "dataworks", c("norm").rlike(DATE), "date literal on a partition column", modes=("debug", "prod")),
             Rule("LLM_SUM_WITHOUT_NULL_GUARD", "medium", "semantic", has("sum(") & ~has("coalesce") & ~has("nvl"), "sum without coalesce", source="llm", confidence=0.7),
             Rule("LLM_JOIN_BEFORE_GROUP", "medium", "semantic", has(" join ") & has(" group by "), "join then group by", source="llm", confidence=0.65),
         ]

@@ -110,8 +110,8 @@ def issues(p: str = "", mode: str | None = None) -> str:
         rule("SELECT_STAR", "medium", "style", "has_select_star", "'select list with *'"),
         rule("DROP_OR_TRUNCATE", "high", "safety", "has_drop OR has_truncate", "'drop or truncate'", action="block", block="true"),
         rule("NON_ASCII_WHITESPACE", "low", "style", f"regexp_matches(sql, '[{WIDE_SPACES}]')", "'wide white space'"),
-        rule("INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", r"regexp_matches(regexp_replace(norm, '\binsert\s+overwrite\s+table\b', '', 'g'), '\binsert\s+overwrite\s')", "'insert overwrite without table'", action="auto_fix", fix="true"),
-        rule("HARDCODED_DATE", "medium", "dataworks", rf"""{in_mode} AND regexp_matches(norm, '\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(''\d{{8}}''|"\d{{8}}")')""", "'date literal on a partition column'"),
+        rule("MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", r"regexp_matches(regexp_replace(norm, '\binsert\s+overwrite\s+table\b', '', 'g'), '\binsert\s+overwrite\s')", "'insert overwrite without table'", action="auto_fix", fix="true"),
+        rule("DATAWORKS_HARDCODED_DATE", "medium", "dataworks", rf"""{in_mode} AND regexp_matches(norm, '\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(''\d{{8}}''|"\d{{8}}")')""", "'date literal on a partition column'"),
         rule("LLM_SUM_WITHOUT_NULL_GUARD", "medium", "semantic", "contains(norm, 'sum(') AND NOT contains(norm, 'coalesce') AND NOT contains(norm, 'nvl')", "'sum without coalesce'", src="llm", conf="0.7"),
         rule("LLM_JOIN_BEFORE_GROUP", "medium", "semantic", "contains(norm, ' join ') AND contains(norm, ' group by ')", "'join then group by'", src="llm", conf="0.65"),
     ]
@@ -141,7 +141,7 @@ route AS (
   FROM scr s LEFT JOIN (SELECT script_id, count(*) AS n, bool_or(blocking OR action = 'block') AS blocks, bool_and(action = 'auto_fix' AND auto_fixable) AS fixable FROM issues GROUP BY script_id) USING (script_id))"""
 FIX = rf"""
 flag AS (
-  SELECT script_id, bool_or(rule_id = 'NON_ASCII_WHITESPACE') AS f1, bool_or(rule_id = 'INSERT_OVERWRITE_TABLE_REQUIRED') AS f2, bool_or(rule_id = 'HARDCODED_DATE') AS f3, bool_or(rule_id = 'INSERT_WITHOUT_PARTITION') AS f4,
+  SELECT script_id, bool_or(rule_id = 'NON_ASCII_WHITESPACE') AS f1, bool_or(rule_id = 'MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED') AS f2, bool_or(rule_id = 'DATAWORKS_HARDCODED_DATE') AS f3, bool_or(rule_id = 'INSERT_WITHOUT_PARTITION') AS f4,
     list(DISTINCT rule_id || ': ' || evidence ORDER BY rule_id || ': ' || evidence) FILTER (WHERE rule_id IN ('COLUMN_NOT_FOUND', 'TABLE_NOT_FOUND') OR rule_id LIKE 'LLM%') AS notes
   FROM issues GROUP BY script_id),
 step1 AS (SELECT script_id, mode, sql, insert_target, flag.* EXCLUDE (script_id), CASE WHEN f1 THEN translate(sql, '{WIDE_SPACES}', '     ') ELSE sql END AS s1 FROM f JOIN flag USING (script_id)),
@@ -149,7 +149,7 @@ step2 AS (SELECT *, CASE WHEN f2 THEN regexp_replace(s1, '(?i)\binsert\s+overwri
 step3 AS (SELECT *, CASE WHEN f3 THEN regexp_replace(s2, '(?i)\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(?:''\d{{8}}''|"\d{{8}}")', '\1 = ''${{bizdate}}''', 'g') ELSE s2 END AS s3 FROM step2),
 step4 AS (SELECT *, CASE WHEN f4 THEN regexp_replace(s3, '(?i)(\binsert\s+(?:overwrite|into)\s+table\s+ads_order_summary)\b', '\1 partition(dt=''${{bizdate}}'')', 'g') ELSE s3 END AS s4 FROM step3),
 fixed AS (
-  SELECT script_id, mode, CASE WHEN len(all_notes) = 0 THEN s4 ELSE rtrim(s4) || chr(10) || chr(10) || '-- ===== REVIEW TODO =====' || chr(10) || array_to_string(list_transform(all_notes, lambda x: '-- TODO ' || x), chr(10)) || chr(10) END AS fixed_sql,
+  SELECT script_id, mode, CASE WHEN len(all_notes) = 0 THEN s4 ELSE rtrim(s4) || chr(10) || chr(10) || '-- ================= AI REVIEW TODO =================' || chr(10) || array_to_string(list_transform(all_notes, lambda x: '-- AI_REVIEW_TODO: ' || x), chr(10)) || chr(10) END AS fixed_sql,
     array_to_string(list_filter([CASE WHEN s1 <> sql THEN 'spaces' END, CASE WHEN s2 <> s1 THEN 'keyword' END, CASE WHEN s3 <> s2 THEN 'date' END, CASE WHEN s4 <> s3 THEN 'partition' END], lambda x: x IS NOT NULL), '|') AS applied_fixes,
     array_to_string(all_notes, '|') AS manual_notes
   FROM (SELECT *, list_concat(CASE WHEN f4 AND s4 = s3 THEN ['partition: target_not_located'] ELSE [] END, coalesce(notes, [])) AS all_notes FROM step4))"""
@@ -171,7 +171,7 @@ actual AS (
     CASE WHEN o_orderkey % 29 = 5 THEN 'error' WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 THEN 'clarify' WHEN o_orderkey % 31 = 2 THEN 'clarify' ELSE 'answer' END AS ab,
     CASE WHEN o_orderkey % 11 = 3 THEN ['orders', 'lineitem', 'part'] ELSE [' ORDERS', 'lineitem', '', 'lineitem'] END AS got_t, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0 THEN ['Area'] ELSE [] END AS ad,
     CASE WHEN o_orderkey % 13 = 6 THEN ['rate'] ELSE ['Balance'] END AS am, ['STATUS=''' || o_orderstatus || '''', CASE WHEN o_orderkey % 19 = 7 THEN 'dt=''199707''' ELSE 'dt  =  ''199706''' END] AS af,
-    CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 6 <> 3 THEN ['area'] ELSE [] END AS ag, o_orderkey % 23 <> 1 AS success, CASE WHEN o_orderkey % 37 = 2 THEN NULL ELSE 'SELECT 1' END AS trusted_sql
+    CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 6 <> 3 THEN ['area'] ELSE [] END AS ag, o_orderkey % 23 <> 1 AS success, CASE WHEN o_orderkey % 37 = 2 THEN NULL WHEN o_orderkey % 37 = 3 THEN ' ' || chr(10) ELSE 'SELECT 1' END AS trusted_sql
   FROM orders WHERE o_orderkey % 17 <> 4),
 al AS (SELECT * FROM reasoned LEFT JOIN actual USING (case_id) WHERE len(reasons) = 0)"""
 EVAL = f"""
@@ -180,7 +180,7 @@ ev1 AS (
   SELECT case_id, eb AS expected_behavior, behavior, rd, rg, behavior = eb AS behavior_ok,
     CASE WHEN two THEN {LISTS.format("et")} = {LISTS.format("got_t")} END AS table_ok, CASE WHEN two THEN {LISTS.format("em")} = {LISTS.format("am")} END AS metric_ok, CASE WHEN two THEN {FILTERS.format("ef")} = {FILTERS.format("af")} END AS filter_ok,
     CASE WHEN two THEN {LISTS.format("ed")} = {LISTS.format("ad")} END AS dimension_ok, CASE WHEN two THEN {LISTS.format("eg")} = {LISTS.format("ag")} END AS group_by_ok,
-    CASE WHEN behavior = 'answer' THEN coalesce(success, false) END AS pipeline_ok, CASE WHEN two THEN (trusted_sql IS NOT NULL) = ets END AS trusted_ok FROM ev0),
+    CASE WHEN behavior = 'answer' THEN coalesce(success, false) END AS pipeline_ok, CASE WHEN two THEN (trusted_sql IS NOT NULL AND regexp_matches(trusted_sql, '\\S')) = ets END AS trusted_ok FROM ev0),
 ev AS (
   SELECT * EXCLUDE (rd, rg), CASE WHEN behavior = 'error' THEN false WHEN behavior = 'clarify' THEN behavior_ok ELSE behavior_ok AND coalesce(table_ok AND metric_ok AND filter_ok AND (NOT rd OR coalesce(dimension_ok, false)) AND (NOT rg OR coalesce(group_by_ok, false)) AND pipeline_ok AND trusted_ok, false) END AS passed FROM ev1)"""
 RATES = "count(*) AS total, count_if(passed)::BIGINT AS passed, count_if(NOT passed AND behavior <> 'error')::BIGINT AS failed, count_if(behavior = 'error')::BIGINT AS errors, avg(passed::INT) AS pass_rate, " + ", ".join(f"coalesce(avg({c}_ok::INT), 0.0) AS {c}_rate" for c in ("behavior", "table", "metric", "filter", "dimension", "group_by", "pipeline", "trusted")) + ", avg((behavior = 'error')::INT) AS error_rate"
@@ -218,6 +218,6 @@ def top(src: str, k: int) -> str:
     return f"SELECT question_id, document_id, kind, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id)::INT AS position FROM {src} QUALIFY position <= {k}"
 
 
-THREADS = """
-e0 AS (SELECT conv_id AS thread_id, turn AS seq, CASE WHEN turn = 0 OR role = 'system' THEN 'start' WHEN role = 'assistant' THEN CASE length(text) % 4 WHEN 0 THEN 'attempt_failed' WHEN 1 THEN 'attempt_passed' ELSE 'clarification' END ELSE 'answer' END AS event, CASE WHEN length(text) % 19 = 0 THEN ' ' ELSE text END AS text FROM conversations),
+THREADS = r"""
+e0 AS (SELECT conv_id AS thread_id, turn AS seq, CASE WHEN turn = 0 OR role = 'system' THEN 'start' WHEN role = 'assistant' THEN CASE length(text) % 4 WHEN 0 THEN 'attempt_failed' WHEN 1 THEN 'attempt_passed' ELSE 'clarification' END WHEN length(text) % 23 = 0 THEN 'ping' ELSE 'answer' END AS event, CASE WHEN length(text) % 19 = 0 THEN ' ' WHEN length(text) % 17 = 0 THEN chr(10) || chr(9) ELSE text END AS text FROM conversations),
 st AS (SELECT thread_id, count_if(event = 'start')::INT AS turn_no, max(CASE WHEN event = 'start' THEN seq END) AS s FROM e0 GROUP BY thread_id)"""

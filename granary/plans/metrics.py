@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,38 +45,61 @@ LOAN_METRICS = {
 }
 
 
+def declared(metric_rows: Iterable[Mapping[str, object]]) -> dict[str, Metric]:
+    """Metrics from rows (name, expression, additive, description), as a semantic model declares them; a metric that isn't declared
+    additive may not be added over periods."""
+    return {r["name"]: Metric(r["name"], r["expression"], not r.get("additive"), r.get("description") or "") for r in metric_rows}
+
+
 class AdditivityError(ValueError):
     """A plan would add values of different periods."""
 
 
 def bound(filters: Iterable[str], params: Mapping[str, str]) -> list[str]:
-    """Filter texts with their run parameters put in; one that is missing is an error."""
+    """Filter texts with their run parameters put in, as what stands in a string literal; one that is missing is an error."""
     out = []
     for f in filters:
         for name, value in params.items():
-            f = f.replace("${" + name + "}", value)
+            f = f.replace("${" + name + "}", value.replace("\\", "\\\\").replace("'", "\\'"))
         if "${" in f:
             raise ValueError(f"no value for a parameter of: {f}")
         out.append(f)
     return out
 
 
+def one_period(plan: MetricPlan, period: str) -> str | None:
+    """The value that a filter sets the period to. The filter must be that equality and nothing else; as filters are
+    joined by AND, no other one can add a period."""
+    for f in bound(plan.filters, plan.params):
+        if m := re.fullmatch(rf"\s*{re.escape(period)}\s*=\s*'([^'\\]*)'\s*", f):
+            return m[1]
+    return None
+
+
+def used_columns(plan: MetricPlan, metrics: Mapping[str, Metric] = LOAN_METRICS) -> set[str]:
+    """The words of the plan's expressions, which hold the names of the columns that it reads."""
+    return set(re.findall(r"\w+", " ".join([*(metrics[m].expression for m in plan.metrics), *plan.filters, *plan.group_by])))
+
+
 def check_additive(plan: MetricPlan, metrics: Mapping[str, Metric], period: str) -> None:
-    """Semi-additive metrics need one period: grouped by it, or an equality filter on it."""
-    fixed = any(f.replace(" ", "").startswith(f"{period}='") for f in plan.filters)
+    """Semi-additive metrics need one period: grouped by it, or a filter of its own that is an equality on it."""
+    fixed = one_period(plan, period) is not None
     if any(metrics[m].semi_additive for m in plan.metrics) and not fixed and period not in plan.group_by:
         raise AdditivityError(f"{', '.join(plan.metrics)}: group by {period}, or filter it to one value")
     if plan.rollup and not fixed and any(metrics[m].semi_additive for m in plan.metrics):
         raise AdditivityError(f"a total over {period} would add balances of different periods")
 
 
-def compile_plan(facts: DataFrame, plan: MetricPlan, metrics: Mapping[str, Metric] = LOAN_METRICS, period: str = "dt") -> DataFrame:
-    """One pass over facts: filters reach the scan, metrics are partial and final aggregates. Decimal results are cast
-    to double at the end, so that sums are exact. Totals come from rollup over the rows, never from adding groups."""
+def compile_plan(facts: DataFrame, plan: MetricPlan, metrics: Mapping[str, Metric] = LOAN_METRICS, period: str = "dt", within: Callable[[str], Column] | None = None) -> DataFrame:
+    """One pass over facts: metrics are partial and final aggregates. Decimal results are cast to double at the end, so
+    that sums are exact. Totals come from rollup over the rows, never from adding groups. Filters on stored columns
+    reach the scan by themselves; within gives, for a period that is derived, its condition on a stored column."""
     if missing := [m for m in plan.metrics if m not in metrics]:
         raise ValueError(f"unknown metrics: {missing}")
     check_additive(plan, metrics, period)
     rows = facts
+    if within and (value := one_period(plan, period)) is not None:
+        rows = rows.filter(within(value))
     if conditions := [F.expr(f) for f in bound(plan.filters, plan.params)]:
         rows = rows.filter(reduce(Column.__and__, conditions))
     aggregates = [F.expr(metrics[m].expression).alias(m) for m in plan.metrics]

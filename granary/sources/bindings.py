@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,20 +10,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def loan_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A loan per line item: one row per loan and reporting month. Suppliers and nations are joined as Spark finds best."""
+def in_month(value: str) -> Column:
+    """A month (yyyyMM) as a range of the day that loan_snapshot keeps, which reaches the scan."""
+    first = F.to_timestamp(F.lit(f"{value}01"), "yyyyMMdd")
+    return (F.col("day") >= first) & (F.col("day") < F.add_months(first, 1).cast("timestamp"))
+
+
+def loan_snapshot(spark: SparkSession, sf_dir: str, used: set[str] | None = None) -> DataFrame:
+    """A loan per line item: one row per loan and reporting month. Suppliers and nations are joined as Spark finds best;
+    with the names of used columns, only the tables are joined that have one of them."""
     t = lambda name: table(spark, sf_dir, name)
     place = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("fin_org_branch_area_code"))
     who = t("orders").select("o_orderkey", F.col("o_custkey").alias("ent_code"), F.col("o_orderpriority").alias("fin_org_type_code"))
     kind = t("part").select("p_partkey", F.col("p_type").alias("green_loan_type_code"))
-    rows = t("lineitem").join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(place, F.col("l_suppkey") == F.col("s_suppkey")).join(kind, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t("lineitem")
+    for other, left, right in ((who, "l_orderkey", "o_orderkey"), (place, "l_suppkey", "s_suppkey"), (kind, "l_partkey", "p_partkey")):
+        if used is None or used & set(other.columns):
+            rows = rows.join(other, F.col(left) == F.col(right))
     flag = lambda c: F.when(c, "1").otherwise("0")
+    joined = [c for c in ("ent_code", "fin_org_branch_area_code", "fin_org_type_code", "green_loan_type_code") if c in rows.columns]
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("loan_iou_no"),
-        "ent_code",
-        "fin_org_branch_area_code",
-        "fin_org_type_code",
-        "green_loan_type_code",
+        F.col("l_shipdate").alias("day"),
+        *joined,
         F.col("l_extendedprice").cast("decimal(22,2)").alias("loan_bal_rmb"),
         F.col("l_discount").cast("decimal(15,5)").alias("rate"),
         F.date_format("l_shipdate", "yyyyMM").alias("dt"),
@@ -145,7 +154,7 @@ def actual(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("STATUS='"), "o_orderstatus", F.lit("'")), F.when(k % 19 == 7, F.lit("dt='199707'")).otherwise(F.lit("dt  =  '199706'"))).alias("filters"),
         F.when((k % 3 == 0) & (k % 6 != 3), lits("area")).otherwise(none).alias("group_by"),
         (k % 23 != 1).alias("success"),
-        F.when(k % 37 == 2, None).otherwise("SELECT 1").alias("trusted_sql"),
+        F.when(k % 37 == 2, None).when(k % 37 == 3, " \n").otherwise("SELECT 1").alias("trusted_sql"),
     )
 
 
@@ -162,6 +171,12 @@ OUTPUTS = (
     '{"status": "FAIL", "missing_requirements": ["period %d"], "issues": ["wrong join"]}',
     '{"status": "pass", "missing_requirements": [], "issues": []}',
     "not json at all",
+    '{"rule_id": null, "title": "t", "severity": "low", "message": "m", "suggestion": "s", "evidence": "e", "category": "c", "confidence": 1}',
+    '{"rule_id": "LLM_D", "title": "t", "severity": null, "message": "m", "suggestion": "s", "evidence": "e", "category": "c", "confidence": 1}',
+    '{"fixed_sql": 5, "applied_fixes": [], "manual_notes": []}',
+    '{"issues": [{"rule_id": "LLM_E", "title": "t", "severity": "Low", "message": "m", "suggestion": "s", "evidence": "e", "category": "c", "confidence": 0}, {"rule_id": "F", "severity": "low"}, "text"]}',
+    '{"issues": []}',
+    '{"issues": "none"}',
 )
 
 
@@ -173,7 +188,10 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(thread_id, seq, event, text): a thread's first turn starts it, the assistant asks for clarification, the user answers."""
+    """(thread_id, seq, event, text): a thread's first turn starts it, the assistant asks for clarification, the user
+    answers. Some answers are blank, some events unknown, some come twice."""
     c = table(spark, sf_dir, "conversations")
-    event = F.when((F.col("turn") == 0) | (F.col("role") == "system"), "start").when(F.col("role") == "assistant", F.when(F.char_length("text") % 4 == 0, "attempt_failed").when(F.char_length("text") % 4 == 1, "attempt_passed").otherwise("clarification")).otherwise("answer")
-    return c.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), event.alias("event"), F.when(F.char_length("text") % 19 == 0, " ").otherwise(F.col("text")).alias("text"))
+    event = F.when((F.col("turn") == 0) | (F.col("role") == "system"), "start").when(F.col("role") == "assistant", F.when(F.char_length("text") % 4 == 0, "attempt_failed").when(F.char_length("text") % 4 == 1, "attempt_passed").otherwise("clarification")).when(F.char_length("text") % 23 == 0, "ping").otherwise("answer")
+    text = F.when(F.char_length("text") % 19 == 0, " ").when(F.char_length("text") % 17 == 0, "\n\t").otherwise(F.col("text"))
+    rows = c.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), event.alias("event"), text.alias("text"))
+    return rows.unionByName(rows.filter("(thread_id + seq) % 5 = 0"))

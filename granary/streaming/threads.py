@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from granary.functions.text import clean
+
 MAX_ROUNDS, MAX_RETRIES = 3, 1
+#: What happens in a thread; other events change nothing.
+EVENTS = ("start", "clarification", "answer", "attempt_failed", "attempt_passed")
 STATE = "turn_no int, clarification_round int, attempt int, status string, last_seq long"
 
 
@@ -40,12 +44,13 @@ def step(state: tuple[int, int, int, str, int], seq: int, event: str, text: str
 def thread_state(events: DataFrame, max_rounds: int = MAX_ROUNDS, max_retries: int = MAX_RETRIES) -> DataFrame:
     """(thread_id, turn_no, clarification_round, attempt, status) of rows (thread_id, seq, event, text), by window sums.
 
-    Only the last turn counts; of it the events up to the one that fails it: the first blank answer, or clarification after
+    Rows that repeat a thread and seq are one event, the least of them. Only the last turn counts; of it the events up to the one that fails it: the first blank answer, or clarification after
     the most rounds. Attempts count from the last answer."""
     e = F.col("event")
+    events = events.groupBy("thread_id", "seq").agg(F.min(F.struct("event", F.coalesce("text", F.lit("")).alias("text"))).alias("x")).select("thread_id", "seq", "x.event", "x.text").filter(e.isin(*EVENTS))
     starts = events.groupBy("thread_id").agg(F.count_if(e == "start").cast("int").alias("turn_no"), F.max(F.when(e == "start", F.col("seq"))).alias("start_seq"))
     last = events.join(starts, "thread_id").filter("seq > start_seq")
-    answer = (e == "answer") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    answer = (e == "answer") & (clean("text") != "")
     up_to = Window.partitionBy("thread_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = last.withColumn("rounds", F.count_if(answer).over(up_to))
     fails = ((e == "answer") & ~answer) | ((e == "clarification") & (F.col("rounds") >= max_rounds))
@@ -73,7 +78,8 @@ class ThreadProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, "none", -1)
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+        frame = pd.concat(list(rows))
+        for r in frame.assign(text=frame["text"].fillna("")).sort_values(["seq", "event", "text"]).itertuples():
             if r.seq > state[4]:  # a row that comes again is not counted again
                 state = step(state, int(r.seq), r.event, r.text)
         self.state.update(state)
@@ -89,12 +95,13 @@ def thread_stream(events: DataFrame) -> DataFrame:
 
 
 def review_stream(scripts: DataFrame, path: str, checkpoint: str, registry: Any = None) -> Any:
-    """Rule issues of arriving scripts (script_id, mode, sql). A batch writes its own folder, so that one that runs again
-    after a failure replaces itself; a script that comes again is reviewed once per batch."""
+    """Rule issues of arriving scripts (script_id, mode, sql). A script is reviewed once by its id, however often it comes
+    again. A batch writes its own folder, so that one that runs again after a failure replaces itself."""
     from granary.operators.facts import facts
     from granary.operators.rules import default_registry
 
     def save(batch: DataFrame, number: int) -> None:
-        (registry or default_registry()).issues(facts(batch.dropDuplicates(["script_id"]))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (registry or default_registry()).issues(facts(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return scripts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = scripts.dropDuplicates(["script_id"])
+    return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -135,7 +135,7 @@ def test_fix_and_critic(spark):
     assert got[0]["fixed_sql"] == "insert overwrite table ads_order_summary partition(dt='${bizdate}') select o.o_custkey from orders o where dt = '${bizdate}'"
     assert got[0]["applied_fixes"] == ["date", "partition"]
     assert got[1]["fixed_sql"] == "insert overwrite table orders select 1"
-    assert got[2]["fixed_sql"] == f"select o.bad from orders o\n\n{fix.NOTES_HEAD}\n-- TODO COLUMN_NOT_FOUND: o.bad\n" and got[2]["applied_fixes"] == []
+    assert got[2]["fixed_sql"] == f"select o.bad from orders o\n\n{fix.NOTES_HEAD}\n{fix.NOTE}COLUMN_NOT_FOUND: o.bad\n" and got[2]["applied_fixes"] == []
     assert got[3]["fixed_sql"] == "select 1"
     before = spark.createDataFrame([(i, True, 1) for i in range(8)], "script_id long, success boolean, n_issues long")
     none, some = [], ["x"]
@@ -260,3 +260,88 @@ def test_scans_read_what_they_need(spark, small):
     high = plan(compile_plan(B.loan_snapshot(spark, small), MetricPlan(("loan_balance",), group_by=("dt",), filters=("is_high_tech_mfg_loan_code = '1'",))))
     assert "l_tax" not in high and "o_totalprice" not in high and "p_name" not in high
     assert "ReadSchema: struct<vec_id:bigint>" in plan(spark.read.parquet(f"{small}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id"))
+
+
+def test_filters_that_hold_a_second_period_are_refused():
+    from granary.plans.metrics import AdditivityError, LOAN_METRICS, MetricPlan, check_additive, one_period
+
+    for bad in ("dt='1' OR dt='2'", "dt = '1' or true", "dt='1' AND x = 2 OR dt='2'", "dt >= '1'", "upper(dt) = '1'"):
+        with pytest.raises(AdditivityError):
+            check_additive(MetricPlan(("loan_balance",), filters=(bad,)), LOAN_METRICS, "dt")
+    plan = MetricPlan(("loan_balance",), filters=(" dt = '${m}' ",), params={"m": "199706"})
+    check_additive(plan, LOAN_METRICS, "dt")
+    assert one_period(plan, "dt") == "199706"
+
+
+def test_the_month_reaches_the_scan(spark, small):
+    from granary.queries import QUERIES
+
+    plan = QUERIES["metric_by_area"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
+
+
+def test_only_used_tables_are_joined(spark, small):
+    from granary.queries import QUERIES
+
+    plan = QUERIES["metric_by_area"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "part.parquet" not in plan and "supplier.parquet" in plan
+
+
+def test_metrics_of_a_model(spark):
+    from granary.plans.metrics import AdditivityError, MetricPlan, compile_plan, declared
+
+    rows = [{"name": "loans", "expression": "count(*)", "additive": True, "description": "d"}, {"name": "stock", "expression": "sum(n)"}]
+    metrics = declared(rows)
+    facts = spark.createDataFrame([("1", 2), ("2", 3)], "dt string, n int")
+    assert compile_plan(facts, MetricPlan(("loans",)), metrics).first()["loans"] == 2
+    assert compile_plan(facts.limit(0), MetricPlan(("loans",)), metrics).first()["loans"] == 0
+    with pytest.raises(AdditivityError):
+        compile_plan(facts, MetricPlan(("stock",)), metrics)
+
+
+def test_batch_and_stream_agree_on_odd_events(spark, tmp_path):
+    """Blank answers of any white space, unknown events, repeated rows, several batches."""
+    from granary.streaming.threads import thread_state, thread_stream
+
+    rows = [(1, 0, "start", None), (1, 1, "answer", "\n"), (2, 0, "start", None), (2, 1, "clarification", None), (2, 2, "hello", None), (3, 0, "start", None), (3, 1, "attempt_failed", None), (3, 1, "attempt_failed", None), (4, 0, "answer", "x"), (5, 0, "start", None), (5, 1, "answer", "　")]
+    schema = "thread_id long, seq long, event string, text string"
+    events = spark.createDataFrame(rows, schema)
+    events.filter("seq = 0").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    events.filter("seq > 0").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    run = thread_stream(stream).writeStream.format("memory").queryName("odd_threads").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = {}
+    for r in spark.table("odd_threads").collect():
+        last[r["thread_id"]] = tuple(r) if r["thread_id"] not in last or tuple(r)[1:] != (0, 0, 0, "none") else last[r["thread_id"]]
+    assert set(last.values()) == {tuple(r) for r in thread_state(events).collect()}
+
+
+def test_block_search_equals_the_join(spark, small):
+    from granary.operators import retrieval
+    from granary.sources import bindings
+
+    asked, docs = bindings.questions(spark, small), bindings.docs(spark, small)
+    fast, slow = retrieval.best_by_block(asked, docs, 7), retrieval.top(retrieval.similarities(asked, docs), 7)
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    assert retrieval.best_by_block(asked, docs, 7, most=3) is None
+    assert retrieval.retrieve(asked.limit(0), docs, 3).count() == 0 == retrieval.retrieve(asked, docs.limit(0), 3).count()
+
+
+def test_a_script_is_reviewed_once(spark, tmp_path):
+    from granary.streaming.threads import review_stream
+
+    rows = [(1, "prod", "drop table a"), (1, "prod", "drop table a"), (2, "prod", "select 1")]
+    schema = "script_id long, mode string, sql string"
+    for k in "ab":
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    review_stream(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/c").awaitTermination()
+    assert [r["script_id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [1]
+
+
+def test_catalog_text_of_rules():
+    from granary.operators.rules import catalog_text, default_registry
+
+    lines = catalog_text(default_registry()).split("\n")
+    assert len(lines) == 7 and lines[0].startswith("- SELECT_STAR [medium, style, debug/prod/backfill]: ")
