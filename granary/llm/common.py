@@ -38,13 +38,49 @@ def sized(batch: pa.RecordBatch, column: str, size: int = 4 << 20, rows: int = 1
         at = end
 
 
+class Kept:
+    """Lists of 32-bit integers by name, at most `most` of them: those used last. Arrow holds them, so that a name takes
+    tens of bytes, and Python sees each new name once."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.turn = most, 0
+        self.names, self.lists, self.used = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, "i4")
+
+    def of(self, names: pa.Array, learn: Callable[[list[str]], pa.ListArray]) -> pa.ListArray:
+        """The lists of distinct names; learn gives those of names that aren't held."""
+        self.turn += 1
+        at = pc.index_in(names, self.names)
+        new = names.filter(at.is_null())
+        if len(self.names) + len(new) > self.most:
+            half = len(self.used) // 2
+            stays = self.used >= np.partition(self.used, half)[half] if half and len(new) < self.most // 2 else np.zeros(len(self.used), bool)
+            stays[at.drop_null().to_numpy()] = True
+            stays = pa.array(stays)
+            self.names, self.lists, self.used = self.names.filter(stays), self.lists.filter(stays), self.used[stays.to_numpy(zero_copy_only=False)]
+            at = pc.index_in(names, self.names)
+        if len(new):
+            fresh_at = np.cumsum(at.is_null().to_numpy(zero_copy_only=False), dtype="i4") + np.int32(len(self.names) - 1)
+            at = pc.if_else(at.is_null(), pa.array(fresh_at), at)
+            self.names = pa.concat_arrays([self.names, new])
+            self.lists = pa.concat_arrays([self.lists, learn(new.to_pylist())])
+            self.used = np.concatenate([self.used, np.zeros(len(new), "i4")])
+        self.used[at.to_numpy()] = self.turn
+        return self.lists.take(at)
+
+
+def list_array(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """Lists of the given lengths, their 32-bit values one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("i4")), pa.array(values))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where a session names none (tests on one machine) a temporary folder takes its place.
-    """
+    A session on one machine that names none (as in tests) gets a temporary folder; a cluster's session must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, sized
+from .common import Kept, list_array, new_path, sized
 
 TOKENS = "file_no int, seq long, doc_id long, n_tokens long, tokens array<int>"
 #: Texts with none of these take the quick way below: their characters are their own NFC form and have no case exceptions.
@@ -43,7 +43,7 @@ class Encoder:
     def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.batch = Tokenizer.from_file(path), most, 0
+        self.tokenizer, self.kept = Tokenizer.from_file(path), Kept(most)
         rules = json.loads(self.tokenizer.to_str())
         suffix = rules["model"].get("end_of_word_suffix")
         normalizers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
@@ -53,7 +53,6 @@ class Encoder:
         self.ends = np.zeros(max(words.values()) + 1, bool)
         for word, i in words.items():
             self.ends[i] = bool(suffix) and word.endswith(suffix)
-        self.parts, self.table, self.used = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.zeros(0, "i4")
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
@@ -82,26 +81,7 @@ class Encoder:
                 each = [self.ids(p) for p in some]
                 found += each
                 counts.append(np.array([len(x) for x in each]))
-        return pa.ListArray.from_arrays(pa.array(_offsets(np.concatenate(counts))), pa.array(np.concatenate(found)))
-
-    def of_parts(self, parts: pa.Array) -> pa.ListArray:
-        """The ids of distinct parts."""
-        self.batch += 1
-        at = pc.index_in(parts, self.parts)
-        new = parts.filter(at.is_null())
-        if len(self.parts) + len(new) > self.most:
-            held = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2] if len(new) < self.most // 2 else np.zeros(len(self.used), bool)
-            held[at.drop_null().to_numpy()] = True
-            held = pa.array(held)
-            self.parts, self.table, self.used = self.parts.filter(held), self.table.filter(held), self.used[held]
-            at = pc.index_in(parts, self.parts)
-        if len(new):
-            at = pc.if_else(at.is_null(), pa.array(np.cumsum(at.is_null().to_numpy(zero_copy_only=False), dtype="i4") + np.int32(len(self.parts) - 1)), at)
-            self.parts = pa.concat_arrays([self.parts, new])
-            self.table = pa.concat_arrays([self.table, self.learned(new.to_pylist())])
-            self.used = np.concatenate([self.used, np.zeros(len(new), "i4")])
-        self.used[at.to_numpy()] = self.batch
-        return self.table.take(at)
+        return list_array(np.concatenate(counts), np.concatenate(found))
 
     def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """The ids of each text and end_id, as 32-bit integers.
@@ -115,12 +95,12 @@ class Encoder:
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(pc.replace_substring_regex(coded.dictionary, f"({PIECES})", r"\1 ")))
         parts = split.flatten().dictionary_encode()
-        each = self.of_parts(parts.dictionary).take(parts.indices)
+        each = self.kept.of(parts.dictionary, self.learned).take(parts.indices)
         words = pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[split.offsets.to_numpy()]), each.values)
         # The ends of texts: end_id, after the ids of a text that stands apart.
         ends = [np.array([end_id], "<i4"), *(np.append(self.ids(texts[i].as_py()), np.int32(end_id)) for i in apart.tolist())]
         first = len(words)
-        table = pa.concat_arrays([words, pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in ends])), pa.array(np.concatenate(ends)))])
+        table = pa.concat_arrays([words, list_array([len(x) for x in ends], np.concatenate(ends))])
         codes = coded.indices.to_numpy().copy()
         codes[offsets[1:] - 1] = first
         codes[offsets[apart + 1] - 1] = first + 1 + np.arange(len(apart))
@@ -128,10 +108,6 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[offsets]), found.values)
 
 
-def _offsets(counts: Sequence[int]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(counts)]).astype("i4")
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 32, page_kb: int = 64) -> None:
     """Encode every whole text, append end_id, and write the files under path.
 
