@@ -1,8 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A classifier's costs are the capacities between a block and the two terminals
-(content, boilerplate); neighbours in page order and siblings in the document tree are joined by edges that a cut has
-to pay for, so that a block of doubt follows its surroundings. The maximum flow separates the two labels at least cost.
+A page becomes a row of text blocks. A classifier adds up the evidence of a block's text and place as log-odds, whose
+size is the capacity between the block and one of the two terminals (content, boilerplate); neighbours in page order and
+siblings in the document tree are joined by edges that a cut has to pay for, the less the farther apart they are in the
+tree. Text alone gives costs of the edges' size, so that a block of doubt (a title, a short line, a list, a line of
+links) follows its surroundings. The maximum flow separates the two labels at least cost.
+
+There are no labels for pages: the weights are stated constants. What names a part of a page by its element or by a whole
+class or id outweighs all else, as a long comment or advert reads like an article.
 """
 
 from __future__ import annotations
@@ -20,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import sized
 
 #: Names of HTML elements and of usual roles and classes of page parts.
-SKIPPED = "noscript template iframe object select option button canvas"
+SKIPPED = "template iframe select option button"
 #: What holds no markup, and ends with the page at the latest; what may close itself.
-RAW, FOREIGN = "script style textarea", "svg math"
+RAW, FOREIGN = "script style textarea", "svg"
 #: The elements that a head may hold: another one ends it, with or without an end tag.
 IN_HEAD = "base basefont bgsound link meta noscript script style template title"
 BLOCKS = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -44,56 +49,77 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: What scores a block: content if above 0. The sign picks the terminal, the size is the capacity.
-BASE, IN_ARTICLE, OUTSIDE, HINTED, LINKED, SENTENCE, HEADING, LONG = -0.5, 4.0, -8.0, -8.0, -4.0, 1.0, 1.0, 1.5
-#: Capacities of the edges between neighbours in page order and between siblings.
-ADJACENT, SIBLING = 0.3, 0.7
+#: Words that say where or what shape a part is; beside a word of HINTS they don't name another thing.
+NEUTRAL = set("site page main top bottom left right list item items box bar block wrap wrapper container section inner outer area text body content links link post entry article global primary secondary fixed sticky inline js module component".split())
+RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
+STOP = re.compile(r"[.!?…。][\"'”’)]*$")
+#: Log-odds of content. In an article, or outside one on a page that has one; in an element or class that names another
+#: part; in a class that only mentions one; share of linked text; a line of rights. Then what the text alone says: a
+#: full stop, a heading, no stop and under 40 characters, and up to LONG for 200 characters.
+BASE, IN_ARTICLE, OUTSIDE, BESIDE, MENTIONED, LINKED, RIGHTS_LINE = -0.3, 2.5, -2.5, -8.0, -1.0, -2.0, -3.0
+SENTENCE, HEADING, SHORT, LONG = 0.8, 0.3, -0.3, 1.5
+#: Capacities between neighbours in page order, over one more than the steps between their parents in the tree; between
+#: siblings that aren't neighbours; and what is left of both where one block is in a part beside the article.
+ADJACENT, SIBLING, ACROSS = 1.0, 0.6, 0.2
+#: Blocks of a run are not evidence apart from each other: they count for so many at most.
+RUN = 2
 
 
 @dataclass
 class Block:
     text: str
     score: float
-    parent: int
+    path: tuple[int, ...]
+    beside: bool = False
 
 
 #: These name a part beside the article only outside of it; within it they hold its title.
 HEADS = {"header", "masthead", "topbar"}
 
 
-def hinted(attrs: str, inside: bool) -> bool:
-    """Whether the attributes of an element (inside an article or not) name a part beside the article, or hide it."""
+def hinted(attrs: str, inside: bool) -> float:
+    """The evidence of an element's attributes (inside an article or not): BESIDE if they hide it, or if a whole class or id
+    names a part beside the article; MENTIONED if one only holds such a word."""
+    found = 0.0
     for name, *values in NAMED.findall(attrs):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role") and (HINTS - HEADS if inside else HINTS) & set(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return BESIDE
+        if name in ("class", "id", "role"):
+            for whole in value.split():
+                parts = {x for x in re.split(r"[^a-z]+", whole) if x}
+                if named := parts & (HINTS - HEADS if inside else HINTS):
+                    if parts <= named | NEUTRAL:
+                        return BESIDE
+                    found = MENTIONED
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks in page order, with their scores and the number of the element that they stand in."""
     out: list[Block] = []
-    # Open elements: (tag, number, in an article, beside it, in a heading); an anchor's depth counts links.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Open elements: (tag, number, in an article, evidence of what it is beside, in a heading); an anchor's depth counts links.
+    stack: list[tuple[str, int, bool, float, bool]] = [("", 0, False, 0.0, False)]
     made, anchors = 0, 0
     parts: list[str] = []
+    within: list[bool] = []
     linked = 0
     in_head, in_title = False, False
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                _, number, inside, beside, heading = stack[-1]
-                parent = stack[-2][1] if stack[-1][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td") and len(stack) > 1 else number
-                share = min(1.0, linked / len(text))
-                score = BASE + IN_ARTICLE * inside + (HINTED * beside) + LINKED * share + HEADING * heading
-                score += SENTENCE * bool(re.search(r"[.!?…。][\"'”’)]*$", text)) + LONG * min(1.0, len(text) / 200)
-                out.append(Block(text, score, parent))
+                _, _, inside, beside, heading = stack[-1]
+                leaf = stack[-1][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td") and len(stack) > 1
+                stop = bool(STOP.search(text))
+                score = BASE + IN_ARTICLE * inside + beside + LINKED * min(1.0, linked / len(text)) + LONG * min(1.0, len(text) / 200)
+                score += SENTENCE * stop + HEADING * heading + SHORT * (not stop and not heading and stack[-1][0] != "li" and len(text) < 40)
+                score += RIGHTS_LINE * (not inside and len(text) < 300 and bool(RIGHTS.search(text)))
+                out.append(Block(text, score, tuple(x[1] for x in (stack[:-1] if leaf else stack)), beside <= BESIDE))
+                within.append(inside)
             parts.clear()
         linked = 0
 
@@ -102,6 +128,7 @@ def blocks(page: str) -> list[Block]:
             if in_head and (in_title or not text.strip()):
                 continue
             in_head = False
+            text = html.unescape(text)  # before it is joined: a reference doesn't span tags
             parts.append(text)
             if anchors:
                 linked += len(text.strip())
@@ -134,9 +161,12 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()  # such an element ends where the next block starts
                 made += 1
                 _, _, inside, beside, _ = stack[-1]
-                off = tag in _OUTER or (tag == "header" and not inside) or (bool(m["attrs"]) and hinted(m["attrs"], inside) and tag not in ("body", "html", "article", "main"))
-                stack.append((tag, made, (inside or tag in ("article", "main")), beside or off, tag[0] == "h" and tag[1:].isdigit()))
+                off = BESIDE if tag in _OUTER or (tag == "header" and not inside) else hinted(m["attrs"], inside) if m["attrs"] and tag not in ("body", "html", "article", "main") else 0.0
+                stack.append((tag, made, (inside or tag in ("article", "main")), max(beside + off, BESIDE), tag[0] == "h" and tag[1:].isdigit()))
     flush()
+    if any(within):
+        for b, inside in zip(out, within, strict=True):
+            b.score += 0.0 if inside else OUTSIDE
     return out
 
 
@@ -205,25 +235,31 @@ def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tu
 
 
 def labels(found: list[Block]) -> list[bool]:
-    """Whether each block is content. Runs of blocks of one parent and sign are one node of the graph: no cut
-    between them is ever cheaper, as they pull the same way."""
-    nodes: list[tuple[float, int]] = []
+    """Whether each block is content. A run of blocks of one parent that pull the same way is one node of the graph."""
+    runs: list[list[Block]] = []
     of: list[int] = []
     for b in found:
-        if nodes and nodes[-1][1] == b.parent and (nodes[-1][0] > 0) == (b.score > 0):
-            nodes[-1] = (nodes[-1][0] + b.score, b.parent)
+        if runs and runs[-1][-1].path == b.path and runs[-1][-1].beside == b.beside and (runs[-1][-1].score > 0) == (b.score > 0):
+            runs[-1].append(b)
         else:
-            nodes.append((b.score, b.parent))
-        of.append(len(nodes) - 1)
-    if all(s > 0 for s, _ in nodes) or all(s <= 0 for s, _ in nodes):
-        return [nodes[k][0] > 0 for k in of]
-    edges = [(i, i + 1, ADJACENT) for i in range(len(nodes) - 1)]
-    last: dict[int, int] = {}
-    for i, (_, parent) in enumerate(nodes):
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    side = max_flow_side(len(nodes), [max(s, 0.0) for s, _ in nodes], [max(-s, 0.0) for s, _ in nodes], edges)
+            runs.append([b])
+        of.append(len(runs) - 1)
+    scores = [sum(b.score for b in run) * min(1.0, RUN / len(run)) for run in runs]
+    if all(x > 0 for x in scores) or all(x <= 0 for x in scores):
+        return [scores[k] > 0 for k in of]
+    edges = []
+    last: dict[tuple[int, ...], int] = {}
+    for i, run in enumerate(runs):
+        b = run[0]
+        if i:
+            a = runs[i - 1][0]
+            shared = next((k for k, (x, y) in enumerate(zip(a.path, b.path, strict=False)) if x != y), min(len(a.path), len(b.path)))
+            edges.append((i - 1, i, ADJACENT / (1 + len(a.path) + len(b.path) - 2 * shared) * (ACROSS if a.beside != b.beside else 1.0)))
+        before = last.get(b.path, i)
+        if before < i - 1:
+            edges.append((before, i, SIBLING * (ACROSS if runs[before][0].beside != b.beside else 1.0)))
+        last[b.path] = i
+    side = max_flow_side(len(runs), [max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], edges)
     return [side[k] for k in of]
 
 
