@@ -75,27 +75,30 @@ class Model:
     bits: np.ndarray
 
 
-def train(samples: dict[str, str], most_letters: int = 120) -> Model:
-    """samples: training text by language, simplified. Letters beyond the most frequent ones share a code."""
+def train(samples: dict[str, str], most_letters: int = 100, spread: int = 24) -> Model:
+    """samples: training text by language, simplified. Letters beyond the most frequent ones share `spread` codes, by a
+    hash of the letter, so that scripts of thousands of letters are told apart as well."""
     languages = sorted(samples)
     letters = [c for c, _ in sorted(Counter("".join(samples.values()).replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))[:most_letters]]
     code = {" ": 0, **{c: i + 1 for i, c in enumerate(letters)}}
     other = len(letters) + 1
-    size = other + 1
+    spread = spread if any(c not in code for x in samples.values() for c in set(x)) else 1
+    size = other + spread
+    rare = lambda c: other + (ord(c) * 0x9E3779B1 >> 7) % spread
     codes = np.zeros(0x110000, "u1")
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
             low = c.lower()
-            codes[point] = code.get(low if len(low) == 1 else low[0], other)
+            codes[point] = code[low[0]] if low[0] in code else rare(low[0])
     tables, roots, shift = [], [], 0
     for name in languages:
-        step = suffix_automaton("".join(c if c in code else "￿" for c in samples[name]))
+        step = suffix_automaton("".join(chr(code[c]) if c in code else chr(rare(c)) for c in samples[name]))
         n = len(step) + 1  # the last state: after a character that no phrase starts with
         nxt = np.full((n, size), -1, "i8")
         for s, to in enumerate(step):
             for c, t in to.items():
-                nxt[s, code.get(c, other)] = t
+                nxt[s, ord(c)] = t
         start = np.where(nxt[0] >= 0, nxt[0], n - 1)
         table = np.where(nxt >= 0, nxt, start + 0)
         ended = nxt < 0
@@ -148,21 +151,24 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total, counts
 
 
-def training_texts(docs: DataFrame, holds: Column, id_col: str, text_col: str, label_col: str, documents: int, characters: int, per_document: int, most_languages: int) -> dict[str, str]:
+def training_texts(docs: DataFrame, holds: Column, id_col: str, text_col: str, label_col: str, documents: int, characters: int, per_document: int, in_all: int, least: int) -> dict[str, str]:
     """The sample to learn from, by language: of its documents the first ones in the order of a hash of the id.
 
-    Bounded by the parameters: so many documents, the first so many characters of each, so many in all.
+    Bounded by the parameters: so many documents, so many characters of each from a place that the hash picks, so many a
+    language, and so many in all, dealt equally. With very many labels those of the most documents are learned, `least`
+    characters each.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     labelled = docs.filter(holds & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = labelled.select(F.col(label_col).alias("label"), F.xxhash64(key).alias("hash"), F.substring(text_col, 1, per_document).alias("text"))
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    at = F.pmod(F.xxhash64(key, F.lit("place")), F.greatest(F.char_length(text_col) - per_document + 1, F.lit(1)).cast("long")).cast("int") + 1
+    piece = F.substr(F.col(text_col), at, F.lit(per_document))
+    rows = labelled.select(F.col(label_col).alias("label"), F.xxhash64(key).alias("hash"), piece.alias("text"))
+    counts = labelled.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(in_all // least).collect()
+    characters = min(characters, in_all // max(len(counts), 1))
+    documents = min(documents, -(-4 * characters // per_document) + 20)
     # Hashes below a language's cut are few, about four times the documents wanted, however large the corpus is.
-    cut = F.lit(2**63 - 1)
-    for r in counts:
-        cut = F.when(F.col("label") == r["label"], F.lit(min(2**63 - 1, int(-(2**63) + 4 * documents / r["n"] * 2**64)))).otherwise(cut)
+    cuts = {r["label"]: min(2**63 - 1, int(-(2**63) + 4 * documents / r["n"] * 2**64)) for r in counts}
+    cut = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("label")) if cuts else F.lit(0)
     rank = Window.partitionBy("label").orderBy("hash", "text")
     rows = rows.filter(F.col("hash") <= cut).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= documents).orderBy("label", "rank")
     found: dict[str, str] = {}
@@ -173,20 +179,21 @@ def training_texts(docs: DataFrame, holds: Column, id_col: str, text_col: str, l
     return {k: v for k, v in found.items() if v}
 
 
-def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", documents: int = 300, characters: int = 30_000, per_document: int = 600, most_languages: int = 64, carry: Sequence[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, fold: int = 2, folds: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", documents: int = 300, characters: int = 30_000, per_document: int = 600, in_all: int = 240_000, least: int = 240, carry: Sequence[str] | None = None) -> DataFrame:
     """One row per row of docs: (doc_id, held_out, lang_pred, score), or with carry those columns, then these.
 
     Held out are documents whose crc32 of the id as text, modulo folds, is fold (a null id: of the empty text); the
     others' texts and labels may be learned from, within the sample that the parameters bound. Only the text
     enters a prediction. A null text, or one without a letter, is `und` with score 0; so is every text if nothing could be learned.
     score is one less the ratio of the least to the second least entropy, 1 with a single language; on equal entropies
-    the name that sorts first wins and score is 0. Repeated rows get equal rows; an empty table gives an empty result.
+    the name that sorts first wins and score is 0. Whole texts are parsed, however long. Any number of labels is allowed
+    (see training_texts); other columns, whatever their names, come back if carried. Repeated rows get equal rows; an empty table gives an empty result.
     """
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     held = F.pmod(F.crc32(ident.cast("binary")), F.lit(folds)) == fold
-    samples = training_texts(docs, ~held, id_col, text_col, label_col, documents, characters, per_document, most_languages)
+    samples = training_texts(docs, ~held, id_col, text_col, label_col, documents, characters, per_document, in_all, least)
     model = train(samples) if samples else None
-    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))  # bounded by most_languages * characters
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))  # bounded by in_all characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
         model = Model(**shared.value) if shared.value else None
