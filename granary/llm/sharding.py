@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit
+from .common import unit, written
 
 
 def rendezvous(key: Column, weights: Sequence[float], seed: str = "shard") -> Column:
@@ -23,14 +23,14 @@ def rendezvous(key: Column, weights: Sequence[float], seed: str = "shard") -> Co
     return F.array_min(F.array(*scores))["shard"]
 
 
-def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float = 1.0, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512) -> DataFrame:
+def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float = 1.0, id_col: str = "doc_id", text_col: str = "text", buckets: int = 512, range_rows: int = 10_000) -> DataFrame:
     """One row per row of docs: (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
     The law is `key`: doc_id and the weights decide, nothing else, so equal keys (and repeated rows) share a shard.
     grown_shard is the shard once another of weight grown has joined. size is the text's UTF-8 bytes plus 1 (a null text has none, and the
     empty text's CRC). slot counts a shard's rows without gaps from 0, in the order of a hash bucket, then of id, size
-    and CRC; rows equal in all of these are counted first and take consecutive slots, so that no group has to meet in
-    one task. An empty table gives an empty result; other columns aren't read.
+    and CRC; rows equal in all of these are counted first and take consecutive slots. A group of more than range_rows is
+    dealt to tasks in ranges of slots, so that none has to be written out by one task. An empty table gives an empty result; other columns aren't read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
@@ -49,4 +49,9 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float =
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
     placed = equal.withColumn("end", F.sum("n").over(within)).join(F.broadcast(offsets), ["shard", "bucket"])
     first = F.col("offset") + F.col("end") - F.col("n")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard")
+    placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", first.alias("first"), (first + F.col("n") - 1).alias("last")), "placed")
+    large = F.col("last") - F.col("first") >= range_rows
+    ranges = placed.filter(large).withColumn("first", F.explode(F.sequence("first", "last", F.lit(range_rows).cast("long"))))
+    ranges = ranges.withColumn("last", F.least("last", F.col("first") + range_rows - 1)).repartition("shard", "first")
+    dealt = placed.filter(~large).unionByName(ranges)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("first", "last")).alias("slot"), "grown_shard")
