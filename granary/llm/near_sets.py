@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, carried, counted_join, sized, written
-from .simhash import BITS, bit_groups, bit_statistics, components, equal_pairs, keys_of, labelled_classes, met, probes
+from .simhash import BITS, bit_groups, bit_statistics, components, equal_pairs, keys_of, labelled_classes, met, probes, spanning
 
 WIDTH = 5
 #: Sets are near copies if their similarity is NUMERATOR / DENOMINATOR at least.
@@ -36,7 +36,7 @@ MISSED = 0.002
 #: Bits of the compared words that may differ: the mean at that similarity and four standard deviations.
 FAR = math.floor(BITS * COMPARED * DIFFERS + 4 * math.sqrt(BITS * COMPARED * DIFFERS * (1 - DIFFERS)))
 #: Sets and shingles of one block; two blocks meet in a task.
-BLOCK_SETS, BLOCK_ITEMS = 1000, 1_000_000
+BLOCK_SETS, BLOCK_ITEMS = 250, 500_000
 #: Odd multipliers: of a word's place in a shingle, and of each word of a fingerprint.
 _PLACE = np.array([xxhash.xxh64_intdigest(b"place %d" % i) | 1 for i in range(WIDTH)], "u8")
 _TIMES = np.array([xxhash.xxh64_intdigest(b"times %d" % i) | 1 for i in range(WORDS)], "u8")
@@ -152,11 +152,12 @@ def marks(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     return carried(docs, [F.col("text")], carry, ", ".join(f"{c} long" for c in ["fp", *_FINGERPRINT]), run)
 
 
-def planned(distinct: DataFrame, choices: tuple[int, ...] = (2, 3, 4, 5), most: int = 2, probe_cost: float = 4.0) -> list[tuple[str, list[int], int]]:
+def planned(distinct: DataFrame, choices: tuple[int, ...] = (2, 3, 4, 5), most: int = 2, probe_cost: float = 100.0) -> list[tuple[str, list[int], int]]:
     """The groups of bits (word, bits) with the thresholds that cost least: keys to probe and candidates to compare.
 
     For each number of groups in a word a dynamic programme over all groups picks thresholds (none, or 0 to most) whose
-    chances to miss a pair of similarity 0.8 multiply to MISSED at most, or come as near as they can. Groups and
+    chances to miss a pair of similarity 0.8 multiply to MISSED at most, or come as near as they can. A
+    shuffled row costs about as much as probe_cost comparisons. Groups and
     candidates are those of the first word, over all sets; the bits of the others are alike, as one hash gives them all.
     """
     n, ones, both = bit_statistics(distinct, "f0")
@@ -268,8 +269,9 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         at, names, sets = None, [], []
 
         def solved() -> pd.DataFrame:
-            pairs = near_links(sets)
-            return pd.DataFrame({"a": np.array([names[a] for a, _ in pairs], "i8"), "b": np.array([names[b] for _, b in pairs], "i8")})
+            pairs = np.array(near_links(sets), "i8").reshape(-1, 2)
+            found = spanning(np.array(names, "i8"), iter([(pairs[:, 0], pairs[:, 1])]))
+            return pd.DataFrame(np.array(found, "i8").reshape(-1, 2), columns=["a", "b"])
 
         for frame in batches:
             for label, i, j, fp, items in frame.itertuples(index=False):

@@ -167,7 +167,8 @@ def keys_of(fps: DataFrame, planned: list[tuple[str, list[int], int]], carry: Se
 
 
 def spanning(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Of pairs of indexes those that connect names that weren't connected yet."""
+    """Links that connect the names which pairs of indexes connect: from the least name of each group to its others, so
+    that several tasks tend to give the same links."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -176,14 +177,12 @@ def spanning(names: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]])
             x = up
         return x
 
-    found = []
     for left, right in pairs:
         for a, b in zip(names[left].tolist(), names[right].tolist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                found.append((a, b))
-    return found
+    return [(root(x), x) for x in list(parent)]
 
 
 def near_pairs(words: list[np.ndarray], cuts: np.ndarray, within: np.ndarray, side: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
