@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from granary.llm import common, exact_dedup, langid, mixing, near_sets, pieces
 from granary.llm.queries import MIX, vocabulary
 
-#: SQL can't express suffix automata, MinHash or tokenizers.
+#: SQL can't express suffix automata, SimHash or tokenizers.
 ORACLE_SQL = None
 #: A text is rejected if it has no letter, or if it is long enough to tell and its two best languages fit it about
 #: equally well (so that it is neither): so many characters, and a score below this.
@@ -20,7 +20,8 @@ LONG, LEAST_SCORE = 200, 0.02
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no single language that the labelled ones teach; see LEAST_SCORE. Short texts are kept."""
+    """Drops documents in no single language that the labelled ones teach; see LEAST_SCORE. Short texts are kept, null
+    texts and those without a letter go, repeated rows share their fate, and an empty table stays empty."""
     columns = docs.columns
     named = langid.identify(docs, carry=columns)
     pred, score = named.columns[-2:]
@@ -29,7 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but the first document of each group of equal texts."""
+    """Drops all but the first document of each group of equal texts: the one with the least doc_id, null ids last. Null
+    counts as empty; rows that repeat the first one's id and text stay with it; whole texts are compared."""
     gone = common.written(exact_dedup.exact_classes(docs).filter("not kept").select("doc_id", "text_sha256").distinct(), "gone")
     sha = common.fresh(docs, "sha")
     hashed = docs.withColumn(sha, F.sha2(exact_dedup.normalised(F.col("text")), 256))
@@ -37,7 +39,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but the first document of each component of near-duplicates: five-word shingles, similarity 0.8 at least."""
+    """Drops all but the first document of each component of near-duplicates: five-word shingles, similarity 0.8 at least.
+
+    The first has the least doc_id, null ids last; rows of its set of shingles and its id stay. Texts without words
+    (null, empty) are one group; whole texts are compared, however long; see near_sets for the chance to miss a pair."""
     h = common.fresh(docs, "h")
     hashed = docs.withColumn(h, F.xxhash64("text"))
     gone = near_sets.repeated(hashed.select("doc_id", F.col(h).alias("h"), "text"))
@@ -45,12 +50,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the sources get their target weights, in a random order."""
+    """Repeats or drops documents so that the sources get their target weights, in a random order. Null is a source of
+    its own; rows that repeat an id draw the same number; null texts are kept."""
     return mixing.mix(docs, **MIX).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with the check that they decode to it."""
+    """Token ids of each text, with the check that they decode to it. A null text has none; a row per row of docs."""
     return pieces.round_trips(docs, vocabulary("piece_bpe_32k.model"), carry=[c for c in docs.columns if c not in ("text", "n_chars")])
 
 
