@@ -194,3 +194,49 @@ def test_empty_tables(docs):
     assert quality.quality(none).count() == 0
     assert sharding.shard(none).count() == 0
     assert mixing.mix(none, {"a": 1.0}).count() == 0
+
+
+def test_quality_against_labels(spark):
+    """Of the labelled documents the bad ones go, and nearly all good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    judged = quality.quality(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "kept")
+    found = collections.Counter((r["quality"], r["kept"]) for r in judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect())
+    assert found[0, True] <= 0.02 * (found[0, True] + found[0, False])
+    assert found[1, True] >= 0.95 * (found[1, True] + found[1, False])
+
+
+def test_large_groups_are_dealt_in_ranges(spark):
+    """Groups beyond range_rows keep gapless slots."""
+    rows = [(1, "a")] * 57 + [(2, "b")] * 11 + [(i, "c") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(docs, range_rows=10).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    plain = sharding.shard(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain))
+
+
+def test_counted_join_splits_hot_keys(spark, monkeypatch):
+    from granary.llm import common
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(300)] + [(300, None)], "i long, k string")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 'k3'").withColumn("v", F.concat("k", F.lit("!")))
+    want = sorted(map(str, left.join(right, "k", "left").select("i", "k", "v").collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, common.counted_join(left, right, "k", "n", hot=50).select("i", "k", "v").collect())) == want
+
+
+def test_a_cluster_names_its_shared_folder(spark):
+    from granary.llm import common
+    from granary.sources import shared
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)
+
+    for module in (common, shared):
+        with pytest.raises(ValueError):
+            module.shared_dir(Cluster)

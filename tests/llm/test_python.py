@@ -443,3 +443,130 @@ def test_pages_of_known_text(article):
     assert min(cut) > (0.99 if article else 0.95) and cut[0] >= alone[0] - 0.005 and cut[1] >= alone[1]
     if not article:
         assert turned > 100 and cut[1] > alone[1]
+
+
+def made_values(kind, n, seed=1):
+    """Random values of a type in the ways they are written, valid or nearly so."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    pick = lambda *ways: rng.choice(ways)()
+
+    def card():
+        size = rng.choice((13, 14, 15, 16, 16, 16, 19))
+        first, last = rng.choice(pii.ISSUERS[size])
+        head = str(rng.randint(int(first), int(last)))
+        number = head + digits(size - 1 - len(head))
+        number += str(pii.luhn([int(c) for c in number]))
+        return number if rng.random() < 0.5 else " ".join(number[i : i + 4] for i in range(0, size, 4))
+
+    def iban():
+        country, body = rng.choice(("DE", "FR", "GB")), "".join(rng.choice("0123456789ABCXYZ") for _ in range(rng.choice((14, 18, 23))))
+        return f"{country}{pii.Pseudonyms(b'')._iban_check(country, body):02}{body}"
+
+    def date():
+        d, m, y = rng.randint(1, 28), rng.randint(1, 12), rng.randint(1801, 2100)
+        return rng.choice((f"{y}-{m:02}-{d:02}", f"{d}/{m}/{y}", f"{d:02}/{m:02}/{y}", f"{m}/{d}/{y}", f"{m:02}/{d:02}/{y}", f"{d}.{m}.{y}", f"{d:02}/{m}/{y}"))
+
+    makers = {
+        "email": lambda: "".join(rng.choice("abcXYZ019._") for _ in range(rng.randint(2, 9))) + "@a.example.com",
+        "phone": lambda: pick(lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", lambda: f"+{rng.randint(1, 999)} {digits(3)} {digits(4)} {digits(3)}", lambda: f"+49{digits(10)}"),
+        "card": card,
+        "ssn": lambda: f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}",
+        "iban": iban,
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "date": date,
+        "secret": lambda: 'token = "' + "".join(rng.choice("abcdef0123456789") for _ in range(40)) + '"',
+        "numbers": lambda: " ".join(digits(rng.randint(2, 4)) for _ in range(rng.randint(3, 5))),
+    }
+    return sorted({makers[kind]() for _ in range(n)})
+
+
+@pytest.mark.parametrize("kind,n", [("email", 10_000), ("phone", 10_000), ("card", 2_000), ("ssn", 10_000), ("iban", 4_000), ("ip", 10_000), ("date", 3_000), ("secret", 3_000), ("numbers", 10_000)])
+def test_every_value_comes_back(kind, n):
+    """Distinct values get distinct pseudonyms of the same shape, and these turn back into them."""
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    values = made_values(kind, n)
+    new = [there.apply(v)[0] for v in values]
+    assert len(set(new)) == len(values)
+    assert [back.apply(x)[0] for x in new] == values
+    shape = lambda x: [("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c) for c in x]
+    if kind not in ("secret", "iban"):
+        assert [shape(x) for x in new] == [shape(v) for v in values]
+    assert kind in ("email", "numbers") or all(a != b for a, b in zip(new, values, strict=True))
+
+
+def test_dates_keep_their_width():
+    p = pii.Pseudonyms(b"k")
+    assert [len(p.apply(x)[0]) for x in ("28/9/1955", "28/09/1955", "1/1/2000", "01/01/2000")] == [9, 10, 8, 10]
+    assert p.apply("28/9/1955")[0].split("/")[1] in "123456789"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", " ", "version 1.2.3.4.5 of 2020", "99/99/2000 or 2000-13-45", "4111111111111112 fails its check digit", "3417310086869215 has no issuer", "1234567812345670",
+        "ISBN 978-3-16-148410-0", "000-12-3456 and 666-12-3456 and 900-12-3456", "300.1.2.3 and 01.2.3.4", "at 10:30:15, page 12-34", "a@b and @c and d@", "DE00370400440532013000", "pi is 3.14159265358979", "$1,234,567.89", "token of love, the password is secret", "x1234567890123456y", "1 2 3 4 5 6 7 8 9 10",
+    ],
+)
+def test_clean_texts_stay(text):
+    assert pii.Pseudonyms(b"k").apply(text) == (text, {})
+
+
+def test_values_side_by_side():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    text = "call +1 (826) 555-4081 190.137.223.204 or a@b.example.com,4111 1111 1111 1111;28/9/1955 " * 400
+    new, found = there.apply(text)
+    assert found == {"phone": 400, "ip": 400, "email": 400, "card": 400, "date": 400} and back.apply(new)[0] == text
+    assert len(set(new[: len(text)].split("call ")[1:])) == 1
+
+
+def test_pseudonyms_of_odd_tables(spark):
+    rows = [(1, "1.2.3.4 " * 20_000, "x", 5), (1, "1.2.3.4 " * 20_000, "x", 5), (None, "1.2.3.4", None, None)]
+    got = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string, kinds string, n_replaced int"), b"k").collect()
+    assert [r["n_replaced"] for r in sorted(got, key=lambda r: r["doc_id"] or 0)] == [1, 20_000, 20_000]
+    assert len({r["text"].split()[0] for r in got}) == 1 and set(got[0].asDict()) == {"doc_id", "text", "n_replaced", "kinds"}
+
+
+def test_another_vocabulary_is_encoded_by_its_own_rules(texts):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    encoder, library = token_files.Encoder(path), Tokenizer.from_file(path)
+    assert token_files.Encoder(WORDS).quick and not encoder.quick
+    some = [t or "" for t in texts]
+    assert encoder.encode(pa.array(some), 2).to_pylist() == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes, one word of 100,000 letters, and a row with clashing columns."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(300_000))
+    docs = spark.createDataFrame([(2, long, "k", 1, 2), (1, "x" * 100_000, "k", 1, 2)], SCHEMA)
+    got = token_files.tokenised(docs, WORDS).orderBy("doc_id").collect()
+    library = Tokenizer.from_file(WORDS)
+    for r, text in zip(got, ("x" * 100_000, long), strict=True):
+        assert r["ids_crc32"] == zlib.crc32(np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert simhash.near_duplicates(docs).count() == 2
+
+
+def test_many_languages(spark):
+    """More labels than a sample has room for: those of the most documents are learned, and nothing fails."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("aba", "bab", "aab")) if i % 2 else rng.choice(("cdc", "dcd", "ccd")) for _ in range(60)), f"l{i % 2}" if i < 200 else f"n{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, in_all=1000, least=500).collect()}
+    assert all(got[i] == f"l{i % 2}" for i in range(600))
+    assert langid.identify(docs).count() == 600
+
+
+def test_letters_of_large_scripts():
+    """Two languages whose letters are all rare ones are told apart."""
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    make = lambda own: "".join(rng.choice(own) for _ in range(4000))
+    model = langid.train({"x": make(letters[:1500]), "y": make(letters[1500:])})
+    count, _ = langid.phrases(model, [make(letters[:1500])[:300], make(letters[1500:])[:300]])
+    assert count[0, 0] < count[0, 1] and count[1, 1] < count[1, 0]
