@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import clean, plain_spaces, without_comments
+from granary.functions.text import clean, normalised_sql, plain_spaces, without_comments
 
 #: Statements that write, and words after a table that are no alias.
 WRITES = ("insert", "update", "delete", "merge", "create", "drop", "alter")
@@ -77,8 +77,17 @@ def regex_facts(scripts: DataFrame) -> DataFrame:
 
 
 def facts(scripts: DataFrame, extractor: Callable[[DataFrame], DataFrame] = regex_facts) -> DataFrame:
-    """scripts (script_id, mode, sql, ...) with their facts; extractor may be a site's parser (say, a mapInPandas)."""
-    return extractor(scripts)
+    """scripts (script_id, mode, sql, ...) with their facts; extractor may be a site's parser (say, a mapInPandas).
+    norm is the normalised text, unusable says that it can't be read; a table of facts that is written holds them once
+    for all checks."""
+    return extractor(scripts).withColumn("norm", normalised_sql("sql")).withColumn("unusable", unusable(F.coalesce("sql", F.lit(""))))
+
+
+def unusable(sql: Column) -> Column:
+    """Empty text, or quotes or parentheses that don't pair."""
+    bare = F.regexp_replace(sql, r"'[^']*'|\"[^\"]*\"", "")
+    count = lambda c: F.char_length(bare) - F.char_length(F.translate(bare, c, ""))
+    return (clean(sql) == "") | bare.contains("'") | bare.contains('"') | (count("(") != count(")"))
 
 
 def table_rows(found: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import first_true, last_segment, name_key
+from granary.functions.text import first_true, last_segment, name_key, normalised_sql
 from granary.operators.catalog import hinted, is_small
-from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, unusable, with_texts
+from granary.operators.facts import unusable
+from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, with_texts
 
 TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True)
 LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", always, lambda: F.col("table_name"), action="context_required", source="system", requires_metadata=True)
@@ -45,7 +46,8 @@ def known_tables(columns: DataFrame, failed: DataFrame | None = None) -> DataFra
 def table_issues(facts: DataFrame, known: DataFrame, few: bool | None = None) -> DataFrame:
     """Tables without a catalog entry, and those whose lookup failed (which says nothing about whether they exist)."""
     refs = resolved(facts.select("script_id", F.explode("referenced").alias("table_name")), "table_name", known, few)
-    return raised(refs.filter("status = 'NOT_FOUND'"), TABLE_NOT_FOUND).unionByName(raised(refs.filter("status = 'ERROR'"), LOOKUP_FAILED))
+    issue = F.when(F.col("status") == "NOT_FOUND", TABLE_NOT_FOUND.issue()).when(F.col("status") == "ERROR", LOOKUP_FAILED.issue())
+    return refs.select("script_id", issue.alias("x")).filter("x IS NOT NULL").select("script_id", "x.*")
 
 
 def column_issues(facts: DataFrame, columns: DataFrame, few: bool | None = None) -> DataFrame:
@@ -64,27 +66,41 @@ def column_issues(facts: DataFrame, columns: DataFrame, few: bool | None = None)
     return raised(placed.join(hinted(have, few), ["owner", "name"], "left_anti").select("script_id", "qualifier", "name").distinct(), COLUMN_NOT_FOUND)
 
 
-def partition_issues(facts: DataFrame, columns: DataFrame | None, few: bool | None = None) -> DataFrame:
-    """Scripts with a single INSERT and no PARTITION clause: an issue if the catalog says that the target is
-    partitioned; without a catalog a weaker one; a target it doesn't have is silent here."""
-    rows = facts.filter(F.col("insert_target").isNotNull() & ~F.col("has_partition"))
+def with_partitions(facts: DataFrame, columns: DataFrame | None, few: bool | None = None) -> DataFrame:
+    """facts with `partitioned`: whether the catalog says so of the single INSERT's target; null if it doesn't have it."""
     if columns is None:
-        return raised(rows, PARTITION_UNKNOWN)
+        return facts.withColumn("partitioned", F.lit(None).cast("boolean"))
     few = is_small(columns) if few is None else few
     parts = columns.groupBy(F.lower("table_name").alias("found")).agg(F.bool_or("is_partition").alias("partitioned"))
-    placed = resolved(rows.select("script_id", "insert_target"), "insert_target", known_tables(columns), few)
-    return raised(placed.join(hinted(parts, few), "found").filter("partitioned"), NO_PARTITION)
+    return resolved(facts, "insert_target", known_tables(columns), few).join(hinted(parts, few), "found", "left").drop("found", "status")
+
+
+def partition_issue(unknown: bool) -> Column:
+    """Of a row with_partitions, as an array: an INSERT without a PARTITION clause into a partitioned table, or into one
+    that may be, where there is no catalog; a target that the catalog doesn't have is silent here."""
+    lacks = F.col("insert_target").isNotNull() & ~F.col("has_partition")
+    return F.array_compact(F.array(F.when(lacks, PARTITION_UNKNOWN.issue()) if unknown else F.when(lacks & F.col("partitioned"), NO_PARTITION.issue())))
+
+
+def partition_issues(facts: DataFrame, columns: DataFrame | None, few: bool | None = None) -> DataFrame:
+    rows = with_partitions(facts, columns, few)
+    return rows.select("script_id", F.explode(partition_issue(columns is None)).alias("x")).select("script_id", "x.*")
 
 
 def review(facts: DataFrame, columns: DataFrame | None, registry: Registry | None = None, categories: Iterable[str] | None = None, mode: str | None = None) -> DataFrame:
     """All issues of all scripts: (script_id, issue columns). A script that can't be used has one issue, of that. The
-    catalog's checks don't heed the category filter."""
+    catalog's checks don't heed the category filter. What a script's own row tells is raised in one scan."""
     registry = registry or default_registry()
+    if "unusable" not in facts.columns:
+        facts = facts.withColumn("unusable", unusable(F.coalesce("sql", F.lit(""))))
+    if "norm" not in facts.columns:
+        facts = facts.withColumn("norm", normalised_sql("sql"))
     few = columns is not None and is_small(columns)
-    broken = unusable(F.coalesce("sql", F.lit("")))
-    good = facts.filter(~broken)
-    found = raised(facts.filter(broken), PARSE_ERROR).unionByName(registry.issues(good, categories, mode)).unionByName(partition_issues(good, columns, few))
+    rows = with_partitions(facts, columns, few)
+    own = F.when(F.col("unusable"), F.array(PARSE_ERROR.issue())).otherwise(F.concat(registry.broken(categories, mode), partition_issue(columns is None)))
+    found = rows.select("script_id", F.explode(own).alias("x")).select("script_id", "x.*")
     if columns is not None:
+        good = facts.filter("NOT unusable")
         found = found.unionByName(table_issues(good, known_tables(columns), few)).unionByName(column_issues(good, columns, few))
     return found
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import clean, has_wide_space, normalised_sql
+from granary.functions.text import has_wide_space, normalised_sql
 
 ALL_MODES = ("debug", "prod", "backfill")
 #: How severities and sources rank, and the patterns of two rules (and of their fixes). The rules' ids
@@ -108,16 +108,13 @@ class Registry:
         picked = self.selected(categories, mode)
         if not picked:
             return facts.select("script_id", F.explode(F.array(PARSE_ERROR.issue())).alias("x")).filter(F.lit(False)).select("script_id", "x.*")
-        rows = facts.withColumn("norm", normalised_sql("sql"))
-        broken = [F.when(made(r.predicate) & (F.lit(True) if mode else F.col("mode").isin(*r.modes)), r.issue()) for r in picked]
-        return rows.select("script_id", F.explode(F.array_compact(F.array(*broken))).alias("x")).select("script_id", "x.*")
+        rows = facts if "norm" in facts.columns else facts.withColumn("norm", normalised_sql("sql"))
+        return rows.select("script_id", F.explode(self.broken(categories, mode)).alias("x")).select("script_id", "x.*")
 
-
-def unusable(sql: Column) -> Column:
-    """Empty text, or quotes or parentheses that don't pair."""
-    bare = F.regexp_replace(sql, r"'[^']*'|\"[^\"]*\"", "")
-    count = lambda c: F.char_length(bare) - F.char_length(F.translate(bare, c, ""))
-    return (clean(sql) == "") | bare.contains("'") | bare.contains('"') | (count("(") != count(")"))
+    def broken(self, categories: Iterable[str] | None = None, mode: str | None = None) -> Column:
+        """The issues of a row of facts with norm, as an array."""
+        found = [F.when(made(r.predicate) & (F.lit(True) if mode else F.col("mode").isin(*r.modes)), r.issue()) for r in self.selected(categories, mode)]
+        return F.array_compact(F.array(*found)) if found else F.filter(F.array(PARSE_ERROR.issue()), lambda x: F.lit(False))
 
 
 PARSE_ERROR = Rule("SQL_PARSE_ERROR", "high", "syntax", always, lambda: F.substring("sql", 1, 500), action="block", source="system", blocking=True)
