@@ -345,3 +345,34 @@ def test_catalog_text_of_rules():
 
     lines = catalog_text(default_registry()).split("\n")
     assert len(lines) == 7 and lines[0].startswith("- SELECT_STAR [medium, style, debug/prod/backfill]: ")
+
+
+def test_columns_without_a_qualifier(spark):
+    """A parser's facts: such a column belongs to the only source table, and to none of two."""
+    columns = spark.createDataFrame([("t", "a", "int", 1, False), ("u", "b", "int", 1, False)], "table_name string, name string, data_type string, ordinal_position int, is_partition boolean")
+    scripts = spark.createDataFrame([(1, "prod", "select a, x from t"), (2, "prod", "select x from t join u on t.a = u.b"), (3, "prod", "select x from nowhere")], "script_id long, mode string, sql string")
+
+    def parser(rows):
+        found = facts.regex_facts(rows)
+        bare = F.transform(F.regexp_extract_all("sql", F.lit(r"\b([ax])\b(?=,| from)"), F.lit(1)), lambda n: F.struct(F.lit(None).cast("string").alias("qualifier"), n.alias("name")))
+        return found.withColumn("column_refs", F.concat("column_refs", bare))
+
+    got = review.column_issues(facts.facts(scripts, parser), columns).collect()
+    assert [(r["script_id"], r["evidence"]) for r in got] == [(1, "x")]
+
+
+def test_golden_files(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"case_id": "1", "question": "q", "expected_tables": ["t"]}\n{"case_id": "2", "question": "q", "expected_behavior": "clarify", "expected_trusted_sql": false}\n')
+    got = {r["case_id"]: r for r in readers.golden(spark, f"file://{tmp_path}/g.json").collect()}
+    assert got["1"]["expected_behavior"] == "answer" and got["1"]["expected_trusted_sql"] and got["1"]["expected_filters"] == []
+    assert evaluate.valid(readers.golden(spark, f"file://{tmp_path}/g.json")).count() == 2
+
+
+def test_written_files(spark, tmp_path):
+    fixed = spark.createDataFrame([(1, "select 1")], "script_id long, fixed_sql string")
+    readers.write_fixed(fixed, f"file://{tmp_path}/fixed")
+    assert spark.read.json(f"file://{tmp_path}/fixed").count() == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        readers.write_fixed(fixed, f"file://{tmp_path}/fixed")
+    readers.write_reports(spark.createDataFrame([(1, "# r")], "script_id long, markdown string"), f"file://{tmp_path}/md", "markdown")
+    assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/md").collect()] == ["# r"]
