@@ -270,22 +270,29 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge (a, b), in any direction: the least node reachable.
 
-    Rounds of minimum over neighbours and of pointer jumping, each written to the shared folder, until none changes;
-    the number of rounds is about the logarithm of the longest chain. Only counts come to the driver. A node of many
-    edges, or a label of many nodes, is no hot key: labels are broadcast while they are few, else joined by salted keys.
+    In each round every label hooks to the least label beside it, and to that one's own; nodes take their new labels, and
+    so do the ends of edges. Edges within a label go and equal ones become one, so that rounds shrink; they end when no
+    edge is left, after about the logarithm of the longest chain. Each round is written to the shared folder, and only
+    counts come to the driver. A node of many edges, or a label of many nodes, is no hot key: the rows of a round's
+    labels are broadcast while they are few, else joined by salted keys.
     """
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label")), "labels")
-    n = labels.count()
-    while True:
-        reach = lookup_join(both, labels.select(F.col("node").alias("to"), "label"), "to", n, "inner", 16).groupBy("node").agg(F.min("label").alias("near"))
-        hooked = labels.join(reach, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = lookup_join(hooked, jump, "label", n, "inner", 16)
-        new = written(jumped.select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("was")).alias("changed")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("changed").isEmpty():
-            return labels
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels: DataFrame | None = None
+    while not left.isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
+        hooks = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
+        n = hooks.count()
+        up = hooks.select(F.col("node").alias("to"), F.col("to").alias("top"))
+        hooked = written(lookup_join(hooks, up, "to", n, "inner", 16).select(F.col("node").alias("was"), F.col("top").alias("now")), "hooked")
+        if labels is None:
+            labels = hooked.select(F.col("was").alias("node"), F.col("now").alias("label"))
+        else:
+            moved = lookup_join(labels.withColumnRenamed("label", "was"), hooked, "was", n, "left", 16)
+            labels = written(moved.select("node", F.coalesce("now", "was").alias("label")), "labels")
+        ends = lookup_join(left.select(F.col("a").alias("was"), "b"), hooked, "was", n, "inner", 16).select(F.col("now").alias("a"), F.col("b").alias("was"))
+        ends = lookup_join(ends, hooked, "was", n, "inner", 16).select("a", F.col("now").alias("b"))
+        left = written(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    return left.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
 def labelled_classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:
