@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on, Arrow batches of the session hold about size bytes at most: a batch of whole texts takes several times
+    its size outside the heap while it is built and sent. A limit that a site has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(key, str(size))
+
+
 def sized(batch: pa.RecordBatch, column: str, size: int = 4 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """A batch in slices of so many rows at most and of about size bytes in a text column, one row at least: Python
     holds several copies of a slice's texts."""
@@ -146,6 +154,7 @@ def carried(docs: DataFrame, inputs: Sequence[Column], carry: Sequence[str], add
     named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], *[x.alias(f"x{i}") for i, x in enumerate(inputs)])
     schema = StructType([*StructType([named.schema[f"c{i}"] for i in range(len(carry))]), *StructType.fromDDL(added)])
     width, names = len(carry), schema.names
+    bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, carried, counted_join, sized, written
+from .common import BROADCAST_ROWS, bounded_batches, carried, counted_join, sized, written
 from .simhash import BITS, bit_groups, bit_statistics, components, equal_pairs, keys_of, labelled_classes, met, probes, spanning
 
 WIDTH = 5
@@ -284,6 +284,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         if len(sets) > 1:
             yield solved()
 
+    bounded_batches(docs.sparkSession)
     dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     return dealt.mapInPandas(verify, "a long, b long").filter("a <> b").distinct()
 
