@@ -563,10 +563,11 @@ def test_many_languages(spark):
 
 
 def test_letters_of_large_scripts():
-    """Two languages whose letters are all rare ones are told apart."""
+    """Two languages of one script, whose letters are nearly all rare ones, are told apart by their words."""
     rng = random.Random(5)
     letters = [chr(0x4E00 + i) for i in range(3000)]
-    make = lambda own: "".join(rng.choice(own) for _ in range(4000))
-    model = langid.train({"x": make(letters[:1500]), "y": make(letters[1500:])})
-    count, _ = langid.phrases(model, [make(letters[:1500])[:300], make(letters[1500:])[:300]])
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(150)] for k in "xy"}
+    make = lambda k, n: "".join(rng.choice(words[k]) for _ in range(n))
+    model = langid.train({k: make(k, 3000) for k in "xy"})
+    count, _ = langid.phrases(model, [make("x", 100), make("y", 100)])
     assert count[0, 0] < count[0, 1] and count[1, 1] < count[1, 0]
