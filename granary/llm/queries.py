@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_mincut, langid, mixing, pieces, pii, quality, sharding, simhash, token_files
+from . import exact_dedup, html_mincut, langid, mixing, pieces, pii, quality, sharding, simhash, token_files, whitening
 from .common import table
 
 #: Production parameters.
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op2_mix_sources, op3_quality_rules, op4_rendezvous_shards, op5_html_mincut, op6_sentencepiece, op7_language_id, op8_pii_feistel, op9_exact_dedup, op10_simhash, pipeline)
+    found = (op1_token_files, op2_mix_sources, op3_quality_rules, op4_rendezvous_shards, op5_html_mincut, op6_sentencepiece, op7_language_id, op8_pii_feistel, op9_exact_dedup, op10_simhash, op11_whitening, pipeline)
     return {f.__name__: f for f in found}
 
 
