@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_mincut, langid, mixing, pieces, pii, quality, sharding, simhash, token_files, whitening
+from . import exact_dedup, html_mincut, langid, lexical, mixing, pieces, pii, quality, sharding, simhash, token_files, whitening
 from .common import table
 
 #: Production parameters.
@@ -69,6 +69,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op2_mix_sources, op3_quality_rules, op4_rendezvous_shards, op5_html_mincut, op6_sentencepiece, op7_language_id, op8_pii_feistel, op9_exact_dedup, op10_simhash, op11_whitening, pipeline)
+    found = (op1_token_files, op2_mix_sources, op3_quality_rules, op4_rendezvous_shards, op5_html_mincut, op6_sentencepiece, op7_language_id, op8_pii_feistel, op9_exact_dedup, op10_simhash, op11_whitening, op13_lexical, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -155,7 +160,21 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM norm
 """
 
+OP13_SQL = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sized AS (SELECT doc_id, r, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+postings AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, total GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc_id, s.r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weight USING (term) JOIN postings p USING (term) JOIN sized s ON p.r = s.r, total GROUP BY item_id, doc_id, s.r)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express it: XXH64, CRC-32, tokenizers, suffix automata and permutations it can't."""
-    return {"op2_mix_sources": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op13_lexical": OP13_SQL}
