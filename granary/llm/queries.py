@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_mincut, langid, lexical, mixing, pieces, pii, quality, sharding, simhash, token_files, whitening
+from . import exact_dedup, html_mincut, langid, lexical, mixing, pieces, pii, quality, repeats, sharding, simhash, token_files, whitening
 from .common import table
 
 #: Production parameters.
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(table(spark, sf_dir, "documents", "doc_id", "text"))
     return lexical.search(index, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_files, op2_mix_sources, op3_quality_rules, op4_rendezvous_shards, op5_html_mincut, op6_sentencepiece, op7_language_id, op8_pii_feistel, op9_exact_dedup, op10_simhash, op11_whitening, op13_lexical, pipeline)
+    found = (op1_token_files, op2_mix_sources, op3_quality_rules, op4_rendezvous_shards, op5_html_mincut, op6_sentencepiece, op7_language_id, op8_pii_feistel, op9_exact_dedup, op10_simhash, op11_whitening, op12_suffix_dedup, op13_lexical, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -160,6 +164,18 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM norm
 """
 
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, hex(encode(coalesce(text, ''))) AS t FROM documents),
+windows AS (SELECT r, i, substr(t, 2 * i + 1, 200) AS w FROM (SELECT r, t, unnest(range(len(t) // 2 - 99)) AS i FROM texts WHERE len(t) >= 200)),
+again AS (SELECT r, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY r, i) > 1),
+marked AS (SELECT r, i, sum(step) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 THEN 0 ELSE 1 END AS step FROM again)),
+spans AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM marked GROUP BY r, run),
+cut AS (SELECT r, sum(b - a) AS n, count(*) AS k, [0] || list(b ORDER BY a) AS starts, list(a ORDER BY a) AS stops FROM spans GROUP BY r)
+SELECT doc_id, (len(t) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  CASE WHEN k IS NULL THEN sha256(unhex(t)) ELSE sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda j: substr(t, 2 * starts[j] + 1, 2 * (coalesce(stops[j], len(t) // 2) - starts[j]))), ''))) END AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)
+"""
+
 OP13_SQL = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
 sized AS (SELECT doc_id, r, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
@@ -177,4 +193,4 @@ QUALIFY rank <= 10
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express it: XXH64, CRC-32, tokenizers, suffix automata and permutations it can't."""
-    return {"op2_mix_sources": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op13_lexical": OP13_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op12_suffix_dedup": OP12_SQL, "op13_lexical": OP13_SQL}
