@@ -53,7 +53,7 @@ def head_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(a ^ (b >> np.uint64(29)) * _ODD[4] ^ b)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(places, first, last, hashes) of texts that stand one after another in data, from offsets[i] to offsets[i + 1]: the
     anchors, the first and the last window that each has, and the hash of its head. No window crosses texts."""
     span, found = length - HEAD + 1, []
@@ -107,6 +107,12 @@ def joined(columns: list[list[np.ndarray]], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate([c[i] for c in columns]) if columns else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values starts and stops."""
+    cuts = np.flatnonzero(np.diff(sorted_values.astype("i8"), prepend=-1)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(sorted_values)], strict=False))
+
+
 def stored(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFrame:
     """(batch, row, doc_id, n_bytes, sha, z): each text compressed, a number for its row, and the batch by ascending id,
     null ids in the first. Written in buckets of row, so that joins on row move no text again."""
@@ -131,7 +137,7 @@ def stored(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFra
     return spark.table(name)
 
 
-def unpressed(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def unpressed(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The texts of a batch's z, in slices of about size bytes: (from, to, bytes, offsets)."""
     import zstandard
 
@@ -170,8 +176,7 @@ def suffixes(texts: DataFrame, n_buckets: int, length: int) -> DataFrame:
                 _, one, of, count = np.unique(head, return_index=True, return_inverse=True, return_counts=True)
                 again = count[of] > 1
                 out = [(-1 - int(rows[a]), squeezed(head[again].astype("<u8"), row[again], at[again]))] if again.any() else []
-                cuts = np.flatnonzero(np.diff(bucket[one].astype("i8"), prepend=-1))
-                for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(one)], strict=True):
+                for i, j in runs(bucket[one]):
                     some = one[i:j]
                     out.append((int(bucket[some[0]]), squeezed(key[some].astype("<u4"), row[some], at[some], (count[i:j] > 1).astype("u1"))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([-1] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "level", "blob"])
@@ -280,10 +285,10 @@ def windows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 16, at >> 8 & 255, at & 255
 
 
-def contexts(texts: DataFrame, length: int, n_buckets: int, hot: np.ndarray, dense: bool) -> DataFrame:
-    """Of texts (row, doc_id, z, heads, ats): (bucket, blob) of candidates with the text around them, by head. Equal ones of
-    a slice are taken once, the first; spans of the others go under negative buckets. With dense, the windows of hot heads
-    instead: (w, doc_id, row, start), w the digest of a window."""
+def contexts(texts: DataFrame, length: int, n_buckets: int, hot: np.ndarray) -> DataFrame:
+    """Of texts (row, doc_id, z, x): (bucket, blob) of candidates with the text around them, by head. Equal ones of a slice are
+    taken once, the first; spans of the others go under negative buckets. Of hot heads there are windows instead, (w,
+    doc_id, row, start), w the digest of a window. A slice's choice isn't the same if it is made again: use it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,25 +307,24 @@ def contexts(texts: DataFrame, length: int, n_buckets: int, hot: np.ndarray, den
                 first = np.array([text.setdefault(bytes(view[s : s + n]), i) for i, (s, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True))], "i8")
                 one = first == np.arange(len(first))
                 row, doc_id = rows[a:b][doc], ids[a:b][doc]
-                if dense:
-                    some = np.flatnonzero(is_hot & one)
-                    n = (o2 - o1 + 1)[some]
-                    of, p = np.repeat(some, n), spread(start[some], n)
-                    digests = pa.array([xxhash.xxh3_128_digest(view[s : s + length]) for s in p.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([digests, pa.array(doc_id[of]), pa.array(row[of]), pa.array(p - offsets[doc[of]])], ["w", "doc_id", "row", "start"])
-                    continue
                 out = [(-1 - int(rows[a]), squeezed(row[~one], (place - o2)[~one], (place - o1 + length)[~one]))] if not one.all() else []
                 use = np.flatnonzero(one & ~is_hot)
                 bucket = (mixed(head[use].view("u8")) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
                 by = np.argsort(bucket, kind="stable")
                 use, bucket = use[by], bucket[by]
-                cuts = np.flatnonzero(np.diff(bucket.astype("i8"), prepend=-1))
-                for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(use)], strict=True):
+                for i, j in runs(bucket):
                     some = use[i:j]
                     out.append((int(bucket[i]), squeezed(head[some], doc_id[some], row[some], at[some], data[spread(start[some], size[some])])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "blob"])
+                some = np.flatnonzero(is_hot & one)
+                n = (o2 - o1 + 1)[some]
+                of, p = np.repeat(some, n), spread(start[some], n)
+                digests = pa.array([xxhash.xxh3_128_digest(view[s : s + length]) for s in p.tolist()], pa.binary())
+                rest = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())]
+                windows = [digests, pa.array(doc_id[of]), pa.array(row[of]), pa.array(p - offsets[doc[of]])]
+                names = ["bucket", "blob", "w", "doc_id", "row", "start"]
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, pa.nulls(len(p), x.type)]) for x in rest), *(pa.concat_arrays([pa.nulls(len(out), x.type), x]) for x in windows)], names)
 
-    return texts.mapInArrow(run, "w binary, doc_id long, row long, start long" if dense else "bucket long, blob binary")
+    return texts.mapInArrow(run, "bucket long, blob binary, w binary, doc_id long, row long, start long")
 
 
 def prefixes(words: np.ndarray) -> np.ndarray:
@@ -344,12 +348,12 @@ def repeated_windows(head: np.ndarray, o2: np.ndarray, o1: np.ndarray, data: np.
     starts o before the anchor is its last o bytes there and its first length - o here; runs of rows with such common
     prefixes in both orders name it exactly."""
     n, width, behind = len(head), -(-length // 8) * 8, -(-(length - HEAD) // 8) * 8
-    size = length + o2 - o1
     right, left = np.zeros((n, width), "u1"), np.zeros((n, behind), "u1")
-    row, ahead = np.repeat(np.arange(n), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size + o2, size)
-    on = ahead >= 0
-    right[row[on], ahead[on]] = data[spread(starts, size)][on]
-    left[row[~on], -1 - ahead[~on]] = data[spread(starts, size)][~on]
+    for at in range(0, n, 8192):
+        part = slice(at, at + 8192)
+        place, ahead, back = (starts + o2)[part, None], np.arange(width), np.arange(behind)
+        right[part] = np.where(ahead < (length - o1)[part, None], data[np.minimum(place + ahead, len(data) - 1)], 0)
+        left[part] = np.where(back < o2[part, None], data[np.maximum(place - 1 - back, 0)], 0)
     by_right, by_left = sorted_rows(right, head), sorted_rows(left, head)
     orders = []
     for order, matrix in ((by_right, right), (by_left, left)):
@@ -408,9 +412,8 @@ def settle(length: int) -> object:
 
 
 def dense_spans(windows: DataFrame, length: int) -> DataFrame:
-    """Spans of windows (w, doc_id, row, start) that stand earlier too: combined before the shuffle, so that a window that
+    """Spans of windows (w, doc_id, row, start), written, that stand earlier too: combined before the shuffle, so that a window that
     most documents have is no hot key."""
-    windows = written(windows, "windows")
     firsts = windows.groupBy("w").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     named = counted_join(windows, written(firsts, "firsts"), "w", "n")
     later = F.struct("doc_id", "row", "start") != F.col("first")
@@ -426,9 +429,11 @@ def spans_of(texts: DataFrame, candidates: DataFrame, length: int = LENGTH, hot:
     hottest = np.array([r["head"] for r in heads.filter(F.col("n") > max(hot, n / BROADCAST_ROWS)).collect()], "i8")  # BROADCAST_ROWS at most
     wanted = candidates.groupBy("row").agg(F.collect_set(F.struct("head", "at")).alias("x"))
     around = texts.select("row", "doc_id", "z").join(wanted, "row")
-    bounded_batches(texts.sparkSession)
-    found = contexts(around, length, max(1, -(-n * 150 // bucket_bytes)), hottest, False).groupBy("bucket").applyInArrow(settle(length), SPAN)
-    return found.unionByName(dense_spans(contexts(around, length, 1, hottest, True), length)) if len(hottest) else found
+    met = contexts(around, length, max(1, -(-n * 300 // bucket_bytes)), hottest)
+    if len(hottest):
+        met = written(met, "contexts")
+    found = met.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(settle(length), SPAN)
+    return found.unionByName(dense_spans(met.filter("w IS NOT NULL").select("w", "doc_id", "row", "start"), length)) if len(hottest) else found
 
 
 def without_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -472,6 +477,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of rows that repeat an id the one read first, and in a document the earlier start. A text shorter than `length` stays.
     Other columns aren't read. An empty table gives an empty result. length is 255 at most, and greater than HEAD.
     """
+    bounded_batches(docs.sparkSession)
     texts = stored(docs, id_col, text_col, batches)
     total = texts.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     levels, found = Levels(max(1, -(-total // bucket_bytes)), length), None
