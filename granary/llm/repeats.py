@@ -31,7 +31,7 @@ from .common import BROADCAST_ROWS, bounded_batches, counted_join, new_path, siz
 #: Bytes of a window and of an anchor's head.
 LENGTH, HEAD = 100, 32
 #: Batches that a whole table is cut into; bytes of text that one bucket of suffixes or of candidates stands for, about.
-BATCHES, BUCKET_BYTES = 4, 16 << 20
+BATCHES, BUCKET_BYTES = 4, 4 << 20
 #: Candidates of one head beyond which their windows are compared by a shuffle, not in one task.
 HOT = 200_000
 #: Odd multipliers of the rolling hashes.
@@ -53,7 +53,7 @@ def head_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(a ^ (b >> np.uint64(29)) * _ODD[4] ^ b)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(places, first, last, hashes) of texts that stand one after another in data, from offsets[i] to offsets[i + 1]: the
     anchors, the first and the last window that each has, and the hash of its head. No window crosses texts."""
     span, found = length - HEAD + 1, []
@@ -137,7 +137,7 @@ def stored(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFra
     return spark.table(name)
 
 
-def unpressed(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def unpressed(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The texts of a batch's z, in slices of about size bytes: (from, to, bytes, offsets)."""
     import zstandard
 
