@@ -126,18 +126,24 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, n_right: int, how:
     return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, [key, salt], how).drop(salt)
 
 
-def counted_join(left: DataFrame, right: DataFrame, key: str, n_rows: str, hot: int = 10_000) -> DataFrame:
+def counted_join(left: DataFrame, right: DataFrame, key: str | list[str], n_rows: str, hot: int = 10_000, most: int | None = None) -> DataFrame:
     """Left join to a written table with a row per key, whose column n_rows has how many rows of left hold the key.
 
-    The table is broadcast when it has few rows. Else its keys of more than `hot` rows, which are few, are broadcast, and
-    the others joined by a shuffle."""
-    if right.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), key, "left")
+    The table is broadcast when it has few rows. Else its hottest keys, `most` (BROADCAST_ROWS) at most and each of more than `hot` rows, are
+    broadcast, and the others joined by a shuffle: none of these holds more than a part in `most` of the rows, or than
+    `hot`."""
+    keys, most = [key] if isinstance(key, str) else key, most or BROADCAST_ROWS
+    n = right.count()
+    if n <= most:
+        return left.join(F.broadcast(right), keys, "left")
     many = right.filter(F.col(n_rows) > hot)
-    if many.count() > BROADCAST_ROWS:
-        return left.join(right, key, "left")  # so many keys share the rows that none is hot
-    rest = left.join(F.broadcast(many.select(key)), key, "left_anti").join(right.filter(F.col(n_rows) <= hot), key, "left")
-    return left.join(F.broadcast(many), key).unionByName(rest)
+    n_many = many.count()
+    if n_many > most:
+        least = many.select(F.percentile_approx(n_rows, 1 - most / (2 * n_many), 10 * most).alias("x")).first()["x"]
+        hot = max(hot, least)
+        many = right.filter(F.col(n_rows) > hot)
+    rest = left.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(right.filter(F.col(n_rows) <= hot), keys, "left")
+    return left.join(F.broadcast(many), keys).unionByName(rest)
 
 
 def unit(*parts: Column | str, digits: int = 13) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, counted_join, written
 
 #: Closes a chunk. The mark follows a word because of that word's hash alone, so marked text has one reading only.
 MARK = "\x00"
@@ -43,7 +43,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are equal when identical after replacing each run of white space by one space. Of equal texts the row with the
     smallest id stays. A null text counts as empty. Rows with a null id belong to their group, stay only if no member
     has an id, and then keep_id is null. Rows that repeat id and text are one document: each counts in group_size and
-    they share their verdict. An empty table gives an empty result; other columns of docs aren't read, whatever their names. id_bits shortens
+    they share their verdict. Whole texts are compared, however long. An empty table gives an empty result; other columns of docs aren't read, whatever their names. id_bits shortens
     the identifiers (tests force collisions by it).
     """
     norm = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
@@ -61,8 +61,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         named = hit.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "part"))).alias("hit")).select("row", F.col("hit.part").alias("named"))
         listed = keyed.join(named, "row", "left").select("doc_id", "text_sha256", recipe, "named")
     listed = listed.withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
-    groups = listed.groupBy("recipe", "named").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return listed.join(groups, ["recipe", "named"], "left").select(
+    groups = written(listed.groupBy("recipe", "named").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "groups")
+    return counted_join(listed, groups, ["recipe", "named"], "group_size").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),

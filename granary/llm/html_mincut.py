@@ -7,7 +7,8 @@ tree. Text alone gives costs of the edges' size, so that a block of doubt (a tit
 links) follows its surroundings. The maximum flow separates the two labels at least cost.
 
 There are no labels for pages: the weights are stated constants. What names a part of a page by its element or by a whole
-class or id outweighs all else, as a long comment or advert reads like an article.
+class or id outweighs the text, as a long comment or advert reads like an article; but a class that holds nearly all of
+the page's prose costs no more than an edge, and so does the id of an article's section.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import sized
 
 #: Names of HTML elements and of usual roles and classes of page parts.
-SKIPPED = "template iframe select option button"
-#: What holds no markup, and ends with the page at the latest; what may close itself.
-RAW, FOREIGN = "script style textarea", "svg"
+SKIPPED = "template iframe select button noscript video audio canvas object"
+#: What holds no markup, and ends with the page at the latest; what may close itself; whose end tag may be left out.
+RAW, FOREIGN, OPTION = "script style textarea", "svg", "option optgroup"
 #: The elements that a head may hold: another one ends it, with or without an end tag.
 IN_HEAD = "base basefont bgsound link meta noscript script style template title"
 BLOCKS = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -43,15 +44,18 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     rf"|<(?P<raw>{_names(RAW)})(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     rf"|<(?:{_names(FOREIGN)})(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*/>"
-    rf"|<(?P<skip>{_names(SKIPPED)}|{_names(FOREIGN)})(?=[\s/>]){_ATTRS}>.*?</(?P=skip)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: The end tags of what is skipped with all that it holds.
+CLOSES = re.compile(rf"</({_names(SKIPPED)}|{_names(FOREIGN)})\s*>", re.I)
 NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Words that say where or what shape a part is; beside a word of HINTS they don't name another thing.
 NEUTRAL = set("site page main top bottom left right list item items box bar block wrap wrapper container section inner outer area text body content links link post entry article global primary secondary fixed sticky inline js module component".split())
 RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
+#: Subjects that sections of an article have, and name by their id: such an id mentions a part beside the article only.
+SUBJECTS = set("form social search legal copyright notice header dialog alert popup menu share sharing banner related recommended promo hidden subscribe subscription consent cookie cookies".split())
 STOP = re.compile(r"[.!?…。][\"'”’)]*$")
 #: Log-odds of content. In an article, or outside one on a page that has one; in an element or class that names another
 #: part; in a class that only mentions one; share of linked text; a line of rights. Then what the text alone says: a
@@ -61,6 +65,12 @@ SENTENCE, HEADING, SHORT, LONG = 0.8, 0.3, -0.3, 1.5
 #: Capacities between neighbours in page order, over one more than the steps between their parents in the tree; between
 #: siblings that aren't neighbours; and what is left of both where one block is in a part beside the article.
 ADJACENT, SIBLING, ACROSS = 1.0, 0.6, 0.2
+#: The share of a page's prose from which an element can't be beside the rest, whatever its class says.
+WHOLE = 0.9
+#: Open elements within each other: what is nested deeper stands beside the deepest, as in browsers (which allow 512).
+DEEPEST = 128
+#: What hides an element.
+GONE = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 #: Blocks of a run are not evidence apart from each other: they count for so many at most.
 RUN = 2
 
@@ -71,6 +81,7 @@ class Block:
     score: float
     path: tuple[int, ...]
     beside: bool = False
+    hints: tuple[int, ...] = ()
 
 
 #: These name a part beside the article only outside of it; within it they hold its title.
@@ -90,22 +101,50 @@ def hinted(attrs: str, inside: bool) -> float:
             for whole in value.split():
                 parts = {x for x in re.split(r"[^a-z]+", whole) if x}
                 if named := parts & (HINTS - HEADS if inside else HINTS):
-                    if parts <= named | NEUTRAL:
+                    if parts <= named | NEUTRAL and not (inside and name == "id" and named <= SUBJECTS):
                         return BESIDE
                     found = MENTIONED
     return found
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """The page's tags and texts in order, without what is skipped. The end of a skipped element is looked for only where
+    there is one, so that the time is in proportion to the page, whatever is left open; one that has no end skips nothing
+    but its tag."""
+    ends: dict[str, list[int]] = {}
+    for m in CLOSES.finditer(page):
+        ends.setdefault(m[1].lower(), []).append(m.end())
+    for found in ends.values():
+        found.reverse()  # the next one is last
+    at = 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        at = m.end()
+        if m["tag"] is not None and not m["close"] and (left := ends.get(m["tag"].lower())):
+            while left and left[-1] <= at:
+                left.pop()
+            if left:
+                at = left.pop()
+                continue
+        yield m
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks in page order, with their scores and the number of the element that they stand in."""
     out: list[Block] = []
     # Open elements: (tag, number, in an article, evidence of what it is beside, in a heading); an anchor's depth counts links.
     stack: list[tuple[str, int, bool, float, bool]] = [("", 0, False, 0.0, False)]
+    # Elements that only their class or id names as beside the article.
+    named: set[int] = set()
     made, anchors = 0, 0
     parts: list[str] = []
     within: list[bool] = []
     linked = 0
-    in_head, in_title = False, False
+    in_head, in_title, in_option = False, False, False
+    doubtful: list[tuple[Block, tuple[int, ...]]] = []
 
     def flush() -> None:
         nonlocal linked
@@ -118,13 +157,18 @@ def blocks(page: str) -> list[Block]:
                 score = BASE + IN_ARTICLE * inside + beside + LINKED * min(1.0, linked / len(text)) + LONG * min(1.0, len(text) / 200)
                 score += SENTENCE * stop + HEADING * heading + SHORT * (not stop and not heading and stack[-1][0] != "li" and len(text) < 40)
                 score += RIGHTS_LINE * (not inside and len(text) < 300 and bool(RIGHTS.search(text)))
-                out.append(Block(text, score, tuple(x[1] for x in (stack[:-1] if leaf else stack)), beside <= BESIDE))
+                hints = tuple(x[1] for x in stack if x[1] in named)
+                out.append(Block(text, score, tuple(x[1] for x in (stack[:-1] if leaf else stack)), beside <= BESIDE, hints if stop else ()))
+                if hints and not any(x[0] in _OUTER for x in stack):
+                    doubtful.append((out[-1], hints))
                 within.append(inside)
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if (text := m["text"]) is not None:
+            if in_option:
+                continue
             if in_head and (in_title or not text.strip()):
                 continue
             in_head = False
@@ -136,6 +180,11 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
+        if tag in _OPTION:  # ends with the next one, the list, or a block
+            in_option = not m["close"]
+            continue
+        if tag == "select" or tag in _BLOCK:
+            in_option = False
         if tag == "head":
             flush()
             in_head = not m["close"]
@@ -159,18 +208,31 @@ def blocks(page: str) -> list[Block]:
             elif tag not in _VOID:
                 if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (stack[-1][0] == tag and tag in ("li", "td", "th", "tr", "dt", "dd")):
                     stack.pop()  # such an element ends where the next block starts
+                if len(stack) == DEEPEST:
+                    stack.pop()
                 made += 1
                 _, _, inside, beside, _ = stack[-1]
                 off = BESIDE if tag in _OUTER or (tag == "header" and not inside) else hinted(m["attrs"], inside) if m["attrs"] and tag not in ("body", "html", "article", "main") else 0.0
+                if off <= BESIDE and tag not in _OUTER and tag != "header" and not GONE.search(m["attrs"]):
+                    named.add(made)
                 stack.append((tag, made, (inside or tag in ("article", "main")), max(beside + off, BESIDE), tag[0] == "h" and tag[1:].isdigit()))
     flush()
+    # A class word costs no more than an edge where what it names holds nearly all prose of the page.
+    prose = sum(len(b.text) for b in out if STOP.search(b.text))
+    held: dict[int, int] = {}
+    for b in out:
+        for k in b.hints:
+            held[k] = held.get(k, 0) + len(b.text)
+    for b, hints in doubtful:
+        if all(held.get(k, 0) > WHOLE * prose for k in hints):
+            b.score, b.beside = b.score - BESIDE + MENTIONED, False
     if any(within):
         for b, inside in zip(out, within, strict=True):
             b.score += 0.0 if inside else OUTSIDE
     return out
 
 
-_BLOCK, _VOID, _OUTER, _IN_HEAD = frozenset(BLOCKS), frozenset(VOID), frozenset(OUTER), frozenset(IN_HEAD.split())
+_BLOCK, _VOID, _OUTER, _IN_HEAD, _OPTION = frozenset(BLOCKS), frozenset(VOID), frozenset(OUTER), frozenset(IN_HEAD.split()), frozenset(OPTION.split())
 
 
 def max_flow_side(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -272,7 +334,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: (page_id, url, text, n_chars).
 
-    The whole html is read; a null one counts as empty. Markup may be broken: unclosed and stray tags are taken as they
+    The whole html is read, however long; a null one counts as empty. Markup may be broken: unclosed and stray tags are taken as they
     come. A page without a content block has the empty text. Null ids and urls are kept, repeated rows give equal rows,
     and an empty table an empty result; other columns aren't read.
     """

@@ -4,9 +4,10 @@ At a similarity of 0.8 about 15 % of the bits of two fingerprints differ, so tha
 others. Fingerprints here have WORDS words of 64 bits, and the generalised pigeonhole of simhash deals each word's bits to
 correlated groups. A dynamic programme allocates the thresholds over all groups, by the candidates that the corpus gives:
 the cheapest allocation by which a pair of similarity 0.8 shares no key with a chance of MISSED at most; more similar
-pairs are missed less. Fingerprints that share a key are compared by their first two words and linked if those differ in
-few bits. The sets of a component of such links then meet whole, in pairs of blocks if they are many, and are compared
-exactly, by a prefix filter that loses no pair.
+pairs are missed less. Fingerprints that share a key are compared by their first four words and linked if those differ in
+few bits. The sets of a component of such links then meet whole and are compared exactly, by a prefix filter that loses
+no pair. A large component is cut into blocks: first all its blocks meet one of them; only sets that this leaves outside
+the largest class so found meet all blocks, so that the work grows with the component, and with those sets.
 """
 
 from __future__ import annotations
@@ -19,24 +20,24 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, carried, counted_join, sized, written
+from .common import bounded_batches, carried, counted_join, lookup_join, sized, written
 from .simhash import BITS, bit_groups, bit_statistics, components, equal_pairs, keys_of, labelled_classes, met, probes, spanning
 
 WIDTH = 5
 #: Sets are near copies if their similarity is NUMERATOR / DENOMINATOR at least.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Words of a fingerprint, and how many of them are compared where fingerprints meet.
-WORDS, COMPARED = 32, 2
+WORDS, COMPARED = 32, 4
 #: The chance that a bit differs between sets of equal size at that similarity, and the planned chance to miss a pair.
 DIFFERS = math.acos(2 * NUMERATOR / (NUMERATOR + DENOMINATOR)) / math.pi
 MISSED = 0.002
 #: Bits of the compared words that may differ: the mean at that similarity and four standard deviations.
 FAR = math.floor(BITS * COMPARED * DIFFERS + 4 * math.sqrt(BITS * COMPARED * DIFFERS * (1 - DIFFERS)))
-#: Sets and shingles of one block; two blocks meet in a task.
-BLOCK_SETS, BLOCK_ITEMS = 250, 500_000
+#: Sets and shingles of one block, about; two blocks meet in a task.
+BLOCK_SETS, BLOCK_ITEMS = 1000, 1_000_000
 #: Odd multipliers: of a word's place in a shingle, and of each word of a fingerprint.
 _PLACE = np.array([xxhash.xxh64_intdigest(b"place %d" % i) | 1 for i in range(WIDTH)], "u8")
 _TIMES = np.array([xxhash.xxh64_intdigest(b"times %d" % i) | 1 for i in range(WORDS)], "u8")
@@ -243,26 +244,8 @@ def near_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): links among names of sets that connect all near copies. distinct: (fp, h, f0, ...), h of a row of docs with
-    that set; docs: (h, text)."""
-    sets = distinct.filter("fp <> 0")
-    words = _FINGERPRINT[:COMPARED]
-    meet = written(met(keys_of(sets, planned(sets), ["fp", *words]), "fp", words, FAR), "meet")
-    picked = written(components(meet).join(distinct.select("fp", "h"), F.col("node") == F.col("fp")).select("h", "label"), "picked")
-    texts = docs.select("h", "text").join(F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked, "h").dropDuplicates(["h", "label"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
-        for batch in (s for b in batches for s in sized(b, "x0")):
-            found = shingled(batch.column("x0"))
-            yield batch.num_rows, [pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
-
-    sets = written(carried(texts, [F.col("text")], ["label"], "fp long, n long, items binary", pack), "sets")
-    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS), F.lit(1)).cast("int")
-    per_label = written(sets.groupBy("label").agg(n_blocks.alias("n_blocks"), F.count("*").alias("n_rows")), "labels")
-    dealt = counted_join(sets, per_label, "label", "n_rows").withColumn("own", F.pmod(F.xxhash64("fp"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    # Each block meets every other one, its own sets in each of these; a single block meets itself.
-    dealt = dealt.filter("n_blocks = 1 OR own <> other").select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "items")
+def verified(dealt: DataFrame) -> DataFrame:
+    """(a, b): links that connect near copies among the sets (fp, items) of each (label, i, j)."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition's rows come sorted by group; a group may span batches.
@@ -284,11 +267,63 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         if len(sets) > 1:
             yield solved()
 
-    bounded_batches(docs.sparkSession)
-    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    dealt = dealt.select("label", "i", "j", "fp", "items").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     return dealt.mapInPandas(verify, "a long, b long").filter("a <> b").distinct()
 
 
+def every(n: Column | str, start: int = 0) -> Column:
+    return F.explode(F.sequence(F.lit(start), F.col(n) - 1 if isinstance(n, str) else n - 1))
+
+
+def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): links among names of sets that connect all near copies. distinct: (fp, h, f0, ...), h of a row of docs with
+    that set; docs: (h, text)."""
+    sets = distinct.filter("fp <> 0")
+    words = _FINGERPRINT[:COMPARED]
+    meet = written(met(keys_of(sets, planned(sets), ["fp", *words]), "fp", words, FAR), "meet")
+    candidates = written(components(meet), "candidates")
+    n = candidates.count()
+    named = lookup_join(distinct.select(F.col("fp").alias("node"), "h"), candidates, "node", n, "inner")
+    texts = lookup_join(docs.select("h", "text"), written(named.select("h", "label"), "picked"), "h", n, "inner").dropDuplicates(["h"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
+        for batch in (s for b in batches for s in sized(b, "x0")):
+            found = shingled(batch.column("x0"))
+            yield batch.num_rows, [pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+
+    bounded_batches(docs.sparkSession)
+    sets = written(carried(texts, [F.col("text")], ["label"], "fp long, n long, items binary", pack), "sets")
+    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS), F.lit(1)).cast("int")
+    per_label = written(sets.groupBy("label").agg(n_blocks.alias("n_blocks"), F.count("*").alias("n_rows")), "labels")
+    own = F.pmod(F.xxhash64("fp"), "n_blocks").cast("int").alias("own")
+    blocks = counted_join(sets, per_label, "label", "n_rows").select("label", "fp", "items", "n_blocks", own)
+    # A component of one block meets itself; the blocks of a larger one meet its block 0.
+    others = blocks.filter("own > 0").select("label", F.lit(0).alias("i"), F.col("own").alias("j"), "fp", "items")
+    first = blocks.filter("own = 0").select("label", F.lit(0).alias("i"), "n_blocks", "fp", "items")
+    alone = first.filter("n_blocks = 1").withColumn("j", F.lit(0))
+    spread = first.filter("n_blocks > 1").select("label", "i", every("n_blocks", 1).alias("j"), "fp", "items")
+    known = written(verified(others.unionByName(alone.drop("n_blocks")).unionByName(spread)), "known")
+    large = per_label.filter("n_blocks > 1")
+    if large.isEmpty():
+        return known
+    # Of a larger component: the sets outside its largest class, which meet all blocks.
+    names = blocks.filter("n_blocks > 1").select("label", "fp")
+    classes = written(components(known).select(F.col("node").alias("fp"), F.col("label").alias("class")), "classes")
+    member = written(lookup_join(names, classes, "fp", classes.count()).select("label", "fp", F.coalesce("class", "fp").alias("class")), "member")
+    sizes = member.groupBy("label", "class").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("label").agg(F.max_by("class", F.struct("n", "class")).alias("class"), F.max("n").alias("n_class"), F.sum("n").alias("n_label"))
+    largest = written(largest.filter("n_class < n_label").select("label", "class", F.ceil((F.col("n_label") - F.col("n_class")) / BLOCK_SETS).cast("int").alias("n_rest"), "n_label"), "largest")
+    if largest.isEmpty():
+        return known
+    outside = counted_join(member, largest.withColumnRenamed("class", "most"), "label", "n_label").filter("n_rest IS NOT NULL AND class <> most").select("fp", F.lit(True).alias("outside"))
+    outside = written(outside, "outside")
+    again = counted_join(blocks.filter("n_blocks > 1"), largest.select("label", "n_rest", "n_label"), "label", "n_label").filter("n_rest IS NOT NULL").drop("n_label")
+    again = lookup_join(again, outside, "fp", outside.count())
+    theirs = again.select("label", every("n_rest").alias("i"), F.col("own").alias("j"), "fp", "items")
+    rest = again.filter("outside").select("label", F.pmod(F.xxhash64("fp", F.lit(1)), "n_rest").cast("int").alias("i"), every("n_blocks").alias("j"), "fp", "items")
+    return known.unionByName(verified(theirs.unionByName(rest))).distinct()
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, h), distinct: the rows of docs (doc_id, h, text) that are not the first of their component of near copies.
     h is a hash of the text. The first has the least doc_id, null ids last; rows of its set and id stay."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, carried, counted_join, lookup_join, sized, written
+from .common import carried, counted_join, lookup_join, sized, written
 
 BITS = 64
 #: Rows of one block; two blocks meet in a task.
@@ -221,11 +221,10 @@ def met(keyed: DataFrame, name: str, words: Sequence[str], distance: int, block:
     A key that more than block rows share is dealt to tasks in pairs of blocks; such keys are counted first, combined
     before the shuffle. Links of a task connect, they aren't all its pairs."""
     hot = written(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "hot")
-    few = hot.count() <= BROADCAST_ROWS  # rows / block at most
     cut = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
     own = F.pmod(F.xxhash64(name), cut).cast("int")
     # Block i meets every block j: the pair's lower number first. Most keys have one block, hence the pair (0, 0).
-    sized_keys = keyed.join(F.broadcast(hot) if few else hot, ["part", "key"], "left")
+    sized_keys = counted_join(keyed, hot, ["part", "key"], "n")
     named = list(dict.fromkeys([name, *words]))
     dealt = sized_keys.select("part", "key", *named, own.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
     dealt = dealt.select("part", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *named)
@@ -267,14 +266,28 @@ def links(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tuple[
     return met(keys_of(fps, planned, ["fp"]), "fp", ["fp"], distance, block)
 
 
+def roots(hooks: DataFrame) -> DataFrame:
+    """(was, now): where each node's hooks end, of a written (node, to) in which every `to` is a node and roots hook to
+    themselves. Each round follows what is known two times more, so that a chain is three times shorter after it."""
+    while True:
+        n = hooks.count()
+        up = hooks.select(F.col("node").alias("to"), F.col("to").alias("top"))
+        once = lookup_join(hooks, up, "to", n, "inner", 16).select("node", F.col("to").alias("first"), F.col("top").alias("to"))
+        twice = lookup_join(once, up, "to", n, "inner", 16)
+        hooks = written(twice.select("node", F.col("top").alias("to"), (F.col("top") != F.col("first")).alias("moved")), "hooks")
+        if hooks.filter("moved").isEmpty():
+            return hooks.select(F.col("node").alias("was"), F.col("to").alias("now"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge (a, b), in any direction: the least node reachable.
 
-    In each round every label hooks to the least label beside it, and to that one's own; nodes take their new labels, and
-    so do the ends of edges. Edges within a label go and equal ones become one, so that rounds shrink; they end when no
-    edge is left, after about the logarithm of the longest chain. Each round is written to the shared folder, and only
-    counts come to the driver. A node of many edges, or a label of many nodes, is no hot key: the rows of a round's
-    labels are broadcast while they are few, else joined by salted keys.
+    In each round every label hooks to the least label beside it, and hooks are followed to their ends; nodes take these
+    as labels, and so do the ends of edges. Edges within a label go and equal ones become one. Each tree of hooks holds two
+    labels at least, so that rounds, and the steps to follow a round's hooks, are about the logarithm of the nodes, for
+    long chains as well. Each step is written to the shared folder, and only counts come to the driver. A node of many
+    edges, or a label of many nodes, is no hot key: the rows of a round's labels are broadcast while they are few, else
+    joined by salted keys.
     """
     left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     labels: DataFrame | None = None
@@ -282,15 +295,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).union(left.select("b", "a"))
         hooks = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
         n = hooks.count()
-        up = hooks.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        hooked = written(lookup_join(hooks, up, "to", n, "inner", 16).select(F.col("node").alias("was"), F.col("top").alias("now")), "hooked")
+        ended = roots(hooks)
         if labels is None:
-            labels = hooked.select(F.col("was").alias("node"), F.col("now").alias("label"))
+            labels = ended.select(F.col("was").alias("node"), F.col("now").alias("label"))
         else:
-            moved = lookup_join(labels.withColumnRenamed("label", "was"), hooked, "was", n, "left", 16)
+            moved = lookup_join(labels.withColumnRenamed("label", "was"), ended, "was", n, "left", 16)
             labels = written(moved.select("node", F.coalesce("now", "was").alias("label")), "labels")
-        ends = lookup_join(left.select(F.col("a").alias("was"), "b"), hooked, "was", n, "inner", 16).select(F.col("now").alias("a"), F.col("b").alias("was"))
-        ends = lookup_join(ends, hooked, "was", n, "inner", 16).select("a", F.col("now").alias("b"))
+        ends = lookup_join(left.select(F.col("a").alias("was"), "b"), ended, "was", n, "inner", 16).select(F.col("now").alias("a"), F.col("b").alias("was"))
+        ends = lookup_join(ends, ended, "was", n, "inner", 16).select("a", F.col("now").alias("b"))
         left = written(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return left.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
@@ -320,7 +332,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     Words are split at ASCII white space, A-Z lower-cased; documents are linked when fingerprints differ in at most
     `distance` bits; component_id is the smallest doc_id reachable. Equal fingerprints are taken once. A null text has no
     words, hence fingerprint 0 like the empty one. A null id takes part; a component of null ids alone has a null
-    component_id. Repeated rows give repeated rows. An empty table gives an empty result.
+    component_id. Repeated rows give repeated rows. Whole texts count, however long; other columns aren't read, whatever their
+    names. An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     found = classes(fps, distance, block, choices)

@@ -44,7 +44,7 @@ def test_names_and_columns(stages):
 def test_language_stage(stages):
     before, after = stages[0]
     named = {(r["doc_id"], r["text"]): r for r in langid.identify(before, carry=["doc_id", "text"]).collect()}
-    want = collections.Counter({k: n for k, n in texts(before).items() if named[k]["lang_pred"] != "und" and not (len(k[1]) >= corpus_pipeline.LONG and named[k]["score"] < corpus_pipeline.LEAST_SCORE)})
+    want = collections.Counter({k: n for k, n in texts(before).items() if named[k]["lang_pred"] != "und"})
     assert texts(after) == want
     assert before.count() - after.count() >= 3
 
