@@ -14,24 +14,19 @@ from granary.llm.queries import MIX, vocabulary
 
 #: SQL can't express suffix automata, SimHash or tokenizers.
 ORACLE_SQL = None
-#: A text is rejected if it has no letter, or if it is long enough to tell and its two best languages fit it about
-#: equally well (so that it is neither): so many characters, and a score below this.
-LONG, LEAST_SCORE = 200, 0.02
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no single language that the labelled ones teach; see LEAST_SCORE. Short texts are kept, null
-    texts and those without a letter go, repeated rows share their fate, and an empty table stays empty."""
+    """Drops documents without a language: null texts and those without a letter, alike at every length. Whole texts are
+    read, extra columns are kept, repeated rows share their fate, and an empty table stays empty."""
     columns = docs.columns
     named = langid.identify(docs, carry=columns)
-    pred, score = named.columns[-2:]
-    unclear = (F.char_length("text") >= LONG) & (F.col(score) < LEAST_SCORE)
-    return named.filter((F.col(pred) != "und") & ~unclear).select(*columns)
+    return named.filter(F.col(named.columns[-2]) != "und").select(*columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops all but the first document of each group of equal texts: the one with the least doc_id, null ids last. Null
-    counts as empty; rows that repeat the first one's id and text stay with it; whole texts are compared."""
+    counts as empty; rows that repeat the first one's id and text stay with it; whole texts are compared, and extra columns kept."""
     gone = common.written(exact_dedup.exact_classes(docs).filter("not kept").select("doc_id", "text_sha256").distinct(), "gone")
     sha = common.fresh(docs, "sha")
     hashed = docs.withColumn(sha, F.sha2(exact_dedup.normalised(F.col("text")), 256))
@@ -51,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources get their target weights, in a random order. Null is a source of
-    its own; rows that repeat an id draw the same number; null texts are kept."""
+    its own; rows that repeat an id draw the same number; null texts, long ones and extra columns are kept."""
     return mixing.mix(docs, **MIX).select(*docs.columns)
 
 
