@@ -68,7 +68,7 @@ ADJACENT, SIBLING, ACROSS = 1.0, 0.6, 0.2
 #: The share of a page's prose from which an element can't be beside the rest, whatever its class says.
 WHOLE = 0.9
 #: Open elements within each other: what is nested deeper stands beside the deepest, as in browsers (which allow 512).
-DEEPEST = 128
+DEEPEST = 64
 #: What hides an element.
 GONE = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 #: Blocks of a run are not evidence apart from each other: they count for so many at most.
