@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from granary.functions.text import bucket, clean, tokens
-from granary.operators.catalog import small
+from granary.operators.catalog import hinted, is_small, small
+from granary.sources.shared import written
 
 #: Buckets of the token hash: few for parity with small models, many so that large corpora share few by chance.
 DIM = 1 << 18
+#: Postings of one block of the index, about. Scores have six digits: what rounding and sums in another order may add.
+BLOCK, ROUNDED = 512, 1.5e-6
 #: The parts of a context, in order.
 HEADINGS = ("Mandatory rules", "Business knowledge", "Verified SQL")
 
@@ -80,65 +83,118 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
-def best_by_block(questions: DataFrame, docs: DataFrame, k: int, dim: int = DIM, most: int = 200_000) -> DataFrame | None:
-    """As top(similarities(), k), for questions of few tokens in all: None if there are more than `most`.
+class TextIndex(NamedTuple):
+    """A written index of documents. forward: (document_id, kind, vec, d_norm), vec the bucket counts of a document.
+    blocks: (bucket, most, documents, weights), postings of one bucket and class of weight, most the greatest weight."""
 
-    The counted questions are sent to the tasks, where a matrix product scores a batch of documents against all of them
-    and k documents a question are kept. Hence only those are shuffled, not pairs of documents and questions."""
-    q = questions.select("question_id", F.explode(buckets("question", dim)).alias("bucket")).groupBy("question_id", "bucket").agg(F.count("*").alias("n"))
-    held = q.limit(most + 1).toPandas()
-    if len(held) > most:
-        return None
-    ids, at = np.unique(held["question_id"].to_numpy(), return_inverse=True)
-    names, column = np.unique(held["bucket"].to_numpy("i8"), return_inverse=True)
-    sent = questions.sparkSession.sparkContext.broadcast((ids, at, names, column, held["n"].to_numpy("f8")))
-    kinds = docs.select("document_id", "kind", F.sort_array(buckets("text", dim)).alias("bs"))
+    forward: DataFrame
+    blocks: DataFrame
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, names, column, n = sent.value
-        weights = np.zeros((len(names), len(ids)))
-        weights[column, at] = n
-        q_norm = (weights**2).sum(0)
-        kept = None
 
-        def first(frame: pd.DataFrame) -> pd.DataFrame:
-            return frame.sort_values(["q", "order", "document_id"]).groupby("q", sort=False).head(k)
+def counted_buckets(sorted_buckets: Column) -> Column:
+    """[(bucket, n)] of a sorted array with repeats, from the places where its runs start."""
+    places = F.sequence(F.lit(1), F.size(sorted_buckets))
+    starts = F.filter(F.when(F.size(sorted_buckets) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.element_at(sorted_buckets, i) != F.element_at(sorted_buckets, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(sorted_buckets) + 1))
+    return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda x: F.struct(F.element_at(sorted_buckets, x["start"]).alias("bucket"), (x["end"] - x["start"]).cast("long").alias("n")))
 
-        for batch in batches:
-            for start in range(0, batch.num_rows if len(ids) else 0, 500):
-                part = batch.slice(start, 500)
-                lists = part.column("bs")
-                values, offsets = lists.values.to_numpy()[lists.offsets[0].as_py() :], lists.offsets.to_numpy()
-                counts = np.diff(offsets)
-                values = values[: int(counts.sum())]
-                row = np.repeat(np.arange(part.num_rows), counts)
-                # A document's squared norm: its runs of equal buckets, squared.
-                starts = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (row[1:] != row[:-1])])) if len(values) else np.zeros(0, "i8")
-                d_norm = np.bincount(row[starts], np.diff(np.append(starts, len(values))).astype("f8") ** 2, part.num_rows)
-                spot = np.minimum(np.searchsorted(names, values), len(names) - 1)
-                known = names[spot] == values
-                seen = np.zeros((part.num_rows, len(names)))
-                np.add.at(seen, (row[known], spot[known]), 1)
-                dot = seen @ weights
-                d, j = np.nonzero(dot)
-                score = dot[d, j] / (np.sqrt(q_norm[j]) * np.sqrt(d_norm[d]))
-                found = pd.DataFrame({"q": j, "order": -np.floor(score * 1e6 + 0.5), "document_id": np.array(part.column("document_id").to_pylist(), object)[d], "kind": np.array(part.column("kind").to_pylist(), object)[d], "dot": dot[d, j].astype("i8"), "q_norm": q_norm[j].astype("i8"), "d_norm": d_norm[d].astype("i8")})
-                kept = first(found if kept is None else pd.concat([kept, found]))
-        if kept is not None and len(kept):
-            yield pa.RecordBatch.from_pandas(kept.assign(question_id=ids[kept["q"]])[["question_id", "document_id", "kind", "dot", "q_norm", "d_norm"]], preserve_index=False)
-
-    schema = StructType([questions.schema["question_id"], docs.schema["document_id"], docs.schema["kind"], *StructType.fromDDL("dot long, q_norm long, d_norm long")])
-    return top(scored(kinds.mapInArrow(run, schema)), k)
-
-
-def best(questions: DataFrame, docs: DataFrame, k: int, dim: int = DIM) -> DataFrame:
-    """The k best documents of each question: by blocks where the questions are few, else by a join on tokens."""
-    found = best_by_block(questions, docs, k, dim)
-    return top(similarities(questions, docs, dim), k) if found is None else found
-
-
-def retrieve(questions: DataFrame, docs: DataFrame, k: int, kind: str | None = None, prefilter: bool = False, dim: int = DIM) -> DataFrame:
-    """The first k documents of a kind among the 2k best of all kinds (with prefilter: among the kind's own)."""
+
+def build_index(docs: DataFrame, dim: int = DIM, block: int = BLOCK) -> TextIndex:
+    """Index documents (document_id, kind, text): each bucket's postings by falling weight, in blocks.
+
+    Postings of a bucket whose weights lie within a factor of 2^(1/4) are a class; a class of more than `block` postings
+    is cut by a hash of the document, so that a word that most documents have is no hot key. A text without tokens,
+    or a null one, is in no block."""
+    rows = docs.select("document_id", "kind", F.sort_array(buckets("text", dim)).alias("bs")).filter("bs IS NOT NULL AND size(bs) > 0")
+    forward = written(rows.select("document_id", "kind", counted_buckets(F.col("bs")).alias("vec"), squared_norm(F.col("bs")).alias("d_norm")), "forward")
+    each = forward.select("document_id", F.sqrt(F.col("d_norm").cast("double")).alias("norm"), F.explode("vec").alias("x"))
+    postings = each.select("document_id", F.col("x.bucket").alias("bucket"), (F.col("x.n") / F.col("norm")).alias("weight"))
+    postings = postings.withColumn("class", F.floor(-4 * F.log2("weight")).cast("int"))
+    large = written(postings.groupBy("bucket", "class").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")), "classes")
+    dealt = postings.join(hinted(large.select("bucket", "class", "parts"), is_small(large)), ["bucket", "class"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("document_id"), F.coalesce("parts", F.lit(1))))
+    held = F.collect_list(F.struct("document_id", "weight")).alias("x")
+    grouped = dealt.groupBy("bucket", "class", "part").agg(F.max("weight").alias("most"), held)
+    return TextIndex(forward, written(grouped.select("bucket", "most", F.col("x.document_id").alias("documents"), F.col("x.weight").alias("weights")), "blocks"))
+
+
+def asked_buckets(questions: DataFrame, dim: int = DIM) -> DataFrame:
+    """(question_id, bucket, q_n, q_norm, q_weight), written: the questions' bucket counts."""
+    q = questions.select("question_id", F.explode(buckets("question", dim)).alias("bucket")).groupBy("question_id", "bucket").agg(F.count("*").alias("q_n"))
+    norms = q.groupBy("question_id").agg(F.sum(F.col("q_n") * F.col("q_n")).alias("q_norm"))
+    return written(q.join(norms, "question_id").withColumn("q_weight", F.col("q_n") / F.sqrt(F.col("q_norm").cast("double"))), "asked")
+
+
+def exact_scores(pairs: DataFrame, asked: DataFrame, forward: DataFrame) -> DataFrame:
+    """(question_id, document_id, kind, score) of written pairs (question_id, document_id), from whole counts."""
+    few = is_small(pairs)
+    rows = pairs.join(forward.join(hinted(pairs.select("document_id").distinct(), few), "document_id", "left_semi"), "document_id")
+    each = rows.select("question_id", "document_id", "kind", "d_norm", F.explode("vec").alias("x")).select("question_id", "document_id", "kind", "d_norm", F.col("x.bucket").alias("bucket"), F.col("x.n").alias("n"))
+    hits = each.join(small(asked, 1_000_000), ["question_id", "bucket"])
+    return scored(hits.groupBy("question_id", "document_id", "kind", "d_norm", "q_norm").agg(F.sum(F.col("n") * F.col("q_n")).alias("dot")))
+
+
+def partial_scores(met: DataFrame) -> DataFrame:
+    """(question_id, document_id, partial): sums over the postings of blocks that questions meet."""
+    each = met.select("question_id", "q_weight", F.explode(F.arrays_zip("documents", "weights")).alias("x"))
+    return each.groupBy("question_id", F.col("x.documents").alias("document_id")).agg(F.sum(F.col("q_weight") * F.col("x.weights")).alias("partial"))
+
+
+def reach(asked: DataFrame, index: TextIndex, k: int) -> DataFrame:
+    """(question_id, least): what a question's k-th document scores at least; 0 where fewer than k are found.
+
+    Each bucket's block of greatest weight is looked at; of the documents there, those of the greatest sums are scored
+    whole."""
+    first = index.blocks.groupBy("bucket").agg(F.max_by(F.struct("documents", "weights"), "most").alias("x")).select("bucket", "x.documents", "x.weights")
+    near = partial_scores(first.join(small(asked, 1_000_000), "bucket"))
+    order = Window.partitionBy("question_id").orderBy(F.col("partial").desc(), "document_id")
+    picked = written(near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * k).select("question_id", "document_id"), "first")
+    best = top(exact_scores(picked, asked, index.forward), k)
+    return best.filter(F.col("position") == k).select("question_id", F.col("score").alias("least"))
+
+
+def kept_blocks(asked: DataFrame, index: TextIndex, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What can't be skipped, and what the rest adds at most.
+
+    A question's buckets are put in the order of what they can add; a block is skipped if it and all the buckets before its
+    own can't reach the question's least score together, so that a document found in skipped blocks alone can't. Returns
+    (question_id, bucket, most, q_weight, floor), where blocks under floor are skipped, and (question_id, skipped)."""
+    tops = index.blocks.groupBy("bucket").agg(F.max("most").alias("top"))
+    each = asked.join(tops, "bucket").withColumn("adds", F.col("q_weight") * F.col("top"))
+    before = F.coalesce(F.sum("adds").over(Window.partitionBy("question_id").orderBy("adds", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    left = F.coalesce("least", F.lit(0.0)) - ROUNDED - F.col("before")
+    floors = each.withColumn("before", before).join(small(least), "question_id", "left").select("question_id", "bucket", "q_weight", "top", (left / F.col("q_weight")).alias("floor"))
+    floors = written(floors, "floors")
+    skipped = floors.groupBy("question_id").agg(F.sum(F.col("q_weight") * F.greatest(F.least("top", "floor"), F.lit(0.0))).alias("skipped"))
+    return floors, skipped
+
+
+def best(questions: DataFrame, docs: DataFrame | TextIndex, k: int, dim: int = DIM) -> DataFrame:
+    """The k documents of the greatest cosine for each question, of those that share a bucket with it; ties by document.
+
+    Exact: a first look gives what the k-th document scores at least; then only blocks are read that may hold a better
+    one, and documents scored whole whose sum there, with what the skipped blocks add at most, reaches it."""
+    index = docs if isinstance(docs, TextIndex) else build_index(docs, dim)
+    asked = asked_buckets(questions, dim)
+    least = written(reach(asked, index, k), "least")
+    floors, skipped = kept_blocks(asked, index, least)
+    met = index.blocks.join(small(floors.select("question_id", "bucket", "q_weight", "floor"), 1_000_000), "bucket").filter("most >= floor")
+    bounds = skipped.join(least, "question_id", "left").select("question_id", (F.coalesce("least", F.lit(0.0)) - ROUNDED - F.col("skipped")).alias("needs"))
+    found = partial_scores(met).join(small(written(bounds, "bounds")), "question_id").filter("partial >= needs")
+    return top(exact_scores(written(found.select("question_id", "document_id"), "found"), asked, index.forward), k)
+
+
+def skipped_share(questions: DataFrame, index: TextIndex, k: int, dim: int = DIM) -> float:
+    """Of the (question, block) pairs that share a bucket, the share that best() doesn't read."""
+    asked = asked_buckets(questions, dim)
+    floors, _ = kept_blocks(asked, index, written(reach(asked, index, k), "least"))
+    r = index.blocks.select("bucket", "most").join(floors, "bucket").agg(F.avg((F.col("most") < F.col("floor")).cast("double")).alias("x")).first()
+    return r["x"] or 0.0
+
+
+def retrieve(questions: DataFrame, docs: DataFrame | TextIndex, k: int, kind: str | None = None, prefilter: bool = False, dim: int = DIM) -> DataFrame:
+    """The first k documents of a kind among the 2k best of all kinds (with prefilter: among the kind's own).
+    docs may be an index that was built already, without prefilter."""
     some = docs if kind is None or not prefilter else docs.filter(F.col("kind") == kind)
     if kind is None:
         return best(questions, some, k, dim)
@@ -160,10 +216,11 @@ def merged(questions: DataFrame, rules: DataFrame, retrieved: DataFrame) -> Data
     return once.select("question_id", F.row_number().over(order).alias("position"), "document_id", F.when(F.col("at.priority") == 0, "mandatory").otherwise("retrieved").alias("origin"))
 
 
-def context_text(context: DataFrame, texts: DataFrame, rules: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
+def context_text(context: DataFrame, texts: DataFrame, rules: DataFrame | None = None, extra: DataFrame | None = None, model: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
     """(question_id, context): the documents' texts (document_id, kind, text) in order, a section each under its name.
 
-    Mandatory rules have the text of rules (rule_id, text) and come first, then other knowledge, then verified SQL, each
+    The semantic model's texts (table_name, text) come first for each of questions (question_id), rendered once. Mandatory
+    rules have the text of rules (rule_id, text) and come next, then other knowledge, then verified SQL, each
     part under its heading; last the lines of extra (question_id, heading, text), such as a semantic model or the
     session's earlier lines."""
     named = texts.select("document_id", "kind", "text")
@@ -178,40 +235,162 @@ def context_text(context: DataFrame, texts: DataFrame, rules: DataFrame | None =
         rows = rows.unionByName(extra.select("question_id", F.lit(len(HEADINGS)).alias("part"), F.lit(0).alias("position"), F.coalesce("text", F.lit("")).alias("line"), "heading"))
     sections = rows.groupBy("question_id", "part", "heading").agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("lines"))
     sections = sections.select("question_id", "part", F.concat(F.lit("# "), "heading", F.lit("\n\n"), F.concat_ws("\n\n", F.transform("lines", lambda x: x["line"]))).alias("text"))
+    if model is not None:
+        told = model.agg(F.sort_array(F.collect_list(F.struct("table_name", "text"))).alias("x"))  # a model is small: a row
+        whole = told.select(F.concat(F.lit("# Semantic model\n\n"), F.concat_ws("\n\n", F.transform("x", lambda t: t["text"]))).alias("text"))
+        sections = sections.unionByName(questions.select("question_id", F.lit(-1).alias("part")).distinct().crossJoin(F.broadcast(whole)))
     by = sections.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"))
     return by.select("question_id", F.concat_ws("\n\n", F.transform("parts", lambda x: x["text"])).alias("context"))
 
 
-def knn_dense(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
-    """(query_id, vec_id, score, position): the k nearest rows (vec_id, embedding) of each query row by cosine.
-
-    Queries are dealt to blocks of about `block` rows, and rows to as many groups as give tasks work; each pair of a
-    block and a group is one matrix product in a task, which returns k rows a query. A null vector has score 0."""
-    n_blocks = max(1, -(-queries.count() // block))
-    n_groups = max(1, -(-rows.count() // 20_000))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("vec_id").alias("id"), "embedding", deal("vec_id", n_blocks).alias("b")).withColumn("g", each(n_groups))
-    r = rows.select(F.col("vec_id").alias("id"), "embedding", deal("vec_id", n_groups).alias("g")).withColumn("b", each(n_blocks))
-
-    def unit(vectors: pd.Series, width: int) -> np.ndarray:
-        m = np.array([np.zeros(width) if v is None else np.asarray(v, "f8") for v in vectors]).reshape(len(vectors), width)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        width = max((len(v) for v in [*left["embedding"], *right["embedding"]] if v is not None), default=1)
-        scores = np.round(unit(left["embedding"], width) @ unit(right["embedding"], width).T, 9)
-        ids = right["id"].to_numpy("i8")
-        best = [np.lexsort((ids, -row))[:k] for row in scores]
-        n = [len(x) for x in best]
-        flat = np.concatenate(best) if best else np.zeros(0, "i8")
-        return pd.DataFrame({"query_id": np.repeat(left["id"].to_numpy("i8"), n), "vec_id": ids[flat.astype("i8")], "score": np.concatenate([row[x] for row, x in zip(scores, best, strict=True)]) if best else []})
-
-    found = q.groupBy("b", "g").cogroup(r.groupBy("b", "g")).applyInPandas(run, "query_id long, vec_id long, score double")
+class VectorIndex(NamedTuple):
+    """Centres (an array), and a written table (cell, part, vec_id, v): each row's unit vector in the list of the centre
+    nearest to it. radii: how far the farthest row of each centre's list is; -1 for an empty list. parts: how many parts
+    each list has."""
+
+    centres: np.ndarray
+    rows: DataFrame
+    radii: np.ndarray
+    parts: np.ndarray
+
+
+def unit_vectors(vectors: pa.Array, width: int) -> np.ndarray:
+    """Rows of length 1; zeros for a null vector or one without direction. A shorter vector is filled up with zeros."""
+    m = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v.is_valid and len(v):
+            found = v.values.to_numpy(zero_copy_only=False).astype("f8")[:width]
+            m[i, : len(found)] = np.nan_to_num(found)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def fitted_centres(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """n centres (fewer if the sample has fewer rows) by Lloyd's rounds on a sample in a random order."""
+    centres = np.unique(sample[:n], axis=0)
+    for _ in range(rounds):
+        nearest = (sample @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, sample)
+        counts = np.bincount(nearest, minlength=len(centres))[:, None]
+        centres = np.where(counts > 0, sums / np.maximum(counts, 1), centres)
+    return centres
+
+
+def build_vectors(rows: DataFrame, most_centres: int = 1024, sample: int = 20_000, part: int = 20_000) -> VectorIndex:
+    """Index every row (vec_id, embedding). About sqrt(n) centres, most_centres at most, are fitted on the `sample` rows of
+    the least hash of the id. A list of more than `part` rows is cut by a hash of the id, so that a vector that many rows
+    share is no hot key."""
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    width = max(width, 1)
+    some = rows.filter("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toArrow()
+    picked = unit_vectors(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((1, width))
+    centres = fitted_centres(picked, min(most_centres, max(1, round(n**0.5))))
+    half = 0.5 * (centres**2).sum(1)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = unit_vectors(batch.column("embedding"), width)
+            cell = (v @ centres.T - half).argmax(1)
+            far = np.linalg.norm(v - centres[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype("i4")), batch.column("vec_id"), pa.array(far), pa.array([x.tobytes() for x in v], pa.binary())], ["cell", "vec_id", "far", "v"])
+
+    held = written(rows.select("vec_id", "embedding").mapInArrow(assign, "cell int, vec_id long, far double, v binary"), "lists")
+    radii, parts = np.full(len(centres), -1.0), np.ones(len(centres), "i8")
+    for r in held.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row per centre
+        radii[r["cell"]], parts[r["cell"]] = r["far"] + 1e-9, -(-r["n"] // part)
+    each = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
+    return VectorIndex(centres, held.select("cell", F.pmod(F.xxhash64("vec_id"), each).cast("int").alias("part"), "vec_id", "v"), radii, parts)
+
+
+def visits(queries: DataFrame, index: VectorIndex, k: int, first: int | None, rest: bool = False) -> DataFrame:
+    """(cell, part, query_id, least, q): the lists that each query visits: the `first` of the nearest centres, or with rest
+    all others whose bound, the product with the centre and the radius, reaches the query's least score."""
+    centres, radii, parts = index.centres, index.radii, index.parts
+    width, full = centres.shape[1], np.flatnonzero(index.radii >= 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                q = unit_vectors(batch.column("embedding"), width)
+                least = batch.column("least").to_numpy(zero_copy_only=False)
+                bound = q @ centres[full].T + np.linalg.norm(q, axis=1)[:, None] * radii[full]
+                near = np.argsort(-(q @ centres[full].T), axis=1, kind="stable")[:, :first]
+                seen = np.zeros(bound.shape, bool)
+                np.put_along_axis(seen, near, True, 1)
+                i, j = np.nonzero(~seen & (bound >= least[:, None] - 1e-8) if rest else seen)
+                n = parts[full[j]]
+                i, j, piece = np.repeat(i, n), np.repeat(full[j], n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                packed = pa.array([x.tobytes() for x in q], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype("i4")), pa.array(piece.astype("i4")), batch.column("query_id").take(pa.array(i)), pa.array(least[i]), packed.take(pa.array(i))], ["cell", "part", "query_id", "least", "q"])
+
+    return queries.mapInArrow(run, "cell int, part int, query_id long, least double, q binary")
+
+
+def products(visited: DataFrame, index: VectorIndex, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each visit the k best rows of that part of a list, if they reach the query's least
+    score. A part's rows come first and are held, its queries stream past them."""
+    width = index.centres.shape[1]
+    held = index.rows.select("cell", "part", F.lit(0).alias("side"), F.col("vec_id").alias("id"), F.lit(0.0).alias("least"), "v")
+    asked = visited.select("cell", "part", F.lit(1).alias("side"), F.col("query_id").alias("id"), "least", F.col("q").alias("v"))
+    dealt = held.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, rows = None, [], []
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "side")], 1)
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+                part = batch.slice(a, b - a)
+                v = np.frombuffer(b"".join(part.column("v").to_pylist()), "f8").reshape(-1, width)
+                if tuple(key[a, :2]) != at:
+                    at, ids, rows = tuple(key[a, :2]), [], []
+                if not key[a, 2]:
+                    ids.append(part.column("id").to_numpy())
+                    rows.append(v)
+                    continue
+                if not rows:
+                    continue
+                ids, rows = [np.concatenate(ids)], [np.concatenate(rows)]
+                for s in range(0, len(v), 256):
+                    scores = np.round(v[s : s + 256] @ rows[0].T, 9)
+                    least = part.column("least").to_numpy()[s : s + 256]
+                    if scores.shape[1] > k:
+                        least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+                    i, j = np.nonzero(scores >= least[:, None])
+                    order = np.lexsort((ids[0][j], -scores[i, j], i))
+                    i, j = i[order], j[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[rank < k], j[rank < k]
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(s + i)), pa.array(ids[0][j]), pa.array(scores[i, j])], ["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def ranked_vectors(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
+def knn_dense(queries: DataFrame, rows: DataFrame | VectorIndex, k: int = 10, first: int = 4, exact: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, position): the k nearest rows (vec_id, embedding) of each query row by cosine; ties by id.
+
+    The lists of the `first` nearest centres give a least score; then all others are visited that may hold a row that
+    reaches it, so that the result is exact. Without exact these are left out, and is_exact says whether there was none.
+    A null vector has score 0."""
+    index = rows if isinstance(rows, VectorIndex) else build_vectors(rows)
+    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding")
+    near = written(products(visits(asked.withColumn("least", F.lit(-2.0)), index, k, first), index, k), "near")
+    best = ranked_vectors(near, k)
+    least = written(best.filter(F.col("position") == k).select("query_id", F.col("score").alias("least")), "least")
+    told = asked.join(hinted(least, is_small(least)), "query_id", "left").select("query_id", "embedding", F.coalesce("least", F.lit(-2.0)).alias("least"))
+    others = visits(told, index, k, first, rest=True)
+    if exact:
+        return ranked_vectors(near.unionByName(products(others, index, k)), k)
+    open_ = others.select("query_id").distinct().withColumn("open", F.lit(True))
+    return best.join(open_, "query_id", "left").select("query_id", "vec_id", "score", "position", F.col("open").isNull().alias("is_exact"))
+
+
 def retrieve_dense(questions: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], k: int = 5) -> DataFrame:
     """(question_id, document_id, score, position): as retrieve(), with the vectors of a site's own model. embed makes a
     column of vectors from a column of texts, say by a pandas_udf."""

@@ -53,14 +53,15 @@ def table_issues(facts: DataFrame, known: DataFrame, few: bool | None = None) ->
 def column_issues(facts: DataFrame, columns: DataFrame, few: bool | None = None) -> DataFrame:
     """Qualified columns that their table lacks. A qualifier is a table's full or short name or alias; one that is a
     common table expression, or that no found table has, is skipped; so is a column named like a select alias. A column
-    without a qualifier (a parser may supply such) belongs to the script's source table if there is just one."""
+    without a qualifier (a parser may supply such) belongs to the script's source table if there is just
+    one, and no common table expression."""
     few = is_small(columns) if few is None else few
     known = known_tables(columns)
     refs = facts.select("script_id", F.explode("table_refs").alias("r")).select("script_id", "r.name", "r.alias")
     named = resolved(refs, "name", known, few).filter("status = 'FOUND'")
     keys = F.array_distinct(F.array_compact(F.array("name", last_segment("name"), "alias")))
     owners = named.select("script_id", F.explode(keys).alias("qualifier"), F.col("found").alias("owner")).distinct()
-    only = F.when(F.size("sources") == 1, F.element_at("sources", 1))
+    only = F.when((F.size("sources") == 1) & (F.size("cte_names") == 0), F.element_at("sources", 1))
     used = facts.select("script_id", "select_aliases", "cte_names", only.alias("only"), F.explode("column_refs").alias("c"))
     used = used.withColumn("place", F.coalesce("c.qualifier", "only")).filter(~F.array_contains("select_aliases", F.col("c.name")) & ~F.array_contains("cte_names", F.col("place")))
     placed = used.select("script_id", "place", "c.qualifier", "c.name").join(owners.withColumnRenamed("qualifier", "place"), ["script_id", "place"])

@@ -24,8 +24,8 @@ TEXTS = {
     "NON_ASCII_WHITESPACE": ("Wide white space", "The text holds white space that isn't ASCII.", "Replace it by plain spaces."),
     "MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED": ("TABLE keyword missing", "INSERT OVERWRITE stands without TABLE.", "Write INSERT OVERWRITE TABLE."),
     "DATAWORKS_HARDCODED_DATE": ("Fixed date", "A partition column is compared with a date.", "Use the scheduler's date parameter."),
-    "LLM_SUM_WITHOUT_NULL_GUARD": ("Sum over nulls", "A sum has no default for nulls.", "Wrap the column in COALESCE."),
-    "LLM_JOIN_BEFORE_GROUP": ("Join before grouping", "A join stands before GROUP BY and may multiply rows.", "Check the keys of the join."),
+    "LLM_AGGREGATION_NULL_HANDLING_SUGGESTION": ("Sum over nulls", "A sum has no default for nulls.", "Wrap the column in COALESCE."),
+    "LLM_JOIN_DUPLICATION_RISK": ("Join before grouping", "A join stands before GROUP BY and may multiply rows.", "Check the keys of the join."),
     "TABLE_NOT_FOUND": ("Unknown table", "The catalog doesn't have the table.", "Check its name."),
     "COLUMN_NOT_FOUND": ("Unknown column", "The table doesn't have the column.", "Check its name."),
     "METADATA_LOOKUP_FAILED": ("Lookup failed", "The catalog could not be asked.", "Try again later."),
@@ -129,7 +129,7 @@ def default_registry() -> Registry:
             Rule("NON_ASCII_WHITESPACE", "low", "style", has_wide_space("sql"), "wide white space"),
             Rule("MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", c("norm").rlike(OVERWRITE), "insert overwrite without table", action="auto_fix", auto_fixable=True),
             Rule("DATAWORKS_HARDCODED_DATE", "medium", "dataworks", c("norm").rlike(DATE), "date literal on a partition column", modes=("debug", "prod")),
-            Rule("LLM_SUM_WITHOUT_NULL_GUARD", "medium", "semantic", has("sum(") & ~has("coalesce") & ~has("nvl"), "sum without coalesce", source="llm", confidence=0.7),
-            Rule("LLM_JOIN_BEFORE_GROUP", "medium", "semantic", has(" join ") & has(" group by "), "join then group by", source="llm", confidence=0.65),
+            Rule("LLM_AGGREGATION_NULL_HANDLING_SUGGESTION", "medium", "semantic", has("sum(") & ~has("coalesce") & ~has("nvl"), "sum without coalesce", source="llm", confidence=0.7),
+            Rule("LLM_JOIN_DUPLICATION_RISK", "medium", "semantic", has(" join ") & has(" group by "), "join then group by", source="llm", confidence=0.65),
         ]
     )

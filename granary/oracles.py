@@ -112,8 +112,8 @@ def issues(p: str = "", mode: str | None = None) -> str:
         rule("NON_ASCII_WHITESPACE", "low", "style", f"regexp_matches(sql, '[{WIDE_SPACES}]')", "'wide white space'"),
         rule("MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", r"regexp_matches(regexp_replace(norm, '\binsert\s+overwrite\s+table\b', '', 'g'), '\binsert\s+overwrite\s')", "'insert overwrite without table'", action="auto_fix", fix="true"),
         rule("DATAWORKS_HARDCODED_DATE", "medium", "dataworks", rf"""{in_mode} AND regexp_matches(norm, '\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(''\d{{8}}''|"\d{{8}}")')""", "'date literal on a partition column'"),
-        rule("LLM_SUM_WITHOUT_NULL_GUARD", "medium", "semantic", "contains(norm, 'sum(') AND NOT contains(norm, 'coalesce') AND NOT contains(norm, 'nvl')", "'sum without coalesce'", src="llm", conf="0.7"),
-        rule("LLM_JOIN_BEFORE_GROUP", "medium", "semantic", "contains(norm, ' join ') AND contains(norm, ' group by ')", "'join then group by'", src="llm", conf="0.65"),
+        rule("LLM_AGGREGATION_NULL_HANDLING_SUGGESTION", "medium", "semantic", "contains(norm, 'sum(') AND NOT contains(norm, 'coalesce') AND NOT contains(norm, 'nvl')", "'sum without coalesce'", src="llm", conf="0.7"),
+        rule("LLM_JOIN_DUPLICATION_RISK", "medium", "semantic", "contains(norm, ' join ') AND contains(norm, ' group by ')", "'join then group by'", src="llm", conf="0.65"),
     ]
     fixed = lambda i, ev, src, action="block", block="true": f"SELECT script_id, '{i}' AS rule_id, 'high' AS severity, 'metadata' AS category, '{src}' AS source, 1.0::DOUBLE AS confidence, '{action}' AS action, false AS auto_fixable, false AS requires_metadata, false AS requires_knowledge, {block} AS blocking, {ev} AS evidence"
     return f"""

@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, StructType
+
+from granary.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,26 @@ def declared(metric_rows: Iterable[Mapping[str, object]]) -> dict[str, Metric]:
     return {r["name"]: Metric(r["name"], r["expression"], not r.get("additive"), r.get("description") or "") for r in metric_rows}
 
 
+def checked(metrics: Mapping[str, Metric], facts: DataFrame) -> dict[str, Metric]:
+    """The metrics, if each expression is an aggregate of columns that facts have: it is analysed on an empty table of
+    their schema, where no row is read. Else an error that names them all."""
+    empty, wrong = facts.sparkSession.createDataFrame([], StructType(facts.schema.fields)), []
+    for m in metrics.values():
+        try:
+            if not is_aggregate(empty, m.expression):
+                wrong.append(f"{m.name}: not an aggregate: {m.expression}")
+        except AnalysisException as e:
+            wrong.append(f"{m.name}: {str(e).splitlines()[0]}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return dict(metrics)
+
+
+def is_aggregate(empty: DataFrame, expression: str) -> bool:
+    """Whether an expression folds rows: as a column of a table it gives one row, where a plain one gives none."""
+    return empty.select(F.expr(expression).alias("x")).count() == 1
+
+
 class AdditivityError(ValueError):
     """A plan would add values of different periods."""
 
@@ -113,11 +136,41 @@ def compile_plan(facts: DataFrame, plan: MetricPlan, metrics: Mapping[str, Metri
 
 
 def period_over_period(facts: DataFrame, metric: Metric, period: str = "dt") -> DataFrame:
-    """A metric by month (yyyyMM) beside the month and the year before, and the ratios of change. Joined on the shifted
-    month, so that a month that is missing gives null, not a wrong neighbour."""
-    month = F.to_date(F.concat(F.col(period), F.lit("01")), "yyyyMMdd")
-    by = facts.groupBy(period).agg(F.expr(metric.expression).cast("double").alias("value")).withColumn("month", month)
-    shifted = lambda n, name: by.select(F.date_format(F.add_months("month", n), "yyyyMM").alias(period), F.col("value").alias(name))
-    out = by.join(shifted(1, "month_before"), period, "left").join(shifted(12, "year_before"), period, "left")
+    """A metric by month (yyyyMM) beside the month and the year before, and the ratios of change. A window over the
+    months' numbers takes the values from one aggregate; its ranges are exact numbers, so that a month that is missing gives
+    null, not a wrong neighbour."""
+    by = facts.groupBy(period).agg(F.expr(metric.expression).cast("double").alias("value"))
+    by = by.withColumn("month", F.substring(period, 1, 4).cast("int") * 12 + F.substring(period, 5, 2).cast("int"))
+    before = lambda n: F.max("value").over(Window.partitionBy().orderBy("month").rangeBetween(-n, -n))  # noqa: E731, a row per month
+    out = by.withColumn("month_before", before(1)).withColumn("year_before", before(12))
     change = lambda x: F.round(F.try_divide(F.col("value") - F.col(x), F.col(x)), 9)
     return out.select(period, "value", "month_before", "year_before", change("month_before").alias("mom"), change("year_before").alias("yoy"))
+
+
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """(value, number): the distinct values but null, numbered from 0 without gaps: places inside ranges of the values, after the
+    counts of the ranges before. Written, as a number must not change."""
+    ranged = values.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct().repartitionByRange("value").sortWithinPartitions("value")
+    placed = written(ranged.withColumn("row", F.monotonically_increasing_id()), "ranged")
+    placed = placed.withColumn("part", F.shiftright("row", 33)).withColumn("at", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return written(placed.join(F.broadcast(starts), "part").select("value", (F.col("start") + F.col("at")).alias("number")), "numbered")
+
+
+def distinct_bitmaps(facts: DataFrame, column: str, by: Iterable[str]) -> DataFrame:
+    """(by..., bucket, bits), written: which of the numbered values of a column each group has, a bitmap per bucket of
+    numbers. Bitmaps of groups can be merged for any total (see distinct_totals); stored, they stand for the facts."""
+    keys = list(by)
+    rows = facts.select(*keys, F.col(column).alias("value")).distinct()
+    coded = rows.join(numbered(facts, column), "value")
+    bits = F.expr("bitmap_construct_agg(bitmap_bit_position(number))").alias("bits")
+    return written(coded.groupBy(*keys, F.expr("bitmap_bucket_number(number)").alias("bucket")).agg(bits), "bitmaps")
+
+
+def distinct_totals(bitmaps: DataFrame, by: Iterable[str | Column], name: str = "n") -> DataFrame:
+    """(by..., n): exact distinct counts of coarser groups, from the union of the bitmaps in each; never a sum of counts."""
+    keys = list(by)
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.expr("bitmap_count(bitmap_or_agg(bits))").alias("x"))
+    names = [c for c in merged.columns if c not in ("bucket", "x")]
+    return merged.groupBy(*names).agg(F.sum("x").alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary import oracles as O
 from granary.functions.text import joined, normalised_sql
 from granary.operators import catalog, evaluate, facts, fix, lineage, modelout, retrieval, review, rules, semantic, standards
-from granary.plans.metrics import LOAN_METRICS, MetricPlan, compile_plan, period_over_period, used_columns
+from granary.plans.metrics import LOAN_METRICS, MetricPlan, checked, compile_plan, declared, distinct_bitmaps, distinct_totals, period_over_period, used_columns
 from granary.sources import bindings as B
 from granary.sources.shared import written
 from granary.streaming.threads import thread_state as batch_thread_state
@@ -91,7 +91,30 @@ def metric_rollup_area(spark, sf):
     + "SELECT m.dt, m.value, b.value AS month_before, y.value AS year_before, round((m.value - b.value) / b.value, 9) AS mom, round((m.value - y.value) / y.value, 9) AS yoy FROM m LEFT JOIN m b ON b.d = m.d - INTERVAL 1 MONTH LEFT JOIN m y ON y.d = m.d - INTERVAL 12 MONTH"
 )
 def metric_mom_yoy(spark, sf):
-    return period_over_period(B.loan_snapshot(spark, sf), LOAN_METRICS["loan_balance"])
+    wanted = MetricPlan(metrics=("loan_balance",), group_by=("dt",))
+    return period_over_period(B.loan_snapshot(spark, sf, used_columns(wanted)), LOAN_METRICS["loan_balance"])
+
+
+@query(
+    LOANS.rstrip()
+    + ", q AS (SELECT org_type AS fin_org_type_code, ent_code, substr(dt, 1, 4) AS year, 'Q' || ((substr(dt, 5, 2)::INT + 2) // 3) AS span FROM loans) SELECT fin_org_type_code, year, span, count(DISTINCT ent_code) AS enterprises FROM q GROUP BY ALL UNION ALL SELECT fin_org_type_code, year, 'year', count(DISTINCT ent_code) FROM q GROUP BY fin_org_type_code, year"
+)
+def metric_enterprise_periods(spark, sf):
+    """Enterprises with a loan by quarter and by year, from bitmaps by month: unions of them, not sums of counts."""
+    facts = B.loan_snapshot(spark, sf, {"ent_code", "fin_org_type_code", "dt"})
+    monthly = distinct_bitmaps(facts, "ent_code", ("fin_org_type_code", "dt"))
+    year = F.substring("dt", 1, 4).alias("year")
+    quarter = F.concat(F.lit("Q"), F.floor((F.substring("dt", 5, 2).cast("int") + 2) / 3).cast("string")).alias("span")
+    totals = [distinct_totals(monthly, ("fin_org_type_code", year, span), "enterprises") for span in (quarter, F.lit("year").alias("span"))]
+    return totals[0].unionByName(totals[1])
+
+
+@query(f"{LOANS} SELECT area AS fin_org_branch_area_code, {O.BALANCE} FROM loans WHERE dt = '199706' GROUP BY area")
+def metric_declared(spark, sf):
+    """A metric as a semantic model declares it: checked on the facts' schema, then run."""
+    facts = B.loan_snapshot(spark, sf)
+    metrics = checked(declared([{"name": "loan_balance", "expression": "sum(loan_bal_rmb)"}]), facts)
+    return compile_plan(facts, MetricPlan(metrics=("loan_balance",), group_by=(AREA,), filters=(THIS_MONTH,), params=MONTH), metrics, within=B.in_month)
 
 
 # Dictionary, catalog, standards
@@ -221,7 +244,10 @@ def semantic_columns(spark, sf):
     return semantic.column_rows(semantic.model_of(catalog.dictionary_tables(rows), catalog.dictionary_columns(rows)))
 
 
-@query(DICT + "SELECT table_name, 'Table ' || table_name || CASE WHEN t.description <> '' THEN ' (' || t.description || ')' ELSE '' END || chr(10) || string_agg('- ' || column_name || CASE WHEN c.description <> '' THEN ': ' || c.description ELSE '' END, chr(10) ORDER BY ordinal) AS text FROM dict_t t JOIN dict_c c USING (table_name) GROUP BY table_name, t.description")
+SEMANTIC = "SELECT table_name, 'Table ' || table_name || CASE WHEN t.description <> '' THEN ' (' || t.description || ')' ELSE '' END || chr(10) || string_agg('- ' || column_name || CASE WHEN c.description <> '' THEN ': ' || c.description ELSE '' END, chr(10) ORDER BY ordinal) AS text FROM dict_t t JOIN dict_c c USING (table_name) GROUP BY table_name, t.description"
+
+
+@query(DICT + SEMANTIC)
 def semantic_text(spark, sf):
     rows = B.dictionary_rows(spark, sf)
     return semantic.text(semantic.model_of(catalog.dictionary_tables(rows), catalog.dictionary_columns(rows)))
@@ -439,6 +465,15 @@ def lineage_downstream(spark, sf):
     return lineage.reached(found, starts)
 
 
+@query(
+    O.with_(O.SCR, O.facts(), EDGES, "node AS (SELECT source AS t FROM edge WHERE source <> target UNION SELECT target FROM edge WHERE source <> target)", "walk(s, t) AS (SELECT source, target FROM edge WHERE source <> target UNION SELECT s, target FROM walk JOIN edge ON source = t)", recursive=True)
+    + "SELECT node.t AS table_name, count(DISTINCT walk.t) FILTER (WHERE walk.t <> node.t)::DOUBLE AS n_reached, true AS exact FROM node LEFT JOIN walk ON s = node.t GROUP BY node.t"
+)
+def lineage_reach(spark, sf):
+    """How many tables each table feeds, directly or not; the sketches of this graph's tables are exact."""
+    return lineage.sketch_sizes(lineage.edges(script_facts(spark, sf)), k=256)
+
+
 # Evaluation
 
 EV = O.with_(O.GOLDEN, O.EVAL)
@@ -587,16 +622,21 @@ def merged_context(spark, sf):
         O.TOKENS,
         O.SIMS,
         RULE_SQL,
+        O.DICT,
+        f"model AS ({SEMANTIC})",
         f"best AS ({O.top('sims', 3)})",
         "parts AS (SELECT item_id AS question_id, 0 AS part, 'Mandatory rules' AS heading, r AS document_id, 'text of ' || r AS text, 0 AS pos FROM benchmark, rule WHERE len(list_filter(t, lambda x: contains(trim(text), x))) > 0 UNION ALL SELECT question_id, CASE WHEN doc.kind = 'verified_sql' THEN 2 ELSE 1 END, CASE WHEN doc.kind = 'verified_sql' THEN 'Verified SQL' ELSE 'Business knowledge' END, document_id, coalesce(text, ''), position FROM best JOIN doc USING (document_id) UNION ALL SELECT item_id, 3, 'Session', NULL, 'asked: ' || text, 0 FROM benchmark WHERE item_id % 2 = 0)",
-        "section AS (SELECT question_id, part, '# ' || heading || chr(10) || chr(10) || string_agg(coalesce('## ' || document_id || chr(10), '') || text, chr(10) || chr(10) ORDER BY pos, document_id) AS s FROM parts GROUP BY question_id, part, heading)",
+        "section AS (SELECT item_id AS question_id, -1 AS part, (SELECT '# Semantic model' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY table_name) FROM model) AS s FROM benchmark UNION ALL SELECT question_id, part, '# ' || heading || chr(10) || chr(10) || string_agg(coalesce('## ' || document_id || chr(10), '') || text, chr(10) || chr(10) ORDER BY pos, document_id) AS s FROM parts GROUP BY question_id, part, heading)",
     )
     + "SELECT question_id, string_agg(s, chr(10) || chr(10) ORDER BY part) AS context FROM section GROUP BY question_id"
 )
 def context_text(spark, sf):
+    """The semantic model of the dictionary comes first, as it does for every question."""
     asked, docs, must = B.questions(spark, sf), B.docs(spark, sf), mandatory_rule_rows(spark)
+    rows = B.dictionary_rows(spark, sf)
+    model = semantic.text(semantic.model_of(catalog.dictionary_tables(rows), catalog.dictionary_columns(rows)))
     session = asked.filter("question_id % 2 = 0").select("question_id", F.lit("Session").alias("heading"), F.concat(F.lit("asked: "), "question").alias("text"))
-    return retrieval.context_text(retrieval.merged(asked, must, retrieval.retrieve(asked, docs, 3)), docs, must, session)
+    return retrieval.context_text(retrieval.merged(asked, must, retrieval.retrieve(asked, docs, 3)), docs, must, session, model, asked)
 
 
 @query(O.with_(O.TOKENS) + "SELECT document_id, kind, CASE WHEN document_id LIKE '%7' THEN 'new: ' || coalesce(text, '') ELSE text END AS text FROM doc")
