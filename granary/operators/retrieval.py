@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.functions.text import bucket, clean, tokens
 from granary.operators.catalog import hinted, is_small, small
@@ -201,10 +202,49 @@ def retrieve(questions: DataFrame, docs: DataFrame | TextIndex, k: int, kind: st
     return top(best(questions, some, 2 * k, dim).filter(F.col("kind") == kind).drop("position"), k)
 
 
-def mandatory(questions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(question_id, rule_id): rules (rule_id, triggers, text) any of whose triggers the question has, case-sensitive."""
-    hit = F.exists("triggers", lambda t: F.col("question").contains(t))
-    return questions.select("question_id", clean("question").alias("question")).join(small(rules), hit).select("question_id", "rule_id")
+def mandatory(questions: DataFrame, rules: DataFrame, shard: int = 200_000) -> DataFrame:
+    """(question_id, rule_id), distinct: rules (rule_id, triggers, text) any of whose triggers the question has, case-sensitive.
+
+    All triggers are one automaton, so that a question is read once, whatever the number of rules. More than `shard` triggers
+    make several automata, dealt by a hash, each sent to the tasks and asked in turn. An empty trigger is in every
+    question, null ones match nothing, and a null question counts as empty."""
+    asked = questions.select("question_id", clean("question").alias("question"))
+    pairs = written(rules.select("rule_id", F.explode("triggers").alias("trigger")).filter("trigger IS NOT NULL").distinct(), "triggers")
+    n_shards = max(1, -(-pairs.count() // shard))
+    schema = StructType([questions.schema["question_id"], rules.schema["rule_id"]])
+    out: DataFrame | None = None
+    for i in range(n_shards):
+        part = pairs.filter(F.pmod(F.xxhash64("trigger"), F.lit(n_shards)) == i).toArrow()  # about `shard` rows
+        held: dict[str, list[int]] = {}
+        for at, t in enumerate(part.column("trigger").to_pylist()):
+            held.setdefault(t, []).append(at)
+        sent = questions.sparkSession.sparkContext.broadcast((held, part.column("rule_id").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            held, names = sent.value
+            always = [names[i] for i in held.get("", ())]
+            machine = ahocorasick.Automaton()
+            for t, places in held.items():
+                if t:
+                    machine.add_word(t, places)
+            machine.make_automaton()
+            for batch in batches:
+                of, found = [], []
+                for i, text in enumerate(batch.column("question").to_pylist()):
+                    hit = set(always)
+                    if len(machine):
+                        for _, places in machine.iter(text):
+                            hit.update(names[p] for p in places)
+                    of += [i] * len(hit)
+                    found += hit
+                yield pa.RecordBatch.from_arrays([batch.column("question_id").take(pa.array(of, pa.int64())), pa.array(found, part_type)], ["question_id", "rule_id"])
+
+        part_type = part.schema.field("rule_id").type
+        matched = asked.mapInArrow(run, schema)
+        out = matched if out is None else out.unionByName(matched)
+    return out.distinct()
 
 
 def merged(questions: DataFrame, rules: DataFrame, retrieved: DataFrame) -> DataFrame:

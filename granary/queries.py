@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from granary import oracles as O
 from granary.functions.text import joined, normalised_sql
 from granary.operators import catalog, evaluate, facts, fix, lineage, modelout, retrieval, review, rules, semantic, standards
 from granary.plans.metrics import LOAN_METRICS, MetricPlan, checked, compile_plan, declared, distinct_bitmaps, distinct_totals, period_over_period, used_columns
 from granary.sources import bindings as B
-from granary.sources.shared import written
+from granary.sources.shared import shared_dir, written
+from granary.sources.store import DocumentStore
 from granary.streaming.threads import thread_state as batch_thread_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +265,25 @@ def table_stats(spark, sf):
     return catalog.table_stats(B.table(spark, sf, "lineitem"), exact=True)
 
 
+SPAN = ("1994", "1996")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, true AS distinct_close, {'NULL::BOOLEAN' if c in ('l_returnflag', 'l_linestatus', 'l_shipdate') else 'true'} AS median_close FROM lineitem WHERE year(l_shipdate) BETWEEN {SPAN[0]} AND {SPAN[1]}" for c in COLUMNS))
+def table_stats_periods(spark, sf):
+    """Statistics of three years from sketches by month, beside exact ones: distinct counts within 8 %, medians within 3 % of
+    the ranks."""
+    rows = B.table(spark, sf, "lineitem").select(*COLUMNS).withColumn("month", F.date_format("l_shipdate", "yyyyMM"))
+    held = catalog.period_sketches(rows, "month").filter(F.substring("month", 1, 4).between(*SPAN))
+    inside = rows.filter(F.substring("month", 1, 4).between(*SPAN))
+    numbers = [f.name for f in inside.schema if isinstance(f.dataType, NumericType)]
+    exact = catalog.table_stats(inside.select(*COLUMNS), exact=True).select("column_name", F.col("n_distinct").alias("exact"))
+    ranks = inside.agg(*[F.percentile_approx(c, [0.47, 0.53], 100_000).alias(c) for c in numbers])
+    between = ranks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("array<double>").alias("r")) for c in numbers])).alias("x")).select("x.*")
+    out = catalog.merged_stats(held).join(exact, "column_name").join(F.broadcast(between), "column_name", "left")
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(0.08 * F.col("exact"), F.lit(1.0))
+    return out.select("column_name", "n_rows", "n_nulls", close.alias("distinct_close"), F.col("median").between(F.col("r")[0], F.col("r")[1]).alias("median_close"))
+
+
 # SQL corpus
 
 
@@ -647,6 +670,19 @@ def docs_indexed(spark, sf):
     return retrieval.indexed(docs.unionByName(later)).select("document_id", "kind", "text")
 
 
+@query(O.with_(O.TOKENS) + "SELECT document_id, kind, CASE WHEN document_id LIKE '%7' THEN 'new: ' || coalesce(text, '') ELSE text END AS text FROM doc WHERE document_id NOT LIKE '%3'")
+def docs_upserted(spark, sf):
+    """Documents in a store, into which new versions, deletions and older versions that come late are merged."""
+    store = DocumentStore(spark, f"{shared_dir(spark)}/granary/{uuid.uuid4().hex}/store", 16)
+    docs = B.docs(spark, sf).withColumn("version", F.lit(1)).withColumn("deleted", F.lit(False))
+    store.upsert(docs)
+    some = docs.filter("document_id LIKE '%7'")
+    told = lambda n, word: some.withColumn("version", F.lit(n)).withColumn("text", F.concat(F.lit(word), F.coalesce("text", F.lit(""))))
+    store.upsert(told(3, "new: ").unionByName(docs.filter("document_id LIKE '%3'").withColumn("version", F.lit(2)).withColumn("deleted", F.lit(True))))
+    store.upsert(told(2, "between: ").unionByName(docs.filter("document_id LIKE '%3'")))
+    return store.current().select("document_id", "kind", "text")
+
+
 @query(
     "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 9) AS score FROM q, embeddings)\nSELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS position FROM s QUALIFY position <= 10"
 )

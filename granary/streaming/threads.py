@@ -6,16 +6,22 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from granary.functions.text import clean
+from granary.sources.shared import written
 
 MAX_ROUNDS, MAX_RETRIES = 3, 1
 #: What happens in a thread; other events change nothing.
 EVENTS = ("start", "clarification", "answer", "attempt_failed", "attempt_passed")
-STATE = "turn_no int, clarification_round int, attempt int, status string, last_seq long"
+STATE = "turn_no int, clarification_round int, attempt int, status string, last_seq long, last_at long"
+#: An event that waits for its turn; at in milliseconds.
+WAITING = "seq long, event string, text string, at long"
+#: Statuses after which only a start goes on.
+ENDED = ("failed", "deny", "pass")
 
 
 def step(state: tuple[int, int, int, str, int], seq: int, event: str, text: str | None, max_rounds: int = MAX_ROUNDS, max_retries: int = MAX_RETRIES) -> tuple[int, int, int, str, int]:
@@ -71,37 +77,87 @@ def thread_state(events: DataFrame, max_rounds: int = MAX_ROUNDS, max_retries: i
 
 
 class ThreadProcessor(StatefulProcessor):
-    """Keeps a thread's state across micro-batches; rows of a batch are put in order by seq."""
+    """Keeps a thread's state across micro-batches. Events wait in list state until the watermark has passed their time, as
+    until then an earlier one may come; a timer at that time applies them in the order of seq."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("thread", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, "none", -1)
-        frame = pd.concat(list(rows))
-        for r in frame.assign(text=frame["text"].fillna("")).sort_values(["seq", "event", "text"]).itertuples():
-            if r.seq > state[4]:  # a row that comes again is not counted again
-                state = step(state, int(r.seq), r.event, r.text)
-        self.state.update(state)
+        times = set()
+        for frame in rows:
+            for r in frame.itertuples():
+                at = int(r.at.timestamp() * 1000)
+                self.waiting.appendValue((int(r.seq), r.event, r.text if isinstance(r.text, str) else "", at))
+                times.add(at)
+        for at in times:
+            self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in held if r[3] <= now], [r for r in held if r[3] > now]
+        *state, last_at = tuple(self.state.get()) if self.state.exists() else (0, 0, 0, "none", -1, 0)
+        if not due:
+            if state[3] in ENDED and now >= last_at + self.keep_ms:
+                self.state.clear()
+            return
+        state = tuple(state)
+        for seq, event, text, at in sorted(due):
+            if seq > state[4]:  # a row that comes again is not counted again
+                state, last_at = step(state, seq, event, text), max(last_at, at)
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if state[3] in ENDED:
+            self.handle.registerTimer(last_at + self.keep_ms)
+        self.state.update((*state, last_at))
         yield pd.DataFrame({"thread_id": [key[0]], "turn_no": [state[0]], "clarification_round": [state[1]], "attempt": [state[2]], "status": [state[3]]})
 
     def close(self) -> None:
         pass
 
 
-def thread_stream(events: DataFrame) -> DataFrame:
-    """The same as a streaming query, in update mode: a thread's new state whenever it had events."""
-    return events.groupBy("thread_id").transformWithStateInPandas(ThreadProcessor(), outputStructType="thread_id long, turn_no int, clarification_round int, attempt int, status string", outputMode="Update", timeMode="None")
+def thread_stream(events: DataFrame, delay: str = "1 hour", keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """The same of a stream (thread_id, seq, event, text, at), in update mode: a thread's new state once the watermark, the
+    greatest `at` less the delay, has passed events of it.
+
+    Events may come in any order within the delay; the states are then those of the batch twin, whose order is seq: `at`
+    must not fall as seq rises. Events behind the watermark are lost, as Spark drops them. The last events of a stream wait
+    until later ones, of any thread, move the watermark. A thread whose turn has ended and that was silent for keep_ms is
+    forgotten: its state goes, and a start after that is its turn 1."""
+    watched = events.withWatermark("at", delay)
+    schema = "thread_id long, turn_no int, clarification_round int, attempt int, status string"
+    return watched.groupBy("thread_id").transformWithStateInPandas(ThreadProcessor(keep_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 
-def review_stream(scripts: DataFrame, path: str, checkpoint: str, registry: Any = None) -> Any:
-    """Rule issues of arriving scripts (script_id, mode, sql). A script is reviewed once by its id, however often it comes
-    again. A batch writes its own folder, so that one that runs again after a failure replaces itself."""
+def review_stream(scripts: DataFrame, path: str, checkpoint: str, registry: Any = None, near: str = "1 hour") -> Any:
+    """Rule issues of arriving scripts (script_id, mode, sql), written under path. A script is reviewed once by its id,
+    however often it comes again.
+
+    Repeats within `near` are dropped in the stream, whose state so has a bound; later ones by an anti-join to the ids that
+    earlier batches have written, under path.ids. A batch writes folders of its own, so that one that runs again after a
+    failure replaces itself."""
     from granary.operators.facts import facts
     from granary.operators.rules import default_registry
 
     def save(batch: DataFrame, number: int) -> None:
-        (registry or default_registry()).issues(facts(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    once = scripts.dropDuplicates(["script_id"])
+        spark = batch.sparkSession
+        new = written(batch.drop("arrived"), "arrived")
+        try:
+            earlier = spark.read.parquet(f"{path}.ids").filter(F.col("batch") < number).select("script_id")
+        except AnalysisException:  # nothing was written yet
+            earlier = new.select("script_id").limit(0)
+        new = new.join(earlier, "script_id", "left_anti")
+        (registry or default_registry()).issues(facts(new)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new.select("script_id").write.mode("overwrite").parquet(f"{path}.ids/batch={number}")
+
+    once = scripts.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", near).dropDuplicatesWithinWatermark(["script_id"])
     return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -185,26 +185,61 @@ def test_retrieval_prefilter(spark):
 def test_knn_in_blocks(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet")
     q = rows.filter("vec_id % 20 = 0")
-    a = sorted(map(str, retrieval.knn_dense(q, rows, block=3).collect()))
+    a = sorted(map(str, retrieval.knn_dense(q, rows, first=1).collect()))
     assert a == sorted(map(str, retrieval.knn_dense(q, rows).collect())) and len(a) == 10 * q.count()
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["score"] for r in retrieval.knn_dense(odd.filter("vec_id = 1"), odd).collect()}
     assert got == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0}
 
 
-def test_threads_stream_equals_batch(spark, small, tmp_path):
-    """Three micro-batches, a restart from the checkpoint after the first, and the batch twin agree."""
-    events = B.thread_events(spark, small)
-    for k in range(3):
-        events.filter((F.col("seq") >= 2 * k) & ((F.col("seq") < 2 * k + 2) | F.lit(k == 2))).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
-        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
-        query = threads.thread_stream(stream).writeStream.outputMode("update").foreachBatch(lambda df, n, k=k: df.write.mode("overwrite").parquet(f"file://{tmp_path}/out/{k}-{n}")).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
-        query.awaitTermination(120)
-        query.stop()
+def timed(events):
+    """Events with a time that rises with seq, and one of another thread far later, which moves the watermark."""
+    at = (F.lit(1_700_000_000) + F.col("seq") * 60).cast("timestamp")
+    flush = events.sparkSession.createDataFrame([(-1, 0, "start", None)], "thread_id long, seq long, event string, text string").withColumn("at", F.lit(1_800_000_000).cast("timestamp"))
+    return events.select("thread_id", F.col("seq").cast("long").alias("seq"), "event", "text", at.alias("at")), flush
+
+
+def streamed(spark, folder, schema, name, **options):
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}/in")
+    query = threads.thread_stream(stream, **options).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"file://{folder}/out/{name}-{n:05d}")).option("checkpointLocation", f"file://{folder}/check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    query.stop()
+
+
+def last_states(spark, folder):
     state = {}
-    for path in sorted(tmp_path.glob("out/*"), key=lambda p: tuple(map(int, p.name.split("-")))):
+    for path in sorted(folder.glob("out/*"), key=lambda p: int(p.name.split("-")[1])):
         state.update({r["thread_id"]: tuple(r) for r in spark.read.parquet(f"file://{path}").collect()})
-    assert state == {r["thread_id"]: tuple(r) for r in threads.thread_state(events).collect()}
+    return {k: v for k, v in state.items() if k != -1}
+
+
+def test_threads_stream_equals_batch(spark, small, tmp_path):
+    """Three micro-batches in a wrong order, a restart from the checkpoint after each, and the batch twin agree."""
+    plain = B.thread_events(spark, small)
+    events, flush = timed(plain)
+    for k in range(4):
+        part = flush if k == 3 else events.filter(F.pmod(F.xxhash64("thread_id", "seq"), F.lit(3)) == k)
+        part.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        streamed(spark, tmp_path, events.schema, str(k))
+    assert last_states(spark, tmp_path) == {r["thread_id"]: tuple(r) for r in threads.thread_state(plain).collect()}
+
+
+def test_an_answer_that_comes_late_counts(spark, tmp_path):
+    """The clarification comes before the answer that it follows; ended threads are forgotten after a while."""
+    rows = [[(1, 1, "start", None), (1, 3, "clarification", None), (2, 1, "start", None), (2, 2, "attempt_passed", None)], [(1, 2, "answer", "x")]]
+    for k, part in enumerate(rows):
+        events, flush = timed(spark.createDataFrame(part, "thread_id long, seq long, event string, text string"))
+        events.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        streamed(spark, tmp_path, events.schema, str(k), keep_ms=3_600_000)
+    flush.coalesce(1).write.parquet(f"file://{tmp_path}/in/9")
+    streamed(spark, tmp_path, flush.schema, "9", keep_ms=3_600_000)
+    both = spark.createDataFrame(rows[0] + rows[1], "thread_id long, seq long, event string, text string")
+    assert last_states(spark, tmp_path) == {r["thread_id"]: tuple(r) for r in threads.thread_state(both).collect()}
+    assert last_states(spark, tmp_path)[1] == (1, 1, 1, 0, "clarify")
+    again = spark.createDataFrame([(2, 5, "start", None)], "thread_id long, seq long, event string, text string").withColumn("at", F.lit(1_800_000_100).cast("timestamp"))
+    again.unionByName(flush.withColumn("at", F.lit(1_900_000_000).cast("timestamp")).withColumn("seq", F.lit(7).cast("long"))).coalesce(1).write.parquet(f"file://{tmp_path}/in/a")
+    streamed(spark, tmp_path, flush.schema, "a", keep_ms=3_600_000)
+    assert last_states(spark, tmp_path)[2] == (2, 1, 0, 0, "open")  # a first turn again
 
 
 def test_thread_rules():
@@ -301,31 +336,131 @@ def test_metrics_of_a_model(spark):
 
 def test_batch_and_stream_agree_on_odd_events(spark, tmp_path):
     """Blank answers of any white space, unknown events, repeated rows, several batches."""
-    from granary.streaming.threads import thread_state, thread_stream
-
     rows = [(1, 0, "start", None), (1, 1, "answer", "\n"), (2, 0, "start", None), (2, 1, "clarification", None), (2, 2, "hello", None), (3, 0, "start", None), (3, 1, "attempt_failed", None), (3, 1, "attempt_failed", None), (4, 0, "answer", "x"), (5, 0, "start", None), (5, 1, "answer", "　")]
-    schema = "thread_id long, seq long, event string, text string"
-    events = spark.createDataFrame(rows, schema)
-    events.filter("seq = 0").coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    events.filter("seq > 0").coalesce(1).write.parquet(f"{tmp_path}/in/b")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
-    run = thread_stream(stream).writeStream.format("memory").queryName("odd_threads").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = {}
-    for r in spark.table("odd_threads").collect():
-        last[r["thread_id"]] = tuple(r) if r["thread_id"] not in last or tuple(r)[1:] != (0, 0, 0, "none") else last[r["thread_id"]]
-    assert set(last.values()) == {tuple(r) for r in thread_state(events).collect()}
+    plain = spark.createDataFrame(rows, "thread_id long, seq long, event string, text string")
+    events, flush = timed(plain)
+    for k, part in enumerate((events.filter("seq = 0"), events.filter("seq > 0"), flush)):
+        part.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    streamed(spark, tmp_path, events.schema, "0")
+    assert set(last_states(spark, tmp_path).values()) == {tuple(r) for r in threads.thread_state(plain).collect()}
+
+
+def test_index_search_equals_the_join(spark, small):
+    from granary.operators import retrieval
+
+    docs = B.docs(spark, small).unionByName(spark.createDataFrame([("null", "x", None), ("empty", "x", ""), ("a", "x", "only these"), ("b", "x", "only these")], "document_id string, kind string, text string"))
+    asked = B.questions(spark, small).unionByName(spark.createDataFrame([(900, "only these"), (901, ""), (902, None), (903, "zzzz9")], "question_id long, question string"))
+    for dim, block in ((retrieval.DIM, 512), (64, 7)):
+        index = retrieval.build_index(docs, dim, block)
+        want = retrieval.top(retrieval.similarities(asked, docs, dim), 7)
+        assert sorted(map(str, retrieval.best(asked, index, 7, dim).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert index.blocks.agg(F.max(F.size("documents"))).first()[0] < 60  # a bucket of most documents is cut
+    few = retrieval.build_index(docs, block=64)
+    assert 0 < retrieval.skipped_share(asked, few, 3) < 1
+    assert retrieval.retrieve(asked, few, 3).count() == retrieval.retrieve(asked, docs, 3).count()
+    assert not retrieval.best(asked, docs.limit(0), 3).collect() and not retrieval.best(asked.limit(0), docs, 3).collect()
 
 
-def test_block_search_equals_the_join(spark, small):
+def test_vector_index(spark, small):
     from granary.operators import retrieval
-    from granary.sources import bindings
 
-    asked, docs = bindings.questions(spark, small), bindings.docs(spark, small)
-    fast, slow = retrieval.best_by_block(asked, docs, 7), retrieval.top(retrieval.similarities(asked, docs), 7)
-    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
-    assert retrieval.best_by_block(asked, docs, 7, most=3) is None
-    assert retrieval.retrieve(asked.limit(0), docs, 3).count() == 0 == retrieval.retrieve(asked, docs.limit(0), 3).count()
+    rows = B.table(spark, small, "embeddings").select("vec_id", "embedding")
+    queries = rows.filter("vec_id % 20 = 0")
+    want = retrieval.knn_dense(queries, rows, first=1000)
+    index = retrieval.build_vectors(rows, part=40)
+    assert index.parts.max() > 1 or (index.radii >= 0).sum() > 5
+    exact = sorted(map(str, retrieval.knn_dense(queries, index).collect()))
+    assert exact == sorted(map(str, want.collect())) and len(exact) == 10 * queries.count()
+    near = retrieval.knn_dense(queries, index, first=16, exact=False)
+    hit = near.join(want.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
+    assert hit >= 0.9 * len(exact)
+    told = {r["query_id"] for r in near.filter("is_exact").collect()}
+    full = {}
+    for r in want.collect():
+        full.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in told:
+        assert {r["vec_id"] for r in near.filter(F.col("query_id") == q).collect()} == full[q]
+    one = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)] + [(999, [0.0, 1.0]), (998, None)], "vec_id long, embedding array<float>")
+    hot = retrieval.build_vectors(one, part=50)
+    assert hot.parts.max() >= 6
+    got = retrieval.knn_dense(one.filter("vec_id IN (5, 998, 999)"), hot, k=3).orderBy("query_id", "position").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(5, 0), (5, 1), (5, 2), (998, 0), (998, 1), (998, 2), (999, 999), (999, 0), (999, 1)]
+
+
+def lineage_by_hand(pairs):
+    step, out = {}, {}
+    for a, b in pairs:
+        step.setdefault(a, set()).add(b)
+    for t in {x for p in pairs if p[0] != p[1] for x in p}:
+        seen, todo = set(), [t]
+        while todo:
+            for y in step.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out[t] = len(seen - {t})
+    return out
+
+
+def test_lineage_sizes(spark):
+    import random
+
+    from granary.operators import lineage
+
+    rng = random.Random(4)
+    pairs = [(f"t{rng.randrange(60)}", f"t{rng.randrange(60)}") for _ in range(70)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("c3", "t5"), ("t7", "c1")]
+    found = spark.createDataFrame(pairs, "source string, target string")
+    assert {r["table_name"]: r["n_reached"] for r in lineage.sketch_sizes(found, 200).collect()} == lineage_by_hand(pairs)
+    up = {r["table_name"]: r["n_reached"] for r in lineage.sketch_sizes(found, 200, upstream=True).collect()}
+    assert up == lineage_by_hand([(b, a) for a, b in pairs])
+
+
+def test_lineage_of_a_chain_takes_few_rounds_and_sketches_estimate(spark, monkeypatch):
+    from granary.operators import lineage
+    from granary.sources import shared
+
+    tables = []
+    monkeypatch.setattr(lineage, "written", lambda df, name: tables.append(name) or shared.written(df, name))
+    n = 700
+    chain = spark.range(n).select(F.format_string("t%05d", "id").alias("source"), F.format_string("t%05d", F.col("id") + 1).alias("target"))
+    monkeypatch.setattr(lineage, "condensed", lambda found: found.select(F.explode(F.array("source", "target")).alias("table_name")).distinct().withColumn("component", F.col("table_name")))
+    got = {r["table_name"]: r for r in lineage.sketch_sizes(chain, 100).collect()}
+    assert len(tables) < 40
+    for i in range(0, n + 1, 50):
+        r = got[f"t{i:05d}"]
+        assert r["exact"] == (n - i + 1 < 100) and abs(r["n_reached"] - (n - i)) <= (0 if r["exact"] else 0.4 * (n - i))
+
+
+def test_distinct_bitmaps(spark):
+    from granary.plans.metrics import distinct_bitmaps, distinct_totals
+
+    rows = [(i % 5, i % 3, f"e{(i * i) % 97}" if i % 11 else None) for i in range(2000)]
+    facts = spark.createDataFrame(rows, "g int, p int, e string")
+    bitmaps = distinct_bitmaps(facts, "e", ("g", "p"))
+    for by in (("g",), ("p",), ("g", "p")):
+        want = {tuple(r)[: len(by)]: r["n"] for r in facts.groupBy(*by).agg(F.countDistinct("e").alias("n")).collect()}
+        assert {tuple(r)[: len(by)]: r["n"] for r in distinct_totals(bitmaps, by).collect()} == want
+    assert not distinct_totals(distinct_bitmaps(facts.limit(0), "e", ("g",)), ("g",)).collect()
+
+
+def test_declared_metrics_are_checked(spark):
+    from granary.plans.metrics import checked, declared
+
+    facts = spark.createDataFrame([], "a int, b double")
+    good = declared([{"name": "x", "expression": "sum(a)"}, {"name": "y", "expression": "count(DISTINCT b) / 2"}])
+    assert set(checked(good, facts)) == {"x", "y"}
+    for text in ("sum(z)", "a + 1", "sum(", "upper(b"):
+        with pytest.raises(ValueError, match="bad"):
+            checked(declared([{"name": "bad", "expression": text}]), facts)
+
+
+def test_a_column_beside_a_cte_is_not_guessed(spark):
+    columns = spark.createDataFrame([("orders", "a", "int", 1, False)], "table_name string, name string, data_type string, ordinal_position int, is_partition boolean")
+    row = ("x", ["orders"], [], [("orders", None)], [(None, "b")])
+    schema = "script_id string, sources array<string>, select_aliases array<string>, table_refs array<struct<name:string,alias:string>>, column_refs array<struct<qualifier:string,name:string>>, cte_names array<string>"
+    assert not review.column_issues(spark.createDataFrame([(*row, ["r"])], schema), columns).collect()
+    assert len(review.column_issues(spark.createDataFrame([(*row, [])], schema), columns).collect()) == 1
+
 
 
 def test_a_script_is_reviewed_once(spark, tmp_path):
@@ -376,3 +511,63 @@ def test_written_files(spark, tmp_path):
         readers.write_fixed(fixed, f"file://{tmp_path}/fixed")
     readers.write_reports(spark.createDataFrame([(1, "# r")], "script_id long, markdown string"), f"file://{tmp_path}/md", "markdown")
     assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/md").collect()] == ["# r"]
+
+
+def test_triggers_by_automaton(spark):
+    from granary.operators import retrieval
+
+    rules = spark.createDataFrame([("a", ["he", "she"], "t"), ("b", ["hers", "x"], "t"), ("c", [""], "t"), ("d", None, "t"), ("e", [None, "é日"], "t"), ("f", ["A"], "t"), ("g", ["b c"], "t"), ("g", ["c b"], "t")], "rule_id string, triggers array<string>, text string")
+    asked = spark.createDataFrame([(1, "  ushers  "), (2, "é日本"), (3, None), (4, ""), (5, "a"), (6, "A b c b"), (6, "x")], "question_id long, question string")
+    hit = F.exists("triggers", lambda t: F.col("q").contains(t))
+    want = asked.select("question_id", X.clean("question").alias("q")).crossJoin(rules).filter(hit).select("question_id", "rule_id").distinct()
+    for size in (1_000_000, 2):
+        got = retrieval.mandatory(asked, rules, shard=size)
+        assert sorted(map(tuple, got.distinct().collect())) == sorted(map(tuple, want.collect())) and got.count() == got.distinct().count()
+    assert not retrieval.mandatory(asked, rules.limit(0)).collect() and not retrieval.mandatory(asked.limit(0), rules).collect()
+
+
+def test_many_triggers_cost_one_pass(spark):
+    import time
+
+    from granary.operators import retrieval
+
+    rules = spark.range(100_000).select(F.format_string("r%d", "id").alias("rule_id"), F.array(F.format_string("trigger%dend", "id")).alias("triggers"), F.lit("t").alias("text"))
+    asked = spark.range(2000).select(F.col("id").alias("question_id"), F.concat(F.repeat(F.lit("some words "), 20), F.format_string("trigger%dend", F.col("id") * 7)).alias("question"))
+    start = time.time()
+    got = {(r["question_id"], r["rule_id"]) for r in retrieval.mandatory(asked, rules).collect()}
+    assert got == {(i, f"r{i * 7}") for i in range(2000)} and time.time() - start < 60
+
+
+def test_document_store(spark, tmp_path):
+    """An upsert rewrites the buckets of its documents alone; deletions and older versions that come late hold."""
+    from granary.sources.store import DocumentStore
+
+    schema = "document_id string, version long, kind string, text string, deleted boolean"
+    store = DocumentStore(spark, f"file://{tmp_path}/store", 8)
+    assert store.current() is None
+    store.upsert(spark.createDataFrame([(f"d{i}", 1, "k", f"t{i}", False) for i in range(100)], schema))
+    before = {r[0]: r[1] for r in store.files().collect()}
+    store.upsert(spark.createDataFrame([("d5", 3, "k", "new", False), ("d6", 2, None, None, True), ("d5", 2, "k", "between", False)], schema))
+    after = {r[0]: r[1] for r in store.files().collect()}
+    changed = {b for b in before if before[b] != after[b]}
+    assert 1 <= len(changed) <= 2 and set(before) == set(after)
+    store.upsert(spark.createDataFrame([("d6", 1, "k", "late", False), ("d5", 1, "k", "late", False), ("d200", 1, "k", None, None)], schema))
+    got = {r["document_id"]: r["text"] for r in DocumentStore(spark, f"file://{tmp_path}/store", 8).current().collect()}
+    assert got == {f"d{i}": f"t{i}" for i in range(100) if i not in (5, 6)} | {"d5": "new", "d200": None}
+    store.upsert(spark.createDataFrame([], schema))
+    assert store.current().count() == 100
+    with pytest.raises(ValueError):
+        DocumentStore(spark, f"file://{tmp_path}/store", 9).current()
+
+
+def test_stats_by_period_merge(spark):
+    from granary.operators import catalog
+
+    rows = spark.createDataFrame([(f"2020{m:02d}", i % 500, float(i % 1000), None if i % 4 else "x") for m in (1, 2, 3) for i in range(3000)], "p string, a long, b double, c string")
+    parts = catalog.period_sketches(rows, "p")
+    got = {r["column_name"]: r for r in catalog.merged_stats(parts.filter("p <= '202002'")).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"]["n_nulls"] == 4500 and got["a"]["n_rows"] == 6000
+    assert abs(got["a"]["n_distinct"] - 500) <= 25 and got["c"]["n_distinct"] == 1
+    assert abs(got["b"]["median"] - 500) <= 30 and got["c"]["median"] is None and got["a"]["n_bytes"] == 6000 * 8
+    assert not catalog.merged_stats(parts.limit(0)).collect()
+
