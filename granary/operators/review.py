@@ -63,7 +63,11 @@ def column_issues(facts: DataFrame, columns: DataFrame, few: bool | None = None)
     owners = named.select("script_id", F.explode(keys).alias("qualifier"), F.col("found").alias("owner")).distinct()
     only = F.when((F.size("sources") == 1) & (F.size("cte_names") == 0), F.element_at("sources", 1))
     used = facts.select("script_id", "select_aliases", "cte_names", only.alias("only"), F.explode("column_refs").alias("c"))
-    used = used.withColumn("place", F.coalesce("c.qualifier", "only")).filter(~F.array_contains("select_aliases", F.col("c.name")) & ~F.array_contains("cte_names", F.col("place")))
+    if "table" in used.schema["c"].dataType.fieldNames():  # resolved by scopes: a table or nothing
+        used = used.withColumn("place", F.col("c.table"))
+    else:
+        used = used.withColumn("place", F.coalesce("c.qualifier", "only"))
+    used = used.filter(~F.array_contains("select_aliases", F.col("c.name")) & ~F.array_contains("cte_names", F.col("place")))
     placed = used.select("script_id", "place", "c.qualifier", "c.name").join(owners.withColumnRenamed("qualifier", "place"), ["script_id", "place"])
     have = columns.select(F.lower("table_name").alias("owner"), F.lower("name").alias("name")).distinct()
     return raised(placed.join(hinted(have, few), ["owner", "name"], "left_anti").select("script_id", "qualifier", "name").distinct(), COLUMN_NOT_FOUND)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.types import NumericType
 
 from granary import oracles as O
 from granary.functions.text import joined, normalised_sql
-from granary.operators import catalog, evaluate, facts, fix, lineage, modelout, retrieval, review, rules, semantic, standards
+from granary.operators import catalog, evaluate, facts, fix, lineage, modelout, retrieval, review, rules, scopes, semantic, standards
 from granary.plans.metrics import LOAN_METRICS, MetricPlan, checked, compile_plan, declared, distinct_bitmaps, distinct_totals, period_over_period, used_columns
 from granary.sources import bindings as B
 from granary.sources.shared import shared_dir, written
@@ -347,6 +347,35 @@ def sql_columns(spark, sf):
     return facts.column_rows(script_facts(spark, sf))
 
 
+NESTED = "WITH n AS (SELECT o_orderkey AS script_id, o_orderkey % 5 AS part, (o_orderkey % 5000)::VARCHAR AS a, (o_custkey % 5000)::VARCHAR AS b, ((o_orderkey + 7) % 5000)::VARCHAR AS d FROM orders)\n"
+REFS_OF = {
+    0: [("x", "a{a}", "t{a}"), ("y", "b{b}", "db.t{b}"), ("x", "k", "t{a}"), ("y", "k", "db.t{b}")],
+    1: [("x", "v", "t{a}"), ("z", "w", "t{b}"), ("c{a}", "w", None), ("c{a}", "v", None), ("e", "w", None)],
+    2: [("o", "a", "t{a}"), ("o", "v", "t{b}"), ("o", "k", "t{b}"), ("p", "k", "t{d}"), ("o", "k", "t{a}")],
+    3: [("s", "k", None), ("q", "k", "t{b}"), ("s", "n", None)],
+    4: [("x", "a", "t{a}"), ("x", "k", "t{a}"), ("y", "k", "t{b}"), ("y", "z", "t{b}"), ("w", "z", "t{d}"), ("t{b}", "k", "t{b}")],
+}
+
+
+def told(x: str | None) -> str:
+    """A text with {a}, {b}, {d} as SQL."""
+    return "NULL" if x is None else "concat(" + ", ".join(p[1] if p[0] == "{" else O.lit(p) for p in re.findall(r"\{\w\}|[^{]+", x)) + ")"
+
+
+@query(NESTED + "SELECT DISTINCT script_id, unnest(CASE part WHEN 0 THEN ['t' || a, 'db.t' || b] WHEN 3 THEN ['t' || b, 't' || d] WHEN 4 THEN ['t' || a, 't' || b, 't' || d, 't7'] ELSE ['t' || a, 't' || b, 't' || d] END) AS table_name FROM n")
+def sql_scope_tables(spark, sf):
+    """Tables that scripts read, by the scopes of names."""
+    found = facts.facts(B.nested_scripts(spark, sf), scopes.scoped_facts)
+    return found.select("script_id", F.explode("sources").alias("table_name"))
+
+
+@query(NESTED + "SELECT DISTINCT script_id, u.qualifier AS qualifier, u.name AS name, u.table_name AS table_name FROM (SELECT script_id, unnest(CASE part " + " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{'qualifier': {told(q)}, 'name': {told(n)}, 'table_name': {told(t)}}}" for q, n, t in refs) + "]" for k, refs in REFS_OF.items()) + " END) AS u FROM n)")
+def sql_scope_columns(spark, sf):
+    """Columns with the table that their qualifier stands for where they stand; null for those of a query."""
+    found = facts.facts(B.nested_scripts(spark, sf), scopes.scoped_facts)
+    return found.select("script_id", F.explode("column_refs").alias("c")).select("script_id", "c.qualifier", "c.name", F.col("c.table").alias("table_name"))
+
+
 NONE = lambda x: f"CASE WHEN {x} = '' THEN 'none' ELSE replace({x}, '|', ', ') END"
 YES = lambda x: f"CASE WHEN {x} THEN 'yes' ELSE 'no' END"
 

@@ -106,6 +106,25 @@ def sql_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("script_id"), F.format_string("/scripts/%d.sql", "o_orderkey").alias("path"), mode.alias("mode"), sql.alias("sql"))
 
 
+#: Scripts with comma joins, names in backticks, nested expressions and aliases that inner queries use again.
+NESTED = (
+    "SELECT x.a{a}, y.b{b} FROM t{a} x, `Db`.`T{b}` y WHERE x.k = y.k",
+    "WITH c{a} AS (SELECT x.v FROM t{a} x), e AS (WITH c{a} AS (SELECT z.w FROM t{b} z) SELECT c{a}.w FROM c{a}) SELECT c{a}.v, e.w FROM c{a}, e, t{d}",
+    "SELECT o.a, (SELECT max(o.v) FROM t{b} o WHERE o.k = p.k) AS m FROM t{a} o JOIN t{d} p ON o.k = p.k",
+    "INSERT OVERWRITE TABLE out{a} SELECT s.k FROM (SELECT q.k FROM t{b} q, t{d}) s -- from none\nWHERE s.n = 'from t0, t1'",
+    "SELECT x.a FROM t{a} AS x LEFT JOIN t{b} AS y ON x.k = y.k AND y.z IN (SELECT w.z FROM t{d} w), t7 GROUP BY x.a; SELECT t{b}.k FROM t{b}",
+)
+
+
+def nested_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(script_id, mode, sql): a script per order, of one of NESTED, over 5,000 tables."""
+    o = table(spark, sf_dir, "orders")
+    sql = F.element_at(F.array(*map(F.lit, NESTED)), (F.pmod("o_orderkey", F.lit(len(NESTED))) + 1).cast("int"))
+    for name, number in (("{a}", F.col("o_orderkey")), ("{b}", F.col("o_custkey")), ("{d}", F.col("o_orderkey") + 7)):
+        sql = F.replace(sql, F.lit(name), F.pmod(number, F.lit(5000)).cast("string"))
+    return o.select(F.col("o_orderkey").alias("script_id"), F.lit("prod").alias("mode"), sql.alias("sql"))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, kind, text): whole texts; a third of them verified SQL."""
     kind = F.when(F.col("doc_id") % 3 == 0, "verified_sql").otherwise("business_knowledge")

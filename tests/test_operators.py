@@ -571,3 +571,39 @@ def test_stats_by_period_merge(spark):
     assert abs(got["b"]["median"] - 500) <= 30 and got["c"]["median"] is None and got["a"]["n_bytes"] == 6000 * 8
     assert not catalog.merged_stats(parts.limit(0)).collect()
 
+
+SCOPED = [
+    ("SELECT a.x, b.y FROM t1 a, `db`.`t2` b WHERE a.k = b.k", ["db.t2", "t1"], [], {("a", "x", "t1"), ("b", "y", "db.t2"), ("a", "k", "t1"), ("b", "k", "db.t2")}),
+    ("WITH c AS (SELECT x.a FROM t1 x), d AS (WITH c AS (SELECT 1 AS k FROM t9) SELECT c.k FROM c) SELECT c.a, d.k FROM c JOIN d ON c.a = d.k, t3", ["t1", "t3", "t9"], ["c", "d"], {("x", "a", "t1"), ("c", "k", None), ("c", "a", None), ("d", "k", None)}),
+    ("SELECT o.a, (SELECT max(o.v) FROM t2 o WHERE o.k = p.k) m FROM t1 o JOIN t4 p ON o.k = p.k", ["t1", "t2", "t4"], [], {("o", "a", "t1"), ("o", "v", "t2"), ("o", "k", "t2"), ("o", "k", "t1"), ("p", "k", "t4")}),
+    ("SELECT s.k, extract(year FROM s.d) FROM (SELECT q.k, q.d FROM t1 q) s WHERE s.k IN (1, 2) AND f(s.k, 3) > 0 -- from nothing", ["t1"], [], {("q", "k", "t1"), ("q", "d", "t1"), ("s", "k", None), ("s", "d", None)}),
+    ("SELECT x.a FROM t1 AS x LEFT JOIN t2 AS y ON x.k = y.k AND y.z IN (SELECT w.z FROM t3 w), t4 GROUP BY x.a", ["t1", "t2", "t3", "t4"], [], {("x", "a", "t1"), ("x", "k", "t1"), ("y", "k", "t2"), ("y", "z", "t2"), ("w", "z", "t3")}),
+    ("insert overwrite table out1 select 'from lit', t5.z from t5; select out1.z from out1 /* , t8 */", ["out1", "t5"], [], {("t5", "z", "t5"), ("out1", "z", "out1")}),
+    ("SELECT u.a FROM t1 x UNION ALL SELECT y.a FROM (t2 y)", ["t1"], [], {("u", "a", None), ("y", "a", None)}),
+    ("", [], [], set()),
+    (None, [], [], set()),
+    ("SELECT x.a, x.b FROM t1 x, t2 x", ["t1", "t2"], [], {("x", "a", None), ("x", "b", None)}),
+]
+
+
+def test_scopes_of_names(spark):
+    from granary.operators import scopes
+
+    rows = spark.createDataFrame([(i, "prod", s[0]) for i, s in enumerate(SCOPED)], "script_id long, mode string, sql string")
+    for r in facts.facts(rows, scopes.scoped_facts).collect():
+        _, tables, ctes, columns = SCOPED[r["script_id"]]
+        assert (r["sources"], r["cte_names"], {tuple(c) for c in r["column_refs"]}) == (tables, ctes, columns)
+    found = facts.facts(rows, scopes.scoped_facts)
+    catalog_ = spark.createDataFrame([("t1", c, "int", i, False) for i, c in enumerate("xkad")] + [("t2", "k", "int", 0, False)], "table_name string, name string, data_type string, ordinal_position int, is_partition boolean")
+    lacks = {(r["script_id"], r["evidence"]) for r in review.column_issues(found, catalog_).collect()}
+    assert lacks == {(0, "b.y"), (2, "o.v"), (4, "y.z")}
+
+
+def test_scoped_facts_agree_with_plain_ones_on_plain_scripts(spark, small):
+    from granary.operators import scopes
+
+    scripts = B.sql_scripts(spark, small).select("script_id", "mode", "sql").limit(120)
+    plain, scoped = facts.facts(scripts), facts.facts(scripts, scopes.scoped_facts)
+    for c in ("sources", "cte_names", "targets", "insert_target", "referenced"):
+        drop = "sql NOT LIKE 'DROP%' AND sql NOT LIKE 'TRUNCATE%'"  # those name tables without a query
+        assert sorted(map(str, plain.filter(drop).select("script_id", c).collect())) == sorted(map(str, scoped.filter(drop).select("script_id", c).collect())), c
