@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,6 @@ DICTIONARY = ("row_no", "table_name", "column_name", "table_desc", "column_desc"
 SCHEMA_VERSION = 2
 #: A side with at most this many rows is broadcast.
 SMALL_ROWS = 100_000
-#: At most so many keywords are tried on every row.
-FEW_KEYWORDS = 32
 
 
 def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
@@ -162,30 +161,58 @@ def overlapping(text: F.Column, key: F.Column) -> F.Column:
     return F.size(F.filter(spots, lambda i: F.substr(text, i, F.char_length(key)) == key))
 
 
-def search(rows: DataFrame, keywords: DataFrame, names: tuple[str, ...], limit: int) -> DataFrame:
+def grams(text: F.Column, n: int) -> F.Column:
+    """The distinct pieces of n characters of a text; none of a shorter one."""
+    spots = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.greatest(F.char_length(text) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(spots, lambda i: F.substr(text, i, F.lit(n))))
+
+
+class GramIndex(NamedTuple):
+    """rows: (row, columns..., low_name, low_desc, len), written, row a number. grams: (gram, row), written in order of
+    gram, so that a reader of some grams skips the others: pieces of one to three characters of a row's name and
+    description. average: the mean of len, the number of trigrams of both."""
+
+    rows: DataFrame
+    grams: DataFrame
+    names: tuple[str, ...]
+    average: float
+
+
+def gram_index(rows: DataFrame, names: tuple[str, ...]) -> GramIndex:
+    """Index rows by the grams of their name and description; names = (key columns..., name, description)."""
+    *keys, name, description = names
+    lower = rows.select(*keys, F.col(name).alias("hit_name"), F.lower(name).alias("low_name"), F.coalesce(F.lower(description), F.lit("")).alias("low_desc")).filter("low_name IS NOT NULL")
+    length = lambda c: F.greatest(F.char_length(c) - 2, F.lit(0))
+    held = written(lower.withColumn("row", F.monotonically_increasing_id()).withColumn("len", (length("low_name") + length("low_desc")).cast("double")), "rows")
+    pieces = F.array_distinct(F.concat(*[grams(F.col(c), n) for c in ("low_name", "low_desc") for n in (1, 2, 3)]))
+    cells = held.select("row", F.explode(pieces).alias("gram"))
+    return GramIndex(held, written(cells.repartitionByRange("gram", "row").sortWithinPartitions("gram"), "grams"), tuple(names), held.agg(F.avg("len").alias("a")).first()["a"] or 1.0)
+
+
+def rarest(index: GramIndex, wanted: DataFrame) -> DataFrame:
+    """(keyword, gram): the gram of each keyword (of three characters, or the keyword if it is shorter) that fewest rows
+    have. Keywords with a gram that no row has are left out, as nothing can hold them."""
+    own = F.when(F.char_length("keyword") >= 3, grams(F.col("keyword"), 3)).otherwise(F.array("keyword"))
+    parts = wanted.select("keyword", F.explode(own).alias("gram"))
+    counts = index.grams.join(small(parts.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    each = parts.join(counts, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
+    return each.filter("absent = 0").select("keyword", "gram")
+
+
+def search(rows: DataFrame | GramIndex, keywords: DataFrame, names: tuple[str, ...], limit: int) -> DataFrame:
     """Ranked search of each keyword in rows' name and description columns: names = (key columns..., name, description).
 
     Blank keywords find nothing. An exact name comes first. Keywords under 3 characters match anywhere in name or
     description and are ordered by name. Longer ones are scored as a phrase of trigrams: hits (overlaps count) against
     the length of both columns, so that many hits in little text rank high; then by name. At most limit rows a keyword.
-    A few dozen keywords are tried on every row; with more, rows and keywords meet on the keyword's first trigram.
-    """
-    *keys, name, description = names
+    Rows meet a keyword on its rarest gram, whatever the number of keywords; rows may be an index that was built."""
+    index = rows if isinstance(rows, GramIndex) else gram_index(rows, names)
+    keys = list(index.names[:-2])
     wanted = keywords.select(name_key("keyword").alias("keyword")).filter("keyword != ''").distinct()
-    lower = rows.select(*keys, F.col(name).alias("hit_name"), F.lower(name).alias("low_name"), F.lower(description).alias("low_desc"))
-    grams = lambda c: F.greatest(F.char_length(c) - 2, F.lit(0))
-    sized = lower.withColumn("len", (grams("low_name") + grams("low_desc")).cast("double"))
-    average = sized.agg(F.avg("len").alias("a")).first()["a"] or 1.0  # one number
-    if is_small(wanted, FEW_KEYWORDS):
-        pairs = sized.join(F.broadcast(wanted), F.col("low_name").contains(F.col("keyword")) | F.col("low_desc").contains(F.col("keyword")))
-    else:
-        row = sized.withColumn("row_key", F.struct(*keys, "hit_name"))
-        spots = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))
-        cells = row.withColumn("gram", F.explode(F.array_distinct(F.concat(spots(F.col("low_name")), spots(F.col("low_desc")), F.split("low_name", ""), F.split("low_desc", "")))))
-        firsts = wanted.withColumn("gram", F.substring("keyword", 1, 3)).withColumn("gram", F.when(F.char_length("keyword") < 3, F.substring("keyword", 1, 1)).otherwise(F.col("gram")))
-        pairs = cells.join(small(firsts), "gram").filter(F.col("low_name").contains(F.col("keyword")) | F.col("low_desc").contains(F.col("keyword"))).drop("gram", "row_key")
+    met = index.grams.join(small(written(rarest(index, written(wanted, "keywords")), "rarest")), "gram").select("row", "keyword")
+    pairs = index.rows.join(met, "row").filter(F.col("low_name").contains(F.col("keyword")) | F.col("low_desc").contains(F.col("keyword")))
     tf = (overlapping(F.col("low_name"), F.col("keyword")) + overlapping(F.col("low_desc"), F.col("keyword"))).cast("double")
-    score = F.when(F.char_length("keyword") >= 3, F.round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / average)), 9)).otherwise(0.0)
+    score = F.when(F.char_length("keyword") >= 3, F.round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("len") / index.average)), 9)).otherwise(0.0)
     exact = F.when(F.col("low_name") == F.col("keyword"), 1).otherwise(0)
     order = Window.partitionBy("keyword").orderBy(F.col("exact").desc(), F.col("score").desc(), "hit_name", *keys)
     ranked = pairs.withColumn("exact", exact).withColumn("score", score).withColumn("position", F.row_number().over(order))
