@@ -8,6 +8,7 @@ equal pseudonyms in every document, and whoever holds the key can invert them.
 from __future__ import annotations
 
 import datetime as dt
+import ipaddress
 import hashlib
 import os
 import re
@@ -84,6 +85,7 @@ def luhn(digits: Sequence[int]) -> int:
 
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+HEX = ("0123456789", "abcdef", "ABCDEF")
 #: How a card number may begin (from and to, in the digits given), by its number of digits.
 ISSUERS = {
     13: [("4", "4")],
@@ -98,9 +100,12 @@ AREAS = [x for x in range(1, 900) if x != 666]
 #: What the pattern of card numbers takes though it may be a phone number.
 PHONE = re.compile(r"(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-][0-9]{2,4}){2,4}")
 
+#: A number as it is dialled inside a country: 0, the area's code, the number.
+NATIONAL, DIALLED = re.compile(r"0[1-9][0-9]{1,3}[ /-][0-9]{5,8}"), re.compile(r"0[0-9]{2,4}[ /-][0-9]{5,8}")
+
 
 class Pseudonyms:
-    """Replaces the values that it finds in a text. Types: email, phone, card, ssn, iban, ip, date, secret.
+    """Replaces the values that it finds in a text. Types: email, phone, card, ssn, iban, ip, ip6, date, secret.
 
     Each type has a method that names a valid value's format (None for a value that fails the type's test) and one that
     permutes the values of some larger set; the permutation is applied until the format is the value's own again. Hence
@@ -109,14 +114,15 @@ class Pseudonyms:
     def __init__(self, key: bytes, inverse: bool = False) -> None:
         self.feistel, self.inverse = Feistel(key), inverse
         patterns = {
-            "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
+            "email": r"(?<![\w.%+-])[\w.%+-]+@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w-])",
             "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*)(?P<quote>[\"']?)[A-Za-z0-9_\-+/]{8,}(?P=quote)",
             "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
             "date": r"(?<![\w.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w\-/]|\.[0-9])",
             "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+            "ip6": r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.[0-9])",
             "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
             "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-            "phone": r"(?<![\w.+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w|\.[0-9])|(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
+            "phone": r"(?<![\w.+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?!\w|\.[0-9])|(?<![\w.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.+-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8}(?![\w-]|\.[0-9])",
         }
         self.kinds = list(patterns)
         self.find = re.compile("|".join(f"(?P<{k}>{p})" for k, p in patterns.items()))
@@ -126,9 +132,9 @@ class Pseudonyms:
         value, n = mixed(digits, bases)
         return unmixed(self.feistel.permute(value, n, tweak.encode(), self.inverse), bases)
 
-    def _chars(self, kind: str, text: str, keep: int = 0) -> str:
+    def _chars(self, kind: str, text: str, keep: int = 0, classes: Sequence[str] = CLASSES) -> str:
         """Permute the ASCII letters and digits from position keep on, each within its class; all else stays."""
-        spots = [(i, next((c for c in CLASSES if text[i] in c), "")) for i in range(keep, len(text))]
+        spots = [(i, next((c for c in classes if text[i] in c), "")) for i in range(keep, len(text))]
         spots = [(i, c) for i, c in spots if c]
         if not spots:
             return text
@@ -158,12 +164,15 @@ class Pseudonyms:
         return text[:start] + self._chars("secret", text[start:])
 
     def _country(self, text: str) -> int:
-        """How much of a phone number is its country's code, which stays."""
+        """How much of a phone number is its country's code, or the 0 before its area's; that stays."""
         country = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
-        return country.end() if country else 0
+        return country.end() if country else int(bool(DIALLED.fullmatch(text)))  # whatever the permutation makes of it
 
-    def phone_format(self, text: str) -> bool | None:
-        """Whether it is a valid North American number: area and exchange don't start with 0 or 1."""
+    def phone_format(self, text: str) -> bool | str | None:
+        """Whether it is a valid North American number: area and exchange don't start with 0 or 1; of a number that begins
+        with 0 and its area's code, that."""
+        if NATIONAL.fullmatch(text):
+            return "national" if sum(c.isdigit() for c in text) >= 9 else None
         digits, keep = [c for c in text if c.isdigit()], self._country(text)
         if not 9 <= len(digits) <= 15:
             return None
@@ -210,6 +219,20 @@ class Pseudonyms:
         left = iter(f"{plain[:2]}{self._iban_check(plain[:2], body):02}{body}")
         return "".join(c if c == " " else next(left) for c in text)
 
+    def ip6_format(self, text: str) -> str | None:
+        """Which groups begin with a 0 that could be left out. Three groups and a digit at least: other code has double colons."""
+        groups = [g for g in text.split(":") if g]
+        if len(groups) < 3 or not any(c.isdigit() for c in text):
+            return None
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        return "".join("0" if len(g) > 1 and g[0] == "0" else "1" for g in groups)
+
+    def ip6(self, text: str, form: object = None) -> str:
+        return self._chars("ip6", text, classes=HEX)
+
     def ip_format(self, text: str) -> str | None:
         return None if any(int(p) > 255 or p != str(int(p)) for p in text.split(".")) else ""
 
@@ -271,7 +294,7 @@ class Pseudonyms:
 
         def swap(m: re.Match[str]) -> str:
             new = self.pseudonym(next(k for k in self.kinds if m[k] is not None), m[0])
-            if new is None:
+            if new is None or new[1] == m[0]:  # nothing in it to permute
                 return m[0]
             found[new[0]] += 1
             return new[1]

@@ -571,3 +571,28 @@ def test_letters_of_large_scripts():
     model = langid.train({k: make(k, 3000) for k in "xy"})
     count, _ = langid.phrases(model, [make("x", 100), make("y", 100)])
     assert count[0, 0] < count[0, 1] and count[1, 1] < count[1, 0]
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("ip6", "2001:db8:85a3:0:0:8a2e:370:7334"), ("ip6", "2001:db8::1"), ("ip6", "FE80::12:0034"), ("phone", "030 90182012"), ("phone", "07911 123456"), ("phone", "089/1234567"), ("email", "jürgen.groß@exämple.de"), ("email", "é1@b.org")],
+)
+def test_more_formats_are_pseudonyms(kind, value):
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    new, found = p.apply(f"see {value}, please")
+    assert found == {kind: 1} and value not in new and len(new) == len(f"see {value}, please")
+    assert back.apply(new) == (f"see {value}, please", found)
+
+
+def test_what_is_no_such_value_stays():
+    for text in ("at 12:34:56 and 1:2", "std::vector a::b12", "::", "0.5 12345", "room 012 34", "call 0012 345678", "...@b.org x", "1:2:3:4"):
+        assert pii.Pseudonyms(b"k").apply(text) == (text, {})
+
+
+@pytest.mark.parametrize(("kind", "values"), [("ip6", [f"1:2::{x}" for x in range(10)]), ("phone", [f"030 90182{x:03}" for x in range(1000)]), ("email", [f"{x:02}@a.de" for x in range(100)])])
+def test_formats_are_permutations(kind, values):
+    """Brute force over a small range: pseudonyms differ, none is its own value, and each comes back."""
+    p, back = pii.Pseudonyms(b"k2"), pii.Pseudonyms(b"k2", True)
+    new = [p.pseudonym(kind, v) for v in values]
+    assert len({n[1] for n in new}) == len(values) and all(n[1] != v for n, v in zip(new, values, strict=True))
+    assert [back.pseudonym(k, n)[1] for k, n in new] == values
