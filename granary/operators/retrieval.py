@@ -20,6 +20,8 @@ from granary.sources.shared import written
 DIM = 1 << 18
 #: Postings of one block of the index, about. Scores have six digits: what rounding and sums in another order may add.
 BLOCK, ROUNDED = 512, 1.5e-6
+#: The part of the least score that skipped blocks may add up to.
+SLACK = 0.1
 #: The parts of a context, in order.
 HEADINGS = ("Mandatory rules", "Business knowledge", "Verified SQL")
 
@@ -92,22 +94,15 @@ class TextIndex(NamedTuple):
     blocks: DataFrame
 
 
-def counted_buckets(sorted_buckets: Column) -> Column:
-    """[(bucket, n)] of a sorted array with repeats, from the places where its runs start."""
-    places = F.sequence(F.lit(1), F.size(sorted_buckets))
-    starts = F.filter(F.when(F.size(sorted_buckets) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.element_at(sorted_buckets, i) != F.element_at(sorted_buckets, F.greatest(i - 1, F.lit(1)))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(sorted_buckets) + 1))
-    return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda x: F.struct(F.element_at(sorted_buckets, x["start"]).alias("bucket"), (x["end"] - x["start"]).cast("long").alias("n")))
-
-
 def build_index(docs: DataFrame, dim: int = DIM, block: int = BLOCK) -> TextIndex:
     """Index documents (document_id, kind, text): each bucket's postings by falling weight, in blocks.
 
     Postings of a bucket whose weights lie within a factor of 2^(1/4) are a class; a class of more than `block` postings
     is cut by a hash of the document, so that a word that most documents have is no hot key. A text without tokens,
     or a null one, is in no block."""
-    rows = docs.select("document_id", "kind", F.sort_array(buckets("text", dim)).alias("bs")).filter("bs IS NOT NULL AND size(bs) > 0")
-    forward = written(rows.select("document_id", "kind", counted_buckets(F.col("bs")).alias("vec"), squared_norm(F.col("bs")).alias("d_norm")), "forward")
+    counts = docs.select("document_id", "kind", F.explode(buckets("text", dim)).alias("bucket")).groupBy("document_id", "kind", "bucket").agg(F.count("*").alias("n"))
+    by = counts.groupBy("document_id", "kind").agg(F.collect_list(F.struct("bucket", "n")).alias("vec"), F.sum(F.col("n") * F.col("n")).alias("d_norm"))
+    forward = written(by, "forward")
     each = forward.select("document_id", F.sqrt(F.col("d_norm").cast("double")).alias("norm"), F.explode("vec").alias("x"))
     postings = each.select("document_id", F.col("x.bucket").alias("bucket"), (F.col("x.n") / F.col("norm")).alias("weight"))
     postings = postings.withColumn("class", F.floor(-4 * F.log2("weight")).cast("int"))
@@ -158,12 +153,13 @@ def kept_blocks(asked: DataFrame, index: TextIndex, least: DataFrame) -> tuple[D
     """What can't be skipped, and what the rest adds at most.
 
     A question's buckets are put in the order of what they can add; a block is skipped if it and all the buckets before its
-    own can't reach the question's least score together, so that a document found in skipped blocks alone can't. Returns
+    own together can't reach a part, SLACK, of the question's least score: then a document found in skipped blocks alone
+    can't, and sums over the others are near enough to the scores that few documents need to be scored whole. Returns
     (question_id, bucket, most, q_weight, floor), where blocks under floor are skipped, and (question_id, skipped)."""
     tops = index.blocks.groupBy("bucket").agg(F.max("most").alias("top"))
     each = asked.join(tops, "bucket").withColumn("adds", F.col("q_weight") * F.col("top"))
     before = F.coalesce(F.sum("adds").over(Window.partitionBy("question_id").orderBy("adds", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.coalesce("least", F.lit(0.0)) - ROUNDED - F.col("before")
+    left = SLACK * F.coalesce("least", F.lit(0.0)) - ROUNDED - F.col("before")
     floors = each.withColumn("before", before).join(small(least), "question_id", "left").select("question_id", "bucket", "q_weight", "top", (left / F.col("q_weight")).alias("floor"))
     floors = written(floors, "floors")
     skipped = floors.groupBy("question_id").agg(F.sum(F.col("q_weight") * F.greatest(F.least("top", "floor"), F.lit(0.0))).alias("skipped"))
@@ -180,8 +176,12 @@ def best(questions: DataFrame, docs: DataFrame | TextIndex, k: int, dim: int = D
     least = written(reach(asked, index, k), "least")
     floors, skipped = kept_blocks(asked, index, least)
     met = index.blocks.join(small(floors.select("question_id", "bucket", "q_weight", "floor"), 1_000_000), "bucket").filter("most >= floor")
-    bounds = skipped.join(least, "question_id", "left").select("question_id", (F.coalesce("least", F.lit(0.0)) - ROUNDED - F.col("skipped")).alias("needs"))
-    found = partial_scores(met).join(small(written(bounds, "bounds")), "question_id").filter("partial >= needs")
+    sums = written(partial_scores(met), "sums")
+    order = Window.partitionBy("question_id").orderBy(F.col("partial").desc())
+    kth = sums.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("question_id", F.col("partial").alias("kth"))  # a sum is no more than the score
+    zero = F.lit(0.0)
+    bounds = skipped.join(least, "question_id", "left").join(kth, "question_id", "left").select("question_id", (F.greatest(F.coalesce("least", zero), F.coalesce("kth", zero)) - ROUNDED - F.col("skipped")).alias("needs"))
+    found = sums.join(small(written(bounds, "bounds")), "question_id").filter("partial >= needs")
     return top(exact_scores(written(found.select("question_id", "document_id"), "found"), asked, index.forward), k)
 
 
