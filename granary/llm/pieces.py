@@ -333,7 +333,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """(doc_id, tokens, n_tokens), a row per row of docs: the ids that SentencePiece gives the whole text; with carry,
     those columns instead of doc_id.
 
-    A null or empty text has no tokens. Null ids are kept, repeated rows give equal rows, an empty table an empty result.
+    A null or empty text has no tokens. Null ids are kept, repeated rows give equal rows, an empty table an empty result. A
+    long text is encoded whole. An added name that a carried column has gets an underscore.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:

@@ -122,7 +122,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. kept: not base_failed, and a posterior
     of threshold at least. Null and empty texts have no words, hence fail the base limits; repeated rows are judged
-    alike; null ids are kept as they are; an empty table gives an empty result. Other columns aren't read.
+    alike; null ids are kept as they are; an empty table gives an empty result. Whole texts count, however long. Other columns
+    aren't read, whatever their names.
     """
     counted = written(features(docs, id_col, text_col).withColumn("votes", votes()), "features")
     solved = posteriors(counted.groupBy("votes").agg(F.count("*").alias("n")))

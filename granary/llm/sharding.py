@@ -30,7 +30,8 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grown: float =
     grown_shard is the shard once another of weight grown has joined. size is the text's UTF-8 bytes plus 1 (a null text has none, and the
     empty text's CRC). slot counts a shard's rows without gaps from 0, in the order of a hash bucket, then of id, size
     and CRC; rows equal in all of these are counted first and take consecutive slots. A group of more than range_rows is
-    dealt to tasks in ranges of slots, so that none has to be written out by one task. An empty table gives an empty result; other columns aren't read.
+    dealt to tasks in ranges of slots, so that none has to be written out by one task. Whole texts count, however long. An empty table
+    gives an empty result; other columns aren't read, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)

@@ -112,7 +112,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
     """Encode every whole text, append end_id, and write the files under path.
 
     A null text is encoded as empty, hence gives end_id alone. Null ids come first; rows that repeat an id are written
-    as often as they occur, in a fixed order by their text's hash. An empty table gives files without rows.
+    as often as they occur, in a fixed order by their text's hash. A long text is encoded whole. Other columns aren't read, whatever their names. An
+    empty table gives files without rows.
     """
     tie = "tie"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(tie, F.xxhash64("text"))

@@ -114,7 +114,7 @@ def test_run(spark, small):
 
 def test_every_operator_has_a_query():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"]
 
 
 def test_near_copies_link(spark):
