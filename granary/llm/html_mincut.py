@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import sized
 
 #: Names of HTML elements and of usual roles and classes of page parts.
-SKIPPED = "template iframe select button noscript video audio canvas object"
+SKIPPED = "template iframe select button noscript video audio"
 #: What holds no markup, and ends with the page at the latest; what may close itself; whose end tag may be left out.
 RAW, FOREIGN, OPTION = "script style textarea", "svg", "option optgroup"
 #: The elements that a head may hold: another one ends it, with or without an end tag.

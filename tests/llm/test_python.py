@@ -381,7 +381,7 @@ def test_html_raw_text_ends_with_the_page():
         ('<article><p>First one here.</p><div class="newsletter-box"><p>Subscribe to our letter, it is free.</p></div><p>Last one here.</p></article>', "First one here.\nLast one here."),
         ("<article><p>First one here.</p></article><p>Copyright 2020 Example. All rights reserved.</p>", "First one here."),
         ("<article><p>A &<b>amp;</b> B.</p></article>", "A &amp; B."),
-        ("<article><p>So <math><mi>x</mi></math> is known.</p><noscript>Shown without scripts.</noscript><object><p>Inside an object.</p></object><canvas>Drawn here.</canvas></article>", "So x is known.\nShown without scripts. Inside an object.\nDrawn here."),
+        ("<article><p>So <math><mi>x</mi></math> is known.</p><noscript>Shown without scripts.</noscript><object><p>Inside an object.</p></object><canvas>Drawn here.</canvas></article>", "So x is known.\nInside an object.\nDrawn here."),
         ('<article><p>The first paragraph has some words in it.</p><ul><li><a href="/a">A link alone</a></li></ul><p>The last one has some, too.</p></article>', "The first paragraph has some words in it.\nA link alone\nThe last one has some, too."),
     ],
 )
