@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import clean, normalised_sql, plain_spaces, without_comments
+from granary.operators.catalog import is_small, lookup
 
 #: Statements that write, and words after a table that are no alias.
 WRITES = ("insert", "update", "delete", "merge", "create", "drop", "alter")
@@ -119,7 +120,8 @@ def metadata_text(found: DataFrame, columns: DataFrame, description: str = "data
     line = F.concat(F.lit("- "), "name", F.lit(" "), F.coalesce(description, F.lit("")))
     listed = columns.groupBy(F.lower("table_name").alias("known")).agg(F.sort_array(F.collect_list(F.struct("ordinal_position", line.alias("line")))).alias("ls"))
     known = listed.select("known", F.transform("ls", lambda x: x["line"]).alias("ls"))
-    rows = names.withColumn("known", F.element_at(F.split("table_name", r"\."), -1)).join(known, "known", "left")
+    rows = names.withColumn("known", F.element_at(F.split("table_name", r"\."), -1))
+    rows = lookup(rows, known, ["known"], is_small(columns), "script_id")
     block = F.concat_ws("\n", F.array(F.concat(F.lit("table "), "table_name")), F.coalesce("ls", F.array(F.lit("- not in the catalog"))))
     by = rows.groupBy("script_id").agg(F.sort_array(F.collect_set(F.struct("table_name", block.alias("text")))).alias("ts"))
     return by.select("script_id", F.concat_ws("\n", F.transform("ts", lambda x: x["text"])).alias("text"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import first_true, joined, last_segment, plain_spaces
-from granary.operators.catalog import hinted, is_small
+from granary.operators.catalog import is_small, lookup
 from granary.operators.facts import facts as facts_of
 from granary.operators.review import known_tables, resolved, review, route
 from granary.operators.rules import DATE, OVERWRITE, Registry
@@ -45,7 +47,7 @@ def fix(facts: DataFrame, issues: DataFrame, columns: DataFrame | None) -> DataF
     else:
         few = is_small(columns)
         first = columns.filter("is_partition").groupBy(F.lower("table_name").alias("found")).agg(F.min_by("name", "ordinal_position").alias("field"))
-        rows = resolved(rows, "insert_target", known_tables(columns), few).join(hinted(first, few), "found", "left")
+        rows = lookup(resolved(rows, "insert_target", known_tables(columns), few), first, ["found"], few, "script_id")
     one = lambda flag, before, after: F.when(F.col(flag), after(F.col(before))).otherwise(F.col(before))
     rows = rows.withColumn("s1", one("fix_spaces", "sql", plain_spaces)).withColumn("s2", one("fix_keyword", "s1", with_table_keyword)).withColumn("s3", one("fix_date", "s2", with_date_parameter))
     quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
@@ -95,32 +97,33 @@ def counted(scripts: DataFrame, issues: DataFrame) -> DataFrame:
 def trusted(scripts: DataFrame, columns: DataFrame | None, registry: Registry | None = None, max_retries: int = 1) -> DataFrame:
     """(script_id, status, rounds, trusted_sql): review, route, fix, review again, at most max_retries + 1 times.
 
-    Only scripts that a round leaves open enter the next one, from a table written to the shared folder. Trusted is the
+    Only scripts that a round leaves open enter the next one, with the facts and issues that its verdict was read from. Trusted is the
     text that was fixed and found clean, or the original one where there was nothing to act on; else null."""
-    todo = scripts.select("script_id", "mode", "sql")
-    done: DataFrame | None = None
+    found = written(facts_of(scripts.select("script_id", "mode", "sql")), "facts")
+    issues = written(review(found, columns, registry), "issues")
+    done: list[DataFrame] = []
     for n in range(1, max_retries + 2):
-        found = written(facts_of(todo), "facts")
-        issues = written(review(found, columns, registry), "issues")
-        routed = route(found, issues).join(todo.select("script_id", F.col("sql").alias("was")), "script_id")
+        routed = written(route(found, issues), "routed")
         ok = F.col("final_status").isin("no_issue", "ignored_issues")
-        ended = routed.filter("route <> 'auto_fix'").select("script_id", F.when(ok & F.lit(n > 1), "fix_verified").otherwise(F.col("final_status")).alias("status"), F.lit(n).alias("rounds"), F.when(ok, F.col("was")).alias("trusted_sql"))
-        fixable = routed.filter("route = 'auto_fix'").select("script_id")
-        to_fix = found.join(fixable, "script_id", "left_semi")
-        fixed = fix(to_fix, issues, columns).withColumn("success", F.lit(True))
-        fixed = written(fixed, "fixed")
-        again = written(facts_of(fixed.select("script_id", F.col("fixed_sql").alias("sql")).join(todo.select("script_id", "mode"), "script_id").select("script_id", "mode", "sql")), "again")
-        verdict = critic(counted(to_fix, issues), fixed, counted(again, review(again, columns, registry)))
-        verdict = written(verdict.join(fixed.select("script_id", F.col("fixed_sql").alias("new_sql")), "script_id").join(todo.select("script_id", "mode"), "script_id"), "verdict")
+        ended = routed.filter("route <> 'auto_fix'").join(found.select("script_id", F.col("sql").alias("was")), "script_id")
+        done.append(ended.select("script_id", F.when(ok & F.lit(n > 1), "fix_verified").otherwise(F.col("final_status")).alias("status"), F.lit(n).alias("rounds"), F.when(ok, F.col("was")).alias("trusted_sql")))
+        to_fix = found.join(routed.filter("route = 'auto_fix'").select("script_id"), "script_id", "left_semi")
+        fixed = fix(to_fix, issues, columns).withColumn("success", F.lit(True)).join(found.select("script_id", "mode"), "script_id")
+        # What a fix made of a script is reviewed once: the verdict and the next round read the same tables.
+        again = facts_of(fixed.select("script_id", "mode", F.col("fixed_sql").alias("sql"), "applied_fixes", "manual_notes", "success"))
+        again = written(again, "again")
+        left = written(review(again, columns, registry), "left")
+        fixes = again.select("script_id", "success", F.col("sql").alias("fixed_sql"), "applied_fixes", "manual_notes")
+        verdict = written(critic(counted(to_fix, issues), fixes, counted(again, left)).join(fixes.select("script_id", "fixed_sql"), "script_id"), "verdict")
         last = n == max_retries + 1
         closed = verdict if last else verdict.filter("NOT need_retry")
-        closed = closed.select("script_id", F.when(F.col("passed"), "fix_verified").otherwise(F.col("status")).alias("status"), F.lit(n).alias("rounds"), F.when(F.col("passed"), F.col("new_sql")).alias("trusted_sql"))
-        ended = ended.unionByName(closed)
-        done = ended if done is None else done.unionByName(ended)
-        todo = verdict.filter("need_retry").select("script_id", "mode", F.col("new_sql").alias("sql"))
-        if last or todo.isEmpty():
+        done.append(closed.select("script_id", F.when(F.col("passed"), "fix_verified").otherwise(F.col("status")).alias("status"), F.lit(n).alias("rounds"), F.when(F.col("passed"), F.col("fixed_sql")).alias("trusted_sql")))
+        open_ = verdict.filter("need_retry").select("script_id")
+        if last or open_.isEmpty():
             break
-    return done
+        found = again.drop("applied_fixes", "manual_notes", "success").join(open_, "script_id", "left_semi")
+        issues = left.join(open_, "script_id", "left_semi")
+    return reduce(DataFrame.unionByName, done)
 
 
 def retry_outcomes(attempts: DataFrame, max_retries: int = 1) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import first_true, last_segment, name_key, normalised_sql
-from granary.operators.catalog import hinted, is_small
+from granary.operators.catalog import is_small, lookup
 from granary.operators.facts import unusable
 from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, with_texts
 
-TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True)
-LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", always, lambda: F.col("table_name"), action="context_required", source="system", requires_metadata=True)
-COLUMN_NOT_FOUND = Rule("COLUMN_NOT_FOUND", "high", "metadata", always, lambda: F.concat_ws(".", "qualifier", "name"), action="block", source="system", blocking=True)
-NO_PARTITION = Rule("INSERT_WITHOUT_PARTITION", "high", "metadata", always, lambda: F.col("insert_target"))
-PARTITION_UNKNOWN = Rule("INSERT_WITHOUT_PARTITION_METADATA_UNKNOWN", "medium", "metadata", always, lambda: F.col("insert_target"))
+TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True, table=lambda: F.col("table_name"))
+LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", always, lambda: F.col("table_name"), action="context_required", source="system", requires_metadata=True, table=lambda: F.col("table_name"))
+COLUMN_NOT_FOUND = Rule("COLUMN_NOT_FOUND", "high", "metadata", always, lambda: F.concat_ws(".", "qualifier", "name"), action="block", source="system", blocking=True, table=lambda: F.col("owner"), column=lambda: F.col("name"))
+NO_PARTITION = Rule("INSERT_WITHOUT_PARTITION", "high", "metadata", always, lambda: F.col("insert_target"), table=lambda: F.col("insert_target"))
+PARTITION_UNKNOWN = Rule("INSERT_WITHOUT_PARTITION_METADATA_UNKNOWN", "medium", "metadata", always, lambda: F.col("insert_target"), table=lambda: F.col("insert_target"))
 
 
 def raised(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -25,16 +25,19 @@ def raised(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def resolved(refs: DataFrame, name: str, known: DataFrame, few: bool | None = None) -> DataFrame:
     """refs with `found`: the catalog's name of a table, by its full name or else its last segment. known: (table_name,
-    status), where status ERROR says that the lookup failed. few: whether the catalog is small enough to broadcast;
+    status), where status ERROR says that the lookup failed. refs have a script_id. few: whether the catalog is small enough to broadcast;
     here and below it is counted if that isn't told."""
     few = is_small(known) if few is None else few
-    keys = known.select(F.lower("table_name").alias("key"), F.col("table_name").alias("hit"), "status")
-    whole = hinted(keys.select(F.col("key").alias("whole"), F.struct("hit", "status").alias("by_whole")), few)
-    short = hinted(keys.select(F.col("key").alias("short"), F.struct("hit", "status").alias("by_short")), few)
+    keys = known.select(F.lower("table_name").alias("key"), F.struct(F.col("table_name").alias("hit"), "status").alias("by"))
     keyed = refs.withColumn("whole", name_key(name)).withColumn("short", last_segment(name_key(name)))
-    hit = F.coalesce("by_whole", "by_short")
-    out = keyed.join(whole, "whole", "left").join(short, "short", "left").withColumn("found", hit["hit"]).withColumn("status", F.coalesce(hit["status"], F.lit("NOT_FOUND")))
-    return out.drop("whole", "short", "by_whole", "by_short")
+    if few:
+        both = lambda c: F.broadcast(keys.select(F.col("key").alias(c), F.col("by").alias(f"by_{c}")))
+        out = keyed.join(both("whole"), "whole", "left").join(both("short"), "short", "left").withColumn("by", F.coalesce("by_whole", "by_short"))
+    else:  # Each name once meets the catalog, in one join; the rows then meet the names.
+        tries = keyed.select("whole", "short").distinct().select("whole", F.posexplode(F.array_distinct(F.array("whole", "short"))).alias("at", "key"))
+        out = lookup(keyed, tries.join(keys, "key").groupBy("whole").agg(F.min_by("by", "at").alias("by")), ["whole"], few, "script_id")
+    out = out.withColumn("found", F.col("by.hit")).withColumn("status", F.coalesce("by.status", F.lit("NOT_FOUND")))
+    return out.drop("whole", "short", "by_whole", "by_short", "by")
 
 
 def known_tables(columns: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -70,7 +73,8 @@ def column_issues(facts: DataFrame, columns: DataFrame, few: bool | None = None)
     used = used.filter(~F.array_contains("select_aliases", F.col("c.name")) & ~F.array_contains("cte_names", F.col("place")))
     placed = used.select("script_id", "place", "c.qualifier", "c.name").join(owners.withColumnRenamed("qualifier", "place"), ["script_id", "place"])
     have = columns.select(F.lower("table_name").alias("owner"), F.lower("name").alias("name")).distinct()
-    return raised(placed.join(hinted(have, few), ["owner", "name"], "left_anti").select("script_id", "qualifier", "name").distinct(), COLUMN_NOT_FOUND)
+    lacking = lookup(placed, have, ["owner", "name"], few, "script_id", "left_anti")
+    return raised(lacking.groupBy("script_id", "qualifier", "name").agg(F.min("owner").alias("owner")), COLUMN_NOT_FOUND)
 
 
 def with_partitions(facts: DataFrame, columns: DataFrame | None, few: bool | None = None) -> DataFrame:
@@ -79,7 +83,7 @@ def with_partitions(facts: DataFrame, columns: DataFrame | None, few: bool | Non
         return facts.withColumn("partitioned", F.lit(None).cast("boolean"))
     few = is_small(columns) if few is None else few
     parts = columns.groupBy(F.lower("table_name").alias("found")).agg(F.bool_or("is_partition").alias("partitioned"))
-    return resolved(facts, "insert_target", known_tables(columns), few).join(hinted(parts, few), "found", "left").drop("found", "status")
+    return lookup(resolved(facts, "insert_target", known_tables(columns), few), parts, ["found"], few, "script_id").drop("found", "status")
 
 
 def partition_issue(unknown: bool) -> Column:

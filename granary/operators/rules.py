@@ -78,12 +78,15 @@ class Rule:
     requires_knowledge: bool = False
     blocking: bool = False
     enabled: bool = True
+    table: Column | Callable[[], Column] | None = None
+    column: Column | Callable[[], Column] | None = None
 
     def issue(self) -> Column:
-        """The issue as a struct."""
+        """The issue as a struct; table_name and column_name say what it is about, null where that isn't one of these."""
         evidence = F.lit(self.evidence) if isinstance(self.evidence, str) else made(self.evidence)
         values = [("rule_id", self.rule_id), ("severity", self.severity), ("category", self.category), ("source", self.source), ("confidence", self.confidence), ("action", self.action), ("auto_fixable", self.auto_fixable), ("requires_metadata", self.requires_metadata), ("requires_knowledge", self.requires_knowledge), ("blocking", self.blocking)]
-        return F.struct(*[F.lit(v).alias(k) for k, v in values], evidence.alias("evidence"))
+        about = [F.lit(None).cast("string") if x is None else made(x) for x in (self.table, self.column)]
+        return F.struct(*[F.lit(v).alias(k) for k, v in values], evidence.alias("evidence"), about[0].alias("table_name"), about[1].alias("column_name"))
 
 
 class Registry:

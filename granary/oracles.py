@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from granary.functions.text import WIDE_SPACES
 from granary.operators.facts import KEYWORDS
 from granary.sources.bindings import CATALOG, MODES, OUTPUTS, SCRIPTS
@@ -105,7 +107,7 @@ def facts(src: str = "scr", p: str = "") -> str:
 def issues(p: str = "", mode: str | None = None) -> str:
     """CTEs {p}rule_issues, {p}tab_issues, {p}col_issues, {p}part_issues and their union {p}issues."""
     in_mode = f"'{mode}' <> 'backfill'" if mode else "mode <> 'backfill'"
-    rule = lambda i, sev, cat, cond, ev, action="human_review", src="rule", conf="1.0", fix="false", block="false": f"SELECT script_id, '{i}' AS rule_id, '{sev}' AS severity, '{cat}' AS category, '{src}' AS source, {conf}::DOUBLE AS confidence, '{action}' AS action, {fix} AS auto_fixable, false AS requires_metadata, false AS requires_knowledge, {block} AS blocking, {ev} AS evidence FROM {p}f WHERE {cond}"
+    rule = lambda i, sev, cat, cond, ev, action="human_review", src="rule", conf="1.0", fix="false", block="false": f"SELECT script_id, '{i}' AS rule_id, '{sev}' AS severity, '{cat}' AS category, '{src}' AS source, {conf}::DOUBLE AS confidence, '{action}' AS action, {fix} AS auto_fixable, false AS requires_metadata, false AS requires_knowledge, {block} AS blocking, {ev} AS evidence, NULL::VARCHAR AS table_name, NULL::VARCHAR AS column_name FROM {p}f WHERE {cond}"
     rules = [
         rule("SELECT_STAR", "medium", "style", "has_select_star", "'select list with *'"),
         rule("DROP_OR_TRUNCATE", "high", "safety", "has_drop OR has_truncate", "'drop or truncate'", action="block", block="true"),
@@ -115,13 +117,13 @@ def issues(p: str = "", mode: str | None = None) -> str:
         rule("LLM_AGGREGATION_NULL_HANDLING_SUGGESTION", "medium", "semantic", "contains(norm, 'sum(') AND NOT contains(norm, 'coalesce') AND NOT contains(norm, 'nvl')", "'sum without coalesce'", src="llm", conf="0.7"),
         rule("LLM_JOIN_DUPLICATION_RISK", "medium", "semantic", "contains(norm, ' join ') AND contains(norm, ' group by ')", "'join then group by'", src="llm", conf="0.65"),
     ]
-    fixed = lambda i, ev, src, action="block", block="true": f"SELECT script_id, '{i}' AS rule_id, 'high' AS severity, 'metadata' AS category, '{src}' AS source, 1.0::DOUBLE AS confidence, '{action}' AS action, false AS auto_fixable, false AS requires_metadata, false AS requires_knowledge, {block} AS blocking, {ev} AS evidence"
+    fixed = lambda i, ev, src, action="block", block="true", about="table_name", column="NULL": f"SELECT script_id, '{i}' AS rule_id, 'high' AS severity, 'metadata' AS category, '{src}' AS source, 1.0::DOUBLE AS confidence, '{action}' AS action, false AS auto_fixable, false AS requires_metadata, false AS requires_knowledge, {block} AS blocking, {ev} AS evidence, {about} AS table_name, {column}::VARCHAR AS column_name"
     return f"""
 {p}rule_issues AS ({" UNION ALL ".join(rules)}),
 {p}tab_issues AS ({fixed("TABLE_NOT_FOUND", "table_name", "system")} FROM (SELECT DISTINCT script_id, table_name FROM {p}tab) WHERE table_name NOT IN (SELECT t FROM cat) AND split_part(table_name, '.', -1) NOT IN (SELECT t FROM cat)),
 {p}own AS (SELECT DISTINCT script_id, t AS owner, unnest([name, split_part(name, '.', -1), alias]) AS qualifier FROM {p}ref JOIN (SELECT DISTINCT t FROM cat) ON t = name OR (name NOT IN (SELECT t FROM cat) AND t = split_part(name, '.', -1))),
-{p}col_issues AS ({fixed("COLUMN_NOT_FOUND", "qualifier || '.' || name", "system")} FROM (SELECT DISTINCT script_id, qualifier, name FROM (SELECT c.script_id, c.qualifier, c.name, o.owner FROM {p}col c JOIN {p}own o ON o.script_id = c.script_id AND o.qualifier = c.qualifier ANTI JOIN {p}als a ON a.script_id = c.script_id AND a.name = c.name) x ANTI JOIN {p}cte k ON k.script_id = x.script_id AND k.name = x.qualifier WHERE (owner, name) NOT IN (SELECT (t, c) FROM cat))),
-{p}part_issues AS ({fixed("INSERT_WITHOUT_PARTITION", "insert_target", "rule", "human_review", "false")} FROM {p}f WHERE NOT has_partition AND insert_target IN (SELECT t FROM cat WHERE is_part)),
+{p}col_issues AS ({fixed("COLUMN_NOT_FOUND", "qualifier || '.' || name", "system", about="owner", column="name")} FROM (SELECT script_id, qualifier, name, min(owner) AS owner FROM (SELECT c.script_id, c.qualifier, c.name, o.owner FROM {p}col c JOIN {p}own o ON o.script_id = c.script_id AND o.qualifier = c.qualifier ANTI JOIN {p}als a ON a.script_id = c.script_id AND a.name = c.name) x ANTI JOIN {p}cte k ON k.script_id = x.script_id AND k.name = x.qualifier WHERE (owner, name) NOT IN (SELECT (t, c) FROM cat) GROUP BY ALL)),
+{p}part_issues AS ({fixed("INSERT_WITHOUT_PARTITION", "insert_target", "rule", "human_review", "false", about="insert_target")} FROM {p}f WHERE NOT has_partition AND insert_target IN (SELECT t FROM cat WHERE is_part)),
 {p}issues AS (SELECT * FROM {p}rule_issues UNION ALL SELECT * FROM {p}tab_issues UNION ALL SELECT * FROM {p}col_issues UNION ALL SELECT * FROM {p}part_issues)"""
 
 
@@ -145,7 +147,7 @@ flag AS (
     list(DISTINCT rule_id || ': ' || evidence ORDER BY rule_id || ': ' || evidence) FILTER (WHERE rule_id IN ('COLUMN_NOT_FOUND', 'TABLE_NOT_FOUND') OR rule_id LIKE 'LLM%') AS notes
   FROM issues GROUP BY script_id),
 step1 AS (SELECT script_id, mode, sql, insert_target, flag.* EXCLUDE (script_id), CASE WHEN f1 THEN translate(sql, '{WIDE_SPACES}', '     ') ELSE sql END AS s1 FROM f JOIN flag USING (script_id)),
-step2 AS (SELECT *, CASE WHEN f2 THEN regexp_replace(s1, '(?i)\binsert\s+overwrite\s+', 'insert overwrite table ', 'g') ELSE s1 END AS s2 FROM step1),
+step2 AS (SELECT *, CASE WHEN f2 THEN regexp_replace(s1, '(?i)\binsert\s+overwrite\s+(?:table\s+)?', 'insert overwrite table ', 'g') ELSE s1 END AS s2 FROM step1),
 step3 AS (SELECT *, CASE WHEN f3 THEN regexp_replace(s2, '(?i)\b(ds|dt|biz_date|stat_date|pt|partition_date)\s*=\s*(?:''\d{{8}}''|"\d{{8}}")', '\1 = ''${{bizdate}}''', 'g') ELSE s2 END AS s3 FROM step2),
 step4 AS (SELECT *, CASE WHEN f4 THEN regexp_replace(s3, '(?i)(\binsert\s+(?:overwrite|into)\s+table\s+ads_order_summary)\b', '\1 partition(dt=''${{bizdate}}'')', 'g') ELSE s3 END AS s4 FROM step3),
 fixed AS (
@@ -158,6 +160,13 @@ verdict AS (
   SELECT b.script_id, CASE WHEN b.n > 0 AND applied_fixes = '' THEN 'no_applied_fixes' WHEN coalesce(a.n, 0) > 0 THEN 'issues_remaining' WHEN manual_notes <> '' THEN 'need_human_confirm' ELSE 'passed' END AS status
   FROM (SELECT script_id, count(*) AS n FROM issues GROUP BY script_id) b JOIN fixed USING (script_id) LEFT JOIN (SELECT script_id, count(*) AS n FROM b_issues GROUP BY script_id) a USING (script_id))"""
 
+
+
+def second(cte: str) -> str:
+    """A round's CTE for the round after it."""
+    return re.sub(r"\b(scr|flag|step\d|fixed|issues|b_issues|f|verdict|route)\b(?!\s*=|,| AS (?:route|b_))", lambda m: {"b_issues": "c_issues"}.get(m[1], "b_" + m[1]), cte)
+
+
 LISTS = "list_sort(list_distinct(list_filter(list_transform({0}, lambda x: lower(trim(x))), lambda x: x <> '')))"
 FILTERS = r"list_sort(list_distinct(list_filter(list_transform({0}, lambda x: lower(regexp_replace(x, '\s+', '', 'g'))), lambda x: x <> '')))"
 GOLDEN = """

@@ -300,7 +300,7 @@ def all_issues(spark: SparkSession, sf: str) -> DataFrame:
     return review.review(script_facts(spark, sf), B.catalog(spark)[1])
 
 
-ISSUE = "script_id, rule_id, severity, category, source, confidence, action, auto_fixable, requires_metadata, requires_knowledge, blocking, evidence"
+ISSUE = "script_id, rule_id, severity, category, source, confidence, action, auto_fixable, requires_metadata, requires_knowledge, blocking, evidence, table_name, column_name"
 CORPUS = (O.SCR, O.CAT, O.facts(), O.issues())
 
 
@@ -376,6 +376,30 @@ def sql_scope_columns(spark, sf):
     return found.select("script_id", F.explode("column_refs").alias("c")).select("script_id", "c.qualifier", "c.name", F.col("c.table").alias("table_name"))
 
 
+WIDE = (
+    NESTED.removeprefix("WITH ").strip(),
+    "num AS (SELECT DISTINCT o_orderkey % 5000 AS x FROM orders)",
+    "tabs AS (SELECT 't' || x AS t FROM num WHERE x % 11 <> 3 UNION ALL SELECT 'out' || x FROM num WHERE x % 3 <> 1)",
+    "cols AS (SELECT 't' || x AS t, unnest(list_concat(['a' || x, 'z'], CASE WHEN x % 7 <> 2 THEN ['k'] ELSE [] END, CASE WHEN x % 2 = 0 THEN ['v'] ELSE [] END, CASE WHEN x % 5 <> 3 THEN ['w'] ELSE [] END)) AS c FROM num WHERE x % 11 <> 3)",
+    "named AS (SELECT DISTINCT script_id, unnest(CASE part WHEN 0 THEN ['t' || a, 'db.t' || b] WHEN 3 THEN ['t' || b, 't' || d, 'out' || a] WHEN 4 THEN ['t' || a, 't' || b, 't' || d, 't7'] ELSE ['t' || a, 't' || b, 't' || d] END) AS table_name FROM n)",
+    "refs AS (SELECT DISTINCT script_id, u.qualifier AS qualifier, u.name AS name, split_part(u.table_name, '.', -1) AS owner FROM (SELECT script_id, unnest(CASE part " + " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{'qualifier': {told(q)}, 'name': {told(n)}, 'table_name': {told(t)}}}" for q, n, t in refs) + "]" for k, refs in REFS_OF.items()) + " END) AS u FROM n) WHERE u.table_name IS NOT NULL)",
+)
+
+
+@query(
+    O.with_(*WIDE)
+    + """SELECT script_id, 'TABLE_NOT_FOUND' AS rule_id, table_name AS evidence, table_name, NULL::VARCHAR AS column_name FROM named WHERE split_part(table_name, '.', -1) NOT IN (SELECT t FROM tabs)
+UNION ALL SELECT script_id, 'COLUMN_NOT_FOUND', qualifier || '.' || name, min(owner), name FROM refs WHERE owner IN (SELECT t FROM tabs) AND (owner, name) NOT IN (SELECT (t, c) FROM cols) GROUP BY script_id, qualifier, name
+UNION ALL SELECT script_id, 'INSERT_WITHOUT_PARTITION', 'out' || a, 'out' || a, NULL FROM n WHERE part = 3 AND a::INT % 4 = 0 AND 'out' || a IN (SELECT t FROM tabs)"""
+)
+def issues_wide_catalog(spark, sf):
+    """The catalog's checks by the scopes of names, against a catalog that grows with the tables."""
+    found = written(facts.facts(B.nested_scripts(spark, sf), scopes.scoped_facts), "facts")
+    columns = written(B.wide_catalog(spark, sf), "columns")
+    checks = (review.table_issues(found, review.known_tables(columns)), review.column_issues(found, columns), review.partition_issues(found, columns))
+    return checks[0].unionByName(checks[1]).unionByName(checks[2]).select("script_id", "rule_id", "evidence", "table_name", "column_name")
+
+
 NONE = lambda x: f"CASE WHEN {x} = '' THEN 'none' ELSE replace({x}, '|', ', ') END"
 YES = lambda x: f"CASE WHEN {x} THEN 'yes' ELSE 'no' END"
 
@@ -484,10 +508,19 @@ def critic(spark, sf):
     return fix.critic(fix.counted(with_issues, issues), fixed.filter("script_id % 10 <> 9"), fix.counted(again, review.review(again, columns)))
 
 
-@query(
-    O.with_(*CORPUS, O.FIX, O.ROUTE, "b_scr AS (SELECT script_id, mode, fixed_sql AS sql FROM fixed)", O.facts("b_scr", "b_"), O.issues("b_"), O.CRITIC)
-    + "SELECT r.script_id, CASE WHEN route = 'auto_fix' THEN CASE WHEN v.status = 'passed' THEN 'fix_verified' ELSE v.status END ELSE final_status END AS status, 1 AS rounds, CASE WHEN final_status = 'no_issue' THEN scr.sql WHEN route = 'auto_fix' AND v.status = 'passed' THEN fixed_sql END AS trusted_sql FROM route r JOIN scr USING (script_id) LEFT JOIN verdict v USING (script_id) LEFT JOIN fixed USING (script_id)"
+ROUNDS = (
+    *("b_scr AS (SELECT script_id, mode, fixed_sql AS sql FROM fixed)", O.facts("b_scr", "b_"), O.issues("b_"), O.CRITIC),
+    *(O.second(O.FIX), "c_scr AS (SELECT script_id, mode, fixed_sql AS sql FROM b_fixed)", O.facts("c_scr", "c_"), O.issues("c_"), O.second(O.ROUTE), O.second(O.CRITIC)),
+    "again AS (SELECT script_id FROM route JOIN verdict USING (script_id) WHERE route = 'auto_fix' AND status = 'issues_remaining')",
 )
+
+
+def ended(n: int, p: str, scripts: str) -> str:
+    """SQL for a round's statuses; names of its CTEs start with p."""
+    return f"SELECT r.script_id, CASE WHEN route = 'auto_fix' THEN CASE WHEN v.status = 'passed' THEN 'fix_verified' ELSE v.status END WHEN {n} > 1 AND final_status = 'no_issue' THEN 'fix_verified' ELSE final_status END AS status, {n} AS rounds, CASE WHEN final_status = 'no_issue' THEN s.sql WHEN route = 'auto_fix' AND v.status = 'passed' THEN fixed_sql END AS trusted_sql FROM {p}route r JOIN {p}scr s USING (script_id) LEFT JOIN {p}verdict v USING (script_id) LEFT JOIN {p}fixed USING (script_id) WHERE r.script_id {scripts} (FROM again)"
+
+
+@query(O.with_(*CORPUS, O.FIX, O.ROUTE, *ROUNDS) + ended(1, "", "NOT IN") + " UNION ALL " + ended(2, "b_", "IN"))
 def trusted_sql(spark, sf):
     return fix.trusted(script_rows(spark, sf), B.catalog(spark)[1])
 

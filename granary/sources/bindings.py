@@ -90,6 +90,7 @@ SCRIPTS = (
     "INSERT INTO ads_order_summary SELECT l.l_orderkey FROM lineitem l; SELECT s.user_id FROM ads_order_summary s",
     "INSERT OVERWRITE customer SELECT o.o_custkey FROM orders o",
     "INSERT INTO TABLE stage_{c} SELECT x.k FROM stage_{h} x",
+    "INSERT OVERWRITE customer SELECT o.o_custkey FROM orders o; INSERT /* again */ OVERWRITE customer SELECT c.c_custkey FROM customer c",
 )
 MODES = ("prod", "debug", "backfill")
 
@@ -125,6 +126,18 @@ def nested_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("script_id"), F.lit("prod").alias("mode"), sql.alias("sql"))
 
 
+def wide_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the tables that nested_scripts name, but for those that it lacks."""
+    n = F.pmod("o_orderkey", F.lit(5000))
+    number = table(spark, sf_dir, "orders").select(n.alias("n")).distinct()
+    has = lambda name, unless=False, part=False: F.when(~F.lit(unless) if isinstance(unless, bool) else ~unless, F.struct(name.alias("name"), F.lit(part).alias("is_partition")))
+    k, own = F.lit("k"), F.concat(F.lit("A"), F.col("n").cast("string"))
+    read = F.array_compact(F.array(has(own), has(k, F.col("n") % 7 == 2), has(F.lit("v"), F.col("n") % 2 == 1), has(F.lit("z")), has(F.lit("w"), F.col("n") % 5 == 3)))
+    wrote = F.array_compact(F.array(has(k), has(F.lit("dt"), F.col("n") % 4 != 0, True)))
+    tables = number.filter("n % 11 <> 3").select(F.format_string("T%d", "n").alias("table_name"), read.alias("cs")).unionByName(number.filter("n % 3 <> 1").select(F.format_string("out%d", "n").alias("table_name"), wrote.alias("cs")))
+    return tables.select("table_name", F.posexplode("cs").alias("at", "c")).select("table_name", "c.name", F.lit("string").alias("data_type"), (F.col("at") + 1).alias("ordinal_position"), "c.is_partition")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, kind, text): whole texts; a third of them verified SQL."""
     kind = F.when(F.col("doc_id") % 3 == 0, "verified_sql").otherwise("business_knowledge")
