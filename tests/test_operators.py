@@ -607,3 +607,39 @@ def test_scoped_facts_agree_with_plain_ones_on_plain_scripts(spark, small):
     for c in ("sources", "cte_names", "targets", "insert_target", "referenced"):
         drop = "sql NOT LIKE 'DROP%' AND sql NOT LIKE 'TRUNCATE%'"  # those name tables without a query
         assert sorted(map(str, plain.filter(drop).select("script_id", c).collect())) == sorted(map(str, scoped.filter(drop).select("script_id", c).collect())), c
+
+
+def test_lookups_by_shuffle_agree_with_broadcast_ones(spark):
+    columns = B.catalog(spark)[1]
+    found = script_facts(spark, *["select x.o_custkey, x.nope from orders x join gone y on x.o_bad = y.a"] * 40, "insert into db.ads_order_summary select o.z from db.orders o", "insert into gone select 1", "select 1", None)
+    known = review.known_tables(columns, spark.createDataFrame([("stage",)], "table_name string"))
+    checks = (lambda few: review.table_issues(found, known, few), lambda few: review.column_issues(found, columns, few), lambda few: review.partition_issues(found, columns, few))
+    for check in checks:
+        rows = [sorted(map(str, check(few).collect())) for few in (True, False)]
+        assert rows[0] and rows[0] == rows[1]
+    left, right = spark.createDataFrame([(i, "k" if i % 3 else f"k{i}") for i in range(50)], "script_id long, key string"), spark.createDataFrame([("k", 1), ("k3", 2)], "key string, v int")
+    for how in ("left", "left_anti"):
+        rows = [sorted(map(str, catalog.lookup(left, right, ["key"], few, "script_id", how).collect())) for few in (True, False)]
+        assert rows[0] == rows[1] and len(rows[0]) == (50 if how == "left" else 16)
+
+
+def test_issues_name_their_table_and_column(spark):
+    found = script_facts(spark, "select x.nope, * from db.orders x join gone y on x.o_custkey = y.a", "insert into ads_order_summary select o.o_custkey from orders o")
+    got = {(r["rule_id"], r["table_name"], r["column_name"]) for r in review.review(found, B.catalog(spark)[1]).collect()}
+    assert got == {("SELECT_STAR", None, None), ("TABLE_NOT_FOUND", "gone", None), ("COLUMN_NOT_FOUND", "orders", "nope"), ("INSERT_WITHOUT_PARTITION", "ads_order_summary", None)}
+
+
+def test_a_second_round_mends_what_the_first_brought_to_light(spark):
+    """A site's rules: white space is fixed without being asked, and the keyword is looked for in the text as it stands."""
+    registry = rules.Registry([
+        rules.Rule("NON_ASCII_WHITESPACE", "low", "style", X.has_wide_space("sql"), "wide", action="auto_fix", auto_fixable=True),
+        rules.Rule("MAXCOMPUTE_INSERT_OVERWRITE_TABLE_REQUIRED", "high", "maxcompute", F.col("sql").rlike("(?i)" + rules.OVERWRITE), "keyword", action="auto_fix", auto_fixable=True),
+    ])
+    texts = ["INSERT　OVERWRITE　customer SELECT o.o_custkey FROM orders o", "INSERT OVERWRITE customer SELECT o.o_custkey FROM orders o", "SELECT o.o_custkey FROM orders o", "SELECT o.bad FROM　orders o"]
+    scripts = spark.createDataFrame([(i, "prod", s) for i, s in enumerate(texts)], "script_id long, mode string, sql string")
+    run = lambda n: {r["script_id"]: (r["status"], r["rounds"], r["trusted_sql"]) for r in fix.trusted(scripts, B.catalog(spark)[1], registry, n).collect()}
+    clean = "insert overwrite table customer SELECT o.o_custkey FROM orders o"
+    rest = {1: ("fix_verified", 1, clean), 2: ("no_issue", 1, texts[2]), 3: ("blocked", 1, None)}
+    assert run(1) == {0: ("fix_verified", 2, clean), **rest}
+    assert run(0) == {0: ("issues_remaining", 1, None), **rest}
+    assert fix.trusted(scripts.limit(0), None, registry).collect() == []
