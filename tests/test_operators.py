@@ -81,6 +81,22 @@ def test_dictionary(spark, tmp_path):
         catalog.SMALL_ROWS = limit
 
 
+def test_a_build_of_another_version_is_refused(spark, tmp_path, monkeypatch):
+    """A reader refuses a build of another version, and takes the next one that it knows."""
+    rows = spark.createDataFrame(DICT, "row_no long, table_name string, column_name string, table_desc string, column_desc string")
+    path = f"file://{tmp_path}/catalog"
+    catalog.publish(rows, path, "sheet")
+    mine = catalog.SCHEMA_VERSION
+    monkeypatch.setattr(catalog, "SCHEMA_VERSION", mine + 1)
+    with pytest.raises(ValueError, match=f"version {mine + 1}"):
+        catalog.published(spark, path)
+    catalog.publish(rows, path, "sheet")
+    assert catalog.published(spark, path)[1].count() == 3
+    monkeypatch.setattr(catalog, "SCHEMA_VERSION", mine)
+    with pytest.raises(ValueError, match=f"version {mine}"):
+        catalog.published(spark, path)
+
+
 def script_facts(spark, *sqls):
     return facts.facts(spark.createDataFrame([(i, "prod", s) for i, s in enumerate(sqls)], "script_id long, mode string, sql string"))
 
