@@ -615,6 +615,18 @@ def test_scopes_of_names(spark):
     assert lacks == {(0, "b.y"), (2, "o.v"), (4, "y.z")}
 
 
+def test_scopes_of_a_script_come_from_its_row(spark, small):
+    """No token is shuffled or written, and a comment before an alias or a target doesn't hide it."""
+    from granary.operators import scopes
+
+    found = facts.facts(B.nested_scripts(spark, small), scopes.scoped_facts)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(0, "prod", "SELECT a.x FROM (SELECT b.x FROM t1 b) /* c */ /* d */ AS a, t2 c"), (1, "prod", "INSERT INTO /* c */ t1 SELECT t2.x FROM t2"), (2, "prod", "SELECT '" + "x" * 100_000 + "', a.y FROM t1 a")], "script_id long, mode string, sql string")
+    got = {r["script_id"]: r for r in facts.facts(rows, scopes.scoped_facts).select("script_id", "column_refs", "edges").collect()}
+    assert {tuple(c) for c in got[0]["column_refs"]} == {("a", "x", None), ("b", "x", "t1")}
+    assert [tuple(e) for e in got[1]["edges"]] == [("t2", "t1")] and [tuple(c) for c in got[2]["column_refs"]] == [("a", "y", "t1")]
+
+
 def test_scoped_facts_agree_with_plain_ones_on_plain_scripts(spark, small):
     from granary.operators import scopes
 
