@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What a change holds: deleted marks that the document goes; null is false.
 COLUMNS = ("document_id", "version", "kind", "text", "deleted")
+#: Tasks, and files, that a bucket is dealt to.
+PARTS = 4
 
 
 class DocumentStore:
@@ -44,6 +46,13 @@ class DocumentStore:
         found = self.rows(self.files())
         return None if found is None else found.filter("NOT deleted").select(*COLUMNS[:-1])
 
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """The last row of each document (bucket, COLUMNS). Texts are shuffled once: documents meet where their part of a
+        bucket is written, PARTS files a bucket."""
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "document_id"), F.lit(PARTS))).repartition("bucket", "part")
+        last = F.max(F.struct("version", "text", "kind", "deleted")).alias("x")
+        return dealt.groupBy("bucket", "part", "document_id").agg(last).select("bucket", "document_id", "x.version", "x.kind", "x.text", "x.deleted")
+
     def upsert(self, changes: DataFrame) -> None:
         bucket = F.pmod(F.xxhash64("document_id"), F.lit(self.n_buckets)).cast("int")
         new = changes.select(*COLUMNS).withColumn("deleted", F.coalesce("deleted", F.lit(False))).withColumn("bucket", bucket)
@@ -54,10 +63,8 @@ class DocumentStore:
         number = 0 if files is None else files.first()["number"] + 1
         old = None if files is None else self.rows(files.filter(F.col("bucket").isin(touched)))
         all_ = new if old is None else new.unionByName(old.withColumn("bucket", bucket))
-        last = F.max(F.struct("version", "text", "kind", "deleted")).alias("x")
-        merged = all_.groupBy("bucket", "document_id").agg(last).select("bucket", "document_id", "x.version", "x.kind", "x.text", "x.deleted")
         folder = f"{self.path}/rows/{uuid.uuid4().hex}"
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        self.merged(all_).write.partitionBy("bucket").parquet(folder)
         listed = self.spark.createDataFrame([(b, f"{folder}/bucket={b}") for b in touched], "bucket int, folder string")
         if files is not None:
             listed = listed.unionByName(files.filter(~F.col("bucket").isin(touched)).select("bucket", "folder"))

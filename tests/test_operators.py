@@ -589,6 +589,18 @@ def test_document_store(spark, tmp_path):
         DocumentStore(spark, f"file://{tmp_path}/store", 9).current()
 
 
+def test_an_upsert_shuffles_texts_once(spark, tmp_path):
+    from granary.sources.store import DocumentStore
+
+    schema = "bucket int, document_id string, version long, kind string, text string, deleted boolean"
+    rows = spark.createDataFrame([(i % 3, f"d{i}", v, "k", f"t{i} {v}", False) for i in range(30) for v in (2, 1)], schema)
+    merged = DocumentStore(spark, f"file://{tmp_path}/store", 3).merged(rows)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["document_id"]: (r["bucket"], r["text"]) for r in merged.collect()} == {f"d{i}": (i % 3, f"t{i} 2") for i in range(30)}
+    merged.write.partitionBy("bucket").parquet(f"file://{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("bucket=*/*.parquet"))) <= 3 * 4
+
+
 def test_stats_by_period_merge(spark):
     from granary.operators import catalog
 
