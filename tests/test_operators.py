@@ -431,6 +431,17 @@ def lineage_by_hand(pairs):
     return out
 
 
+def test_lineage_needs_no_other_facts(spark, small, monkeypatch):
+    from granary import queries
+
+    kept = []
+    monkeypatch.setattr(queries, "written", lambda df, name: kept.append((name, df)) or df)
+    queries.lineage_edges(spark, small)
+    assert [name for name, _ in kept] == ["edges"]
+    plan = kept[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS edges" in plan and "AS has_select_star" not in plan and "AS norm" not in plan
+
+
 def test_lineage_sizes(spark):
     import random
 
