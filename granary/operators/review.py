@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from granary.functions.text import first_true, last_segment, name_key, normalise
 from granary.operators.catalog import is_small, lookup
 from granary.operators.facts import unusable
 from granary.operators.rules import PARSE_ERROR, SEVERITY, SOURCE, Registry, Rule, always, default_registry, with_texts
+from granary.sources.shared import written
+
+#: A catalog of at most this many columns is a value in the expressions of a script's row.
+IN_ROW = 500
 
 TABLE_NOT_FOUND = Rule("TABLE_NOT_FOUND", "high", "metadata", always, lambda: F.col("table_name"), action="block", source="system", blocking=True, table=lambda: F.col("table_name"))
 LOOKUP_FAILED = Rule("METADATA_LOOKUP_FAILED", "medium", "metadata", always, lambda: F.col("table_name"), action="context_required", source="system", requires_metadata=True, table=lambda: F.col("table_name"))
@@ -98,22 +103,103 @@ def partition_issues(facts: DataFrame, columns: DataFrame | None, few: bool | No
     return rows.select("script_id", F.explode(partition_issue(columns is None)).alias("x")).select("script_id", "x.*")
 
 
+def in_row(columns: DataFrame) -> Column | None:
+    """The catalog as a value: a map by a table's name in lower case, of that name (found), its columns' names, whether it
+    is partitioned, and its first partition column (field). None if it has more columns than IN_ROW."""
+    ordinal = "ordinal_position" if "ordinal_position" in columns.columns else F.lit(None).alias("ordinal_position")
+    rows = columns.select(F.lower("table_name").alias("table"), F.lower("name").alias("low"), "name", "is_partition", ordinal).filter("table IS NOT NULL").limit(IN_ROW + 1).collect()
+    if len(rows) > IN_ROW:
+        return None
+    text = lambda x: F.lit(x).cast("string")
+    pairs: list[Column] = []
+    for name in dict.fromkeys(r.table for r in rows):
+        mine = [r for r in rows if r.table == name]
+        told = [r.is_partition for r in mine if r.is_partition is not None]
+        fields = [(r.ordinal_position, r.name) for r in mine if r.is_partition and r.ordinal_position is not None]
+        names = F.array(*[text(x) for x in dict.fromkeys(r.low for r in mine if r.low is not None)]).cast("array<string>")
+        pairs += [F.lit(name), F.struct(text(name).alias("found"), names.alias("names"), F.lit(any(told) if told else None).cast("boolean").alias("partitioned"), text(min(fields, key=lambda x: x[0])[1] if fields else None).alias("field"))]
+    return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,struct<found:string,names:array<string>,partitioned:boolean,field:string>>")
+
+
+def hit(known: Column, name: Column) -> Column:
+    """A table's entry in a catalog in_row: by its full name, or else its last segment; null if it has none."""
+    key = name_key(name)
+    return F.coalesce(F.try_element_at(known, key), F.try_element_at(known, last_segment(key)))
+
+
+def found_in_row(facts: DataFrame, known: Column) -> tuple[DataFrame, list[Column]]:
+    """The checks of table_issues, column_issues and partition_issues from a script's row: facts with the columns that they
+    need, and their arrays of issues."""
+    empty = lambda c: F.coalesce(c, F.array().cast(facts.schema[c].dataType))
+    tables = F.transform(F.filter(empty("referenced"), lambda x: hit(known, x).isNull()), lambda x: replace(TABLE_NOT_FOUND, evidence=x, table=x).issue())
+    named = F.filter(F.transform(empty("table_refs"), lambda r: F.struct(r["name"].alias("name"), r["alias"].alias("alias"), hit(known, r["name"])["found"].alias("owner"))), lambda r: r["owner"].isNotNull())
+    keys = lambda r: F.array_distinct(F.array_compact(F.array(r["name"], last_segment(r["name"]), r["alias"])))
+    owners = F.flatten(F.transform(named, lambda r: F.transform(keys(r), lambda q: F.struct(q.alias("place"), r["owner"].alias("owner")))))
+    only = F.when((F.size("sources") == 1) & (F.size("cte_names") == 0), F.element_at("sources", 1))
+    scoped = "table" in facts.schema["column_refs"].dataType.elementType.fieldNames()  # resolved by scopes: a table or nothing
+    place = lambda c: c["table"] if scoped else F.coalesce(c["qualifier"], "only_")
+    used = F.filter(empty("column_refs"), lambda c: ~F.array_contains("select_aliases", c["name"]) & ~F.array_contains("cte_names", place(c)))
+    lacks = lambda c, o: (o["place"] == place(c)) & ~F.coalesce(F.array_contains(F.try_element_at(known, o["owner"])["names"], c["name"]), F.lit(False))
+    lacking = F.flatten(F.transform(used, lambda c: F.transform(F.filter("owners_", lambda o: lacks(c, o)), lambda o: F.struct(c["qualifier"].alias("qualifier"), c["name"].alias("name"), o["owner"].alias("owner")))))
+    rows = facts.withColumn("partitioned", hit(known, F.col("insert_target"))["partitioned"]).withColumn("owners_", owners).withColumn("only_", only)
+    rows = rows.withColumn("lacking_", F.when(F.size("owners_") > 0, F.array_sort(F.array_distinct(lacking))))
+    same = lambda x, y: x["qualifier"].eqNullSafe(y["qualifier"]) & (x["name"] == y["name"])
+    first = F.filter(F.coalesce("lacking_", F.array().cast(rows.schema["lacking_"].dataType)), lambda x, i: (i == 0) | ~same(x, F.get("lacking_", i - 1)))
+    columns = F.transform(first, lambda x: replace(COLUMN_NOT_FOUND, evidence=F.concat_ws(".", x["qualifier"], x["name"]), table=x["owner"], column=x["name"]).issue())
+    return rows, [tables, columns]
+
+
+def reviewed(facts: DataFrame, columns: DataFrame | None, registry: Registry | None = None, categories: Iterable[str] | None = None, mode: str | None = None) -> DataFrame:
+    """facts with `issues`, the array of a script's issues as review() raises them.
+
+    A catalog that is small enough is looked up in the script's row, so that nothing is shuffled; a larger one is met by joins."""
+    known = None if columns is None else in_row(columns)
+    if columns is not None and known is None:
+        facts = written(facts, "facts")
+        issues = by_joins(facts, columns, registry, categories, mode)
+        listed = issues.groupBy("script_id").agg(F.collect_list(F.struct(*issues.columns[1:])).alias("issues"))
+        return facts.join(listed, "script_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast(listed.schema["issues"].dataType)))
+    return in_rows(facts, known, registry, categories, mode)
+
+
+def with_text(facts: DataFrame) -> DataFrame:
+    """facts with unusable and norm, if these aren't there."""
+    if "unusable" not in facts.columns:
+        facts = facts.withColumn("unusable", unusable(F.coalesce("sql", F.lit(""))))
+    return facts if "norm" in facts.columns else facts.withColumn("norm", normalised_sql("sql"))
+
+
+def in_rows(facts: DataFrame, known: Column | None, registry: Registry | None, categories: Iterable[str] | None, mode: str | None) -> DataFrame:
+    rows, more = with_text(facts), []
+    if known is None:
+        rows = with_partitions(rows, None)
+    else:
+        rows, more = found_in_row(rows, known)
+    own = [(registry or default_registry()).broken(categories, mode), partition_issue(known is None), *more]
+    rows = rows.withColumn("issues", F.when(F.col("unusable"), F.array(PARSE_ERROR.issue())).otherwise(F.concat(*own)))
+    return rows.drop("partitioned", "owners_", "only_", "lacking_")
+
+
 def review(facts: DataFrame, columns: DataFrame | None, registry: Registry | None = None, categories: Iterable[str] | None = None, mode: str | None = None) -> DataFrame:
     """All issues of all scripts: (script_id, issue columns). A script that can't be used has one issue, of that. The
     catalog's checks don't heed the category filter. What a script's own row tells is raised in one scan."""
-    registry = registry or default_registry()
-    if "unusable" not in facts.columns:
-        facts = facts.withColumn("unusable", unusable(F.coalesce("sql", F.lit(""))))
-    if "norm" not in facts.columns:
-        facts = facts.withColumn("norm", normalised_sql("sql"))
-    few = columns is not None and is_small(columns)
+    known = None if columns is None else in_row(columns)
+    if columns is not None and known is None:
+        return by_joins(facts, columns, registry, categories, mode)
+    # explode would have Spark find out first, by a second evaluation, whether there are any.
+    rows = in_rows(facts, known, registry, categories, mode).select("script_id", F.explode_outer("issues").alias("x"))
+    return rows.filter("x IS NOT NULL").select("script_id", "x.*")
+
+
+def by_joins(facts: DataFrame, columns: DataFrame, registry: Registry | None, categories: Iterable[str] | None, mode: str | None) -> DataFrame:
+    """review() against a catalog that is met by joins."""
+    facts = with_text(facts)
+    few = is_small(columns)
     rows = with_partitions(facts, columns, few)
-    own = F.when(F.col("unusable"), F.array(PARSE_ERROR.issue())).otherwise(F.concat(registry.broken(categories, mode), partition_issue(columns is None)))
+    own = F.when(F.col("unusable"), F.array(PARSE_ERROR.issue())).otherwise(F.concat((registry or default_registry()).broken(categories, mode), partition_issue(False)))
     found = rows.select("script_id", F.explode(own).alias("x")).select("script_id", "x.*")
-    if columns is not None:
-        good = facts.filter("NOT unusable")
-        found = found.unionByName(table_issues(good, known_tables(columns), few)).unionByName(column_issues(good, columns, few))
-    return found
+    good = facts.filter("NOT unusable")
+    return found.unionByName(table_issues(good, known_tables(columns), few)).unionByName(column_issues(good, columns, few))
 
 
 def rank(column: str, ranks: dict[str, int]) -> Column:
@@ -151,12 +237,36 @@ def route(scripts: DataFrame, issues: DataFrame) -> DataFrame:
         F.bool_and(~acts | ((F.col("action") == "auto_fix") & F.col("auto_fixable"))).alias("fixable"),
     )
     rows = scripts.select("script_id").join(by, "script_id", "left").withColumn("n_actionable", F.coalesce("n_actionable", F.lit(0)))
+    route, status = routes()
+    return rows.select("script_id", route.alias("route"), status.alias("final_status"), "n_actionable")
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    """reviewed() rows with route and final_status, as route() finds them."""
+    any_of = lambda c: F.exists("issues", lambda x: (x["action"] != "ignore") & c(x))
+    out = rows.withColumns(
+        {
+            "n": F.when(F.size("issues") > 0, F.size("issues")),
+            "n_actionable": F.size(F.filter("issues", lambda x: x["action"] != "ignore")),
+            "blocks": any_of(lambda x: x["blocking"] | (x["action"] == "block")),
+            "meta": any_of(lambda x: x["requires_metadata"]),
+            "know": any_of(lambda x: x["requires_knowledge"]),
+            "context": any_of(lambda x: x["action"] == "context_required"),
+            "fixable": F.forall("issues", lambda x: (x["action"] == "ignore") | ((x["action"] == "auto_fix") & x["auto_fixable"])),
+        }
+    )
+    route, status = routes()
+    return out.withColumn("route", route).withColumn("final_status", status).drop("n", "n_actionable", "blocks", "meta", "know", "context", "fixable")
+
+
+def routes() -> tuple[Column, Column]:
+    """(route, final status) from what a script's issues have in common."""
     none = F.col("n_actionable") == 0
     cases = [(none & F.col("n").isNull(), "complete", "no_issue"), (none, "complete", "ignored_issues"), (F.col("blocks"), "block", "blocked"), (F.col("meta") & F.col("know"), "context_required", "metadata&knowledge_required"), (F.col("meta"), "metadata_required", "metadata_required"), (F.col("know"), "knowledge_required", "knowledge_required"), (F.col("context"), "context_required", "context_required"), (F.col("fixable"), "auto_fix", None)]
     status = F.lit("need_human_confirm")
     for c, _, s in reversed(cases):
         status = F.when(c, F.lit(s)).otherwise(status)
-    return rows.select("script_id", first_true([(c, r) for c, r, _ in cases], "human_review").alias("route"), status.alias("final_status"), "n_actionable")
+    return first_true([(c, r) for c, r, _ in cases], "human_review"), status
 
 
 def report(scripts: DataFrame, issues: DataFrame, limit: int = 5) -> DataFrame:

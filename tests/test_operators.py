@@ -707,3 +707,23 @@ def test_a_second_round_mends_what_the_first_brought_to_light(spark):
     assert run(1) == {0: ("fix_verified", 2, clean), **rest}
     assert run(0) == {0: ("issues_remaining", 1, None), **rest}
     assert fix.trusted(scripts.limit(0), None, registry).collect() == []
+
+
+def test_scripts_are_fixed_in_their_row(spark, small, monkeypatch):
+    """Against a small catalog nothing is shuffled or joined, and rows equal those by joins."""
+    from granary.sources import shared
+
+    scripts, columns = B.sql_scripts(spark, small).select("script_id", "mode", "sql"), B.catalog(spark)[1]
+    odd = spark.createDataFrame([(-1, "prod", None), (-2, "prod", "select 'a"), (-3, "debug", "insert into Db.Orders select c.c_nme as c_nme, o.nope, x.nope from orders o join customer c join none x"), (-4, "prod", "with o as (select 1) select o.nope, db.orders.no from o join db.orders; insert into lineitem select a.b from lineitem a")], scripts.schema)
+    rows = shared.written(scripts.filter("script_id < 40").unionByName(odd), "scripts")
+
+    def run():
+        found = review.reviewed(facts.facts(rows), columns)
+        plan = fix.fixed(found, columns)._jdf.queryExecution().executedPlan().toString()
+        cells = lambda df: sorted(map(str, df.select(*[F.col(c).cast("string") for c in df.columns]).collect()))
+        return plan, [cells(x) for x in (found.select("script_id", F.size("issues").alias("n")), fix.fixed(found, columns))]
+
+    plan, got = run()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
+    monkeypatch.setattr(review, "IN_ROW", 0)
+    assert run()[1] == got and all(got)
