@@ -88,16 +88,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def by_shuffle(right: DataFrame) -> DataFrame:
+    """The right side of a join that must not be broadcast: it grows with the corpus, and Spark would judge by its compressed
+    files, without the copies that a salt makes of each row."""
+    return right.hint("merge")
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, n_right: int, how: str = "left", salts: int = 64) -> DataFrame:
     """Join to a lookup table whose row count is known: broadcast when small, else by a salted shuffle.
 
-    The salt splits a key that holds a large part of the left rows over that many tasks.
+    The salt splits a key that holds a large part of the left rows over that many tasks; where the left keys are unique, one
+    will do.
     """
     if n_right <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, how)
     salt = fresh(left, "salt")
     spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, [key, salt], how).drop(salt)
+    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(by_shuffle(spread), [key, salt], how).drop(salt)
 
 
 def counted_join(left: DataFrame, right: DataFrame, key: str | list[str], n_rows: str, hot: int = 10_000, most: int | None = None) -> DataFrame:
@@ -116,7 +123,7 @@ def counted_join(left: DataFrame, right: DataFrame, key: str | list[str], n_rows
         least = many.select(F.percentile_approx(n_rows, 1 - most / (2 * n_many), 10 * most).alias("x")).first()["x"]
         hot = max(hot, least)
         many = right.filter(F.col(n_rows) > hot)
-    rest = left.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(right.filter(F.col(n_rows) <= hot), keys, "left")
+    rest = left.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(by_shuffle(right.filter(F.col(n_rows) <= hot)), keys, "left")
     return left.join(F.broadcast(many), keys).unionByName(rest)
 
 
@@ -168,7 +175,6 @@ def without(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFram
     broadcast with at most BROADCAST_ROWS rows, else joined by a shuffle."""
     names = {r: fresh(left, f"{r}_gone") for r in keys.values()}
     other = right.select(*[F.col(r).alias(n) for r, n in names.items()])
-    if right.count() <= BROADCAST_ROWS:
-        other = F.broadcast(other)
+    other = F.broadcast(other) if right.count() <= BROADCAST_ROWS else by_shuffle(other)
     same = [F.col(k).eqNullSafe(F.col(names[r])) for k, r in keys.items()]
     return left.join(other, same, "left_anti")

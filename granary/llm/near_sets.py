@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, carried, counted_join, lookup_join, sized, written
+from .common import bounded_batches, by_shuffle, carried, counted_join, lookup_join, sized, written
 from .simhash import BITS, bit_groups, bit_statistics, components, equal_pairs, keys_of, labelled_classes, met, probes, spanning
 
 WIDTH = 5
@@ -283,7 +283,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     meet = written(met(keys_of(sets, planned(sets), ["fp", *words]), "fp", words, FAR), "meet")
     candidates = written(components(meet), "candidates")
     n = candidates.count()
-    named = lookup_join(distinct.select(F.col("fp").alias("node"), "h"), candidates, "node", n, "inner")
+    named = lookup_join(distinct.select(F.col("fp").alias("node"), "h"), candidates, "node", n, "inner", 1)
     texts = lookup_join(docs.select("h", "text"), written(named.select("h", "label"), "picked"), "h", n, "inner").dropDuplicates(["h"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Array]]]:
@@ -309,7 +309,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     # Of a larger component: the sets outside its largest class, which meet all blocks.
     names = blocks.filter("n_blocks > 1").select("label", "fp")
     classes = written(components(known).select(F.col("node").alias("fp"), F.col("label").alias("class")), "classes")
-    member = written(lookup_join(names, classes, "fp", classes.count()).select("label", "fp", F.coalesce("class", "fp").alias("class")), "member")
+    member = written(lookup_join(names, classes, "fp", classes.count(), salts=1).select("label", "fp", F.coalesce("class", "fp").alias("class")), "member")
     sizes = member.groupBy("label", "class").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("label").agg(F.max_by("class", F.struct("n", "class")).alias("class"), F.max("n").alias("n_class"), F.sum("n").alias("n_label"))
     largest = written(largest.filter("n_class < n_label").select("label", "class", F.ceil((F.col("n_label") - F.col("n_class")) / BLOCK_SETS).cast("int").alias("n_rest"), "n_label"), "largest")
@@ -318,7 +318,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     outside = counted_join(member, largest.withColumnRenamed("class", "most"), "label", "n_label").filter("n_rest IS NOT NULL AND class <> most").select("fp", F.lit(True).alias("outside"))
     outside = written(outside, "outside")
     again = counted_join(blocks.filter("n_blocks > 1"), largest.select("label", "n_rest", "n_label"), "label", "n_label").filter("n_rest IS NOT NULL").drop("n_label")
-    again = lookup_join(again, outside, "fp", outside.count())
+    again = lookup_join(again, outside, "fp", outside.count(), salts=1)
     theirs = again.select("label", every("n_rest").alias("i"), F.col("own").alias("j"), "fp", "items")
     rest = again.filter("outside").select("label", F.pmod(F.xxhash64("fp", F.lit(1)), "n_rest").cast("int").alias("i"), every("n_blocks").alias("j"), "fp", "items")
     return known.unionByName(verified(theirs.unionByName(rest))).distinct()
@@ -330,7 +330,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     marked = written(marks(docs, ["doc_id", "h"]), "marked")
     words = [F.first(c).alias(c) for c in _FINGERPRINT]  # rows of one set have one fingerprint
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("h").alias("h"), F.count("*").alias("n_rows"), *words), "distinct")
-    found = labelled_classes(distinct.select("fp", "first_id"), links(docs, distinct)).join(distinct.select("fp", "n_rows"), "fp")
+    found = labelled_classes(distinct.select("fp", "first_id"), links(docs, distinct)).join(by_shuffle(distinct.select("fp", "n_rows")), "fp")
     shared = written(found.filter("n_rows > 1 OR fp <> component_fp"), "shared")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("component_fp"))
     rows = counted_join(marked.select("fp", "doc_id", "h"), shared, "fp", "n_rows").filter("component_fp IS NOT NULL")

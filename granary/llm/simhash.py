@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, counted_join, lookup_join, sized, written
+from .common import by_shuffle, carried, counted_join, lookup_join, sized, written
 
 BITS = 64
 #: Rows of one block; two blocks meet in a task.
@@ -310,7 +310,7 @@ def components(edges: DataFrame) -> DataFrame:
 def labelled_classes(distinct: DataFrame, linked: DataFrame) -> DataFrame:
     """(fp, component_id, component_fp) of distinct rows (fp, first_id) and links (a, b) among their fp; see classes()."""
     labelled = written(components(linked).select(F.col("node").alias("fp"), "label"), "components")
-    member = written(distinct.join(labelled, "fp", "left"), "member")
+    member = written(distinct.join(by_shuffle(labelled), "fp", "left"), "member")
     # Of the members the one with the least id; null ids come last.
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
     least = written(member.filter("label IS NOT NULL").groupBy("label").agg(first.alias("x"), F.count("*").alias("n_rows")).select("label", F.col("x.first_id").alias("component_id"), F.col("x.fp").alias("component_fp"), "n_rows"), "least")
@@ -323,7 +323,7 @@ def classes(fps: DataFrame, distance: int = 4, block: int = BLOCK, choices: tupl
     least doc_id of the component and the least fingerprint that it has there."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "distinct")
     found = labelled_classes(distinct, links(distinct.select("fp"), distance, block, choices))
-    return distinct.select("fp", "n_rows").join(found, "fp")
+    return distinct.select("fp", "n_rows").join(by_shuffle(found), "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4, block: int = BLOCK, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:

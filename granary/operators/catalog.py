@@ -30,11 +30,12 @@ def hinted(df: DataFrame, few: bool) -> DataFrame:
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], few: bool, by: str, how: str = "left", salts: int = 16) -> DataFrame:
     """left joined to a table of lookups, right: broadcast if that is known to be small. Else each key is split over so many
-    tasks by a hash of left's column `by`, so that a name that many rows hold doesn't meet in one task."""
+    tasks by a hash of left's column `by`, so that a name that many rows hold doesn't meet in one task; by a shuffle, as Spark
+    would judge right by its files, without the copies that this makes of each row."""
     if few:
         return left.join(F.broadcast(right), keys, how)
     spread = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread, [*keys, "salt_"], how).drop("salt_")
+    return left.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread.hint("merge"), [*keys, "salt_"], how).drop("salt_")
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:

@@ -188,6 +188,29 @@ def test_lookup_join_has_a_way_past_broadcast(spark):
         assert sorted(map(str, lookup_join(left, right, "k", n).select("k", "salt", "v").collect())) == sorted(map(str, left.join(right, "k", "left").select("k", "salt", "v").collect()))
 
 
+def test_lookups_beyond_the_limit_are_never_broadcast(spark, monkeypatch):
+    """Spark judges a lookup by its files; with a salt's copies of each row the driver once ran out of memory."""
+    from granary.llm import common
+    from granary.operators import catalog
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    left = common.written(spark.createDataFrame([(i % 7, i) for i in range(40)], "k long, v long"), "left")
+    right = common.written(spark.createDataFrame([(i, i * 10, 6) for i in range(5)], "k long, x long, n long"), "right")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    expected = sorted((i, None if i % 7 > 4 else i % 7 * 10) for i in range(40))
+    ways = [common.lookup_join(left, right, "k", 5), common.lookup_join(left, right, "k", 5, salts=1), catalog.lookup(left, right, ["k"], False, "v")]
+    for found in ways:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+        assert sorted((r["v"], r["x"]) for r in found.collect()) == expected
+    counted = common.counted_join(left, right, "k", "n")
+    assert "SortMergeJoin" in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["v"], r["x"]) for r in counted.collect()) == expected
+    rest = common.without(left, right, {"k": "k"})
+    assert "Broadcast" not in rest._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["v"] for r in rest.collect()) == [i for i in range(40) if i % 7 > 4]
+
+
 def test_empty_tables(docs):
     none = docs.filter("doc_id = -1")
     assert exact_dedup.exact_classes(none).count() == 0
